@@ -8,18 +8,17 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 from array import array
+from collections.abc import Callable
 
 from foliospark.llm.common import slices
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: White space to Python that is not among the characters the words are split at.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_PLAIN_SPACE = re.compile("[ \t\n\r\x0b\f]+")
-#: Entries of the cache, and the longest word that it takes.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Marks behind a word that are tokens of their own.
+_MARKS = ".,;:!?|"
+#: Entries of each generation of the cache, and the longest word that it takes.
+CACHE_WORDS, CACHE_CHARS = 350_000, 64
 
 _codecs: dict[str, "TextEncoder"] = {}
 
@@ -37,55 +36,83 @@ def drops_spaces(spec: dict) -> bool:
     return not any(regex.search(f"(?:{pattern})", c) for c in " \t\n\r\x0b\f")
 
 
-def words_of(text: str) -> list[str]:
-    return text.split() if not _OTHER_SPACE.search(text) else [w for w in _PLAIN_SPACE.split(text) if w]
+def folds_latin(spec: dict) -> bool:
+    """Whether the pattern splits a run of letters from marks behind it, and lower case is the only change to Latin letters."""
+    pre, norm = spec["pre_tokenizer"], spec.get("normalizer") or {}
+    first = (pre.get("pretokenizers") or [pre])[0]
+    kinds = [n["type"] for n in norm.get("normalizers", [norm])]
+    import regex
+
+    pattern = first["pattern"]["Regex"]
+    fine = all(regex.findall(f"(?:{pattern})", f"abé{m}") == ["abé", m] for m in (*_MARKS, ".,", "||"))
+    return fine and "Lowercase" in kinds and set(kinds) <= {"NFC", "Replace", "Lowercase"}
+
+
+def words_of(text: str) -> list[bytes]:
+    """UTF-8 of the words between ASCII white space."""
+    return text.encode().split()
+
+
+class WordCache(dict):
+    """Values of words (text or bytes), made by ``make`` where they lack. Two generations of at most ``most`` entries each: a word that is still
+    in use moves to the young one, so frequent words stay when rare ones make it overflow."""
+
+    def __init__(self, make: Callable, most: int = CACHE_WORDS):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, word):
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
+            if len(word) > CACHE_CHARS:
+                return found
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
 
 
 class TextEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, without special tokens."""
 
-    def __init__(self, spec: bytes, cache_words: int = CACHE_WORDS):
+    def __init__(self, spec: bytes):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.vocabulary_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.by_words = drops_spaces(json.loads(spec))
-        self.cache_words = cache_words
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), 4096):
-            found = self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)
-            out += [array("I", e.ids).tobytes() for e in found]
-        return out
+        parsed = json.loads(spec)
+        self.by_words = drops_spaces(parsed)
+        self.folds = self.by_words and folds_latin(parsed)
+        self.cache = WordCache(self._word)
+
+    def _ids(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, raw: bytes) -> bytes:
+        """Of a Latin word with marks behind it, those of the word in lower case and of the marks."""
+        word = raw.decode()
+        if self.folds:
+            bare = word.rstrip(_MARKS)
+            if bare and bare.isalpha() and max(bare) < "\u0130":
+                low = bare.lower()
+                if low != word:
+                    marks = word[len(bare) :].encode()
+                    return self.cache[low.encode()] + self.cache[marks] if marks else self.cache[low.encode()]
+        return self._ids(word)
+
+    def lengths(self, texts: list[str]) -> list[int]:
+        return [len(self._ids(t)) // 4 for t in texts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
-            return [ids for a, b in slices(texts) for ids in self._encode(texts[a:b])]
-        out: list[bytes] = []
-        for a, b in slices(texts):
-            words = [words_of(t) for t in texts[a:b]]
-            seen: set[str] = set()
-            for w in words:
-                seen.update(w)
-            cache = self.cache
-            missing = [w for w in seen if w not in cache]
-            if len(cache) + len(missing) > self.cache_words:
-                self.cache = cache = {}
-                missing = list(seen)
-            known = dict(zip(missing, self._encode(missing)))
-            long = {w: known.pop(w) for w in missing if len(w) > CACHE_CHARS}
-            cache.update(known)
-            if long or len(cache) > self.cache_words:  # a slice with more words than the cache takes keeps none of them
-                known = cache if not long else {**cache, **long}
-                if len(cache) > self.cache_words:
-                    self.cache = {}
-                cache = known
-            out += [b"".join(map(cache.__getitem__, w)) for w in words]
-        return out
+            found = (self.tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False) for a, b in slices(texts))
+            return [array("I", e.ids).tobytes() for own in found for e in own]
+        look = self.cache.__getitem__
+        return [b"".join(map(look, words_of(t))) for t in texts]
 
 
 def encoder(spec: bytes) -> TextEncoder:
