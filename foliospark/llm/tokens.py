@@ -18,7 +18,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Marks behind a word that are tokens of their own.
 _MARKS = ".,;:!?|"
 #: Entries of each generation of the cache, and the longest word that it takes.
-CACHE_WORDS, CACHE_CHARS = 350_000, 64
+CACHE_WORDS, CACHE_CHARS = 500_000, 64
+
+#: Byte-level models name a byte by a visible character: its own if it has one, else the next after U+0100.
+_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_NAMES = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
 _codecs: dict[str, "TextEncoder"] = {}
 
@@ -45,7 +49,9 @@ def folds_latin(spec: dict) -> bool:
 
     pattern = first["pattern"]["Regex"]
     fine = all(regex.findall(f"(?:{pattern})", f"abé{m}") == ["abé", m] for m in (*_MARKS, ".,", "||"))
-    return fine and "Lowercase" in kinds and set(kinds) <= {"NFC", "Replace", "Lowercase"}
+    steps = pre.get("pretokenizers") or []
+    bytes_only = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex", True)
+    return fine and bytes_only and "Lowercase" in kinds and set(kinds) <= {"NFC", "Replace", "Lowercase"}
 
 
 def words_of(text: str) -> list[bytes]:
@@ -87,6 +93,7 @@ class TextEncoder:
         parsed = json.loads(spec)
         self.by_words = drops_spaces(parsed)
         self.folds = self.by_words and folds_latin(parsed)
+        self.model = self.tokenizer.model
         self.cache = WordCache(self._word)
 
     def _ids(self, word: str) -> bytes:
@@ -99,14 +106,12 @@ class TextEncoder:
             bare = word.rstrip(_MARKS)
             if bare and bare.isalpha() and max(bare) < "\u0130":
                 low = bare.lower()
-                if low != word:
-                    marks = word[len(bare) :].encode()
-                    return self.cache[low.encode()] + self.cache[marks] if marks else self.cache[low.encode()]
+                if low == word:  # nothing is left to normalize or to split
+                    return array("I", [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(_BYTE_NAMES))]).tobytes()
+                marks = word[len(bare) :].encode()
+                return self.cache[low.encode()] + self.cache[marks] if marks else self.cache[low.encode()]
         return self._ids(word)
 
-    def lengths(self, texts: list[str]) -> list[int]:
-        return [len(self._ids(t)) // 4 for t in texts]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             found = (self.tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False) for a, b in slices(texts))
