@@ -1,4 +1,506 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the given tables, and their SQL for DuckDB."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliospark.functions import geometry as G
+from foliospark.functions import images as I
+from foliospark.functions import ocr_json as J
+from foliospark.functions import text as T
+from foliospark.operators import jobs as Q
+from foliospark.operators import limits as L
+from foliospark.operators import overlay as O
+from foliospark.operators import structure as S
+from foliospark.operators import tiling as TI
+from foliospark.plans.relations import BOX_SQL, COMMANDS_SQL, JOBS_SQL, LAYOUT_SQL, LINKS_SQL, TEXTS, TEXTS_SQL, boxes, commands, jobs, layout, links, literal_text, read
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Pieces of SQL
+
+WS = T.WS
+
+
+def _strip(c: str) -> str:
+    return rf"regexp_replace({c}, '\A{WS}+|{WS}+\z', '', 'g')"
+
+
+def _inter(a: str, b: str) -> str:
+    return f"(greatest(0.0, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * greatest(0.0, least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0)))"
+
+
+def _area(a: str) -> str:
+    return f"(({a}.x1 - {a}.x0) * ({a}.y1 - {a}.y0))"
+
+
+_IOU = f"{_inter('a', 'o')} / ({_area('a')} + {_area('o')} - {_inter('a', 'o')})"
+_TYPED = f"typed AS (SELECT a.doc_id, a.page, a.ord, arg_max(o.block_type, o.ord) AS matched_type FROM b a JOIN layout o ON a.doc_id = o.doc_id AND {_inter('a', 'o')} > 0 AND {_IOU} >= 0.3 GROUP BY ALL)"
+_HREF = f"hrefs AS (SELECT a.doc_id, a.page, a.ord, arg_max(o.url, o.ord) AS href FROM b a JOIN links o ON a.doc_id = o.doc_id AND {_inter('a', 'o')} > 0 AND {_inter('a', 'o')} / {_area('o')} >= 0.5 GROUP BY ALL)"
+_BOXED = "x0, y0, x1, y1"
+
+
+def _flat(df: DataFrame, *names: str, bbox: str = "bbox") -> DataFrame:
+    return df.select(*names, *[F.col(f"{bbox}.{n}").alias(n) for n in ("x0", "y0", "x1", "y1")])
+
+
+# Pages of HTML
+
+_CLEAN = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
+_TAG = r"(?is)<(h1|h2|h3|p|li|footer|a)[ >][^<]*"
+_TAG_TYPES = {"h1": "heading", "h2": "heading", "h3": "heading", "p": "paragraph", "li": "list-item", "footer": "footnote", "a": "unknown"}
+
+
+def _html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = F.regexp_replace("html", _CLEAN, "")
+    found = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(0).alias("page"), F.posexplode(F.regexp_extract_all(clean, F.lit(_TAG), F.lit(0))).alias("ord", "raw"))
+    tag = F.lower(F.regexp_extract("raw", r"(?s)\A<([A-Za-z0-9]+)", 1))
+    kinds = F.create_map(*[x for k, v in _TAG_TYPES.items() for x in (F.lit(k), F.lit(v))])
+    return found.select("doc_id", "page", "ord", tag.alias("tag"), F.element_at(kinds, tag).alias("element_type"), T.strip(F.regexp_replace("raw", r"(?s)\A<[^>]*>?", "")).alias("text"))
+
+
+_HTML = f"""raw AS (SELECT page_id AS doc_id, 0 AS page, regexp_extract_all(regexp_replace(html, '{_CLEAN}', '', 'g'), '{_TAG}') AS l FROM pages),
+found AS (SELECT doc_id, page, (unnest(generate_series(1, len(l))) - 1)::INT AS ord, unnest(l) AS raw FROM raw),
+blocks AS (SELECT doc_id, page, ord, lower(regexp_extract(raw, '(?s)\\A<([A-Za-z0-9]+)', 1)) AS tag, {_strip("regexp_replace(raw, '(?s)" + chr(92) + "A<[^>]*>?', '')")} AS text FROM found),
+typed AS (SELECT *, CASE tag WHEN 'h1' THEN 'heading' WHEN 'h2' THEN 'heading' WHEN 'h3' THEN 'heading' WHEN 'p' THEN 'paragraph' WHEN 'li' THEN 'list-item' WHEN 'footer' THEN 'footnote' ELSE 'unknown' END AS element_type FROM blocks)"""
+
+
+@query(f"WITH {_HTML} SELECT doc_id, page, ord, substr(tag, 2)::INT AS level, text FROM typed WHERE element_type = 'heading' AND text <> ''")
+def html_toc(spark, sf_dir):
+    b = _html_blocks(spark, sf_dir).filter(~T.is_blank(F.col("text")))
+    return S.table_of_contents(b.withColumn("level", F.when(F.col("element_type") == "heading", F.substring("tag", 2, 1).cast("int")).otherwise(1)))
+
+
+@query(f"WITH {_HTML} SELECT element_type, count(*) AS n, count(*) FILTER (text = '') AS n_blank, sum(length(text))::BIGINT AS n_chars FROM typed GROUP BY 1")
+def html_blocks_by_type(spark, sf_dir):
+    return _html_blocks(spark, sf_dir).groupBy("element_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text") == "").alias("n_blank"), F.sum(F.length("text")).alias("n_chars"))
+
+
+# Blocks of text
+
+@query(f"""WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+flat AS (SELECT doc_id, (unnest(generate_series(1, len(l))) - 1)::INT AS ord, {_strip('unnest(l)')} AS text FROM lines)
+SELECT doc_id, ord, length(text) AS n_chars, md5(text) AS text_md5, 10.0 + doc_id % 7 AS font_size FROM flat WHERE text <> ''""")
+def line_blocks(spark, sf_dir):
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "raw"))
+    bbox = G.box(F.lit(0.0), F.lit(0.0), F.lit(100.0), 10.0 + F.col("doc_id") % 7)
+    size = S.font_size(bbox, F.lit("horizontal"), F.array(F.lit("one")), F.col("raw"))
+    return lines.filter(~T.is_blank(F.col("raw"))).select("doc_id", "ord", F.length(T.strip(F.col("raw"))).alias("n_chars"), F.md5(T.strip(F.col("raw"))).alias("text_md5"), size.alias("font_size"))
+
+
+_MEDIAN = "medians AS (SELECT doc_id, page, coalesce(list_sort(list(y1 - y0) FILTER (y1 - y0 > 0))[count(*) FILTER (y1 - y0 > 0) // 2 + 1], 12.0) AS median FROM b GROUP BY ALL)"
+
+
+@query(f"WITH {BOX_SQL}, {_MEDIAN} SELECT * FROM medians")
+def upper_median_size(spark, sf_dir):
+    return boxes(spark, sf_dir).groupBy("doc_id", "page").agg(S.upper_median(G.height(F.col("bbox"))).alias("median"))
+
+
+@query(f"WITH {BOX_SQL}, {LAYOUT_SQL}, {_TYPED} SELECT b.doc_id, b.page, b.ord, matched_type FROM b LEFT JOIN typed USING (doc_id, page, ord)")
+def layout_join_lastwins(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    return S.layout_types(b, layout(b)).select("doc_id", "page", "ord", "matched_type")
+
+
+@query(f"WITH {BOX_SQL}, {LINKS_SQL}, {_HREF} SELECT b.doc_id, b.page, b.ord, href FROM b LEFT JOIN hrefs USING (doc_id, page, ord)")
+def link_containment(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    return S.link_targets(b, links(b)).select("doc_id", "page", "ord", "href")
+
+
+_INFER = rf"""CASE WHEN regexp_matches({_strip('text')}, '\A\p{{Nd}}{{1,4}}\z') AND ((y0 + y1) / 2 < 150 * 0.1 OR (y0 + y1) / 2 > 150 * 0.9) THEN 'page-number'
+  WHEN size > median * 1.4 THEN 'heading' WHEN size < median * 0.75 AND (y0 + y1) / 2 > 150 * 0.8 THEN 'footnote'
+  WHEN regexp_matches({_strip('text')}, '\A[•·▪▸\-*]|\A\p{{Nd}}+[.)、]{WS}') THEN 'list-item' ELSE 'paragraph' END"""
+_LEVEL = "CASE WHEN size > median * 2.0 THEN 1 WHEN size > median * 1.6 THEN 2 ELSE 3 END"
+_SIZED = f"sized AS (SELECT b.doc_id, b.page, b.ord, texts.t AS text, {_BOXED}, y1 - y0 AS size, median FROM b JOIN texts ON (part + line) % {len(TEXTS)} = i JOIN medians USING (doc_id, page))"
+
+
+def _sized(spark, sf_dir) -> DataFrame:
+    return boxes(spark, sf_dir).withColumn("text", literal_text((F.col("part") + F.col("line")) % len(TEXTS))).withColumn("size", G.height(F.col("bbox")))
+
+
+@query(f"WITH {BOX_SQL}, {TEXTS_SQL}, {_MEDIAN}, {_SIZED} SELECT doc_id, page, ord, {_INFER} AS element_type FROM sized")
+def classify_blocks(spark, sf_dir):
+    b = _sized(spark, sf_dir)
+    medians = b.groupBy("doc_id", "page").agg(S.upper_median(F.col("size")).alias("median"))
+    kind = S.infer_type(F.col("text"), F.col("size"), F.col("bbox"), F.col("median"), F.lit(150))
+    return b.join(medians, ["doc_id", "page"]).select("doc_id", "page", "ord", kind.alias("element_type"))
+
+
+@query(f"WITH {BOX_SQL}, {TEXTS_SQL}, {_MEDIAN}, {_SIZED} SELECT doc_id, page, ord, {_LEVEL} AS level FROM sized")
+def heading_levels(spark, sf_dir):
+    b = _sized(spark, sf_dir)
+    medians = b.groupBy("doc_id", "page").agg(S.upper_median(F.col("size")).alias("median"))
+    return b.join(medians, ["doc_id", "page"]).select("doc_id", "page", "ord", S.heading_level(F.col("size"), F.col("median")).alias("level"))
+
+
+_ELEMENTS = f"""{BOX_SQL}, {TEXTS_SQL}, {LAYOUT_SQL}, {LINKS_SQL}, {_TYPED}, {_HREF}, {_MEDIAN}, {_SIZED},
+kinds AS (SELECT sized.*, coalesce(matched_type, {_INFER}) AS element_type, href FROM sized LEFT JOIN typed USING (doc_id, page, ord) LEFT JOIN hrefs USING (doc_id, page, ord) WHERE {_strip('text')} <> '')"""
+
+
+@query(f"WITH {_ELEMENTS} SELECT doc_id, page, ord, element_type, {_strip('text')} AS text, CASE WHEN element_type = 'heading' THEN {_LEVEL} ELSE 1 END AS level, href FROM kinds")
+def elements(spark, sf_dir):
+    b = _sized(spark, sf_dir)
+    return S.elements(b, layout(b), links(b), F.lit(150))
+
+
+# Geometry and tiles
+
+_QUADRANTS = """(VALUES (0, 0.0, 0.0), (1, 1.0, 0.0), (2, 0.0, 1.0), (3, 1.0, 1.0)) q(tile, qx, qy)"""
+
+
+@query(f"""WITH {BOX_SQL}, pages AS (SELECT doc_id, ord, (1000 + part % 2000)::INT AS w, (1500 + supp * 13 % 2500)::INT AS h FROM b)
+SELECT doc_id, ord, tile, (CASE WHEN qx = 0 THEN 0 ELSE greatest(0, w // 2 - trunc(w * 0.1::DOUBLE)) END)::INT AS x0, (CASE WHEN qy = 0 THEN 0 ELSE greatest(0, h // 2 - trunc(h * 0.1::DOUBLE)) END)::INT AS y0,
+ (CASE WHEN qx = 0 THEN least(w, w // 2 + trunc(w * 0.1::DOUBLE)) ELSE w END)::INT AS x1, (CASE WHEN qy = 0 THEN least(h, h // 2 + trunc(h * 0.1::DOUBLE)) ELSE h END)::INT AS y1 FROM pages, {_QUADRANTS}""")
+def tile_grid(spark, sf_dir):
+    w, h = (1000 + F.col("part") % 2000).cast("int"), (1500 + F.col("supp") * 13 % 2500).cast("int")
+    return boxes(spark, sf_dir).select("doc_id", "ord", F.explode(G.tile_grid(w, h)).alias("t")).select("doc_id", "ord", "t.*")
+
+
+@query(f"WITH {BOX_SQL} SELECT doc_id, ord, x0 * 1.25 + 992 AS x0, y0 * 1.25 + part % 100 AS y0, x1 * 1.25 + 992 AS x1, y1 * 1.25 + part % 100 AS y1 FROM b")
+def tile_translate(spark, sf_dir):
+    moved = TI.on_page(F.col("bbox"), F.lit(1.25), F.lit(992.0), (F.col("part") % 100).cast("double"))
+    return _flat(boxes(spark, sf_dir).withColumn("bbox", moved), "doc_id", "ord")
+
+
+_FOLD_IOU = "(greatest(0.0, least(a.x1, e.x1) - greatest(a.x0, e.x0)) * greatest(0.0, least(a.y1, e.y1) - greatest(a.y0, e.y0)))"
+
+
+@query(f"""WITH {BOX_SQL}, g AS (SELECT doc_id, page, text, list({{'tile': line % 4, 'ord': ord, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY line % 4, ord) AS l FROM b GROUP BY ALL),
+kept AS (SELECT doc_id, page, text, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda a:
+  len(list_filter(y, lambda e: {_FOLD_IOU} > 0 AND {_FOLD_IOU} / ((a.x1 - a.x0) * (a.y1 - a.y0) + (e.x1 - e.x0) * (e.y1 - e.y0) - {_FOLD_IOU}) >= 0.3)) > 0)) > 0 THEN acc ELSE list_concat(acc, y) END)) AS k FROM g)
+SELECT doc_id, page, text, k.tile AS tile, k.ord AS ord, k.x0 AS x0, k.y0 AS y0, k.x1 AS x1, k.y1 AS y1 FROM kept""")
+def tile_dedup(spark, sf_dir):
+    b = boxes(spark, sf_dir).withColumn("tile", (F.col("line") % 4).cast("int"))
+    return _flat(TI.merge_tiles(b), "doc_id", "page", "text", "tile", "ord")
+
+
+@query(f"""WITH {BOX_SQL}, p AS (SELECT doc_id, ord, greatest(least(x0 * 8 * 0.24, x1 * 8 * 0.24), 0.0) AS x0, greatest(least(y0 * 8 * 0.24, y1 * 8 * 0.24), 0.0) AS y0,
+ least(greatest(x0 * 8 * 0.24, x1 * 8 * 0.24), 200.0) AS x1, least(greatest(y0 * 8 * 0.24, y1 * 8 * 0.24), 150.0) AS y1 FROM (SELECT doc_id, ord, x0::DOUBLE x0, y0::DOUBLE y0, x1::DOUBLE x1, y1::DOUBLE y1 FROM b))
+SELECT doc_id, ord, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM p WHERE x1 - x0 > 1 AND y1 - y0 > 1""")
+def upscale_clamp(spark, sf_dir):
+    cut = G.clamp_to_page(G.scaled(F.col("bbox"), 8.0), 200.0, 150.0)
+    found = _flat(boxes(spark, sf_dir).withColumn("cut", cut).filter("cut is not null"), "doc_id", "ord", bbox="cut")
+    return found.select("doc_id", "ord", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query(f"""WITH {BOX_SQL}, p AS (SELECT doc_id, ord, (part * 3 % 5000 + 10)::INT AS w, (supp * 41 % 5000 + 10)::INT AS h FROM b),
+s AS (SELECT *, CASE WHEN greatest(w, h) > 2048 THEN 2048.0::DOUBLE / greatest(w, h) ELSE 1.0::DOUBLE END AS scale FROM p)
+SELECT doc_id, ord, scale, trunc(w * scale)::INT AS width, trunc(h * scale)::INT AS height FROM s""")
+def downscaled_size(spark, sf_dir):
+    w, h = (F.col("part") * 3 % 5000 + 10).cast("int"), (F.col("supp") * 41 % 5000 + 10).cast("int")
+    return boxes(spark, sf_dir).select("doc_id", "ord", G.downscale(w, h).alias("s")).select("doc_id", "ord", "s.*")
+
+
+# Languages
+
+_HAN, _KANA, _HANGUL = T.CJK, T.KANA, T.HANGUL
+_TEXT_AT = f"documents d JOIN texts ON d.doc_id % {len(TEXTS)} = i"
+
+
+@query(f"""WITH {TEXTS_SQL} SELECT doc_id, CASE WHEN regexp_matches(x, '{_HANGUL}') THEN 'korean' WHEN regexp_matches(x, '{_KANA}') THEN 'japan'
+ WHEN regexp_matches(x, '{_HAN}') THEN CASE WHEN regexp_matches(x, '[{T.BLOCK_TRADITIONAL}]') THEN 'ch_tra' ELSE 'ch_sim' END ELSE 'en' END AS language
+ FROM (SELECT doc_id, text || t AS x FROM {_TEXT_AT})""")
+def block_language(spark, sf_dir):
+    text = F.concat("text", literal_text(F.col("doc_id") % len(TEXTS)))
+    return read(spark, sf_dir, "documents").select("doc_id", T.block_language(text).alias("language"))
+
+
+@query(f"""WITH {TEXTS_SQL}, x AS (SELECT source, d.doc_id % 9 AS part, t AS x FROM {_TEXT_AT} WHERE d.doc_id % 18 IN (2, 8, 9, 10, 11, 14, 15, 16))
+SELECT source, part, CASE WHEN sum(length(x)) = 0 THEN 'ch_tra' WHEN bool_or(regexp_matches(x, '{_HANGUL}')) THEN 'korean' WHEN bool_or(regexp_matches(x, '{_KANA}')) THEN 'japan'
+ WHEN bool_or(regexp_matches(x, '{_HAN}')) THEN CASE WHEN sum(length(regexp_replace(x, '[^{T.SIMPLIFIED}]', '', 'g'))) > 2 * sum(length(regexp_replace(x, '[^{T.TRADITIONAL}]', '', 'g'))) THEN 'ch_sim' ELSE 'ch_tra' END
+ ELSE 'en' END AS language FROM x GROUP BY ALL""")
+def doc_language(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").filter(F.col("doc_id") % 18 % 18 == F.col("doc_id") % 18).select("source", (F.col("doc_id") % 9).alias("part"), (F.col("doc_id") % 18).alias("i"))
+    docs = docs.filter(F.col("i").isin(2, 8, 9, 10, 11, 14, 15, 16))
+    return docs.groupBy("source", "part").agg(T.language_of(literal_text(F.col("i"))).alias("language"))
+
+
+# Recognition results
+
+_K = "json_extract_string(props, '$.k')"
+
+
+def _payload() -> F.col:
+    k = F.get_json_object("props", "$.k")
+    fenced = F.concat(F.lit('```json\n{"direction":"Vertical","blocks":[{"text":'), k, F.lit(',"type":" Heading ","bbox":["1",'), k, F.lit(',3,4.5,9]}, 7, {"text":"x","bbox":["1","x",3,4],"lines":[{"text":"l","bbox":[1,2,3]},{"text":""},5]}]}\n```'))
+    noted = F.concat(F.lit('note {"blocks":[{"text":["a","b"],"bbox":{"x0":'), k, F.lit(',"y1":2}},{"text":null}]} end'))
+    return F.when(F.col("event_id") % 4 == 0, fenced).when(F.col("event_id") % 4 == 1, noted).when(F.col("event_id") % 4 == 2, "no json").otherwise("")
+
+
+@query(f"""WITH e AS (SELECT event_id, ({_K})::DOUBLE AS k, {_K} AS t FROM events)
+SELECT event_id, 0 AS ord, 'vertical' AS direction, t AS text, 'heading' AS type, 1.0 AS x0, k AS y0, 3.0 AS x1, 4.5 AS y1, 0 AS n_lines FROM e WHERE event_id % 4 = 0
+UNION ALL SELECT event_id, 1, 'vertical', 'x', 'paragraph', 0, 0, 0, 0, 1 FROM e WHERE event_id % 4 = 0
+UNION ALL SELECT event_id, 0, 'horizontal', 'a', 'paragraph', k, 0, 0, 2, 0 FROM e WHERE event_id % 4 = 1
+UNION ALL SELECT event_id, 1, 'horizontal', '', 'paragraph', 0, 0, 0, 0, 0 FROM e WHERE event_id % 4 = 1""")
+def parse_ocr_json(spark, sf_dir):
+    raw = read(spark, sf_dir, "events").select("event_id", _payload().alias("payload"))
+    page = J.parse_pages(raw)
+    b = page.select("event_id", F.col("page_result.direction").alias("direction"), F.posexplode("page_result.blocks").alias("ord", "b"))
+    return b.select("event_id", "ord", "direction", F.col("b.text").alias("text"), T.layout_type(F.col("b.type")).alias("type"), "b.bbox.*", F.size("b.lines").alias("n_lines"))
+
+
+@query(f"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 1.0 WHEN 3 THEN ({_K})::DOUBLE ELSE 0 END AS x0, CASE event_id % 5 WHEN 0 THEN ({_K})::DOUBLE ELSE 0 END AS y0,
+ CASE event_id % 5 WHEN 0 THEN 3.0 ELSE 0 END AS x1, CASE event_id % 5 WHEN 0 THEN 4.0 ELSE 0 END AS y1 FROM events""")
+def coerce_bbox(spark, sf_dir):
+    k = F.get_json_object("props", "$.k")
+    given = F.array(F.concat(F.lit('["1",'), k, F.lit(",3,4]")), F.concat(F.lit('["1x",'), k, F.lit(",3,4]")), F.lit("[1,2,3]"), F.concat(F.lit('{"x0":"'), k, F.lit('"}')), F.lit('"text"'))
+    text = F.get(given, (F.col("event_id") % 5).cast("int"))
+    return read(spark, sf_dir, "events").select("event_id", J.coerce_box(F.try_parse_json(text)).alias("b")).select("event_id", "b.*")
+
+
+# Jobs
+
+@query("""WITH p AS (SELECT DISTINCT user_id, dayofyear(ts) AS p FROM events), i AS (SELECT *, p - row_number() OVER (PARTITION BY user_id ORDER BY p) AS g FROM p),
+r AS (SELECT user_id, min(p) AS a, max(p) AS b FROM i GROUP BY user_id, g)
+SELECT user_id, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '–' || b END, ', ' ORDER BY a) AS ranges FROM r GROUP BY user_id""")
+def page_ranges(spark, sf_dir):
+    return Q.page_ranges(read(spark, sf_dir, "events").select("user_id", (F.dayofyear("ts") - 1).alias("page")), "user_id")
+
+
+@query(f"""WITH {BOX_SQL}, i AS (SELECT doc_id % 1000 AS d, doc_id AS page, ord, qty * 10 AS w, 100 + line * 20 AS h, part * 7 % 9000 AS n FROM b),
+k AS (SELECT * FROM (SELECT d, page, ord, CASE WHEN page % 4 = 0 THEN 0 ELSE w END AS w, CASE WHEN page % 4 = 0 THEN 0 ELSE h END AS h, n FROM i) WHERE CASE WHEN w = 0 AND h = 0 THEN n > 5000 ELSE w >= 150 AND h >= 150 END)
+SELECT d AS doc_id, page, ord, printf('img_%04d', row_number() OVER (PARTITION BY d ORDER BY page, ord)) AS image_id FROM k""")
+def image_ids(spark, sf_dir):
+    unknown = F.col("doc_id") % 4 == 0
+    w, h = F.when(unknown, 0).otherwise(F.col("qty") * 10), F.when(unknown, 0).otherwise(100 + F.col("line") * 20)
+    own = boxes(spark, sf_dir).filter(I.is_significant(w, h, F.col("part") * 7 % 9000)).select((F.col("doc_id") % 1000).alias("doc_id"), F.col("doc_id").alias("page"), "ord")
+    return S.image_ids(own)
+
+
+def _next(field: str) -> str:
+    s, c, st, pa = "acc[-1].\"after\"", "e.command", "acc[-1].stop_flag", "acc[-1].pause_flag"
+    observed = f"({c} = 'tick' AND {s} = 'processing' AND ({st} OR {pa}))"
+    after = f"""CASE WHEN {c} = 'start' AND {s} IN ('pending', 'paused', 'stopped', 'failed') THEN 'queued' WHEN {c} = 'pause' AND {s} IN ('pending', 'queued') THEN 'paused'
+ WHEN {c} = 'stop' AND {s} IN ('pending', 'queued') THEN 'stopped' WHEN {c} = 'tick' AND {s} = 'queued' THEN 'processing' WHEN {observed} THEN CASE WHEN {st} THEN 'stopped' ELSE 'paused' END
+ WHEN {c} = 'finish_ok' AND {s} = 'processing' THEN 'done' WHEN {c} = 'finish_fail' AND {s} = 'processing' THEN 'failed' ELSE {s} END"""
+    start = f"({c} = 'start' AND {s} IN ('pending', 'paused', 'stopped', 'failed'))"
+    return {
+        "after": after,
+        "stop": f"CASE WHEN {start} OR {observed} THEN false WHEN {c} = 'stop' AND {s} IN ('processing', 'paused') THEN true ELSE {st} END",
+        "pause": f"CASE WHEN {start} OR {observed} THEN false WHEN {c} = 'pause' AND {s} = 'processing' THEN true ELSE {pa} END",
+        "accepted": f"({start} OR {observed} OR ({c} = 'pause' AND {s} IN ('pending', 'queued', 'processing')) OR ({c} = 'stop' AND {s} IN ('pending', 'queued', 'processing', 'paused')) OR ({c} = 'tick' AND {s} = 'queued') OR ({c} IN ('finish_ok', 'finish_fail') AND {s} = 'processing'))",
+    }[field]
+
+
+@query(f"""WITH {COMMANDS_SQL}, g AS (SELECT job_id, list({{'seq': seq, 'command': command, 'before': '', 'after': '', 'accepted': false, 'stop_flag': false, 'pause_flag': false}} ORDER BY seq) AS l FROM commands GROUP BY job_id),
+f AS (SELECT job_id, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda acc, y: list_concat(acc, list_transform(y, lambda e: {{'seq': e.seq, 'command': e.command, 'before': acc[-1]."after", 'after': {_next('after')}, 'accepted': {_next('accepted')}, 'stop_flag': {_next('stop')}, 'pause_flag': {_next('pause')}}})),
+ [{{'seq': -1::BIGINT, 'command': '', 'before': '', 'after': 'pending', 'accepted': false, 'stop_flag': false, 'pause_flag': false}}])) AS r FROM g)
+SELECT job_id, r.seq AS seq, r."before" AS "before", r.command AS command, r."after" AS "after", r.accepted AS accepted, r.stop_flag AS stop_flag, r.pause_flag AS pause_flag FROM f WHERE r.seq >= 0""")
+def job_state(spark, sf_dir):
+    return Q.transitions(commands(read(spark, sf_dir, "events")))
+
+
+@query(f"WITH {JOBS_SQL} SELECT job_id, seq, status, row_number() OVER (ORDER BY seq DESC)::INT AS position FROM jobs ORDER BY seq DESC LIMIT 10")
+def job_history_top10(spark, sf_dir):
+    return Q.history(jobs(read(spark, sf_dir, "events")))
+
+
+@query(f"WITH {JOBS_SQL} SELECT job_id, seq, status, status NOT IN ('queued', 'processing', 'paused', 'pending') AS purge FROM (SELECT *, row_number() OVER (ORDER BY seq DESC) AS n FROM jobs) WHERE n > 10")
+def overflow_purge(spark, sf_dir):
+    return Q.overflow(jobs(read(spark, sf_dir, "events")))
+
+
+@query(f"""WITH {JOBS_SQL}, h AS (SELECT *, row_number() OVER (ORDER BY seq DESC) AS n FROM jobs) SELECT job_id, seq, status FROM h WHERE n <= 10 AND status <> 'done' ORDER BY seq DESC LIMIT 1""")
+def resume_candidate(spark, sf_dir):
+    return Q.history(jobs(read(spark, sf_dir, "events"))).filter("status <> 'done'").orderBy(F.desc("seq")).limit(1).select("job_id", "seq", "status")
+
+
+@query(f"WITH {JOBS_SQL} SELECT status, count(*) AS n, status IN ('queued', 'processing') AS active, status <> 'processing' AS deletable FROM jobs GROUP BY status")
+def jobs_by_status(spark, sf_dir):
+    j = jobs(read(spark, sf_dir, "events")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return j.select("status", "n", F.col("status").isin("queued", "processing").alias("active"), Q.deletable(F.col("status")).alias("deletable"))
+
+
+@query(f"WITH {JOBS_SQL} SELECT job_id, seq FROM jobs WHERE status = 'queued' AND seq % 3 = 0")
+def queue_ready(spark, sf_dir):
+    j = jobs(read(spark, sf_dir, "events"))
+    return Q.dequeue(j.filter("seq % 3 = 0").select("job_id", "seq"), j)
+
+
+@query(f"""WITH {JOBS_SQL}, files AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'upload' WHEN 1 THEN 'output' ELSE 'tmp' END AS kind, o_orderkey::VARCHAR AS stem, o_orderdate AS mtime FROM orders)
+SELECT kind, stem FROM files f WHERE ((kind = 'output' AND epoch(TIMESTAMP '1998-01-01') - epoch(mtime) > 604800) OR (kind <> 'output' AND epoch(TIMESTAMP '1998-01-01') - epoch(mtime) > 86400))
+AND NOT (kind = 'upload' AND EXISTS (SELECT 1 FROM jobs j WHERE j.job_id = f.stem AND j.status <> 'done'))""")
+def retention_candidates(spark, sf_dir):
+    k = F.col("o_orderkey") % 3
+    files = read(spark, sf_dir, "orders").select(F.when(k == 0, "upload").when(k == 1, "output").otherwise("tmp").alias("kind"), F.col("o_orderkey").cast("string").alias("stem"), F.col("o_orderdate").alias("mtime"))
+    return Q.retention(files, jobs(read(spark, sf_dir, "events")), F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")).select("kind", "stem")
+
+
+def _pages_and_cache(spark, sf_dir):
+    pages = read(spark, sf_dir, "documents").select(F.col("source").alias("job_id"), F.col("doc_id").alias("page"))
+    cache = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select(F.col("source").alias("job_id"), F.col("doc_id").alias("page"))
+    return pages, cache
+
+
+@query("SELECT source AS job_id, count(*) AS n_cached FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1")
+def cached_pages(spark, sf_dir):
+    return Q.cached(*_pages_and_cache(spark, sf_dir)).groupBy("job_id").agg(F.count(F.lit(1)).alias("n_cached"))
+
+
+@query("SELECT source AS job_id, doc_id AS page FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def pages_to_ocr(spark, sf_dir):
+    return Q.to_recognize(*_pages_and_cache(spark, sf_dir))
+
+
+@query(f"""WITH {BOX_SQL}, s AS (SELECT doc_id::VARCHAR AS job_id, count(*) FILTER (part % 3 <> 0) AS pages_completed, count(*) AS pages_total, list_sort(list(ord + 1) FILTER (part % 3 = 0)) AS f, doc_id % 5 <> 0 AS made FROM b GROUP BY doc_id)
+SELECT job_id, CASE WHEN pages_completed = 0 THEN 'failed' WHEN made THEN 'done' ELSE 'failed' END AS status, f IS NOT NULL AND pages_completed > 0 AS partial, pages_completed, pages_total,
+ coalesce(array_to_string(f, ','), '') AS failed_pages, coalesce(f[1], 0) AS failed_page FROM s""")
+def job_outcome(spark, sf_dir):
+    b = boxes(spark, sf_dir).select(F.col("doc_id").cast("string").alias("job_id"), F.col("ord").alias("page"), (F.col("part") % 3 != 0).alias("ok"), (F.col("doc_id") % 5 != 0).alias("made"))
+    found = Q.outcome(b, F.col("made"))
+    return found.withColumn("failed_pages", F.array_join(F.col("failed_pages").cast("array<string>"), ",")).withColumn("failed_page", F.coalesce("failed_page", F.lit(0)))
+
+
+@query("SELECT doc_id, trunc(5 + (doc_id % 7) / 7.0::DOUBLE * 80)::INT AS progress, 'ocr:' || source || ':' || doc_id AS cache_key FROM documents")
+def progress(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", Q.progress(F.col("doc_id") % 7, F.lit(7)).alias("progress"), F.concat_ws(":", F.lit("ocr"), "source", F.col("doc_id").cast("string")).alias("cache_key"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 6 = 5 THEN 400 WHEN page_id % 9 = 0 THEN 413 WHEN length(html) > 3000 THEN 413 WHEN page_id % 7 = 0 THEN 400 WHEN page_id % 2 = 1 AND page_id % 5 = 0 THEN 400 ELSE 200 END AS code FROM pages""")
+def upload_validation(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    name = F.when(F.col("page_id") % 6 == 5, F.lit("notes.txt")).when(F.col("page_id") % 2 == 1, F.lit("Scan.JPEG")).otherwise(F.lit("Book.PDF"))
+    size = F.when(F.col("page_id") % 7 == 0, 0).otherwise(F.length("html"))
+    size = F.when(F.length("html") > 3000, F.length("html")).otherwise(size)
+    declared = F.when(F.col("page_id") % 9 == 0, 4000).otherwise(1)
+    return p.select("page_id", Q.upload_code(name, declared, size, F.col("page_id") % 5 != 0, 3000).alias("code"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 404 WHEN doc_id % 3 = 0 THEN 400 WHEN doc_id % 4 = 0 THEN 410 ELSE 200 END AS code, source || '_clean.pdf' AS filename FROM documents")
+def download_status(spark, sf_dir):
+    d = F.col("doc_id")
+    code = Q.download_code(d % 11 != 0, F.when(d % 3 == 0, "queued").otherwise("done"), F.when(d % 4 == 0, F.lit(None)).otherwise(True))
+    return read(spark, sf_dir, "documents").select("doc_id", code.alias("code"), T.output_name(F.concat("source", F.lit(".PDF")), "clean").alias("filename"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'signup' AND epoch(TIMESTAMP '2024-02-01') - epoch(ts) < 2592000")
+def session_valid(spark, sf_dir):
+    s = read(spark, sf_dir, "events").filter("event_type = 'signup'").select("event_id", "user_id", F.col("user_id").cast("string").alias("token"), F.col("ts").alias("created_at"))
+    return Q.sessions_valid(s, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")).select("event_id", "user_id")
+
+
+# Limits
+
+@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id % 10 ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM events""")
+def sliding_rate(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("key", F.col("user_id") % 10)
+    return L.sliding_counts(e, "key", "ts").select("event_id", "in_window")
+
+
+@query("""WITH c AS (SELECT user_id % 10 AS key, count(*) OVER (PARTITION BY user_id % 10 ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS n FROM events)
+SELECT key, count(*) FILTER (n >= 3) AS hits, max(n) AS most FROM c GROUP BY key""")
+def limiter_hits(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("key", F.col("user_id") % 10)
+    return L.sliding_counts(e, "key", "ts", 3600).groupBy("key").agg(F.count_if(F.col("in_window") >= 3).alias("hits"), F.max("in_window").alias("most"))
+
+
+@query("""WITH g AS (SELECT user_id AS key, list({'seq': event_id, 't': epoch_us(ts) / 1000000.0::DOUBLE, 's': -1.0::DOUBLE, 'n': 0::BIGINT, 'refused': false} ORDER BY ts, event_id) AS l FROM events GROUP BY user_id),
+f AS (SELECT key, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda acc, y: list_concat(acc, list_transform(y, lambda e:
+ CASE WHEN acc[-1].s < 0 OR e.t - acc[-1].s >= 86400 THEN {'seq': e.seq, 't': e.t, 's': e.t, 'n': 1::BIGINT, 'refused': false}
+ WHEN acc[-1].n >= 2 THEN {'seq': e.seq, 't': e.t, 's': acc[-1].s, 'n': acc[-1].n, 'refused': true} ELSE {'seq': e.seq, 't': e.t, 's': acc[-1].s, 'n': acc[-1].n + 1, 'refused': false} END)),
+ [{'seq': -1::BIGINT, 't': 0.0::DOUBLE, 's': -1.0::DOUBLE, 'n': 0::BIGINT, 'refused': false}])) AS r FROM g)
+SELECT key, r.seq AS seq, r.n AS used, r.refused AS refused FROM f WHERE r.seq >= 0""")
+def daily_quota(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
+    return L.daily_quota(e, 2)
+
+
+@query("""SELECT event_id, greatest(4.0, least(120.0, 4.0 * pow(2.0, event_id % 9))) AS ceiling, [408, 429, 500, 502, 503, 504, 400, 404][event_id % 8 + 1] NOT IN (400, 404) AS retryable,
+ CASE event_id % 4 WHEN 0 THEN 30.0 WHEN 1 THEN 2.5 WHEN 2 THEN 7.0 ELSE NULL END AS hint FROM events""")
+def backoff_bounds(spark, sf_dir):
+    n = F.col("event_id")
+    code = F.get(F.array(*map(F.lit, (408, 429, 500, 502, 503, 504, 400, 404))), (n % 8).cast("int"))
+    details = F.get(F.array(F.lit('{"error":{"details":[{"x":1},{"retryDelay":"30s"}]}}'), F.lit('[{"a":{"retryAfter":2.5}}]'), F.lit("{}"), F.lit('{"retryDelay":"soon"}')), (n % 4).cast("int"))
+    message = F.when(n % 4 == 2, "wait: retry_delay: 7 s").otherwise("no")
+    return read(spark, sf_dir, "events").select("event_id", L.backoff_ceiling(n % 9 + 1).alias("ceiling"), L.is_retryable(code).alias("retryable"), L.retry_hint(details, message).alias("hint"))
+
+
+# Overlays
+
+@query(r"""WITH x AS (SELECT page_id AS id, html AS t FROM pages UNION ALL SELECT doc_id + 1000000, text || chr(1) || chr(31) || '<&"''' FROM documents)
+SELECT id, md5(replace(replace(replace(replace(replace(regexp_replace(t, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;')) AS escaped_md5 FROM x""")
+def escape_text(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("t"))
+    d = read(spark, sf_dir, "documents").select((F.col("doc_id") + 1000000).alias("id"), F.concat("text", F.lit("\x01\x1f<&\"'")).alias("t"))
+    return p.unionByName(d).select("id", F.md5(T.escape_markup(F.col("t"))).alias("escaped_md5"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+n AS (SELECT doc_id, CASE WHEN {_strip('line')} = '' THEN 1 ELSE ceil(length(line) / 75.0)::INT END AS n FROM l)
+SELECT doc_id, sum(n)::INT AS n_lines FROM n GROUP BY doc_id""")
+def wrap_text(spark, sf_dir):
+    # 495 points at size 11 hold 75 characters of 0.6
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(O.wrap(F.col("text"), F.lit(11.0), F.lit(495.0))).alias("n_lines"))
+
+
+@query(f"""WITH {TEXTS_SQL}, r AS (SELECT doc_id, regexp_extract_all(regexp_replace(t, '{WS}', '', 'g'), '(?s).') AS cs FROM {_TEXT_AT}),
+c AS (SELECT doc_id, len(cs) AS n, (unnest(generate_series(1, len(cs))) - 1)::INT AS i, unnest(cs) AS c FROM r WHERE len(cs) > 0),
+p AS (SELECT *, greatest(3.0, least(20.0 + doc_id % 40, (doc_id % 60 + 10.0) / n, 48.0)) AS size FROM c)
+SELECT doc_id, i, c, round(30 + size + i * ((doc_id % 60 + 10.0) / n), 9) AS y, round(size, 9) AS size FROM p WHERE 30 + size + i * ((doc_id % 60 + 10.0) / n) <= 80""")
+def vertical_layout(spark, sf_dir):
+    d = F.col("doc_id")
+    rect = G.box(F.lit(5.0), F.lit(30.0), 25.0 + d % 40, 40.0 + d % 60)
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(O.vertical_overlay(rect, literal_text(d % len(TEXTS)), 80.0)).alias("p"))
+    return rows.select("doc_id", "p.i", "p.c", F.round("p.y", 9).alias("y"), F.round("p.size", 9).alias("size"))
+
+
+@query(f"""WITH {BOX_SQL}, t AS (SELECT *, greatest(3.0, least(y1 - y0, 48.0)) AS f, length(text) + 5 AS n FROM b),
+s AS (SELECT *, CASE WHEN n * f * 0.6 > x1 - x0 THEN greatest(3.0, f * ((x1 - x0) / (n * f * 0.6))) ELSE f END AS size FROM t)
+SELECT doc_id, ord, round(size, 9) AS size, x0 AS x, round(y1 - (y1 - y0) * 0.18, 9) AS y FROM s""")
+def horizontal_overlay(spark, sf_dir):
+    placed = O.horizontal_overlay(F.col("bbox"), F.concat(F.lit(" "), F.col("text"), F.lit("-line ")))
+    return boxes(spark, sf_dir).select("doc_id", "ord", placed.alias("p")).select("doc_id", "ord", F.round("p.size", 9).alias("size"), "p.x", F.round("p.y", 9).alias("y"))
+
+
+@query(f"""WITH {BOX_SQL}, lines AS (SELECT doc_id, page, ord % 3 AS o, ord // 3 AS line, part % 4 <> 0 AS ok FROM b), blocks AS (SELECT DISTINCT doc_id, page, o FROM lines)
+SELECT doc_id, page, o AS ord, 'line' AS level, line FROM lines WHERE ok UNION ALL SELECT doc_id, page, o, 'block', -1 FROM blocks k WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE ok AND l.doc_id = k.doc_id AND l.o = k.o)""")
+def searchable_overlay(spark, sf_dir):
+    lines = boxes(spark, sf_dir).select("doc_id", "page", (F.col("ord") % 3).alias("ord"), F.floor(F.col("ord") / 3).cast("int").alias("line"), F.when(F.col("part") % 4 != 0, F.lit(1)).alias("placed"))
+    return O.overlay_rows(lines, lines.select("doc_id", "page", "ord").distinct()).withColumn("line", F.coalesce("line", F.lit(-1)))
+
+
+_LANG = "CASE lang WHEN 'fr' THEN 'ch_sim' WHEN 'de' THEN 'japan' WHEN 'es' THEN 'korean' ELSE 'other' END"
+
+
+@query(f"""WITH l AS (SELECT doc_id, {_LANG} AS language FROM documents)
+SELECT doc_id, CASE language WHEN 'ch_sim' THEN 'china-s' WHEN 'japan' THEN 'japan' WHEN 'korean' THEN 'korea' ELSE 'china-t' END AS fitz_font,
+ CASE WHEN doc_id % 5 = 0 THEN 'Helvetica' WHEN doc_id % 2 = 0 THEN CASE WHEN language = 'ch_sim' THEN 'STSong-Light' ELSE 'MSung-Light' END ELSE 'HYSMyeongJo-Medium' END AS cid_font FROM l""")
+def font_select(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    language = F.when(F.col("lang") == "fr", "ch_sim").when(F.col("lang") == "de", "japan").when(F.col("lang") == "es", "korean").otherwise("other")
+    two, one = F.array(F.lit("MSung-Light"), F.lit("STSong-Light")), F.array(F.lit("HYSMyeongJo-Medium"))
+    available = F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 2 == 0, two).otherwise(one)
+    return d.select("doc_id", O.fitz_font(language).alias("fitz_font"), O.cid_font(language, available).alias("cid_font"))
+
+
+@query("""WITH r AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN ['searchable', 'clean'] WHEN 2 THEN ['x'] WHEN 3 THEN ['x', 'searchable'] ELSE [] END AS f FROM documents)
+SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'searchable,clean' WHEN 3 THEN 'searchable' ELSE 'clean' END AS formats FROM r""")
+def output_formats(spark, sf_dir):
+    of = lambda *v: F.array(*map(F.lit, v)).cast("array<string>")
+    k = F.col("doc_id") % 5
+    asked = F.when(k == 1, of("searchable", "clean")).when(k == 2, of("x")).when(k == 3, of("x", "searchable")).when(k == 4, of())
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.formats(asked), ",").alias("formats"))
+
+
+@query()
+def pagination(spark, sf_dir):
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    kind = F.when(F.col("ord") == 0, "heading").when(F.col("ord") % 7 == 6, "footnote").otherwise("paragraph")
+    rows = O.styled(lines.withColumn("element_type", kind).withColumn("level", F.lit(1)))
+    return O.paginate(rows).groupBy("doc_id", "sheet").agg(F.count(F.lit(1)).alias("n_lines"), F.round(F.max("y"), 6).alias("last_y"))
