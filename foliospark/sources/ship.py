@@ -1,4 +1,4 @@
-"""Makes this package importable in Python workers, wherever they run."""
+"""Prepares a session: the package for its Python workers, and batches of bounded size."""
 
 from __future__ import annotations
 
@@ -10,8 +10,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Rows that an Arrow batch takes: texts may be long, and the JVM and the worker each hold a batch whole.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Adds a zip of the package to the session's Python files, once for each Spark context."""
+    """Adds a zip of the package to the session's Python files, once for each Spark context, and bounds its Arrow batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, "_foliospark", False):
         return spark
