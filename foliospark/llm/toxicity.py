@@ -21,11 +21,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS, TRAIN_DOCUMENTS, FOLDS = 1 << 18, 16_000, 5
-#: Features of a model: most telling for the label, and against it; a feature occurs in so many training rows at least.
+#: Features of a model: most telling for the label, and against it (found by tasks, then among what they found); a feature occurs in so many training rows at least.
 FEATURES_FOR, FEATURES_AGAINST, LEAST_ROWS = 4000, 500, 3
 FALSE_POSITIVES, LEAST_THRESHOLD = 0.001, 0.15
 PENALTY, STEPS = 1e-4, 300
@@ -88,15 +88,15 @@ class Linear:
         return np.bincount(row[own], value[own] * self.weights[at[own]], len(before)) + before @ self.chain + self.bias
 
 
-def fit_linear(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, before: np.ndarray, y: np.ndarray, t: np.ndarray) -> Linear:
+def fit_linear(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, before: np.ndarray, y: np.ndarray, picked: tuple[np.ndarray, np.ndarray]) -> Linear:
     """Logistic regression by accelerated gradient steps; a feature's scale is its absolute t, so the penalty holds the less
     telling ones down."""
-    own = chosen(t)
+    own, t = picked
     rate = np.clip(y.mean() if len(y) else 0.0, 1e-4, 1 - 1e-4)
     bias = float(np.log(rate / (1 - rate)))
     if not len(y) or y.min() == y.max():
         return Linear(own[:0], np.zeros(0), np.zeros(before.shape[1]), bias)
-    scale = np.abs(t[own])
+    scale = np.abs(t)
     at = np.searchsorted(own, bucket)
     at[at == len(own)] = 0
     kept = (own[at] == bucket) if len(own) else np.zeros(len(bucket), bool)
@@ -148,38 +148,59 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, id
     k = len(names)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((FOLDS, BUCKETS, 2 + 2 * k))  # rows, squares, then sums by label for each category
+        sums = np.zeros((FOLDS, BUCKETS, 2 + k), np.float32)  # rows, squares, then sums with each label
+        every = np.zeros((FOLDS, BUCKETS), np.float32)
         for batch in batches:
             for text, fold, *y in zip(*(batch.column(i).to_pylist() for i in range(2 + k))):
                 bucket, value = features(text)
                 sums[fold, bucket, 0] += 1
                 sums[fold, bucket, 1] += value * value
+                every[fold, bucket] += value
                 for c in range(k):
-                    sums[fold, bucket, 2 + 2 * c + y[c]] += value
+                    if y[c]:
+                        sums[fold, bucket, 2 + c] += value
         fold, bucket = np.nonzero(sums[:, :, 0])
-        yield pa.RecordBatch.from_arrays([pa.array(fold), pa.array(bucket), *[pa.array(c) for c in sums[fold, bucket].T]], names=["fold", "bucket", *[f"s{i}" for i in range(2 + 2 * k)]])
+        found = [*sums[fold, bucket].T, every[fold, bucket]]
+        yield pa.RecordBatch.from_arrays([pa.array(fold.astype(np.int32)), pa.array(bucket.astype(np.int32)), *map(pa.array, found)], names=["fold", "bucket", *cols])
 
-    cols = [f"s{i}" for i in range(2 + 2 * k)]
+    cols = [f"s{i}" for i in range(3 + k)]
     labelled = rows.select("text", "fold", *[f"y{i}" for i in range(k)])
-    stats = labelled.mapInArrow(summed, "fold long, bucket long, " + ", ".join(f"{c} double" for c in cols))
-    # folds x buckets rows at most
-    stats = stats.groupBy("fold", "bucket").agg(*[F.sum(c).alias(c) for c in cols]).filter(f"s0 > 0").toPandas()
-    total = np.zeros((FOLDS, BUCKETS, 2 + 2 * k))
-    total[stats["fold"], stats["bucket"]] = stats[cols].to_numpy()
     sizes = np.zeros((FOLDS, k, 2))
     for r in labelled.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"y{i}").alias(f"y{i}") for i in range(k)]).collect():
         for c in range(k):
             sizes[r["fold"], c] = r["n"] - r[f"y{c}"], r[f"y{c}"]
-
-    def t_of(without: int | None, c: int) -> np.ndarray:
-        keep = [f for f in range(FOLDS) if f != without]
-        s = total[keep].sum(axis=0)
-        return telling(sizes[keep, c].sum(axis=0), s[:, 2 + 2 * c : 4 + 2 * c], s[:, 1], s[:, 0])
-
-    ts = {(f, c): t_of(f, c) for f in [None, *range(FOLDS)] for c in range(k)}
+    models = [(f, c) for f in [None, *range(FOLDS)] for c in range(k)]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a task's buckets, those that can be among the chosen ones of a model."""
+        held = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches if len(batch)]
+        if not held:
+            return
+        table = np.concatenate(held, axis=1)
+        bucket, own = table[0].astype(np.int32), table[1:].reshape(FOLDS, len(cols), -1)
+        for m, (without, c) in enumerate(models):
+            keep = [f for f in range(FOLDS) if f != without]
+            s = own[keep].sum(axis=0)
+            t = telling(sizes[keep, c].sum(axis=0), np.stack((s[-1] - s[2 + c], s[2 + c]), axis=1), s[1], s[0])
+            at = chosen(t)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), m, np.int32)), pa.array(bucket[at]), pa.array(t[at])], names=["model", "bucket", "t"])
+
+    stats = labelled.mapInArrow(summed, "fold int, bucket int, " + ", ".join(f"{c} float" for c in cols))
+    wide = stats.groupBy("bucket").agg(*[F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(c))), F.lit(0.0)).alias(f"{c}_{f}") for f in range(FOLDS) for c in cols])
+    ranked = wide.mapInArrow(best, "model int, bucket int, t double")
+    place = [F.row_number().over(Window.partitionBy("model", F.col("t") > 0).orderBy(F.desc(F.abs("t")), "bucket")).alias("place")]
+    ranked = ranked.select("*", *place).filter(F.when(F.col("t") > 0, F.col("place") <= FEATURES_FOR).otherwise(F.col("place") <= FEATURES_AGAINST))
+    # models x features rows at most
+    top = ranked.select("model", "bucket", "t").toArrow()
+    ts: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+    for m, key in enumerate(models):
+        at = top.column("model").to_numpy() == m
+        bucket, t = top.column("bucket").to_numpy()[at].astype(np.int64), top.column("t").to_numpy()[at]
+        order = np.argsort(bucket)
+        ts[key] = bucket[order], t[order]
     wanted = np.zeros(BUCKETS, bool)
-    for t in ts.values():
-        wanted[chosen(t)] = True
+    for bucket, _ in ts.values():
+        wanted[bucket] = True
     sent = spark.sparkContext.broadcast(wanted)
 
     def restricted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
