@@ -32,8 +32,9 @@ from foliospark.llm.tokencount import SPACE, _PRE_TOKEN
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-#: Words of one length that advance together, entries of a worker's cache, and the longest word that it takes.
+#: Words of one length that advance together, entries of each generation of a worker's cache, and the longest word that it takes.
 WORDS_AT_ONCE, CACHE_WORDS, CACHE_CHARS = 1 << 14, 400_000, 64
+_FILTER_SHIFT = np.uint64(42)
 _RUN = re.compile(f"{SPACE}{SPACE}")
 
 
@@ -79,10 +80,13 @@ class Pieces:
             self.hashes[own] = _hash(self._codes([self.names[i] for i in own], n))[:, n]
         order = used[np.argsort(self.hashes[used])]
         self.keys, self.ids = self.hashes[order], order.astype(np.int32)
+        self.filter = np.zeros(1 << 22, bool)  # whether any key has these leading bits: most substrings are no pieces
+        self.filter[self.keys >> _FILTER_SHIFT] = True
         if len(np.unique(self.keys)) < len(self.keys):
             raise ValueError("two pieces with one hash")
         self.unk_score = np.float32(self.scores[used].min() - 10)
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         if self.kind == BPE:
             self.named = {self.names[i]: int(i) for i in used}
             self._undo()
@@ -93,10 +97,15 @@ class Pieces:
 
     def probe(self, hashes: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
         """The piece of each hash, or -1."""
-        at = np.searchsorted(self.keys, hashes)
+        out = np.full(hashes.shape, -1, np.int32)
+        maybe = np.nonzero(self.filter[hashes >> _FILTER_SHIFT])
+        own = hashes[maybe]
+        at = np.searchsorted(self.keys, own)
         at[at == len(self.keys)] = 0
         found = self.ids[at]
-        return np.where((self.keys[at] == hashes) & (self.lengths[found] == lengths), found, -1)
+        same = (self.keys[at] == own) & (self.lengths[found] == np.broadcast_to(lengths, hashes.shape)[maybe])
+        out[maybe] = np.where(same, found, -1)
+        return out
 
     # BPE
 
@@ -235,13 +244,16 @@ class Pieces:
             seen: set[str] = set()
             for s in split:
                 seen.update(s)
-            if len(self.cache) + len(seen) > CACHE_WORDS:
-                self.cache = {}
-            new = self.encode_words([w for w in seen if w not in self.cache])
-            known = {**self.cache, **new} if len(new) + len(self.cache) > CACHE_WORDS or any(len(w) > CACHE_CHARS for w in new) else None
-            self.cache.update((w, i) for w, i in new.items() if len(w) <= CACHE_CHARS and len(self.cache) < CACHE_WORDS)
-            known = known or self.cache
-            out += [b"".join(map(known.__getitem__, s)) for s in split]
+            missing = [w for w in seen if w not in self.cache]
+            if len(self.cache) + len(missing) > CACHE_WORDS:  # words still in use move on to the young generation
+                self.old, self.cache = self.cache, {w: self.cache[w] for w in seen if w in self.cache}
+            new = self.encode_words([w for w in missing if w not in self.old])
+            self.cache.update((w, self.old[w]) for w in missing if w in self.old)
+            self.cache.update(new)
+            out += [b"".join(map(self.cache.__getitem__, s)) for s in split]
+            for w in new:
+                if len(w) > CACHE_CHARS:
+                    del self.cache[w]
         return out
 
     def decode(self, ids: bytes) -> str:
