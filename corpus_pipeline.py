@@ -7,24 +7,29 @@ from pyspark.sql import DataFrame, SparkSession
 from foliospark.llm import langid, packing, simhash, toxicity
 from foliospark.llm.common import default_vocabulary, table, written
 from foliospark.llm.entry import END_ID, SEQUENCE, WORD_TOKENIZER
+from foliospark.sources.ship import ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: null, no letter, or a probability under one half."""
+    ship(spark)
     return langid.keep_identified(docs, langid.train(docs))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain calls toxic go."""
+    ship(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.label_categories()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    ship(spark)
     return simhash.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return packing.pack_documents(docs, default_vocabulary(WORD_TOKENIZER), END_ID, SEQUENCE)
 
 
