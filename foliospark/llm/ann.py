@@ -5,7 +5,7 @@ has the largest inner product. A random rotation spreads the distance evenly ove
 lists' centroids; every row is indexed. A list is stored as column blocks of ``COLUMNS`` rotated dimensions: after each block a
 hypothesis test compares the distance that the dimensions so far predict with the bound of the query's k-th neighbour, and drops
 the candidate if it is too far by more than ``EPSILON`` allows. What is left is scored on the original vectors in double
-precision. The bound comes from the sample, which is part of the candidates.
+precision. The bound comes from a part of the sample, whose rows are candidates themselves.
 
 The number of probed lists is the least that finds ``TARGET`` of the neighbours of sampled queries. A list of more than ``BLOCK``
 vectors is cut into blocks, dealt by a hash, so one hot list is many tasks; a query goes to every block of its lists."""
@@ -23,6 +23,9 @@ from foliospark.llm.common import shuffle_partitions, written
 
 SAMPLE_ROWS, SAMPLE_BYTES, MOST_LISTS, LIST_BYTES = 16_384, 32 << 20, 16_384, 64 << 20
 BLOCK, QUERIES_AT_ONCE, COLUMNS = 4096, 256, 16
+#: Rows of the sample that bound the k-th neighbour; a quarter of all rows at most, so that even of a query whose nearest lie in
+#: lists that aren't probed enough others pass.
+BOUND_ROWS = 2048
 EPSILON, TARGET, SEED, ROUNDS, JUDGES = 2.1, 0.975, 7, 8, 512
 
 
@@ -46,6 +49,11 @@ class Space:
         self.rotation = np.linalg.qr(random.standard_normal((dim + 1, dim + 1)))[0]
         points = self.base(sample)
         self.centroids = self._kmeans(points, min(lists, len(points)), random)
+        own = self.nearest(points)
+        n = np.bincount(own, minlength=len(self.centroids))
+        away = np.einsum("ij,ij->i", points, points) + self.distances(points)[np.arange(len(points)), own] if len(points) else np.zeros(0)
+        self.spread = np.bincount(own, np.maximum(away, 0), len(self.centroids)) / np.maximum(n, 1)
+        self.luck = np.sqrt(2 * np.log(n + 2) / (dim + 1))
 
     def base(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(0.0, self.largest - np.einsum("ij,ij->i", x, x)))
@@ -69,6 +77,13 @@ class Space:
         """To the centroids, less the points' own squared lengths."""
         return np.einsum("ij,ij->i", self.centroids, self.centroids) - 2 * points @ self.centroids.T
 
+    def promise(self, queries: np.ndarray) -> np.ndarray:
+        """What squared distance the nearest member of each list may have: a member lies off the centroid by the list's spread, and
+        the luckiest of n members has a direction of about sqrt(2 log n / dimensions) towards the query. A tight list far away
+        can so come before a wide one nearby."""
+        far = np.maximum(0.0, np.einsum("ij,ij->i", queries, queries)[:, None] + self.distances(queries))
+        return far + self.spread - 2 * np.sqrt(far * self.spread) * self.luck
+
     def nearest(self, points: np.ndarray) -> np.ndarray:
         return np.concatenate([self.distances(points[i : i + 2048]).argmin(axis=1) for i in range(0, len(points), 2048)] or [np.zeros(0, np.int64)])
 
@@ -83,7 +98,7 @@ def probes_needed(space: Space, sample: np.ndarray, total: int, k: int) -> int:
     scores = judges @ sample.T
     scores[np.arange(len(judges)), np.arange(0, len(sample), max(1, len(sample) // JUDGES))] = -np.inf
     near = np.argpartition(-scores, want, axis=1)[:, :want]
-    rank = space.distances(space.query(judges)).argsort(axis=1).argsort(axis=1)
+    rank = space.promise(space.query(judges)).argsort(axis=1).argsort(axis=1)
     found = rank[np.arange(len(judges))[:, None], space.nearest(space.base(sample))[near]]
     return int(np.quantile(found, TARGET, method="higher")) + 1
 
@@ -150,7 +165,8 @@ def nearest_neighbours(table: DataFrame, is_query: Column, k: int = 20, *, id_co
     space = Space(dim, largest, sample, n_lists)
     n_lists = len(space.centroids)
     probes = min(n_lists, probes or (n_lists if total <= 2000 else probes_needed(space, sample, total, k)))
-    sent = spark.sparkContext.broadcast((space, sample_ids, sample))
+    step = max(1, -(-len(sample) // max(1, min(BOUND_ROWS, total // 4))))
+    sent = spark.sparkContext.broadcast((space, sample_ids[::step], sample[::step]))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +198,7 @@ def nearest_neighbours(table: DataFrame, is_query: Column, k: int = 20, *, id_co
                 scores[ids[:, None] == sample_ids] = -np.inf
                 bound = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if scores.shape[1] > k else np.full(len(v), -np.inf)
                 bound -= 1e-9 * (np.abs(bound) + 1) if np.isfinite(bound).all() else 0
-                chosen = np.argsort(space.distances(space.query(v)), axis=1)[:, :probes]
+                chosen = np.argsort(space.promise(space.query(v)), axis=1)[:, :probes]
                 row = np.repeat(np.arange(len(v)), n[chosen].sum(axis=1))
                 at = np.concatenate([np.arange(first[c], first[c] + n[c]) for own in chosen for c in own]) if len(v) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ids[row]), pa.array(bound[row]), part.column(1).take(pa.array(row))], names=["block", "id", "bound", "v"])
