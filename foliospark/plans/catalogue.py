@@ -95,7 +95,7 @@ def html_blocks_by_type(spark, sf_dir):
 
 @query(f"""WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
 flat AS (SELECT doc_id, (unnest(generate_series(1, len(l))) - 1)::INT AS ord, {_strip('unnest(l)')} AS text FROM lines)
-SELECT doc_id, ord, length(text) AS n_chars, md5(text) AS text_md5, 10.0 + doc_id % 7 AS font_size FROM flat WHERE text <> ''""")
+SELECT doc_id, ord, length(text) AS n_chars, md5(text) AS text_md5, (10 + doc_id % 7)::DOUBLE AS font_size FROM flat WHERE text <> ''""")
 def line_blocks(spark, sf_dir):
     lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "raw"))
     bbox = G.box(F.lit(0.0), F.lit(0.0), F.lit(100.0), 10.0 + F.col("doc_id") % 7)
@@ -244,7 +244,7 @@ def _payload() -> F.col:
 
 
 @query(f"""WITH e AS (SELECT event_id, ({_K})::DOUBLE AS k, {_K} AS t FROM events)
-SELECT event_id, 0 AS ord, 'vertical' AS direction, t AS text, 'heading' AS type, 1.0 AS x0, k AS y0, 3.0 AS x1, 4.5 AS y1, 0 AS n_lines FROM e WHERE event_id % 4 = 0
+SELECT event_id, 0 AS ord, 'vertical' AS direction, t AS text, 'heading' AS type, 1::DOUBLE AS x0, k AS y0, 3::DOUBLE AS x1, 4.5::DOUBLE AS y1, 0 AS n_lines FROM e WHERE event_id % 4 = 0
 UNION ALL SELECT event_id, 1, 'vertical', 'x', 'paragraph', 0, 0, 0, 0, 1 FROM e WHERE event_id % 4 = 0
 UNION ALL SELECT event_id, 0, 'horizontal', 'a', 'paragraph', k, 0, 0, 2, 0 FROM e WHERE event_id % 4 = 1
 UNION ALL SELECT event_id, 1, 'horizontal', '', 'paragraph', 0, 0, 0, 0, 0 FROM e WHERE event_id % 4 = 1""")
@@ -255,8 +255,8 @@ def parse_ocr_json(spark, sf_dir):
     return b.select("event_id", "ord", "direction", F.col("b.text").alias("text"), T.layout_type(F.col("b.type")).alias("type"), "b.bbox.*", F.size("b.lines").alias("n_lines"))
 
 
-@query(f"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 1.0 WHEN 3 THEN ({_K})::DOUBLE ELSE 0 END AS x0, CASE event_id % 5 WHEN 0 THEN ({_K})::DOUBLE ELSE 0 END AS y0,
- CASE event_id % 5 WHEN 0 THEN 3.0 ELSE 0 END AS x1, CASE event_id % 5 WHEN 0 THEN 4.0 ELSE 0 END AS y1 FROM events""")
+@query(f"""SELECT event_id, (CASE event_id % 5 WHEN 0 THEN 1.0 WHEN 3 THEN ({_K})::DOUBLE ELSE 0 END)::DOUBLE AS x0, CASE event_id % 5 WHEN 0 THEN ({_K})::DOUBLE ELSE 0 END AS y0,
+ (CASE event_id % 5 WHEN 0 THEN 3.0 ELSE 0 END)::DOUBLE AS x1, (CASE event_id % 5 WHEN 0 THEN 4.0 ELSE 0 END)::DOUBLE AS y1 FROM events""")
 def coerce_bbox(spark, sf_dir):
     k = F.get_json_object("props", "$.k")
     given = F.array(F.concat(F.lit('["1",'), k, F.lit(",3,4]")), F.concat(F.lit('["1x",'), k, F.lit(",3,4]")), F.lit("[1,2,3]"), F.concat(F.lit('{"x0":"'), k, F.lit('"}')), F.lit('"text"'))
@@ -422,7 +422,7 @@ def daily_quota(spark, sf_dir):
 
 
 @query("""SELECT event_id, greatest(4.0, least(120.0, 4.0 * pow(2.0, event_id % 9))) AS ceiling, [408, 429, 500, 502, 503, 504, 400, 404][event_id % 8 + 1] NOT IN (400, 404) AS retryable,
- CASE event_id % 4 WHEN 0 THEN 30.0 WHEN 1 THEN 2.5 WHEN 2 THEN 7.0 ELSE NULL END AS hint FROM events""")
+ (CASE event_id % 4 WHEN 0 THEN 30.0 WHEN 1 THEN 2.5 WHEN 2 THEN 7.0 ELSE NULL END)::DOUBLE AS hint FROM events""")
 def backoff_bounds(spark, sf_dir):
     n = F.col("event_id")
     code = F.get(F.array(*map(F.lit, (408, 429, 500, 502, 503, 504, 400, 404))), (n % 8).cast("int"))
