@@ -238,6 +238,8 @@ def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
     """The rows of ``docs``, all columns, that stay when one document of each component does: the one of the smallest id,
     ids of null last; among equal ids the one of the smallest hash of the text; of equal rows one."""
     own = "__folio_"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
     key = [F.col(id_column).cast("long").alias(f"{own}id"), F.xxhash64(F.col(text_column)).alias(f"{own}hash")]
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.col(text_column)).alias("hash"), F.col(text_column).alias("text"))
     fps = written(with_fingerprints(rows, "text", "doc_id long, hash long"), "documents")

@@ -5,7 +5,7 @@ A text's features are its words (runs of letters, lower case) hashed into ``BUCK
 in the text, so length doesn't matter. A later model must not learn from probabilities that an earlier one gave to rows it was fitted on:
 the training rows are dealt into ``FOLDS`` folds by a hash of their ids, and each fold's probabilities come from a model fitted on
 the other folds, its features chosen there too. Those out-of-fold probabilities also set each category's threshold: the least
-one that rejects at most ``FALSE_POSITIVES`` of the training rows without the label.
+of those that gain most, a row with the label caught counting one and one without it caught counting minus ``CLEAN_WEIGHT``.
 
 Fitted on at most ``TRAIN_DOCUMENTS`` labelled rows, chosen by a hash of their ids. Statistics of words are summed by the
 tasks; the driver gets sums by bucket and, of the training rows, only the features that were chosen. Prediction covers every
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 BUCKETS, TRAIN_DOCUMENTS, FOLDS = 1 << 18, 16_000, 5
 #: Features of a model: most telling for the label, and against it (found by tasks, then among what they found); a feature occurs in so many training rows at least.
 FEATURES_FOR, FEATURES_AGAINST, LEAST_ROWS = 4000, 500, 3
-FALSE_POSITIVES, LEAST_THRESHOLD = 0.001, 0.15
+CLEAN_WEIGHT, LEAST_THRESHOLD = 10, 0.15
 PENALTY, STEPS = 1e-4, 300
 _WORD = re.compile(r"[^\W\d_]+")
 #: Characters of a very long text that are split at once.
@@ -72,6 +72,19 @@ def chosen(t: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate((high[t[high] > 0], low[t[low] < 0])))
 
 
+def threshold(held: np.ndarray, y: np.ndarray) -> float:
+    """See above; 1, which catches nothing, if no threshold gains anything."""
+    order = np.argsort(-held, kind="stable")
+    gain = np.cumsum(np.where(y[order] > 0, 1, -CLEAN_WEIGHT))
+    last = np.append(np.diff(held[order]) != 0, True) if len(held) else np.zeros(0, bool)  # equal ones are caught together
+    gain = np.where(last, gain, -np.inf)
+    if not len(gain) or gain.max() <= 0:
+        return 1.0
+    at = int(np.flatnonzero(gain == gain.max())[-1])
+    below = held[order][at + 1] if at + 1 < len(held) else 0.0
+    return float(min(max(below, LEAST_THRESHOLD), held[order][at] * (1 - 1e-12)))
+
+
 @dataclass
 class Linear:
     """Weights of buckets, of the categories before, and the intercept."""
@@ -224,8 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, id
             model = fit_linear(to[row[use]], bucket[use], value[use], before[inside], y[inside], ts[f, c])
             held[~inside] = _sigmoid(model.logit(row, bucket, value, before))[~inside]
         out.models.append(fit_linear(row, bucket, value, before, y, ts[None, c]))
-        clean = held[y == 0]
-        out.thresholds.append(max(LEAST_THRESHOLD, float(np.quantile(clean, 1 - FALSE_POSITIVES, method="higher")) if len(clean) else 1.0))
+        out.thresholds.append(threshold(held, y))
         before = np.column_stack((before, held))
     return out
 
