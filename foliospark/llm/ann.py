@@ -25,7 +25,7 @@ SAMPLE_ROWS, SAMPLE_BYTES, MOST_LISTS, LIST_BYTES = 16_384, 32 << 20, 16_384, 64
 BLOCK, QUERIES_AT_ONCE, COLUMNS = 4096, 256, 16
 #: Rows of the sample that bound the k-th neighbour; a quarter of all rows at most, so that even of a query whose nearest lie in
 #: lists that aren't probed enough others pass.
-BOUND_ROWS = 2048
+BOUND_ROWS = 16_384
 EPSILON, TARGET, SEED, ROUNDS, JUDGES = 2.1, 0.975, 7, 8, 512
 
 
