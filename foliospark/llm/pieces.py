@@ -33,7 +33,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Words of one length that advance together, entries of each generation of a worker's cache, and the longest word that it takes.
-WORDS_AT_ONCE, CACHE_WORDS, CACHE_CHARS = 1 << 14, 400_000, 64
+WORDS_AT_ONCE, CACHE_WORDS, CACHE_CHARS = 1 << 14, 700_000, 64
 _FILTER_SHIFT = np.uint64(42)
 _RUN = re.compile(f"{SPACE}{SPACE}")
 
