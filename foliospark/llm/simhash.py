@@ -6,12 +6,17 @@ bucket fingerprints are compared bit-sliced: plane k holds bit k of 64 rows in a
 itself gives the differences of all rows and their d-th followers, carry-save counters add the planes up, and words whose
 lanes all exceed the radius are abandoned. A bucket of more than ``BUCKET`` rows is cut into chunks, and each pair of chunks is a
 bucket of its own: no link is lost and no task gets it all. Links become stars within a task, and stars become components by
-alternating large-star and small-star rounds, each written to the shared folder."""
+alternating large-star and small-star rounds, each written to the shared folder.
+
+``near_duplicates`` links by that short fingerprint. ``keep_one``, which drops near copies, wants texts whose sets of five-word
+shingles have a Jaccard likeness of 0.8 or more; those differ by about 15 % of a SimHash's bits, too many for blocks. Its
+fingerprint has 1024 bits, so that the likeness can be read off the distance, and its buckets are bands of least shingle hashes;
+the comparison within a bucket is the same bit-sliced one with wider counters."""
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,38 +26,109 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import shuffle_partitions, written
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
+#: What ``keep_one`` takes for near copies, and the 64-bit words of its fingerprint.
+LIKE_SHINGLE, SIMILARITY, LIKE_WORDS = 5, 0.8, 16
+#: Bands and least hashes in each: a pair at 0.8 shares a band with a probability of 0.9996, one at 0.3 with 0.05.
+BANDS, BAND_ROWS = 20, 5
 #: Bits of the five blocks, low ones first.
 BLOCKS = (13, 13, 13, 13, 12)
 #: Rows of a bucket that are compared in one piece; a chunk has half of it.
 BUCKET = 8192
 #: Rows that a task compares at once, and words of a text that are hashed at once.
-ROWS_AT_ONCE, WORDS_AT_ONCE = 1 << 19, 1 << 16
+ROWS_AT_ONCE, LIKE_ROWS_AT_ONCE, WORDS_AT_ONCE = 1 << 19, 1 << 16, 1 << 16
+
+
+def shingle_hashes(words: list[bytes], shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of a text of ``shingle`` words or more, in pieces."""
+    import xxhash
+
+    digest, n = xxhash.xxh64_intdigest, len(words) - shingle + 1
+    for a in range(0, n, WORDS_AT_ONCE):
+        own = words[a : a + WORDS_AT_ONCE + shingle - 1]
+        joined = b" ".join(own)
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) + 1
+        ends = np.cumsum(sizes) - 1
+        begins = (ends - sizes + 1)[: len(own) - shingle + 1].tolist()
+        yield np.array([digest(joined[s:e], seed) for s, e in zip(begins, ends[shingle - 1 :].tolist())], "<u8")
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """SimHash of the text's word shingles, repeats included: A-Z in lower case, words between ASCII white space."""
     import xxhash
 
-    digest = xxhash.xxh64_intdigest
     words = (text or "").encode().lower().split()
     if not words:
         return 0
     if len(words) < shingle:
-        return digest(b" ".join(words), seed)
+        return xxhash.xxh64_intdigest(b" ".join(words), seed)
     total, n = np.zeros(64, np.int64), len(words) - shingle + 1
-    for a in range(0, n, WORDS_AT_ONCE):
-        own = words[a : a + WORDS_AT_ONCE + shingle - 1]
-        joined = b" ".join(own)
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) + 1
-        ends = np.cumsum(sizes) - 1
-        begins = (ends - sizes + 1)[: len(own) - shingle + 1].tolist()
-        hashes = np.array([digest(joined[s:e], seed) for s, e in zip(begins, ends[shingle - 1 :].tolist())], "<u8")
+    for hashes in shingle_hashes(words, shingle, seed):
         for b in range(0, len(hashes), 4096):
             bits = np.unpackbits(hashes[b : b + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             total += bits.sum(axis=0, dtype=np.uint16)
     return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
 
 
+def mixed(z: np.ndarray) -> np.ndarray:
+    """The finalizer of SplitMix64."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _steps(n: int, seed: int) -> np.ndarray:
+    return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+
+
+_WORD, _MASK, _ODD = _steps(LIKE_WORDS, 1), _steps(BANDS * BAND_ROWS, 2), _steps(BANDS * BAND_ROWS, 3) | np.uint64(1)
+
+
+def likeness(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash (``LIKE_WORDS`` words) of the set of the text's shingles of ``LIKE_SHINGLE`` words (fewer words: of the whole
+    sequence, be it empty), and the keys of its ``BANDS`` bands."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    if len(words) < LIKE_SHINGLE:
+        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], "<u8")
+    else:
+        hashes = np.unique(np.concatenate(list(shingle_hashes(words, LIKE_SHINGLE, SEED))))
+    total = np.zeros(64 * LIKE_WORDS, np.int64)
+    least = np.full(len(_MASK), np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(hashes), 255):  # so many bits still add up in a byte
+        own = hashes[a : a + 255]
+        wide = mixed(own[:, None] ^ _WORD).astype("<u8", copy=False)
+        total += np.add.reduce(np.unpackbits(wide.view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+        np.minimum(least, ((own ^ _MASK[:, None]) * _ODD[:, None]).min(axis=1), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        keys = mixed(keys ^ column) + np.arange(BANDS, dtype=np.uint64)
+    return np.packbits(2 * total > len(hashes), bitorder="little").view("<u8"), keys
+
+
+def likeness_radius(similarity: float = SIMILARITY) -> int:
+    """The distance that sets of this Jaccard likeness and of one size have, and two standard deviations."""
+    n = 64 * LIKE_WORDS
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(n * share + 2 * (n * share * (1 - share)) ** 0.5)
+
+
+def with_likeness(rows: DataFrame, text_column: str, schema: str) -> DataFrame:
+    """The columns but ``text_column`` (the last one), the fingerprint's words w0, w1, ... and ``keys``."""
+    names = [f"w{k}" for k in range(LIKE_WORDS)]
+
+    def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [likeness(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            words = np.array([w for w, _ in found], np.uint64).reshape(-1, LIKE_WORDS).view(np.int64)
+            keys = np.array([k for _, k in found], np.uint64).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys))
+            columns = [*batch.columns[:-1], *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(LIKE_WORDS)], lists]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *names, "keys"])
+
+    return rows.mapInArrow(hash_texts, f"{schema}, {', '.join(f'{n} long' for n in names)}, keys array<long>")
+
+
 def with_fingerprints(rows: DataFrame, text_column: str, schema: str) -> DataFrame:
     """The columns but ``text_column`` (the last one), and ``fp`` as a signed long."""
 
@@ -72,16 +148,19 @@ def bucket_keys(fp: Column) -> Column:
     return F.array(*[F.lit(n << 40).bitwiseOR(F.shiftleft(block[i], 20)).bitwiseOR(block[j]) for n, (i, j) in enumerate(pairs)])
 
 
+def bit_planes(fps: np.ndarray) -> np.ndarray:
+    """Row k holds bit k of every fingerprint (a row of 64-bit words), 64 of them in a word, and three words or less of zeros."""
+    planes = np.zeros((64 * fps.shape[1], 8 * (len(fps) // 64 + 3)), np.uint8)
+    bits = np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8), axis=1, bitorder="little")
+    packed = np.packbits(bits.T, axis=1, bitorder="little")
+    planes[:, : packed.shape[1]] = packed
+    return planes.view("<u8")
+
+
 def close_pairs(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows i, j of one group with fingerprints that differ in at most ``radius`` (at most 3) bits; groups follow one another,
     the largest first, so that the groups with a d-th follower are a prefix."""
-    n, words = len(fps), len(fps) // 64 + 3
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    planes = np.zeros((64, 8 * words), np.uint8)
-    packed = np.packbits(bits.T, axis=1, bitorder="little")
-    planes[:, : packed.shape[1]] = packed
-    planes = planes.view("<u8")
-    del bits, packed
+    planes = bit_planes(fps[:, None])
     group = np.repeat(np.arange(len(sizes)), sizes)
     ends = np.cumsum(sizes)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -118,9 +197,59 @@ def close_pairs(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> Ite
                 yield i, i + d
 
 
-def stars(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest row that each of ``n`` rows is connected with."""
-    label = np.arange(n)
+def close_likenesses(fps: np.ndarray, sizes: np.ndarray, radius: int, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``close_pairs`` for fingerprints of several words and a radius of 8 or more. Pairs that ``label`` has as connected
+    are left out: it may be filled in between, and first takes each group's rows that are close to the group's first one."""
+    group, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
+    begin = np.repeat(ends - sizes, sizes)
+    near = np.bitwise_count(fps ^ fps[begin]).sum(axis=1, dtype=np.int64) <= radius
+    label[near] = begin[near]
+    planes, full = bit_planes(fps), np.uint64(0xFFFFFFFFFFFFFFFF)
+    high = radius.bit_length()  # counters begin so that one more than the radius overflows
+    start = [full * np.uint64((1 << high) - 1 - radius >> m & 1) for m in range(high)]
+
+    def add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        half = a ^ b
+        return half ^ c, (a & b) | (half & c)
+
+    for d in range(1, int(sizes[0]) if len(sizes) else 0):
+        upto = int(ends[np.searchsorted(-sizes, -d, "left") - 1])
+        lanes = np.zeros(64 * (-(-(upto - d) // 64)), bool)
+        lanes[: upto - d] = (group[: upto - d] == group[d:upto]) & (label[: upto - d] != label[d:upto])
+        over = ~np.packbits(lanes, bitorder="little").view("<u8")
+        at = np.nonzero(over != full)[0]
+        over, count = over[at], [np.full(len(at), m) for m in start]
+        jump, down = divmod(d, 64)
+        down, up = np.uint64(down), np.uint64((64 - down) % 64)
+        for k in range(0, len(planes), 8):
+            if not len(at):
+                break
+            x = planes[k : k + 8, at]
+            x = x ^ ((planes[k : k + 8, at + jump] >> down) | (planes[k : k + 8, at + jump + 1] << up) if down else planes[k : k + 8, at + jump])
+            ones, a = add(count[0], x[0], x[1])
+            ones, b = add(ones, x[2], x[3])
+            twos, e = add(count[1], a, b)
+            ones, a = add(ones, x[4], x[5])
+            count[0], b = add(ones, x[6], x[7])
+            count[1], f = add(twos, a, b)
+            count[2], carry = add(count[2], e, f)
+            for m in range(3, high):
+                count[m], carry = count[m] ^ carry, count[m] & carry
+            over |= carry
+            if k % 32 == 24 and k > radius:
+                stays = np.nonzero(over != full)[0]
+                if 2 * len(stays) < len(at):
+                    at, over, count = at[stays], over[stays], [c[stays] for c in count]
+        if len(at):
+            w, lane = np.nonzero(np.unpackbits((~over).view(np.uint8), bitorder="little").reshape(-1, 64))
+            i = at[w] * 64 + lane
+            if len(i):
+                yield i, i + d
+
+
+def stars(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndarray | None = None, most: int = 1 << 21) -> np.ndarray:
+    """The smallest row that each of ``n`` rows is connected with. ``label``, where given, is filled after each ``most`` pairs."""
+    label = np.arange(n) if label is None else label
     held: list[np.ndarray] = []
     size = 0
 
@@ -143,7 +272,7 @@ def stars(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     for i, j in pairs:
         held.append(np.stack((i, j)))
         size += len(i)
-        if size > 1 << 21:
+        if size > most:
             join()
             held, size = [], 0
     if held:
@@ -151,8 +280,18 @@ def stars(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return label
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, fp) in order of the first three; yields stars (a, b), each fingerprint b with one of its component."""
+def _fingerprint_roots(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return stars(rows.shape[1], close_pairs(rows[0].view(np.uint64), sizes))
+
+
+def _likeness_roots(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    label = np.arange(rows.shape[1])
+    fps = np.ascontiguousarray(rows[1:].T).view(np.uint64)
+    return stars(len(label), close_likenesses(fps, sizes, likeness_radius(), label), label, 1 << 14)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], roots: Callable[[np.ndarray, np.ndarray], np.ndarray] = _fingerprint_roots, at_once: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, node, ...) in order of the first three; yields stars (a, b), each node b with one of its component."""
     held: list[np.ndarray] = []
 
     def links(table: np.ndarray) -> pa.RecordBatch:
@@ -162,14 +301,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(-sizes, kind="stable")
         sizes = sizes[order]
         rows = np.repeat(begin[order] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(table.shape[1])
-        fps = table[3, rows]
-        root = stars(len(fps), close_pairs(fps.view(np.uint64), sizes))
-        own = np.flatnonzero(root != np.arange(len(fps)))
-        return pa.RecordBatch.from_arrays([pa.array(fps[root[own]]), pa.array(fps[own])], names=["a", "b"])
+        nodes = table[3, rows]
+        root = roots(table[3:, rows], sizes)
+        own = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[root[own]]), pa.array(nodes[own])], names=["a", "b"])
 
     for batch in batches:
         held.append(np.stack([c.to_numpy() for c in batch.columns]))
-        if sum(t.shape[1] for t in held) >= ROWS_AT_ONCE:
+        if sum(t.shape[1] for t in held) >= at_once:
             whole = np.concatenate(held, axis=1)
             last = np.flatnonzero((whole[:3] != whole[:3, -1:]).any(axis=0))
             cut = int(last[-1]) + 1 if len(last) else 0
@@ -180,18 +319,39 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(np.concatenate(held, axis=1))
 
 
-def fingerprint_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Stars (a, b) that connect just the fingerprints (column ``fp``, distinct) that links within the radius connect."""
-    keyed = distinct.select(F.explode(bucket_keys(F.col("fp"))).alias("key"), "fp")
+def cut_buckets(keyed: DataFrame, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, node) whose key has others, as (key, i, j, node): those of small buckets, in partitions by key, and those of
+    larger ones, once for each pair of chunks (i, j) that they are in."""
     counted = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
     chunks = F.ceil(F.col("n") / (bucket // 2)).cast("int")
-    small = counted.filter(F.col("n") <= bucket).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
-    mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    large = counted.filter(F.col("n") > bucket).select("key", "fp", chunks.alias("chunks")).withColumn("mine", mine)
+    small = counted.filter(F.col("n") <= bucket).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node")
+    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    large = counted.filter(F.col("n") > bucket).select("key", "node", chunks.alias("chunks")).withColumn("mine", mine)
     large = large.withColumn("other", F.explode(F.expr("filter(sequence(0, chunks - 1), x -> x <> mine)")))
-    large = large.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp")
+    large = large.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node")
+    return tuple(x.select("key", F.col("i").cast("long"), F.col("j").cast("long"), "node") for x in (small, large))
+
+
+def fingerprint_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Stars (a, b) that connect just the fingerprints (column ``fp``, distinct) that links within the radius connect."""
+    small, large = cut_buckets(distinct.select(F.explode(bucket_keys(F.col("fp"))).alias("key"), F.col("fp").alias("node")), bucket)
     large = large.repartition(shuffle_partitions(distinct.sparkSession), "key", "i", "j")
-    both = [x.select("key", F.col("i").cast("long"), F.col("j").cast("long"), "fp").sortWithinPartitions("key", "i", "j").mapInArrow(_compare, "a long, b long") for x in (small, large)]
+    both = [x.sortWithinPartitions("key", "i", "j").mapInArrow(_compare, "a long, b long") for x in (small, large)]
+    return both[0].unionByName(both[1]).distinct()
+
+
+def likeness_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """The same for rows (node, w0, w1, ..., keys) of ``with_likeness``. Keys go through the first shuffle without the words."""
+    words = [f"w{k}" for k in range(LIKE_WORDS)]
+    own = distinct.select("node", *words)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _compare(batches, _likeness_roots, LIKE_ROWS_AT_ONCE)
+
+    both = []
+    for cut in cut_buckets(distinct.select(F.explode("keys").alias("key"), "node"), bucket):
+        rows = cut.join(own, "node").select("key", "i", "j", "node", *words).repartition(shuffle_partitions(distinct.sparkSession), "key", "i", "j")
+        both.append(rows.sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long"))
     return both[0].unionByName(both[1]).distinct()
 
 
@@ -235,17 +395,23 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
 
 
 def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that stay when one document of each component does: the one of the smallest id,
-    ids of null last; among equal ids the one of the smallest hash of the text; of equal rows one."""
+    """The rows of ``docs``, all columns, that stay when one document of each group of near copies does: the one of the
+    smallest id, ids of null last; among equal ids the one of the smallest hash of the text; of equal rows one. Groups are
+    components of links between texts whose sets of five-word shingles are alike by ``SIMILARITY`` or more, as the distance of
+    their wide fingerprints tells, which errs by 0.03 or so about the threshold and leans to linking. Texts of fewer words
+    are alike if their words are equal; null, empty and blank texts are one group."""
     own = "__folio_"
     while any(c.lower().startswith(own) for c in docs.columns):
         own += "_"
     key = [F.col(id_column).cast("long").alias(f"{own}id"), F.xxhash64(F.col(text_column)).alias(f"{own}hash")]
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.col(text_column)).alias("hash"), F.col(text_column).alias("text"))
-    fps = written(with_fingerprints(rows, "text", "doc_id long, hash long"), "documents")
-    least = written(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")), "fingerprints")
-    roots = components(fingerprint_links(least.select("fp")))
-    first = least.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    fps = written(with_likeness(rows, "text", "doc_id long, hash long"), "documents")
+    words = [f"w{k}" for k in range(LIKE_WORDS)]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")
+    same = [F.any_value(c).alias(c) for c in (*words, "keys")]
+    least = written(fps.groupBy(F.xxhash64(*words, "keys").alias("node")).agg(first, *same), "fingerprints")
+    roots = components(likeness_links(least))
+    first = least.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     stays = written(first.select(F.col("first.doc_id").alias(f"{own}stays_id"), F.col("first.hash").alias(f"{own}stays_hash")), "stays")
     names = docs.columns
     held = docs.select("*", *key)

@@ -355,12 +355,65 @@ def test_simhash_links_large_buckets(spark):
         assert sorted(sorted(g) for g in got.values()) == want
 
 
-def test_simhash_keeps_one(odd):
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) > 4 else frozenset([tuple(words)])
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_simhash_keeps_one(spark, odd):
     kept = simhash.keep_one(odd).collect()
-    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
-    fps = {plain_fingerprint(t) if t is not LONG else simhash.fingerprint(t) for _, t in rows}
-    assert len(kept) == len(fps) and len({simhash.fingerprint(r["text"]) for r in kept}) == len(kept)
+    assert len(kept) == len({shingles(r["text"]) for r in odd.collect()}) == len({shingles(r["text"]) for r in kept})
     assert kept[0].__fields__ == odd.columns and simhash.keep_one(odd.limit(0)).count() == 0
+    random.seed(5)
+    word = lambda: f"w{random.randrange(3000)}"
+    passage, rows = [word() for _ in range(60)], []
+    for group in range(30):  # a text, near copies of it, a text that only shares a passage with all others, one that shares half
+        text = [word() for _ in range(300)]
+        rows += [text, *[[word() if random.random() < 0.01 else w for w in text] for _ in range(4)]]
+        rows += [[word() for _ in range(240)] + passage, text[:150] + [word() for _ in range(150)]]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(table).collect()) == sorted(7 * g + k for g in range(30) for k in (0, 5, 6))
+
+
+@pytest.mark.parametrize("bucket", [8192, 16])
+def test_simhash_likeness_links_equal_brute_force(spark, docs, bucket):
+    texts = [r["text"] for r in docs.collect()] + ["a b", "a b", "", None]
+    text = [f"w{random.Random(6).randrange(9)}{i}" for i in range(400)]
+    texts += [" ".join(text[:i] + text[i + 1 :]) for i in range(0, 400, 5)]  # a large group of near copies
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(3)
+    rows = simhash.with_likeness(df.select("id", "text"), "text", "id long").withColumnRenamed("id", "node")
+    own, root = [simhash.likeness(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (f, keys) in enumerate(own):
+        for j in range(i):
+            if (own[j][1] == keys).any() and np.bitwise_count(own[j][0] ^ f).sum() <= simhash.likeness_radius():
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.likeness_links(rows, bucket)).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(shingles(texts[i]), shingles(texts[j])) >= 0.83]
+    assert near and all(find(i) == find(j) for i, j in near)
+
+
+@pytest.mark.parametrize("radius", [8, 31, 93, 178])
+def test_close_likenesses(radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 1 << 63, (3, 16), np.uint64).repeat(70, 0)
+    flips = np.packbits(rng.random((210, 1024)) < radius / 2048, axis=1).view(np.uint64)
+    fps, sizes = base ^ flips, np.array([120, 60, 30])
+    pairs = {(int(i), int(j)) for own in simhash.close_likenesses(fps, sizes, radius, -np.arange(210) - 1) for i, j in zip(*own)}
+    group, first = np.repeat([0, 1, 2], sizes), np.repeat([0, 120, 180], sizes)
+    close = {(i, j) for i in range(210) for j in range(i + 1, 210) if group[i] == group[j] and np.bitwise_count(fps[i] ^ fps[j]).sum() <= radius}
+    near = np.array([np.bitwise_count(fps[i] ^ fps[first[i]]).sum() <= radius for i in range(210)])
+    assert close and pairs == {(i, j) for i, j in close if not (near[i] and near[j])}  # the others are connected beforehand
 
 
 # 8
@@ -436,7 +489,8 @@ def test_pipeline_against_its_parts(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() <= before
         sizes.append(docs.count())
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    assert len({c for _, _, c in brute(rows)}) == len(rows)  # no two are linked
+    sets = [shingles(t) for _, t in rows]
+    assert not [1 for i, a in enumerate(sets) for b in sets[:i] if min(len(a), len(b)) >= 0.83 * max(len(a), len(b)) and jaccard(a, b) >= 0.83]
     got = corpus_pipeline.run(spark, sf).collect()
     want = [(i, crc(word_ids(t) + [1])) for i, t in rows if len(word_ids(t)) < 4096]
     assert sorted((r["doc_id"], r["ids_crc32"]) for r in got if r["piece"] == 0 and r["start"] == 0 and r["length"] < 4096) == sorted(want)
