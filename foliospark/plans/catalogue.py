@@ -17,6 +17,7 @@ from foliospark.operators import overlay as O
 from foliospark.operators import structure as S
 from foliospark.operators import tiling as TI
 from foliospark.plans.relations import BOX_SQL, COMMANDS_SQL, JOBS_SQL, LAYOUT_SQL, LINKS_SQL, TEXTS, TEXTS_SQL, boxes, commands, jobs, layout, links, literal_text, read
+from foliospark.sources import files as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -504,3 +505,109 @@ def pagination(spark, sf_dir):
     kind = F.when(F.col("ord") == 0, "heading").when(F.col("ord") % 7 == 6, "footnote").otherwise("paragraph")
     rows = O.styled(lines.withColumn("element_type", kind).withColumn("level", F.lit(1)))
     return O.paginate(rows).groupBy("doc_id", "sheet").agg(F.count(F.lit(1)).alias("n_lines"), F.round(F.max("y"), 6).alias("last_y"))
+
+
+# Pages and their images, markup, prompts, deletion: one query for each operator that no query above reaches
+
+_IMAGES = f"""{BOX_SQL}, images AS (SELECT doc_id // 4 AS d, (doc_id % 4)::INT AS page, ord, CASE WHEN part % 4 = 0 THEN part * 7 % 9000 > 5000 ELSE qty * 10 >= 150 AND 100 + line * 20 >= 150 END AS significant,
+ (x1 - x0) * (y1 - y0) / (150.0 * 100.0) >= 0.6 AS spanning FROM b),
+texts AS (SELECT DISTINCT doc_id // 4 AS d, (doc_id % 4)::INT AS page FROM b WHERE part % 5 = 0)"""
+
+
+def _page_parts(spark, sf_dir):
+    """Pages, text blocks and images: four orders are a document, each of its lines an image, a fifth of them texts too."""
+    b = boxes(spark, sf_dir).withColumn("page", (F.col("doc_id") % 4).cast("int")).withColumn("doc_id", F.floor(F.col("doc_id") / 4))
+    unknown = F.col("part") % 4 == 0
+    w, h = F.when(unknown, 0).otherwise(F.col("qty") * 10), F.when(unknown, 0).otherwise(100 + F.col("line") * 20)
+    images = b.withColumn("significant", I.is_significant(w, h, F.col("part") * 7 % 9000)).withColumn("spanning", I.spans_page(G.area(F.col("bbox")), F.lit(15000.0)))
+    return b.select("doc_id", "page").distinct(), b.filter("part % 5 = 0"), images.select("doc_id", "page", "ord", "significant", "spanning")
+
+
+@query(f"""WITH {_IMAGES} SELECT DISTINCT d AS doc_id, page FROM images i WHERE significant AND NOT EXISTS (SELECT 1 FROM texts t WHERE t.d = i.d AND t.page = i.page)""")
+def image_only_pages(spark, sf_dir):
+    return S.image_only(*_page_parts(spark, sf_dir))
+
+
+@query(f"""WITH {_IMAGES} SELECT d AS doc_id, page, ord FROM images i WHERE significant AND NOT (spanning AND EXISTS (SELECT 1 FROM texts t WHERE t.d = i.d AND t.page = i.page))""")
+def page_images(spark, sf_dir):
+    _, blocks, images = _page_parts(spark, sf_dir)
+    return S.page_images(images, blocks).select("doc_id", "page", "ord")
+
+
+_ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+
+
+@query(f"""WITH e AS (SELECT page_id, {_ESC.format(_strip("regexp_replace(html, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')"))} AS safe, {_ESC.format("url")} AS href,
+ ['heading', 'paragraph', 'list-item', 'footnote', 'caption'][page_id % 5 + 1] AS element_type, page_id % 3 > 0 AS linked FROM pages),
+m AS (SELECT *, CASE WHEN element_type = 'list-item' THEN '• ' || safe ELSE safe END AS s FROM e)
+SELECT page_id, element_type, md5(CASE WHEN linked AND coalesce(href, '') <> '' AND element_type IN ('heading', 'paragraph', 'list-item') THEN '<a href="' || href || '" color="blue">' || s || '</a>' ELSE s END) AS markup_md5 FROM m""")
+def clean_markup(spark, sf_dir):
+    p, k = read(spark, sf_dir, "pages"), F.col("page_id")
+    kind = F.get(F.array(*map(F.lit, ("heading", "paragraph", "list-item", "footnote", "caption"))), (k % 5).cast("int"))
+    return p.select("page_id", kind.alias("element_type"), F.md5(O.body_markup(kind, F.col("html"), F.when(k % 3 > 0, F.col("url")))).alias("markup_md5"))
+
+
+@query("""WITH s(t, l, font_size, "leading", fallback_size) AS (VALUES ('heading', 1, 16, 22, 16), ('heading', 2, 14, 19, 14), ('heading', 3, 12, 17, 12), ('paragraph', 1, 11, 18, 11),
+ ('list-item', 1, 11, 18, 11), ('footnote', 1, 9, 13, 9), ('page-number', 1, 9, 12, 8), ('caption', 1, 10, 14, 10)),
+e AS (SELECT doc_id, ['heading', 'list-item', 'unknown', 'footnote', 'page-number', 'caption', 'paragraph'][doc_id % 7 + 1] AS element_type, (doc_id % 5)::INT AS level FROM documents)
+SELECT doc_id, element_type, level, font_size, "leading", fallback_size FROM e JOIN s
+ ON t = (CASE WHEN element_type = 'unknown' THEN 'paragraph' ELSE element_type END) AND l = (CASE WHEN element_type = 'heading' THEN least(greatest(level, 1), 3) ELSE 1 END)""")
+def element_styles(spark, sf_dir):
+    k = F.col("doc_id")
+    kind = F.get(F.array(*map(F.lit, ("heading", "list-item", "unknown", "footnote", "page-number", "caption", "paragraph"))), (k % 7).cast("int"))
+    return O.styled(read(spark, sf_dir, "documents").select("doc_id", kind.alias("element_type"), (k % 5).cast("int").alias("level")))
+
+
+_HINT = {"en": ("zh_tra_h", "x"), "fr": ("ja_v", "zh_sim_h"), "de": ("ko_h",)}
+_HINT_SQL = " ".join(f"WHEN '{k}' THEN '- Expected languages, in order: {', '.join(T.HINTS[h] for h in v if h in T.HINTS)}.' || chr(10)" for k, v in _HINT.items())
+
+
+@query(f"""SELECT doc_id, 'Read.' || CASE WHEN doc_id % 3 = 0 THEN ' A tile.' ELSE '' END || CASE lang {_HINT_SQL} ELSE '' END AS prompt FROM documents""")
+def recognition_prompt(spark, sf_dir):
+    hints = F.lit(None).cast("array<string>")
+    for lang, own in _HINT.items():
+        hints = F.when(F.col("lang") == lang, F.array(*map(F.lit, own))).otherwise(hints)
+    return read(spark, sf_dir, "documents").select("doc_id", T.prompt("Read.", " A tile.", F.col("doc_id") % 3 == 0, hints).alias("prompt"))
+
+
+@query(f"""WITH {BOX_SQL} SELECT doc_id, page, CASE WHEN bool_or(part % 11 = 0 OR supp % 13 = 0) THEN 'vertical' ELSE 'horizontal' END AS direction,
+ count(*) FILTER (part % 2 = 0) = 0 AND greatest(max(qty) * 40, 1000) >= 1500 AS tiled FROM b GROUP BY doc_id, page""")
+def tile_direction(spark, sf_dir):
+    of = lambda c: F.when(c, "vertical").otherwise("horizontal")
+    pages = boxes(spark, sf_dir).groupBy("doc_id", "page").agg(
+        TI.tiled_direction(of(F.col("part") % 11 == 0), of(F.col("supp") % 13 == 0)).alias("direction"), F.count_if(F.col("part") % 2 == 0).alias("n_blocks"), (F.max("qty") * 40).alias("w")
+    )
+    return pages.select("doc_id", "page", "direction", TI.needs_tiles(F.col("n_blocks"), F.col("w"), F.lit(1000)).alias("tiled"))
+
+
+@query(f"""WITH {BOX_SQL}, t AS (SELECT doc_id, ord, repeat(text, (5 + line * 3)::INT) AS x, greatest(x1 - x0, 1.0) AS w, y1 - y0 AS h FROM b),
+n AS (SELECT *, greatest(3.0, least(h / (greatest(1, ceil(length(x) / greatest(1, floor(w / 7.2 + 1e-9)))) * 1.2), 48.0)) AS size FROM t)
+SELECT doc_id, ord, round(size, 6) AS size FROM n""")
+def block_overlay(spark, sf_dir):
+    placed = O.block_overlay(F.col("bbox"), F.repeat("text", (5 + F.col("line") * 3).cast("int")))
+    return boxes(spark, sf_dir).select("doc_id", "ord", F.round(placed["size"], 6).alias("size"))
+
+
+@query(rf"""SELECT page_id, coalesce(nullif(CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 3 = 1 THEN 'T' || page_id ELSE NULL END, ''), 'f' || (page_id % 50)) AS title,
+ 'f' || (page_id % 50) || CASE WHEN page_id % 2 = 0 THEN '' ELSE '.jpg' END || '_clean.pdf' AS download,
+ CASE WHEN page_id % 7 = 0 THEN 404 WHEN page_id % 5 > 0 THEN 400 WHEN page_id % 2 = 0 THEN 410 ELSE 200 END AS code FROM pages""")
+def download_names(spark, sf_dir):
+    k = F.col("page_id")
+    name = F.concat(F.lit("f"), (k % 50).cast("string"), F.when(k % 2 == 0, ".PDF").otherwise(".jpg"))
+    given = F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit("T"), k.cast("string")))
+    code = Q.download_code(k % 7 != 0, F.when(k % 5 == 0, "done").otherwise("queued"), k % 2 != 0)
+    return read(spark, sf_dir, "pages").select("page_id", X.title(given, name, F.col("url")).alias("title"), T.output_name(name, "clean").alias("download"), code.alias("code"))
+
+
+@query(f"""WITH {JOBS_SQL} SELECT e.event_id, e.event_type FROM events e JOIN jobs j ON e.event_id = j.seq WHERE NOT (e.user_id % 3 = 0 AND j.status <> 'processing')""")
+def delete_jobs(spark, sf_dir):
+    """What is left of a table when every third user's jobs are deleted, but for those that are processing."""
+    e = read(spark, sf_dir, "events")
+    gone = jobs(e.filter("user_id % 3 = 0")).filter(Q.deletable(F.col("status")))
+    return Q.without_job(e.withColumn("job_id", F.col("event_id").cast("string")), gone).select("event_id", "event_type")
+
+
+@query(f"""WITH {JOBS_SQL} SELECT job_id, seq FROM jobs WHERE status = 'queued' ORDER BY seq LIMIT 1""")
+def queue_head(spark, sf_dir):
+    j = jobs(read(spark, sf_dir, "events"))
+    return Q.first_in_queue(Q.dequeue(j.select("job_id", "seq"), j))
