@@ -10,8 +10,10 @@ alternating large-star and small-star rounds, each written to the shared folder.
 
 ``near_duplicates`` links by that short fingerprint. ``keep_one``, which drops near copies, wants texts whose sets of five-word
 shingles have a Jaccard likeness of 0.8 or more; those differ by about 15 % of a SimHash's bits, too many for blocks. Its
-fingerprint has 1024 bits, so that the likeness can be read off the distance, and its buckets are bands of least shingle hashes;
-the comparison within a bucket is the same bit-sliced one with wider counters."""
+fingerprint has 1024 bits, so that the likeness can be guessed from the distance, and its buckets are bands of least shingle hashes;
+the comparison within a bucket is the same bit-sliced one with wider counters, and finds candidates only. A link is a candidate
+whose shingle sets, made again for the texts of candidates alone, are alike by 0.8 or more. First each row's nearest of a few
+neighbours in its buckets is tried, then all candidates that the links so far don't connect."""
 
 from __future__ import annotations
 
@@ -30,6 +32,11 @@ SEED, SHINGLE, RADIUS = 42, 3, 3
 LIKE_SHINGLE, SIMILARITY, LIKE_WORDS = 5, 0.8, 16
 #: Bands and least hashes in each: a pair at 0.8 shares a band with a probability of 0.9996, one at 0.3 with 0.05.
 BANDS, BAND_ROWS = 20, 5
+#: Candidates may be so many standard deviations farther than 0.8 has it. Sets of few shingles have ties among their bits, most
+#: of all four and five shingles: 3 of 16 bits differ; ``SHORT`` shingles or fewer are compared by a radius that allows for that.
+DEVIATIONS, SHORT, SHORT_SHARE = 5, 20, 3 / 16
+#: Rows before it that a row is compared with for its first link, and bits of the filter for the texts of candidates.
+BEFORE, FILTER_BITS = 64, 1 << 26
 #: Bits of the five blocks, low ones first.
 BLOCKS = (13, 13, 13, 13, 12)
 #: Rows of a bucket that are compared in one piece; a chunk has half of it.
@@ -83,16 +90,22 @@ def _steps(n: int, seed: int) -> np.ndarray:
 _WORD, _MASK, _ODD = _steps(LIKE_WORDS, 1), _steps(BANDS * BAND_ROWS, 2), _steps(BANDS * BAND_ROWS, 3) | np.uint64(1)
 
 
-def likeness(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """SimHash (``LIKE_WORDS`` words) of the set of the text's shingles of ``LIKE_SHINGLE`` words (fewer words: of the whole
-    sequence, be it empty), and the keys of its ``BANDS`` bands."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """Hashes of the text's shingles of ``LIKE_SHINGLE`` words (fewer words: of the whole sequence, be it empty), each once."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if len(words) < LIKE_SHINGLE:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], "<u8")
-    else:
-        hashes = np.unique(np.concatenate(list(shingle_hashes(words, LIKE_SHINGLE, SEED))))
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], "<u8")
+    return np.unique(np.concatenate(list(shingle_hashes(words, LIKE_SHINGLE, SEED))))
+
+
+def likeness(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash (``LIKE_WORDS`` words) of the text's ``shingle_set``, and the keys of its ``BANDS`` bands."""
+    return set_likeness(shingle_set(text))
+
+
+def set_likeness(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(64 * LIKE_WORDS, np.int64)
     least = np.full(len(_MASK), np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(hashes), 255):  # so many bits still add up in a byte
@@ -106,27 +119,31 @@ def likeness(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(2 * total > len(hashes), bitorder="little").view("<u8"), keys
 
 
-def likeness_radius(similarity: float = SIMILARITY) -> int:
-    """The distance that sets of this Jaccard likeness and of one size have, and two standard deviations."""
+def likeness_radius(similarity: float = SIMILARITY, deviations: float = 2, share: float | None = None) -> int:
+    """The distance that sets of this Jaccard likeness and of one size have (or ``share`` of the bits), and two standard deviations."""
     n = 64 * LIKE_WORDS
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(n * share + 2 * (n * share * (1 - share)) ** 0.5)
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi) if share is None else share
+    return int(n * share + deviations * (n * share * (1 - share)) ** 0.5)
 
 
 def with_likeness(rows: DataFrame, text_column: str, schema: str) -> DataFrame:
-    """The columns but ``text_column`` (the last one), the fingerprint's words w0, w1, ... and ``keys``."""
+    """The columns but ``text_column`` (the last one), the fingerprint's words w0, w1, ..., ``keys`` and the number ``n`` of shingles."""
     names = [f"w{k}" for k in range(LIKE_WORDS)]
 
     def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [likeness(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found, n = [], []
+            for text in batch.column(batch.num_columns - 1).to_pylist():
+                hashes = shingle_set(text)
+                found.append(set_likeness(hashes))
+                n.append(len(hashes))
             words = np.array([w for w, _ in found], np.uint64).reshape(-1, LIKE_WORDS).view(np.int64)
             keys = np.array([k for _, k in found], np.uint64).reshape(-1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys))
-            columns = [*batch.columns[:-1], *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(LIKE_WORDS)], lists]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *names, "keys"])
+            columns = [*batch.columns[:-1], *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(LIKE_WORDS)], lists, pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *names, "keys", "n"])
 
-    return rows.mapInArrow(hash_texts, f"{schema}, {', '.join(f'{n} long' for n in names)}, keys array<long>")
+    return rows.mapInArrow(hash_texts, f"{schema}, {', '.join(f'{n} long' for n in names)}, keys array<long>, n long")
 
 
 def with_fingerprints(rows: DataFrame, text_column: str, schema: str) -> DataFrame:
@@ -197,13 +214,14 @@ def close_pairs(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> Ite
                 yield i, i + d
 
 
-def close_likenesses(fps: np.ndarray, sizes: np.ndarray, radius: int, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_likenesses(fps: np.ndarray, sizes: np.ndarray, radius: int, label: np.ndarray, first: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """As ``close_pairs`` for fingerprints of several words and a radius of 8 or more. Pairs that ``label`` has as connected
-    are left out: it may be filled in between, and first takes each group's rows that are close to the group's first one."""
+    are left out: it may be filled in between, and with ``first`` takes each group's rows that are close to the group's first one."""
     group, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
-    begin = np.repeat(ends - sizes, sizes)
-    near = np.bitwise_count(fps ^ fps[begin]).sum(axis=1, dtype=np.int64) <= radius
-    label[near] = begin[near]
+    if first:
+        begin = np.repeat(ends - sizes, sizes)
+        near = np.bitwise_count(fps ^ fps[begin]).sum(axis=1, dtype=np.int64) <= radius
+        label[near] = begin[near]
     planes, full = bit_planes(fps), np.uint64(0xFFFFFFFFFFFFFFFF)
     high = radius.bit_length()  # counters begin so that one more than the radius overflows
     start = [full * np.uint64((1 << high) - 1 - radius >> m & 1) for m in range(high)]
@@ -290,11 +308,55 @@ def _likeness_roots(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return stars(len(label), close_likenesses(fps, sizes, likeness_radius(), label), label, 1 << 14)
 
 
-def _compare(batches: Iterator[pa.RecordBatch], roots: Callable[[np.ndarray, np.ndarray], np.ndarray] = _fingerprint_roots, at_once: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, node, ...) in order of the first three; yields stars (a, b), each node b with one of its component."""
+def _likeness_radii(rows: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Which of the rows (node, label, n, words) to compare by what radius: their places, and the sizes of their groups."""
+    yield np.arange(rows.shape[1]), sizes, likeness_radius(deviations=DEVIATIONS)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    short = np.flatnonzero(rows[2] <= SHORT)
+    n = np.bincount(group[short], minlength=len(sizes))
+    short = short[np.lexsort((group[short], -n[group[short]]))]
+    yield short, -np.sort(-n[n > 0]), likeness_radius(deviations=DEVIATIONS, share=SHORT_SHARE)
+
+
+def _unconnected(rows: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All candidates of rows (node, label, n, words) whose labels differ: rows i, j and their distance."""
+    fps = np.ascontiguousarray(rows[3:].T).view(np.uint64)
+    for at, own, radius in _likeness_radii(rows, sizes):
+        for i, j in close_likenesses(fps[at], own, radius, rows[1, at], first=False):
+            i, j = at[i], at[j]
+            alike = np.minimum(rows[2, i], rows[2, j]) / np.maximum(rows[2, i], rows[2, j]) >= SIMILARITY
+            i, j = i[alike], j[alike]
+            yield i, j, np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64)
+
+
+def _nearest_before(rows: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row its nearest one of the ``BEFORE`` rows before it in its group, if that is a candidate."""
+    fps, group, ends = np.ascontiguousarray(rows[3:].T).view(np.uint64), np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
+    best, near = np.full(len(group), likeness_radius(deviations=DEVIATIONS) + 1), np.full(len(group), -1)
+    for d in range(1, min(BEFORE + 1, int(sizes[0]) if len(sizes) else 0)):
+        upto = int(ends[np.searchsorted(-sizes, -d, "left") - 1])
+        apart = np.bitwise_count(fps[: upto - d] ^ fps[d:upto]).sum(axis=1, dtype=np.int64)
+        own = np.flatnonzero((group[: upto - d] == group[d:upto]) & (apart < best[d:upto]))
+        best[own + d], near[own + d] = apart[own], own
+    own = np.flatnonzero(near >= 0)
+    yield near[own], own, best[own]
+
+
+def _stars_of(roots: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, ...]]]:
+    def found(rows: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        root = roots(rows, sizes)
+        own = np.flatnonzero(root != np.arange(len(root)))
+        yield root[own], own
+
+    return found
+
+
+def _compare(batches: Iterator[pa.RecordBatch], pairs: Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, ...]]] = _stars_of(_fingerprint_roots), at_once: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, node, ...) in order of the first three; yields stars (a, b), each node b with one of its component, or
+    what else ``pairs`` finds among the rows of a bucket."""
     held: list[np.ndarray] = []
 
-    def links(table: np.ndarray) -> pa.RecordBatch:
+    def links(table: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.flatnonzero((table[:3, 1:] != table[:3, :-1]).any(axis=0)) + 1
         begin = np.concatenate(([0], new))
         sizes = np.diff(np.concatenate((begin, [table.shape[1]])))
@@ -302,9 +364,8 @@ def _compare(batches: Iterator[pa.RecordBatch], roots: Callable[[np.ndarray, np.
         sizes = sizes[order]
         rows = np.repeat(begin[order] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(table.shape[1])
         nodes = table[3, rows]
-        root = roots(table[3:, rows], sizes)
-        own = np.flatnonzero(root != np.arange(len(nodes)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[root[own]]), pa.array(nodes[own])], names=["a", "b"])
+        for i, j, *more in pairs(table[3:, rows], sizes):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (nodes[i], nodes[j], *more)], names=["a", "b", "d"][: 2 + len(more)])
 
     for batch in batches:
         held.append(np.stack([c.to_numpy() for c in batch.columns]))
@@ -313,10 +374,10 @@ def _compare(batches: Iterator[pa.RecordBatch], roots: Callable[[np.ndarray, np.
             last = np.flatnonzero((whole[:3] != whole[:3, -1:]).any(axis=0))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield links(whole[:, :cut])
+                yield from links(whole[:, :cut])
             held = [whole[:, cut:]]
     if held:
-        yield links(np.concatenate(held, axis=1))
+        yield from links(np.concatenate(held, axis=1))
 
 
 def cut_buckets(keyed: DataFrame, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
@@ -340,21 +401,78 @@ def fingerprint_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return both[0].unionByName(both[1]).distinct()
 
 
-def likeness_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """The same for rows (node, w0, w1, ..., keys) of ``with_likeness``. Keys go through the first shuffle without the words."""
-    words = [f"w{k}" for k in range(LIKE_WORDS)]
+def likeness_links(distinct: DataFrame, bucket: int = BUCKET, pairs: Callable = _stars_of(_likeness_roots), more: tuple[str, ...] = ()) -> DataFrame:
+    """The same for rows (node, w0, w1, ..., keys) of ``with_likeness``. Keys go through the first shuffle without the words.
+    ``pairs`` that take columns ``more`` before the words give a distance d besides."""
+    words = [*more, *[f"w{k}" for k in range(LIKE_WORDS)]]
     own = distinct.select("node", *words)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _compare(batches, _likeness_roots, LIKE_ROWS_AT_ONCE)
+        return _compare(batches, pairs, LIKE_ROWS_AT_ONCE)
 
     both = []
     for cut in cut_buckets(distinct.select(F.explode("keys").alias("key"), "node"), bucket):
         rows = cut.join(own, "node").select("key", "i", "j", "node", *words).repartition(shuffle_partitions(distinct.sparkSession), "key", "i", "j")
-        both.append(rows.sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long"))
+        both.append(rows.sortWithinPartitions("key", "i", "j", "node").mapInArrow(compare, f"a long, b long{', d long' if more else ''}"))
     return both[0].unionByName(both[1]).distinct()
 
 
+def alike(pairs: DataFrame, least: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (columns a, b, nodes of ``least``) whose shingle sets have a likeness of ``SIMILARITY`` or more.
+    ``rows`` (doc_id, hash, text): sets are made of the texts that stand for a node of a pair. A bit filter lets just these
+    and a few others through, so that no other text is shuffled."""
+    spark = pairs.sparkSession
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    needed = written(nodes.join(least, "node").select("node", F.xxhash64("first.doc_id", "first.hash").alias("text_key")), "needed")
+    place = F.pmod("text_key", F.lit(FILTER_BITS))
+    words = needed.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(text_key, 64) as int))")).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    sent = spark.sparkContext.broadcast(bits.view(np.uint64))
+
+    def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            at = keys % FILTER_BITS
+            batch = batch.filter(pa.array((sent.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            for a in range(0, len(batch), 64):
+                part = batch.slice(a, 64)
+                sets = [shingle_set(t) for t in part.column(1).to_pylist()]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["text_key", "shingles"])
+
+    made = rows.select(F.xxhash64("doc_id", "hash").alias("text_key"), "text").mapInArrow(make_sets, "text_key long, shingles array<long>")
+    sets = written(made.join(needed, "text_key").groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, len(batch), 256):
+                part = batch.slice(s, 256)
+                like = []
+                for x, y in zip(part.column(2), part.column(3)):
+                    x, y = x.values.to_numpy(), y.values.to_numpy()
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    like.append(both / (len(x) + len(y) - both) >= SIMILARITY)
+                yield part.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
+
+    found = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    found = found.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    return written(found.mapInArrow(confirm, "a long, b long"), "alike")
+
+
+def alike_components(least: DataFrame, rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(node, root) for the nodes of ``least`` that links by ``SIMILARITY`` or more connect with others."""
+    near = likeness_links(least.withColumn("label", F.col("node")), bucket, _nearest_before, ("label", "n"))
+    near = written(near.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")), "candidates")
+    links = alike(near, least, rows)
+    roots = components(links)
+    labelled = least.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    rest = likeness_links(written(labelled, "labelled"), bucket, _unconnected, ("label", "n"))
+    rest = written(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    return components(links.unionByName(alike(rest, least, rows)))
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``links`` (columns a, b): root is the smallest node of its component."""
     edges = written(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("v <> u").distinct(), "links")
@@ -397,9 +515,8 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
 def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay when one document of each group of near copies does: the one of the
     smallest id, ids of null last; among equal ids the one of the smallest hash of the text; of equal rows one. Groups are
-    components of links between texts whose sets of five-word shingles are alike by ``SIMILARITY`` or more, as the distance of
-    their wide fingerprints tells, which errs by 0.03 or so about the threshold and leans to linking. Texts of fewer words
-    are alike if their words are equal; null, empty and blank texts are one group."""
+    components of links between texts whose sets of five-word shingles are alike by ``SIMILARITY`` or more; a pair at 0.8 is found
+    with a probability of 0.9996 (see ``BANDS``), and none below is linked. Texts of fewer words are alike if their words are equal; null, empty and blank texts are one group."""
     own = "__folio_"
     while any(c.lower().startswith(own) for c in docs.columns):
         own += "_"
@@ -408,9 +525,9 @@ def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
     fps = written(with_likeness(rows, "text", "doc_id long, hash long"), "documents")
     words = [f"w{k}" for k in range(LIKE_WORDS)]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")
-    same = [F.any_value(c).alias(c) for c in (*words, "keys")]
+    same = [F.any_value(c).alias(c) for c in (*words, "keys", "n")]
     least = written(fps.groupBy(F.xxhash64(*words, "keys").alias("node")).agg(first, *same), "fingerprints")
-    roots = components(likeness_links(least))
+    roots = alike_components(least, rows)
     first = least.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     stays = written(first.select(F.col("first.doc_id").alias(f"{own}stays_id"), F.col("first.hash").alias(f"{own}stays_hash")), "stays")
     names = docs.columns

@@ -379,6 +379,31 @@ def test_simhash_keeps_one(spark, odd):
     assert sorted(r["doc_id"] for r in simhash.keep_one(table).collect()) == sorted(7 * g + k for g in range(30) for k in (0, 5, 6))
 
 
+def test_simhash_keeps_one_by_exact_likeness(spark):
+    random.seed(8)
+    word, rows = lambda: f"w{random.randrange(5000)}", []
+    for group in range(40):  # copies alike by 0.65 to 0.95
+        text = [word() for _ in range(200)]
+        rows += [text, *[[word() if random.random() < share else w for w in text] for share in (0.01, 0.02, 0.025, 0.03, 0.035, 0.04)]]
+    for group in range(20):  # four shingles of five
+        text = [word() for _ in range(9)]
+        rows += [text, text[:-1]]
+    sets, root = [shingles(" ".join(t)) for t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    likely = [(jaccard(a, b), i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if not a.isdisjoint(b)]
+    for like, i, j in likely:
+        if like >= 0.8:
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    assert sum(0.7 < x < 0.8 for x, _, _ in likely) > 100
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(table).collect()) == sorted({find(i) for i in range(len(rows))})
+
+
 @pytest.mark.parametrize("bucket", [8192, 16])
 def test_simhash_likeness_links_equal_brute_force(spark, docs, bucket):
     texts = [r["text"] for r in docs.collect()] + ["a b", "a b", "", None]
