@@ -104,7 +104,8 @@ def probes_needed(space: Space, sample: np.ndarray, total: int, k: int) -> int:
 
 
 def scan(space: Space, ids: np.ndarray, vectors: np.ndarray, columns: list[np.ndarray], query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of one block for each query, as rows of (query, id, score). ``bounds``: a score that k candidates reach."""
+    """The k best ids of one block for each query, as rows of (query, id, score), each id with its best row. ``bounds``: a score
+    that k candidates reach."""
     rotated, dim = space.query(queries), space.rotation.shape[0]
     # squared distances; a little slack keeps ties
     most = (np.einsum("ij,ij->i", queries, queries) + space.largest - 2 * bounds) * (1 + 1e-9) + 1e-12
@@ -133,6 +134,11 @@ def scan(space: Space, ids: np.ndarray, vectors: np.ndarray, columns: list[np.nd
     score = np.empty(len(q))
     for i in range(0, len(q), 65536):
         score[i : i + 65536] = (queries[q[i : i + 65536]] * vectors[x[i : i + 65536]]).sum(axis=1)
+    order = np.lexsort((-score, ids[x], q))
+    q, x, score = q[order], x[order], score[order]
+    best = np.ones(len(q), bool)
+    best[1:] = (q[1:] != q[:-1]) | (ids[x[1:]] != ids[x[:-1]])
+    q, x, score = q[best], x[best], score[best]
     order = np.lexsort((ids[x], -score, q))
     q, x, score = q[order], x[order], score[order]
     first = np.searchsorted(q, q, "left")
@@ -164,7 +170,9 @@ def nearest_neighbours(table: DataFrame, is_query: Column, k: int = 20, *, id_co
     n_lists = lists or max(1, min(MOST_LISTS, LIST_BYTES // (8 * (dim + 1)), round(total**0.5)))
     space = Space(dim, largest, sample, n_lists)
     n_lists = len(space.centroids)
-    probes = min(n_lists, probes or (n_lists if total <= 2000 else probes_needed(space, sample, total, k)))
+    one_each = np.unique(sample_ids, return_index=True)[1]
+    ids_in_all = total if len(one_each) == len(sample) else max(1, round(total * len(one_each) / len(sample)))
+    probes = min(n_lists, probes or (n_lists if total <= 2000 else probes_needed(space, sample[one_each], ids_in_all, k)))
     step = max(1, -(-len(sample) // max(1, min(BOUND_ROWS, total // 4))))
     sent = spark.sparkContext.broadcast((space, sample_ids[::step], sample[::step]))
 
@@ -190,12 +198,15 @@ def nearest_neighbours(table: DataFrame, is_query: Column, k: int = 20, *, id_co
 
     def to_probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (first, n), (space, sample_ids, sample) = many.value, sent.value
+        begin = np.unique(sample_ids, return_index=True)[1]  # rows of one id are one candidate, and ids ascend
         for batch in batches:
             for i in range(0, len(batch), 512):
                 part = batch.slice(i, 512)
                 ids, v = part.column(0).to_numpy(), _rows(part.column(1))
                 scores = v @ sample.T
                 scores[ids[:, None] == sample_ids] = -np.inf
+                if len(begin) < len(sample_ids):
+                    scores = np.maximum.reduceat(scores, begin, axis=1)
                 bound = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if scores.shape[1] > k else np.full(len(v), -np.inf)
                 bound -= 1e-9 * (np.abs(bound) + 1) if np.isfinite(bound).all() else 0
                 chosen = np.argsort(space.promise(space.query(v)), axis=1)[:, :probes]

@@ -180,6 +180,25 @@ def test_neighbours_recall_with_probes(spark):
     assert np.mean([len(got[q] & set(w)) / 20 for q, w in want.items()]) >= 0.9
 
 
+@pytest.mark.parametrize("n, copies", [(300, 60), (3000, 1500)])
+def test_neighbours_of_repeated_ids(spark, n, copies):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((n, 8))
+    hot = 3 * v[20] / np.linalg.norm(v[20])
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(n + 1, hot.tolist())] * copies + [(n + 2, (hot + 0.01 * i).tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got, want = {}, {}
+    for r in ann.nearest_neighbours(df, (F.col("vec_id") % 20 == 0) & (F.col("vec_id") < n), 20).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    for q in range(0, n, 20):
+        best = {}
+        for i, s in zip((i for i, _ in rows), np.array([x for _, x in rows]) @ v[q]):
+            best[i] = max(s, best.get(i, -np.inf))
+        want[q] = sorted((i for i in best if i != q), key=lambda i: (-best[i], i))[:20]
+    assert got.keys() == want.keys() and all(sorted(x) == list(range(1, 21)) and len(set(x.values())) == 20 for x in got.values())
+    assert np.mean([len(set(got[q].values()) & set(w)) / 20 for q, w in want.items()]) >= (1 if n < 1000 else 0.9)
+
+
 # 4
 
 
