@@ -494,6 +494,20 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(odd, nobody).filter("is_toxic").count() == 0
 
 
+def test_toxicity_held_out_in_all_languages(spark):
+    docs, labels = (ship(spark).read.parquet(f"/root/testdata/check_s/{t}.parquet") for t in ("documents", "labels"))
+    third = F.crc32(F.col("doc_id").cast("string")) % 3
+    chain = toxicity.fit(docs, labels.filter(third != 0), toxicity.label_categories())
+    held = labels.filter(third == 0).join(docs.select("doc_id", "lang"), "doc_id")
+    rows = docs.join(held.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    got = {}
+    for r in toxicity.score(rows, chain).join(held, "doc_id").collect():
+        got.setdefault((r["toxic"], r["lang"]), []).append(r["is_toxic"])
+    toxic = {lang: x for (own, lang), x in got.items() if own}
+    assert len(toxic) == 4 and all(len(x) > 50 and sum(x) >= 0.85 * len(x) for x in toxic.values())
+    assert all(sum(x) <= 0.02 * len(x) for (own, _), x in got.items() if not own)
+
+
 # 10
 
 
