@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 
 #: Vocabularies are shipped to the executors in a broadcast; a larger file is refused.
 MAX_VOCABULARY_BYTES = 64 << 20
+#: Keys that ``by_size`` may broadcast, and the rows that such a key has at least.
+HEAVY_KEYS, LEAST_HEAVY = 10_000, 64
 #: Texts are handled in slices of about so many characters, so that memory doesn't follow the size of an Arrow batch.
 SLICE_CHARS = 4 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``); where it is unset, as in tests, a
-    temporary folder of this machine is set as the checkpoint folder first."""
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``). Where it is unset and all executors are on this
+    machine, as in tests, a temporary folder is set as the checkpoint folder first; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no shared folder, and executors on other machines don't see this one's")
         base = "file://" + tempfile.mkdtemp(prefix="foliospark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -31,7 +35,53 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    if _scratches:
+        _scratches[-1].made.append(out)
+    return out
+
+
+class Scratch:
+    """``with Scratch() as own``: tables that ``written`` makes inside are deleted at the end, but those that ``own.keep`` got. After an
+    error they stay."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.made = [x for x in self.made if x.written_to != df.written_to]
+        return df
+
+    def __enter__(self) -> Scratch:
+        _scratches.append(self)
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        _scratches.remove(self)
+        if kind is None:
+            discard(*self.made)
+
+
+_scratches: list[Scratch] = []
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, once nothing that is still to be computed reads them."""
+    for df in tables:
+        spark, path = df.sparkSession, df.written_to
+        own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(own, True)
+
+
+def by_size(rows: DataFrame, sizes: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``sizes``, which has a row for each ``key`` with the number ``n`` of rows (of ``total`` or fewer in all) that have
+    it. A key with more than ``total / HEAVY_KEYS`` rows isn't shuffled: there are fewer than HEAVY_KEYS of them, which is the bound
+    of what is broadcast. No task gets more than that share of the rows by one of the others."""
+    most = max(LEAST_HEAVY, total // HEAVY_KEYS)
+    heavy, light = sizes.filter(F.col("n") > most), sizes.filter(F.col("n") <= most)
+    others = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(others.join(light, key))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -4,16 +4,19 @@ Fingerprints that differ in at most three of 64 bits agree in two of five blocks
 ten buckets, one for each pair of blocks, and links meet in a bucket. Copies share a fingerprint and count once there. In a
 bucket fingerprints are compared bit-sliced: plane k holds bit k of 64 rows in a word, the plane shifted by d rows against
 itself gives the differences of all rows and their d-th followers, carry-save counters add the planes up, and words whose
-lanes all exceed the radius are abandoned. A bucket of more than ``BUCKET`` rows is cut into chunks, and each pair of chunks is a
-bucket of its own: no link is lost and no task gets it all. Links become stars within a task, and stars become components by
-alternating large-star and small-star rounds, each written to the shared folder.
+lanes all exceed the radius are abandoned. A bucket of more than ``BUCKET`` rows is cut by its other bits: four pieces, of which two
+fingerprints that link have one in common, so each row is copied four times. A piece that is still too large is cut into chunks, and
+each pair of chunks is a bucket of its own. No link is lost and no task gets a whole large bucket. Links become stars within a
+task, and stars become components by alternating large-star and small-star rounds, each written to the shared folder. Rows are
+joined with counts or minima of their key by ``by_size``, so that a bucket or a star that holds a large share of all rows isn't
+shuffled into one task.
 
 ``near_duplicates`` links by that short fingerprint. ``keep_one``, which drops near copies, wants texts whose sets of five-word
 shingles have a Jaccard likeness of 0.8 or more; those differ by about 15 % of a SimHash's bits, too many for blocks. Its
 fingerprint has 1024 bits, so that the likeness can be guessed from the distance, and its buckets are bands of least shingle hashes;
-the comparison within a bucket is the same bit-sliced one with wider counters, and finds candidates only. A link is a candidate
-whose shingle sets, made again for the texts of candidates alone, are alike by 0.8 or more. First each row's nearest of a few
-neighbours in its buckets is tried, then all candidates that the links so far don't connect."""
+the comparison within a bucket is the same bit-sliced one with wider counters, and finds candidates only. The components of
+candidates are blocks; the shingle sets of their texts, made again for these alone, go there once, and a candidate is a link if its sets
+are alike by 0.8 or more. Buckets that hold the same rows are compared once."""
 
 from __future__ import annotations
 
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import shuffle_partitions, written
+from foliospark.llm.common import Scratch, by_size, discard, shuffle_partitions, written
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: What ``keep_one`` takes for near copies, and the 64-bit words of its fingerprint.
@@ -35,12 +38,15 @@ BANDS, BAND_ROWS = 20, 5
 #: Candidates may be so many standard deviations farther than 0.8 has it. Sets of few shingles have ties among their bits, most
 #: of all four and five shingles: 3 of 16 bits differ; ``SHORT`` shingles or fewer are compared by a radius that allows for that.
 DEVIATIONS, SHORT, SHORT_SHARE = 5, 20, 3 / 16
-#: Rows before it that a row is compared with for its first link, and bits of the filter for the texts of candidates.
-BEFORE, FILTER_BITS = 64, 1 << 26
+#: Bits of the filter for the texts of candidates.
+FILTER_BITS = 1 << 26
 #: Bits of the five blocks, low ones first.
 BLOCKS = (13, 13, 13, 13, 12)
-#: Rows of a bucket that are compared in one piece; a chunk has half of it.
-BUCKET = 8192
+#: Fingerprints of a bucket that are compared in one piece; a chunk has half of it. Rows of a bucket in which ``candidate_links``
+#: compares at all.
+BUCKET, LIKE_BUCKET = 8192, 2048
+#: Rows and shingles of a block in which sets are compared, and the rows that all chunks of a larger component share.
+BLOCK, BLOCK_SHINGLES, HUBS = 1024, 1 << 22, 16
 #: Rows that a task compares at once, and words of a text that are hashed at once.
 ROWS_AT_ONCE, LIKE_ROWS_AT_ONCE, WORDS_AT_ONCE = 1 << 19, 1 << 16, 1 << 16
 
@@ -298,143 +304,256 @@ def stars(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndar
     return label
 
 
-def _fingerprint_roots(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return stars(rows.shape[1], close_pairs(rows[0].view(np.uint64), sizes))
+def _likeness_radii(n: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Which rows, of sets of ``n`` shingles, to compare by what radius: their places, and the sizes of their groups."""
+    yield np.arange(len(n)), sizes, likeness_radius(deviations=DEVIATIONS)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    short = np.flatnonzero(n <= SHORT)
+    many = np.bincount(group[short], minlength=len(sizes))
+    short = short[np.lexsort((group[short], -many[group[short]]))]
+    yield short, -np.sort(-many[many > 0]), likeness_radius(deviations=DEVIATIONS, share=SHORT_SHARE)
 
 
-def _likeness_roots(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    label = np.arange(rows.shape[1])
-    fps = np.ascontiguousarray(rows[1:].T).view(np.uint64)
-    return stars(len(label), close_likenesses(fps, sizes, likeness_radius(), label), label, 1 << 14)
+def _fingerprint_stars(rows: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    root = stars(rows.shape[1], close_pairs(rows[0].view(np.uint64), sizes))
+    own = np.flatnonzero(root != np.arange(len(root)))
+    yield root[own], own
 
 
-def _likeness_radii(rows: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Which of the rows (node, label, n, words) to compare by what radius: their places, and the sizes of their groups."""
-    yield np.arange(rows.shape[1]), sizes, likeness_radius(deviations=DEVIATIONS)
-    group = np.repeat(np.arange(len(sizes)), sizes)
-    short = np.flatnonzero(rows[2] <= SHORT)
-    n = np.bincount(group[short], minlength=len(sizes))
-    short = short[np.lexsort((group[short], -n[group[short]]))]
-    yield short, -np.sort(-n[n > 0]), likeness_radius(deviations=DEVIATIONS, share=SHORT_SHARE)
-
-
-def _unconnected(rows: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """All candidates of rows (node, label, n, words) whose labels differ: rows i, j and their distance."""
-    fps = np.ascontiguousarray(rows[3:].T).view(np.uint64)
-    for at, own, radius in _likeness_radii(rows, sizes):
-        for i, j in close_likenesses(fps[at], own, radius, rows[1, at], first=False):
-            i, j = at[i], at[j]
-            alike = np.minimum(rows[2, i], rows[2, j]) / np.maximum(rows[2, i], rows[2, j]) >= SIMILARITY
-            i, j = i[alike], j[alike]
-            yield i, j, np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64)
-
-
-def _nearest_before(rows: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each row its nearest one of the ``BEFORE`` rows before it in its group, if that is a candidate."""
-    fps, group, ends = np.ascontiguousarray(rows[3:].T).view(np.uint64), np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
-    best, near = np.full(len(group), likeness_radius(deviations=DEVIATIONS) + 1), np.full(len(group), -1)
-    for d in range(1, min(BEFORE + 1, int(sizes[0]) if len(sizes) else 0)):
-        upto = int(ends[np.searchsorted(-sizes, -d, "left") - 1])
-        apart = np.bitwise_count(fps[: upto - d] ^ fps[d:upto]).sum(axis=1, dtype=np.int64)
-        own = np.flatnonzero((group[: upto - d] == group[d:upto]) & (apart < best[d:upto]))
-        best[own + d], near[own + d] = apart[own], own
-    own = np.flatnonzero(near >= 0)
-    yield near[own], own, best[own]
+def _candidate_stars(rows: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Stars that connect just the rows (node, n, words) that candidates of their group connect."""
+    fps = np.ascontiguousarray(rows[2:].T).view(np.uint64)
+    for at, own, radius in _likeness_radii(rows[1], sizes):
+        label = np.arange(len(at))
+        root = stars(len(at), close_likenesses(fps[at], own, radius, label), label, 1 << 14)
+        moved = np.flatnonzero(root != np.arange(len(at)))
+        yield at[root[moved]], at[moved]
+
 
+def _by_group(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows (key, i, j, ...), sorted by these three, in which the largest groups come first, and their sizes."""
+    new = np.flatnonzero((table[:3, 1:] != table[:3, :-1]).any(axis=0)) + 1
+    begin = np.concatenate(([0], new))
+    sizes = np.diff(np.concatenate((begin, [table.shape[1]])))
+    order = np.argsort(-sizes, kind="stable")
+    sizes = sizes[order]
+    return np.repeat(begin[order] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(table.shape[1]), sizes
 
-def _stars_of(roots: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, ...]]]:
-    def found(rows: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        root = roots(rows, sizes)
-        own = np.flatnonzero(root != np.arange(len(root)))
-        yield root[own], own
 
-    return found
+def _last_group(table: np.ndarray) -> int:
+    """Where the last group of rows (key, i, j, ...) begins."""
+    others = np.flatnonzero((table[:3] != table[:3, -1:]).any(axis=0))
+    return int(others[-1]) + 1 if len(others) else 0
 
 
-def _compare(batches: Iterator[pa.RecordBatch], pairs: Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, ...]]] = _stars_of(_fingerprint_roots), at_once: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, node, ...) in order of the first three; yields stars (a, b), each node b with one of its component, or
-    what else ``pairs`` finds among the rows of a bucket."""
+def _compare(batches: Iterator[pa.RecordBatch], pairs: Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]] = _fingerprint_stars, at_once: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, node, ...) in order of the first three; yields stars (a, b), each node b with one of its component."""
     held: list[np.ndarray] = []
 
     def links(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.flatnonzero((table[:3, 1:] != table[:3, :-1]).any(axis=0)) + 1
-        begin = np.concatenate(([0], new))
-        sizes = np.diff(np.concatenate((begin, [table.shape[1]])))
-        order = np.argsort(-sizes, kind="stable")
-        sizes = sizes[order]
-        rows = np.repeat(begin[order] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(table.shape[1])
+        rows, sizes = _by_group(table)
         nodes = table[3, rows]
-        for i, j, *more in pairs(table[3:, rows], sizes):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (nodes[i], nodes[j], *more)], names=["a", "b", "d"][: 2 + len(more)])
+        for i, j in pairs(table[3:, rows], sizes):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], names=["a", "b"])
 
     for batch in batches:
         held.append(np.stack([c.to_numpy() for c in batch.columns]))
         if sum(t.shape[1] for t in held) >= at_once:
             whole = np.concatenate(held, axis=1)
-            last = np.flatnonzero((whole[:3] != whole[:3, -1:]).any(axis=0))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
+            if cut := _last_group(whole):
                 yield from links(whole[:, :cut])
             held = [whole[:, cut:]]
     if held:
         yield from links(np.concatenate(held, axis=1))
 
 
-def cut_buckets(keyed: DataFrame, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, node) whose key has others, as (key, i, j, node): those of small buckets, in partitions by key, and those of
-    larger ones, once for each pair of chunks (i, j) that they are in."""
-    counted = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
-    chunks = F.ceil(F.col("n") / (bucket // 2)).cast("int")
-    small = counted.filter(F.col("n") <= bucket).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node")
-    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    large = counted.filter(F.col("n") > bucket).select("key", "node", chunks.alias("chunks")).withColumn("mine", mine)
-    large = large.withColumn("other", F.explode(F.expr("filter(sequence(0, chunks - 1), x -> x <> mine)")))
-    large = large.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node")
-    return tuple(x.select("key", F.col("i").cast("long"), F.col("j").cast("long"), "node") for x in (small, large))
+def alike_links(label: np.ndarray, fps: np.ndarray, shingles: np.ndarray, starts: np.ndarray, n: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows i, j of one group whose sets (``n`` of the ``shingles`` from ``starts`` on) are alike by ``SIMILARITY`` or more: as many as
+    connect what all of them connect, beside rows of one ``label``, which are connected already. Candidates come from the
+    bit-sliced comparison, first those with their group's first row, and each is decided by the sets themselves."""
+    size, group, ends = len(label), np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
+    order = np.lexsort((np.arange(size), label, group))
+    new = np.concatenate(([True], (group[order][1:] != group[order][:-1]) | (label[order][1:] != label[order][:-1])))
+    root = np.empty(size, np.int64)
+    root[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    _, dense = np.unique(shingles, return_inverse=True)
+    marked = np.zeros(len(dense) + 1, bool)
+    parent = root.copy()
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def confirm(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+        fits = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j]) - 1e-9)
+        i, j = i[fits], j[fits]
+        by_row = np.argsort(i, kind="stable")
+        i, j = i[by_row], j[by_row]
+        cuts = np.flatnonzero(np.diff(i)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(i)]):
+            if a == b:
+                continue
+            x, others = int(i[a]), j[a:b]
+            own, many = dense[starts[x] : starts[x] + n[x]], n[others]
+            marked[own] = True
+            upto = np.cumsum(many)
+            for c, d in _runs(upto):  # so many shingles at once that memory doesn't follow the number of candidates
+                part, before = others[c:d], upto[c] - many[c]
+                begin = upto[c:d] - many[c:d] - before
+                at = np.arange(upto[d - 1] - before) + np.repeat(starts[part] - begin, many[c:d])
+                both = np.add.reduceat(marked[dense[at]], begin, dtype=np.int64)
+                for y in part[both >= SIMILARITY * (n[x] + many[c:d] - both) - 1e-9].tolist():
+                    p, q = find(x), find(y)
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        yield x, y
+            marked[own] = False
+        while True:
+            jumped = parent[parent]
+            if (jumped == parent).all():
+                break
+            parent[:] = jumped
+        root[:] = parent[root]
+
+    first = np.repeat(ends - sizes, sizes)
+    for at, own, radius in _likeness_radii(n, sizes):
+        near = at[np.bitwise_count(fps[at] ^ fps[first[at]]).sum(axis=1, dtype=np.int64) <= radius]
+        links = list(confirm(first[near], near))
+        live = root[at]
+        held, many, most = [], 0, 1 << 12
+        for i, j in close_likenesses(fps[at], own, radius, live, first=False):
+            held.append((at[i], at[j]))
+            many += len(i)
+            if many >= most:
+                links += confirm(*(np.concatenate(x) for x in zip(*held)))
+                live[:] = root[at]
+                held, many, most = [], 0, min(2 * most, 1 << 18)
+        if held:
+            links += confirm(*(np.concatenate(x) for x in zip(*held)))
+        if links:
+            yield tuple(np.array(links, np.int64).T)
+
+
+def _runs(upto: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Ranges of entries whose cumulated sizes ``upto`` grow by about ``most``, one entry at least."""
+    begin = 0
+    while begin < len(upto):
+        base = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, base + most, "right")))
+        yield begin, end
+        begin = end
+
+
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, node, label, words, shingles) in order of the first three; yields links (a, b) of ``alike_links``."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def links(table: np.ndarray, n: np.ndarray, shingles: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.cumsum(n) - n
+        again = np.concatenate(([False], (table[:4, 1:] == table[:4, :-1]).all(axis=0)))  # a repeated row, from another task
+        table, n, starts = table[:, ~again], n[~again], starts[~again]
+        rows, sizes = _by_group(table)
+        nodes = table[3, rows]
+        fps = np.ascontiguousarray(table[5:, rows].T).view(np.uint64)
+        for i, j in alike_links(table[4, rows], fps, shingles, starts[rows], n[rows], sizes):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], names=["a", "b"])
+
+    for batch in batches:
+        sets = batch.column(batch.num_columns - 1)
+        held.append((np.stack([c.to_numpy() for c in batch.columns[:-1]]), sets.value_lengths().to_numpy().astype(np.int64), sets.flatten().to_numpy()))
+        if sum(t.shape[1] for t, _, _ in held) >= LIKE_ROWS_AT_ONCE or sum(len(s) for _, _, s in held) >= BLOCK_SHINGLES:
+            table, n, shingles = np.concatenate([t for t, _, _ in held], axis=1), *(np.concatenate([x[k] for x in held]) for k in (1, 2))
+            cut = _last_group(table)
+            upto = int(n[:cut].sum())
+            if cut:
+                yield from links(table[:, :cut], n[:cut], shingles[:upto])
+            held = [(table[:, cut:], n[cut:], shingles[upto:])]
+    if held:
+        yield from links(np.concatenate([t for t, _, _ in held], axis=1), *(np.concatenate([x[k] for x in held]) for k in (1, 2)))
+
+
+def company(keyed: DataFrame) -> tuple[DataFrame, int]:
+    """The buckets of rows (key, node) that have more than one node, as a written table (key, n, first: the smallest node), and how many
+    rows ``keyed`` has. Of buckets that hold the same nodes, by their number and 128 bits of hashes, there is one."""
+    sums = [F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    own = keyed.groupBy("key").agg(*sums).filter("n > 1").groupBy("n", "first", "x", "y").agg(F.min("key").alias("key"))
+    return written(own.select("key", "n", "first"), "buckets"), keyed.count()
+
+
+def finer_keys(key: Column, fp: Column) -> Column:
+    """Four keys for a fingerprint in the bucket ``key`` of ``bucket_keys``: the bits outside the bucket's two blocks are cut into four
+    pieces, and of two fingerprints that differ in at most three bits one piece agrees."""
+    at = np.concatenate(([0], np.cumsum(BLOCKS)))
+    pieces = []
+    for pair in itertools.combinations(range(len(BLOCKS)), 2):
+        rest = [b for k in range(len(BLOCKS)) if k not in pair for b in range(at[k], at[k + 1])]
+        masks = [sum(1 << b for b in rest[len(rest) * q // 4 : len(rest) * (q + 1) // 4]) for q in range(4)]
+        pieces.append(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks]))
+    own = F.get(F.array(*pieces), F.shiftright(key, 40).cast("int"))
+    return F.transform(own, lambda mask, q: F.xxhash64(key, q, fp.bitwiseAND(mask)))
 
 
 def fingerprint_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Stars (a, b) that connect just the fingerprints (column ``fp``, distinct) that links within the radius connect."""
-    small, large = cut_buckets(distinct.select(F.explode(bucket_keys(F.col("fp"))).alias("key"), F.col("fp").alias("node")), bucket)
-    large = large.repartition(shuffle_partitions(distinct.sparkSession), "key", "i", "j")
-    both = [x.sortWithinPartitions("key", "i", "j").mapInArrow(_compare, "a long, b long") for x in (small, large)]
-    return both[0].unionByName(both[1]).distinct()
 
-
-def likeness_links(distinct: DataFrame, bucket: int = BUCKET, pairs: Callable = _stars_of(_likeness_roots), more: tuple[str, ...] = ()) -> DataFrame:
-    """The same for rows (node, w0, w1, ..., keys) of ``with_likeness``. Keys go through the first shuffle without the words.
-    ``pairs`` that take columns ``more`` before the words give a distance d besides."""
-    words = [*more, *[f"w{k}" for k in range(LIKE_WORDS)]]
-    own = distinct.select("node", *words)
+    def placed(rows: DataFrame, i: Column | int = 0, j: Column | int = 0) -> DataFrame:
+        cast = [(x if isinstance(x, Column) else F.lit(x)).cast("long") for x in (i, j)]
+        return rows.select("key", cast[0].alias("i"), cast[1].alias("j"), "node")
+
+    keyed = distinct.select(F.explode(bucket_keys(F.col("fp"))).alias("key"), F.col("fp").alias("node"))
+    buckets, total = company(keyed)
+    dealt = placed(by_size(keyed, buckets.filter(F.col("n") <= bucket), "key", total))
+    large = buckets.filter(F.col("n") > bucket)
+    if not large.isEmpty():
+        finer = written(by_size(keyed, large, "key", total).select(F.explode(finer_keys(F.col("key"), F.col("node"))).alias("key"), "node").distinct(), "finer")
+        buckets, total = company(finer)
+        dealt = dealt.unionByName(placed(by_size(finer, buckets.filter(F.col("n") <= bucket), "key", total)))
+        # what is still larger: a piece for each pair of chunks
+        rest = by_size(finer, buckets.filter(F.col("n") > bucket), "key", total).withColumn("chunks", F.ceil(F.col("n") / (bucket // 2)).cast("int"))
+        rest = rest.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        rest = rest.withColumn("other", F.explode(F.expr("filter(sequence(0, chunks - 1), x -> x <> mine)")))
+        dealt = dealt.unionByName(placed(rest, F.least("mine", "other") + 1, F.greatest("mine", "other") + 1))
+    dealt = dealt.repartition(shuffle_partitions(distinct.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(_compare, "a long, b long").distinct()
+
+
+def candidate_links(distinct: DataFrame, bucket: int = LIKE_BUCKET) -> DataFrame:
+    """Stars (a, b) that connect the rows (node, w0, w1, ..., keys, n) that may be alike: those within the radius in a bucket, and all of a
+    bucket of more than ``bucket`` rows, which costs no comparison. Only rows that have company get their words shuffled."""
+    words = [f"w{k}" for k in range(LIKE_WORDS)]
+    keyed = distinct.select(F.explode("keys").alias("key"), "node")
+    buckets, total = company(keyed)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _compare(batches, pairs, LIKE_ROWS_AT_ONCE)
-
-    both = []
-    for cut in cut_buckets(distinct.select(F.explode("keys").alias("key"), "node"), bucket):
-        rows = cut.join(own, "node").select("key", "i", "j", "node", *words).repartition(shuffle_partitions(distinct.sparkSession), "key", "i", "j")
-        both.append(rows.sortWithinPartitions("key", "i", "j", "node").mapInArrow(compare, f"a long, b long{', d long' if more else ''}"))
-    return both[0].unionByName(both[1]).distinct()
-
-
-def alike(pairs: DataFrame, least: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (columns a, b, nodes of ``least``) whose shingle sets have a likeness of ``SIMILARITY`` or more.
-    ``rows`` (doc_id, hash, text): sets are made of the texts that stand for a node of a pair. A bit filter lets just these
-    and a few others through, so that no other text is shuffled."""
-    spark = pairs.sparkSession
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = written(nodes.join(least, "node").select("node", F.xxhash64("first.doc_id", "first.hash").alias("text_key")), "needed")
-    place = F.pmod("text_key", F.lit(FILTER_BITS))
+        return _compare(batches, _candidate_stars, LIKE_ROWS_AT_ONCE)
+
+    few = by_size(keyed, buckets.filter(F.col("n") <= bucket), "key", total).select("key", "node")
+    few = few.join(distinct.select("node", "n", *words), "node").select("key", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "node", "n", *words)
+    few = few.repartition(shuffle_partitions(distinct.sparkSession), "key").sortWithinPartitions("key", "node").mapInArrow(compare, "a long, b long")
+    many = by_size(keyed, buckets.filter(F.col("n") > bucket), "key", total).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return few.unionByName(many.filter("a <> b")).distinct()
+
+
+def with_sets(needed: DataFrame, rows: DataFrame) -> DataFrame:
+    """``needed`` (text_key and others, one row for each key) with the shingle sets of their texts, from ``rows`` (doc_id, hash, text), as a
+    written table. A bit filter lets just these and a few others through, so that no other text's set is shuffled, and a task
+    gives each set once, however often its row is repeated."""
+    spark, place = needed.sparkSession, F.pmod("text_key", F.lit(FILTER_BITS))
     words = needed.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(text_key, 64) as int))")).alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
     sent = spark.sparkContext.broadcast(bits.view(np.uint64))
 
     def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             keys = batch.column(0).to_numpy()
             at = keys % FILTER_BITS
-            batch = batch.filter(pa.array((sent.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            own = np.flatnonzero(sent.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+            own = [r for r, k in zip(own.tolist(), keys[own].tolist()) if not (k in seen or seen.add(k))]
+            batch = batch.take(pa.array(own, pa.int64()))
             for a in range(0, len(batch), 64):
                 part = batch.slice(a, 64)
                 sets = [shingle_set(t) for t in part.column(1).to_pylist()]
@@ -443,72 +562,90 @@ def alike(pairs: DataFrame, least: DataFrame, rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["text_key", "shingles"])
 
     made = rows.select(F.xxhash64("doc_id", "hash").alias("text_key"), "text").mapInArrow(make_sets, "text_key long, shingles array<long>")
-    sets = written(made.join(needed, "text_key").groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in range(0, len(batch), 256):
-                part = batch.slice(s, 256)
-                like = []
-                for x, y in zip(part.column(2), part.column(3)):
-                    x, y = x.values.to_numpy(), y.values.to_numpy()
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    like.append(both / (len(x) + len(y) - both) >= SIMILARITY)
-                yield part.select(["a", "b"]).filter(pa.array(like, pa.bool_()))
-
-    found = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    found = found.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return written(found.mapInArrow(confirm, "a long, b long"), "alike")
-
-
-def alike_components(least: DataFrame, rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(node, root) for the nodes of ``least`` that links by ``SIMILARITY`` or more connect with others."""
-    near = likeness_links(least.withColumn("label", F.col("node")), bucket, _nearest_before, ("label", "n"))
-    near = written(near.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")), "candidates")
-    links = alike(near, least, rows)
+    return written(made.join(needed, "text_key"), "sets")
+
+
+def alike_components(least: DataFrame, rows: DataFrame, bucket: int = LIKE_BUCKET, block: int = BLOCK) -> DataFrame:
+    """(node, root) for the nodes of ``least`` that links by ``SIMILARITY`` or more connect with others.
+
+    Candidates' components are blocks in which all pairs are compared and decided by their sets; each set goes to its block once. A
+    component of more than ``block`` rows is cut into chunks, each with the same ``HUBS`` rows besides, about, and what that doesn't connect
+    with the component's largest part is compared with all of it once more, in pairs of chunks. No pair is left out."""
+    words, parts = [f"w{k}" for k in range(LIKE_WORDS)], shuffle_partitions(least.sparkSession)
+    candidates = components(candidate_links(least, bucket))
+    members = written(least.join(candidates, "node").select("node", "root", F.xxhash64("first.doc_id", "first.hash").alias("text_key"), F.col("n").alias("shingles_n"), *words), "members")
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles_n").alias("all_n")).withColumn("chunks", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("all_n") / BLOCK_SHINGLES)).cast("int"))
+    total = members.count()
+    sets = with_sets(written(by_size(members, sizes.drop("all_n"), "root", total), "needed"), rows)
+
+    def confirmed(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select("root", F.col("place.i").cast("long").alias("i"), F.col("place.j").cast("long").alias("j"), "node", "label", *words, "shingles")
+        dealt = dealt.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+        return written(dealt.mapInArrow(_confirm, "a long, b long"), "alike")
+
+    mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
+    hub = (F.col("node") == F.col("root")) | (F.pmod(F.xxhash64("node", F.lit(9)), F.col("n")) < HUBS)
+    everywhere = F.expr("transform(sequence(0, chunks - 1), c -> struct(c as i, 0 as j))")
+    places = F.when((F.col("chunks") > 1) & hub, everywhere).otherwise(F.array(F.struct(mine.alias("i"), F.lit(0).alias("j"))))
+    links = confirmed(sets.withColumn("label", F.col("node")).withColumn("place", F.explode(places)))
     roots = components(links)
-    labelled = least.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    rest = likeness_links(written(labelled, "labelled"), bucket, _unconnected, ("label", "n"))
-    rest = written(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    return components(links.unionByName(alike(rest, least, rows)))
-
-
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``links`` (columns a, b): root is the smallest node of its component."""
+    large = sets.filter("chunks > 1")
+    if large.isEmpty():
+        return roots
+    large = large.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labels = large.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n"))
+    labels = labels.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("settled"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    labels = labels.filter("n > most").withColumn("rest", F.ceil((F.col("n") - F.col("most")) / block).cast("int"))
+    large = by_size(large.drop("n"), labels, "root", total).withColumn("mine", mine).withColumn("other", F.pmod(F.xxhash64("node", F.lit(8)), F.col("rest")).cast("int"))
+    settled = F.expr("transform(sequence(0, rest - 1), u -> struct(u as i, mine as j))")
+    loose = F.expr("concat(transform(sequence(0, chunks - 1), c -> struct(other as i, c as j)), transform(sequence(0, rest - 1), u -> struct(-1 - least(u, other) as i, greatest(u, other) as j)))")
+    more = confirmed(large.withColumn("place", F.explode(F.when(F.col("label") == F.col("settled"), settled).otherwise(loose))))
+    return components(links.unionByName(more))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``links`` (columns a, b): root is the smallest node of its component. Rounds go on until all
+    are settled, which takes about the logarithm of the largest component's size."""
     edges = written(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("v <> u").distinct(), "links")
-    for _ in range(rounds):
+    while True:
+        total = edges.count()
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("c"), F.least("m", "v").alias("m"))
-        large = both.filter("u > v").join(least, F.col("v") == F.col("c")).select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").distinct()
+        least = both.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "v"))
+        large = by_size(both.filter("u > v"), least, "v", 2 * total).select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").distinct()
         # every pair has its larger node in v now
-        own = large.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "c")
-        moved = large.join(own, F.col("v") == F.col("c")).filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        edges = written(moved.unionByName(own.select(F.col("c").alias("v"), F.col("m").alias("u"))).filter("v <> u").distinct(), "links")
+        own = large.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
+        moved = by_size(large, own, "v", total).filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        found = written(moved.unionByName(own.select("v", F.col("m").alias("u"))).filter("v <> u").distinct(), "links")
+        discard(edges)
+        edges = found
         seen = edges.select(F.col("v").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("root")).unionByName(edges.select(F.col("u").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("root")))
         loose = seen.groupBy("x").agg(F.sum("child").alias("n"), F.max("root").alias("r")).filter("n > 1 or (n > 0 and r > 0)")
         if loose.isEmpty():
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
-    raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
 def fingerprint_components(fps: DataFrame) -> DataFrame:
     """From rows (fp, doc_id): one row for each fingerprint with its component's smallest doc_id (null if it has none but
-    null ids): columns fp, component_id."""
-    least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
+    null ids) and the number of its rows: columns fp, component_id, n."""
+    least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "fingerprints")
     roots = components(fingerprint_links(least.select("fp")))
-    joined = written(least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
-    ids = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    return joined.select("fp", "root").join(ids, "root").select("fp", "component_id")
+    joined = written(least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "roots")
+    discard(least)
+    sizes = joined.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    found = by_size(joined.withColumnRenamed("n", "rows"), sizes, "root", joined.count())
+    return written(found.select("fp", "component_id", F.col("rows").alias("n")), "components")
 
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 lower-case hexadecimal digits), component_id: the smallest doc_id that can be reached over
     links, its own included. A null or empty text, or one of white space, has fingerprint zero and links like any other.
     Equal rows give equal rows; rows whose id is null take part, and their component_id is null if no row of their
-    component has an id. Other columns are not read."""
+    component has an id. An empty table gives no rows. Other columns are not read."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     fps = written(with_fingerprints(rows, "text", "doc_id long"), "documents")
-    found = fps.join(fingerprint_components(fps), "fp")
+    with Scratch() as scratch:
+        components_of = scratch.keep(fingerprint_components(fps))
+    found = by_size(fps, components_of, "fp", fps.count())
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -516,20 +653,23 @@ def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
     """The rows of ``docs``, all columns, that stay when one document of each group of near copies does: the one of the
     smallest id, ids of null last; among equal ids the one of the smallest hash of the text; of equal rows one. Groups are
     components of links between texts whose sets of five-word shingles are alike by ``SIMILARITY`` or more; a pair at 0.8 is found
-    with a probability of 0.9996 (see ``BANDS``), and none below is linked. Texts of fewer words are alike if their words are equal; null, empty and blank texts are one group."""
+    with a probability of 0.9996 (see ``BANDS``), and none below is linked. Texts of fewer words are alike if their words are equal; null, empty and blank texts are one group.
+    An empty table gives an empty one."""
     own = "__folio_"
     while any(c.lower().startswith(own) for c in docs.columns):
         own += "_"
     key = [F.col(id_column).cast("long").alias(f"{own}id"), F.xxhash64(F.col(text_column)).alias(f"{own}hash")]
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.col(text_column)).alias("hash"), F.col(text_column).alias("text"))
-    fps = written(with_likeness(rows, "text", "doc_id long, hash long"), "documents")
     words = [f"w{k}" for k in range(LIKE_WORDS)]
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")
-    same = [F.any_value(c).alias(c) for c in (*words, "keys", "n")]
-    least = written(fps.groupBy(F.xxhash64(*words, "keys").alias("node")).agg(first, *same), "fingerprints")
-    roots = alike_components(least, rows)
-    first = least.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    stays = written(first.select(F.col("first.doc_id").alias(f"{own}stays_id"), F.col("first.hash").alias(f"{own}stays_hash")), "stays")
+    with Scratch() as scratch:
+        fps = written(with_likeness(rows, "text", "doc_id long, hash long"), "documents")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")
+        same = [F.any_value(c).alias(c) for c in (*words, "keys", "n")]
+        least = written(fps.groupBy(F.xxhash64(*words, "keys").alias("node")).agg(first, *same), "fingerprints")
+        discard(fps)
+        roots = alike_components(least, rows)
+        first = least.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+        stays = scratch.keep(written(first.select(F.col("first.doc_id").alias(f"{own}stays_id"), F.col("first.hash").alias(f"{own}stays_hash")), "stays"))
     names = docs.columns
     held = docs.select("*", *key)
     held = held.join(stays, F.col(f"{own}id").eqNullSafe(F.col(f"{own}stays_id")) & (F.col(f"{own}hash") == F.col(f"{own}stays_hash")), "left_semi")

@@ -395,7 +395,10 @@ def test_simhash_keeps_one(spark, odd):
         rows += [text, *[[word() if random.random() < 0.01 else w for w in text] for _ in range(4)]]
         rows += [[word() for _ in range(240)] + passage, text[:150] + [word() for _ in range(150)]]
     table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string").repartition(3)
-    assert sorted(r["doc_id"] for r in simhash.keep_one(table).collect()) == sorted(7 * g + k for g in range(30) for k in (0, 5, 6))
+    sets = [shingles(" ".join(t)) for t in rows]
+    want = stars_of(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8])
+    assert set(want) - {7 * g + k for g in range(30) for k in (0, 5, 6)} == {44, 116}  # copies that chance made less alike than 0.8
+    assert sorted(r["doc_id"] for r in simhash.keep_one(table).collect()) == sorted(set(want))
 
 
 def test_simhash_keeps_one_by_exact_likeness(spark):
@@ -423,28 +426,68 @@ def test_simhash_keeps_one_by_exact_likeness(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(table).collect()) == sorted({find(i) for i in range(len(rows))})
 
 
-@pytest.mark.parametrize("bucket", [8192, 16])
-def test_simhash_likeness_links_equal_brute_force(spark, docs, bucket):
+@pytest.mark.parametrize("bucket, block", [(2048, 1024), (2048, 16), (16, 8)])
+def test_simhash_likeness_components_equal_brute_force(spark, docs, bucket, block):
+    """Small buckets and blocks take the ways of large groups: whole buckets as candidates, chunks with hubs, pairs of chunks."""
+    rng = random.Random(6)
     texts = [r["text"] for r in docs.collect()] + ["a b", "a b", "", None]
-    text = [f"w{random.Random(6).randrange(9)}{i}" for i in range(400)]
+    text = [f"w{rng.randrange(9)}{i}" for i in range(400)]
     texts += [" ".join(text[:i] + text[i + 1 :]) for i in range(0, 400, 5)]  # a large group of near copies
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(3)
-    rows = simhash.with_likeness(df.select("id", "text"), "text", "id long").withColumnRenamed("id", "node")
-    own, root = [simhash.likeness(t) for t in texts], list(range(len(texts)))
+    loose = [f"v{i}" for i in range(200)]
+    texts += [" ".join(w if rng.random() > 0.02 else f"z{rng.randrange(9999)}" for w in loose) for _ in range(120)]  # one that links in part
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = df.withColumn("hash", F.xxhash64("text")).select("doc_id", "hash", "text")
+    least = simhash.with_likeness(rows, "text", "doc_id long, hash long").withColumn("node", F.col("doc_id") + 1000)
+    least = least.withColumn("first", F.struct(F.lit(False).alias("none"), "doc_id", "hash"))
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i, (f, keys) in enumerate(own):
-        for j in range(i):
-            if (own[j][1] == keys).any() and np.bitwise_count(own[j][0] ^ f).sum() <= simhash.likeness_radius():
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if jaccard(a, b) >= 0.8:
                 root[max(find(i), find(j))] = min(find(i), find(j))
-    got = {r["node"]: r["root"] for r in simhash.components(simhash.likeness_links(rows, bucket)).collect()}
+    got = {r["node"] - 1000: r["root"] - 1000 for r in simhash.alike_components(least, rows, bucket, block).collect()}
     assert [got.get(i, i) for i in range(len(texts))] == [find(i) for i in range(len(texts))]
-    near = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(shingles(texts[i]), shingles(texts[j])) >= 0.83]
-    assert near and all(find(i) == find(j) for i, j in near)
+    assert len({find(i) for i in range(len(texts) - 120, len(texts))}) > 1
+
+
+def test_simhash_star_and_bucket_with_a_large_share(spark):
+    """No key of a join has more than a bounded share of the rows, whatever its degree."""
+    star = spark.range(1, 20_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    chain = spark.range(30_000, 30_040).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = simhash.components(star.unionByName(chain)).groupBy("root").count().collect()
+    assert sorted((r["root"], r["count"]) for r in got) == [(0, 20_001), (30_000, 41)]
+    rng = np.random.default_rng(3)  # all agree in two blocks of bits, some link
+    fps = (rng.integers(0, 1 << 38, 4000).astype(np.uint64) << np.uint64(26)) | np.uint64(5)
+    fps = np.unique(np.concatenate((fps, fps[:500] ^ np.uint64(1 << 40 | 1 << 50 | 1 << 3))))
+    df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    close = [(i, j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 3).tolist()]
+    assert len(close) >= 500
+    want = stars_of(len(fps), close)
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.fingerprint_links(df, 64)).collect()}
+    signed = fps.view(np.int64).tolist()
+    groups, expected = {}, {}
+    for i, f in enumerate(signed):
+        groups.setdefault(got.get(f, f), set()).add(f)
+        expected.setdefault(want[i], set()).add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+def stars_of(n, pairs):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(n)]
 
 
 @pytest.mark.parametrize("radius", [8, 31, 93, 178])
