@@ -77,11 +77,14 @@ def discard(*tables: DataFrame) -> None:
 def by_size(rows: DataFrame, sizes: DataFrame, key: str, total: int) -> DataFrame:
     """``rows`` joined with ``sizes``, which has a row for each ``key`` with the number ``n`` of rows (of ``total`` or fewer in all) that have
     it. A key with more than ``total / HEAVY_KEYS`` rows isn't shuffled: there are fewer than HEAVY_KEYS of them, which is the bound
-    of what is broadcast. No task gets more than that share of the rows by one of the others."""
+    of what the driver gets and broadcasts. No task gets more than that share of the rows by one of the others."""
     most = max(LEAST_HEAVY, total // HEAVY_KEYS)
-    heavy, light = sizes.filter(F.col("n") > most), sizes.filter(F.col("n") <= most)
-    others = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(heavy), key).unionByName(others.join(light, key))
+    found = sizes.filter(F.col("n") > most).toArrow()
+    if not found.num_rows:
+        return rows.join(sizes, key)
+    heavy = rows.sparkSession.createDataFrame(found, sizes.schema)
+    others = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(sizes.filter(F.col("n") <= most), key)
+    return rows.join(F.broadcast(heavy), key).unionByName(others)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

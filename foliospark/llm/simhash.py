@@ -44,9 +44,9 @@ FILTER_BITS = 1 << 26
 BLOCKS = (13, 13, 13, 13, 12)
 #: Fingerprints of a bucket that are compared in one piece; a chunk has half of it. Rows of a bucket in which ``candidate_links``
 #: compares at all.
-BUCKET, LIKE_BUCKET = 8192, 2048
+BUCKET, LIKE_BUCKET = 8192, 512
 #: Rows and shingles of a block in which sets are compared, and the rows that all chunks of a larger component share.
-BLOCK, BLOCK_SHINGLES, HUBS = 1024, 1 << 22, 16
+BLOCK, BLOCK_SHINGLES, HUBS = 512, 1 << 22, 16
 #: Rows that a task compares at once, and words of a text that are hashed at once.
 ROWS_AT_ONCE, LIKE_ROWS_AT_ONCE, WORDS_AT_ONCE = 1 << 19, 1 << 16, 1 << 16
 
@@ -611,7 +611,7 @@ def components(links: DataFrame) -> DataFrame:
         total = edges.count()
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "v"))
-        large = by_size(both.filter("u > v"), least, "v", 2 * total).select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").distinct()
+        large = by_size(both.filter("u > v"), least, "v", 2 * total).select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u")
         # every pair has its larger node in v now
         own = large.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
         moved = by_size(large, own, "v", total).filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))

@@ -7,9 +7,9 @@ the training rows are dealt into ``FOLDS`` folds by a hash of their ids, and eac
 the other folds, its features chosen there too. Those out-of-fold probabilities also set each category's threshold: the least
 of those that gain most, a row with the label caught counting one and one without it caught counting minus ``CLEAN_WEIGHT``.
 
-Fitted on at most ``TRAIN_DOCUMENTS`` labelled rows, chosen by a hash of their ids. Statistics of words are summed by the
-tasks; the driver gets sums by bucket and, of the training rows, only the features that were chosen. Prediction covers every
-row and whole texts."""
+Fitted on at most ``TRAIN_DOCUMENTS`` labelled ids, chosen by a hash of them, with one document each. Statistics of words are summed by
+the tasks, and each model is fitted by a task; the driver gets chosen features, weights and two numbers for each training row.
+Prediction covers every row and whole texts."""
 
 from __future__ import annotations
 
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import Scratch, written
+
 BUCKETS, TRAIN_DOCUMENTS, FOLDS = 1 << 18, 16_000, 5
 #: Features of a model: most telling for the label, and against it (found by tasks, then among what they found); a feature occurs in so many training rows at least.
 FEATURES_FOR, FEATURES_AGAINST, LEAST_ROWS = 4000, 500, 3
@@ -147,42 +149,75 @@ class ToxicityChain:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, id_column: str = "doc_id", text_column: str = "text", label_id: str = "doc_id", most: int = TRAIN_DOCUMENTS) -> ToxicityChain:
-    """A chain of ``categories`` (name: condition on ``labels``, in order). A label row whose id or any condition is null is
-    left out, of several for an id the largest values count. Without any labelled document each probability is the same."""
-    spark, names = docs.sparkSession, list(categories)
+def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most: int, *, id_column: str, text_column: str, label_id: str) -> DataFrame:
+    """id, text, fold, y0, y1, ...: one row for each of at most ``most`` labelled ids, however often its document or label is repeated; of
+    several texts of an id the least one by its hash counts, of several labels the largest values."""
     flags = [c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())]
+    ys = [f"y{i}" for i in range(len(categories))]
     own = labels.select(F.col(label_id).cast("long").alias("label_id"), *flags).dropna()
-    own = own.groupBy("label_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))])
+    own = own.groupBy("label_id").agg(*[F.max(y).alias(y) for y in ys])
     own = own.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    # at most ``most`` rows of a few numbers are broadcast
-    rows = texts.join(F.broadcast(own), F.col("id") == F.col("label_id")).select("id", "text", *[f"y{i}" for i in range(len(names))], F.pmod(F.crc32(F.col("id").cast("string")), F.lit(FOLDS)).cast("int").alias("fold"))
-    k = len(names)
+    # at most ``most`` rows of a few numbers are broadcast; a repeated document is folded by the tasks before it moves
+    rows = texts.join(F.broadcast(own), F.col("id") == F.col("label_id"))
+    rows = rows.groupBy("id", *ys).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    return rows.select("id", F.col("least.text").alias("text"), F.pmod(F.crc32(F.col("id").cast("string")), F.lit(FOLDS)).cast("int").alias("fold"), *ys)
+
+
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, id_column: str = "doc_id", text_column: str = "text", label_id: str = "doc_id", most: int = TRAIN_DOCUMENTS) -> ToxicityChain:
+    """A chain of ``categories`` (name: condition on ``labels``, in order). A label row whose id or any condition is null is
+    left out, of several for an id the largest values count, of several documents of an id one does. Without any labelled
+    document each probability is the same.
+
+    Words of the training rows are hashed once and written. A model is fitted by one task, on the training rows' chosen features, all
+    models of a category at once; the driver gets the fitted weights."""
+    spark, names, k = docs.sparkSession, list(categories), len(categories)
+    ys = [f"y{i}" for i in range(k)]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(t) for t in batch.column(1).to_pylist()]
+            lists = [pa.array([f[i] for f in found], pa.list_(t)) for i, t in enumerate((pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *lists], names=[batch.schema.names[0], *batch.schema.names[2:], "b", "v"])
+
+    with Scratch():
+        chosen_rows = training_rows(docs, labels, categories, most, id_column=id_column, text_column=text_column, label_id=label_id)
+        data = written(chosen_rows.mapInArrow(hashed, "id long, fold int, " + ", ".join(f"{y} int" for y in ys) + ", b array<int>, v array<double>"), "training")
+        sizes = np.zeros((FOLDS, k, 2))
+        for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys]).collect():
+            for c in range(k):
+                sizes[r["fold"], c] = r["n"] - r[f"y{c}"], r[f"y{c}"]
+        ranked = written(_features_of_models(data, sizes, k), "features")
+        out, held = ToxicityChain(names), None
+        for c in range(k):
+            fitted, held = _fit_category(data, ranked, c, held)
+            model, found = fitted
+            out.models.append(model)
+            out.thresholds.append(found)
+    return out
+
+
+def _features_of_models(data: DataFrame, sizes: np.ndarray, k: int) -> DataFrame:
+    """(model, bucket, t): the chosen features of each model; model number fold * k + c leaves that fold out, FOLDS * k + c none.
+    ``sizes``: rows by fold, category and label."""
+    cols = [f"s{i}" for i in range(3 + k)]  # rows, squares, sums with each label, all sums
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((FOLDS, BUCKETS, 2 + k), np.float32)  # rows, squares, then sums with each label
-        every = np.zeros((FOLDS, BUCKETS), np.float32)
+        sums = np.zeros((FOLDS, BUCKETS, 3 + k), np.float32)
         for batch in batches:
-            for text, fold, *y in zip(*(batch.column(i).to_pylist() for i in range(2 + k))):
-                bucket, value = features(text)
-                sums[fold, bucket, 0] += 1
-                sums[fold, bucket, 1] += value * value
-                every[fold, bucket] += value
-                for c in range(k):
-                    if y[c]:
-                        sums[fold, bucket, 2 + c] += value
+            lists = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            many = lists[0].value_lengths().to_numpy().astype(np.int64)
+            bucket, value = (x.flatten().to_numpy() for x in lists)
+            fold = np.repeat(batch.column(0).to_numpy(), many)
+            at = (fold.astype(np.int64) * BUCKETS + bucket) * (3 + k)
+            flat = sums.reshape(-1)
+            np.add.at(flat, at, np.float32(1))
+            np.add.at(flat, at + 1, (value * value).astype(np.float32))
+            np.add.at(flat, at + 2 + k, value.astype(np.float32))
+            for c in range(k):
+                np.add.at(flat, at + 2 + c, (value * np.repeat(batch.column(1 + c).to_numpy(), many)).astype(np.float32))
         fold, bucket = np.nonzero(sums[:, :, 0])
-        found = [*sums[fold, bucket].T, every[fold, bucket]]
-        yield pa.RecordBatch.from_arrays([pa.array(fold.astype(np.int32)), pa.array(bucket.astype(np.int32)), *map(pa.array, found)], names=["fold", "bucket", *cols])
-
-    cols = [f"s{i}" for i in range(3 + k)]
-    labelled = rows.select("text", "fold", *[f"y{i}" for i in range(k)])
-    sizes = np.zeros((FOLDS, k, 2))
-    for r in labelled.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"y{i}").alias(f"y{i}") for i in range(k)]).collect():
-        for c in range(k):
-            sizes[r["fold"], c] = r["n"] - r[f"y{c}"], r[f"y{c}"]
-    models = [(f, c) for f in [None, *range(FOLDS)] for c in range(k)]
+        yield pa.RecordBatch.from_arrays([pa.array(fold.astype(np.int32)), pa.array(bucket.astype(np.int32)), *map(pa.array, sums[fold, bucket].T.copy())], names=["fold", "bucket", *cols])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of a task's buckets, those that can be among the chosen ones of a model."""
@@ -191,60 +226,97 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, id
             return
         table = np.concatenate(held, axis=1)
         bucket, own = table[0].astype(np.int32), table[1:].reshape(FOLDS, len(cols), -1)
-        for m, (without, c) in enumerate(models):
-            keep = [f for f in range(FOLDS) if f != without]
+        for f in range(FOLDS + 1):
+            keep = [x for x in range(FOLDS) if x != f]
             s = own[keep].sum(axis=0)
-            t = telling(sizes[keep, c].sum(axis=0), np.stack((s[-1] - s[2 + c], s[2 + c]), axis=1), s[1], s[0])
-            at = chosen(t)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), m, np.int32)), pa.array(bucket[at]), pa.array(t[at])], names=["model", "bucket", "t"])
+            for c in range(k):
+                t = telling(sizes[keep, c].sum(axis=0), np.stack((s[-1] - s[2 + c], s[2 + c]), axis=1), s[1], s[0])
+                at = chosen(t)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), f * k + c, np.int32)), pa.array(bucket[at]), pa.array(t[at])], names=["model", "bucket", "t"])
 
-    stats = labelled.mapInArrow(summed, "fold int, bucket int, " + ", ".join(f"{c} float" for c in cols))
+    stats = data.select("fold", *[f"y{i}" for i in range(k)], "b", "v").mapInArrow(summed, "fold int, bucket int, " + ", ".join(f"{c} float" for c in cols))
     wide = stats.groupBy("bucket").agg(*[F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(c))), F.lit(0.0)).alias(f"{c}_{f}") for f in range(FOLDS) for c in cols])
     ranked = wide.mapInArrow(best, "model int, bucket int, t double")
-    place = [F.row_number().over(Window.partitionBy("model", F.col("t") > 0).orderBy(F.desc(F.abs("t")), "bucket")).alias("place")]
-    ranked = ranked.select("*", *place).filter(F.when(F.col("t") > 0, F.col("place") <= FEATURES_FOR).otherwise(F.col("place") <= FEATURES_AGAINST))
-    # models x features rows at most
-    top = ranked.select("model", "bucket", "t").toArrow()
-    ts: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-    for m, key in enumerate(models):
-        at = top.column("model").to_numpy() == m
-        bucket, t = top.column("bucket").to_numpy()[at].astype(np.int64), top.column("t").to_numpy()[at]
+    place = F.row_number().over(Window.partitionBy("model", F.col("t") > 0).orderBy(F.desc(F.abs("t")), "bucket"))
+    ranked = ranked.select("*", place.alias("place")).filter(F.when(F.col("t") > 0, F.col("place") <= FEATURES_FOR).otherwise(F.col("place") <= FEATURES_AGAINST))
+    return ranked.select("model", "bucket", "t")
+
+
+def _fit_category(data: DataFrame, ranked: DataFrame, c: int, before: DataFrame | None) -> tuple[tuple[Linear, float], DataFrame]:
+    """The model of category ``c`` and its threshold, and (id, p0, ..., pc): out-of-fold probabilities of the training rows up to it.
+    ``before`` has those of the categories before. Each model is one task's work, on its chosen features of the training rows, which
+    are as many as ``fit`` was given at most."""
+    k = sum(x.startswith("y") for x in data.columns)
+    earlier = [f"p{i}" for i in range(c)]
+    rows = data.join(before, "id") if before is not None else data
+    tops = ranked.filter(F.pmod("model", F.lit(k)) == c).select((F.col("model") / k).cast("int").alias("without"), "bucket", "t")
+    # chosen features of one category: (FOLDS + 1) x (FEATURES_FOR + FEATURES_AGAINST) rows at most
+    found = tops.toArrow()
+    models: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for f in range(FOLDS + 1):
+        at = found.column("without").to_numpy() == f
+        bucket, t = found.column("bucket").to_numpy()[at].astype(np.int64), found.column("t").to_numpy()[at]
         order = np.argsort(bucket)
-        ts[key] = bucket[order], t[order]
+        models[f] = bucket[order], t[order]
     wanted = np.zeros(BUCKETS, bool)
-    for bucket, _ in ts.values():
+    for bucket, _ in models.values():
         wanted[bucket] = True
-    sent = spark.sparkContext.broadcast(wanted)
+    sent = data.sparkSession.sparkContext.broadcast((models, wanted))
 
     def restricted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(b[sent.value[b]], v[sent.value[b]]) for b, v in map(features, batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([b for b, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64()))], names=[*batch.schema.names[1:], "b", "v"])
-
-    data = rows.select("text", "id", "fold", *[f"y{i}" for i in range(k)]).mapInArrow(restricted, "id long, fold int, " + ", ".join(f"y{i} int" for i in range(k)) + ", b array<int>, v array<double>").toPandas()
-    data = data.assign(size=data["b"].map(len)).sort_values(["id", "size"], kind="stable") if len(data) else data
-    row = np.repeat(np.arange(len(data)), [len(b) for b in data["b"]]) if len(data) else np.zeros(0, np.int64)
-    bucket = np.concatenate([*data["b"], np.zeros(0, np.int32)]).astype(np.int64)
-    value = np.concatenate([*data["v"], np.zeros(0)]).astype(np.float64)
-    fold = data["fold"].to_numpy(np.int64)
-    out, before = ToxicityChain(names), np.zeros((len(data), 0))
-    for c in range(k):
-        y, held = data[f"y{c}"].to_numpy(np.float64), np.zeros(len(data))
-        for f in range(FOLDS):
-            inside = fold != f
-            to = np.cumsum(inside) - 1
-            use = inside[row]
-            model = fit_linear(to[row[use]], bucket[use], value[use], before[inside], y[inside], ts[f, c])
-            held[~inside] = _sigmoid(model.logit(row, bucket, value, before))[~inside]
-        out.models.append(fit_linear(row, bucket, value, before, y, ts[None, c]))
-        out.thresholds.append(threshold(held, y))
-        before = np.column_stack((before, held))
-    return out
+            n = batch.num_columns
+            many = batch.column(n - 2).value_lengths().to_numpy().astype(np.int64)
+            bucket, value = (batch.column(n - 2 + i).flatten().to_numpy() for i in (0, 1))
+            own = sent.value[1][bucket]
+            ends = np.concatenate(([0], np.cumsum(np.add.reduceat(np.append(own, False), np.minimum(np.cumsum(many) - many, len(own)), dtype=np.int64) * (many > 0)))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[own])) for x in (bucket, value)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *lists], names=batch.schema.names)
+
+    cut = rows.select("id", "fold", f"y{c}", *earlier, "b", "v").mapInArrow(restricted, f"id long, fold int, y{c} int, " + "".join(f"{p} double, " for p in earlier) + "b array<int>, v array<double>")
+    dealt = written(cut, "restricted").withColumn("without", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).repartitionById(FOLDS + 1, F.col("without")).sortWithinPartitions("id")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A model leaves its fold out and gives that fold's probabilities; the last one leaves none out and gives its weights."""
+        whole = [b for b in batches if len(b)]
+        if not whole:
+            return
+        table = pa.Table.from_batches(whole)
+        without = table.column("without")[0].as_py()
+        ids, fold, y = (table.column(x).to_numpy() for x in ("id", "fold", f"y{c}"))
+        chain = np.stack([table.column(p).to_numpy() for p in earlier], axis=1) if earlier else np.zeros((len(ids), 0))
+        lists = [table.column(x).combine_chunks() for x in ("b", "v")]
+        many = lists[0].value_lengths().to_numpy().astype(np.int64)
+        row, bucket, value = np.repeat(np.arange(len(ids)), many), lists[0].flatten().to_numpy().astype(np.int64), lists[1].flatten().to_numpy()
+        inside = fold != without
+        to, use = np.cumsum(inside) - 1, inside[row]
+        model = fit_linear(to[row[use]], bucket[use], value[use], chain[inside], y[inside].astype(np.float64), sent.value[0][without])
+        if without < FOLDS:
+            out = ~inside
+            p = _sigmoid(model.logit(row, bucket, value, chain))[out]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(out.sum(), without, np.int32)), pa.array(ids[out]), pa.array(p), pa.array(y[out])], names=["without", "id", "p", "y"])
+        else:
+            weights = np.concatenate((model.weights, model.chain, [model.bias]))
+            places = np.concatenate((model.buckets, -1 - np.arange(len(model.chain)), [-BUCKETS]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(weights), FOLDS, np.int32)), pa.array(places), pa.array(weights), pa.array(np.zeros(len(weights), np.int32))], names=["without", "id", "p", "y"])
+
+    results = written(dealt.mapInArrow(fitted, "without int, id long, p double, y int"), "fitted")
+    weights = results.filter(F.col("without") == FOLDS).select("id", "p").toArrow().sort_by("id")
+    places, w = weights.column("id").to_numpy(), weights.column("p").to_numpy()
+    if not len(places):
+        return (Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(c), float(np.log(1e-4 / (1 - 1e-4)))), 1.0), results.select("id", *[F.lit(0.0).alias(f"p{i}") for i in range(c + 1)])
+    words, chain = places >= 0, (places < 0) & (places > -BUCKETS)
+    model = Linear(places[words], w[words], w[chain][::-1].copy(), float(w[places == -BUCKETS][0]))
+    # two numbers for each training row
+    held = results.filter(F.col("without") < FOLDS).select("p", "y").toArrow()
+    own = results.filter(F.col("without") < FOLDS).select("id", F.col("p").alias(f"p{c}"))
+    return (model, threshold(held.column("p").to_numpy(), held.column("y").to_numpy().astype(np.float64))), own if before is None else before.join(own, "id")
 
 
 def score(docs: DataFrame, chain: ToxicityChain, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, p_<category> for each category in order, and is_<last category>: whether its probability is above its
-    threshold. One row for each row; a null text has the features of an empty one: none."""
+    threshold. One row for each row, repeated ones too; a null id stays null; a null text has the features of an empty one: none.
+    An empty table gives no rows; other columns are not read."""
     sent, names = docs.sparkSession.sparkContext.broadcast(chain), [f"p_{c}" for c in chain.categories]
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
 
@@ -258,7 +330,8 @@ def score(docs: DataFrame, chain: ToxicityChain, *, id_column: str = "doc_id", t
 
 
 def keep_clean(docs: DataFrame, chain: ToxicityChain, *, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose last category isn't above its threshold."""
+    """The rows of ``docs``, all columns, whose last category isn't above its threshold. A null or empty text has no features and so the
+    chain's plain probability; equal rows stay or go together; an empty table gives an empty one."""
     sent, schema, at = docs.sparkSession.sparkContext.broadcast(chain), docs.schema, docs.columns.index(text_column)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -537,6 +537,59 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(odd, nobody).filter("is_toxic").count() == 0
 
 
+def test_toxicity_trains_on_one_row_an_id(spark, odd, empty):
+    docs = spark.createDataFrame([(i, f"word{i % 7} bad{i % 2} x") for i in range(60)] + [(3, f"again {i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 60, 1, i % 2) for i in range(90)] + [(None, 1, 1), (4, None, 1)], "doc_id long, quality int, toxic int")
+    names = {"id_column": "doc_id", "text_column": "text", "label_id": "doc_id"}
+    rows = toxicity.training_rows(docs, labels, toxicity.label_categories(), 5, **names).collect()
+    assert len(rows) == 5 and len({r["id"] for r in rows}) == 5
+    assert toxicity.training_rows(docs, labels, toxicity.label_categories(), 1000, **names).count() == 60
+    chain = toxicity.fit(empty.select("doc_id", "text"), labels, toxicity.label_categories())
+    assert toxicity.score(odd, chain).filter("is_toxic").count() == 0
+
+
+def test_toxicity_chain_equals_plain_numpy(spark):
+    """The whole chain with out-of-fold probabilities, dense and on one machine."""
+    random.seed(11)
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    rows = []
+    for i in range(400):
+        low, bad = i % 3 == 0, i % 5 == 0
+        text = random.choices(words, k=30) + ["zlow"] * (low and random.random() < 0.8) + ["zbad"] * (bad and random.random() < 0.9)
+        rows.append((i, " ".join(text), int(not low), int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int").repartition(3)
+    chain = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "quality", "toxic"), toxicity.label_categories())
+    got = {r["doc_id"]: (r["p_low_quality"], r["p_toxic"]) for r in toxicity.score(df, chain).collect()}
+    fold = np.array([zlib.crc32(str(i).encode()) % toxicity.FOLDS for i in range(400)])
+    x = np.zeros((400, toxicity.BUCKETS), np.float32)
+    for i, (_, text, _, _) in enumerate(rows):
+        b, v = toxicity.features(text)
+        x[i, b] = v
+    ys, before, after = [np.array([r[2] == 0 for r in rows], float), np.array([r[3] for r in rows], float)], np.zeros((400, 0)), np.zeros((400, 0))
+    for c, y in enumerate(ys):
+        def fitted(inside):
+            own, label = x[inside].astype(float), y[inside]
+            n = np.array([(label == 0).sum(), (label == 1).sum()])
+            sums = np.stack([own[label == 0].sum(axis=0), own[label == 1].sum(axis=0)], axis=1)
+            t = toxicity.telling(n, sums, (own * own).sum(axis=0), (own > 0).sum(axis=0))
+            at = toxicity.chosen(t)
+            row, bucket = np.nonzero(own)
+            return toxicity.fit_linear(row, bucket, own[row, bucket], before[inside], label, (at, t[at]))
+
+        def probability(model, chain):
+            return 1 / (1 + np.exp(-(x[:, model.buckets].astype(float) @ model.weights + chain @ model.chain + model.bias)))
+
+        held = np.zeros(400)
+        for f in range(toxicity.FOLDS):  # no row's probability comes from a model that has seen it
+            held[fold == f] = probability(fitted(fold != f), before)[fold == f]
+        final = probability(fitted(np.ones(400, bool)), after)
+        assert np.allclose([got[i][c] for i in range(400)], final, atol=2e-3)
+        assert abs(chain.thresholds[c] - toxicity.threshold(held, y)) < 5e-3
+        before, after = np.column_stack((before, held)), np.column_stack((after, final))
+    caught = [got[i][1] > chain.thresholds[1] for i in range(400) if "zbad" in rows[i][1]]
+    assert sum(caught) >= 0.9 * len(caught)
+
+
 def test_toxicity_held_out_in_all_languages(spark):
     docs, labels = (ship(spark).read.parquet(f"/root/testdata/check_s/{t}.parquet") for t in ("documents", "labels"))
     third = F.crc32(F.col("doc_id").cast("string")) % 3
