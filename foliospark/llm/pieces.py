@@ -10,12 +10,14 @@ characters merge to and no merge crosses the border of two neighbours. So a way
 beside each other (``beside`` undoes the merges on both sides of the border, latest first), and of the admitted ways the longest last
 piece is taken; there is one. Either way the ids are those of the library.
 
-Words are those of ``tokencount``: no piece crosses their borders. A word with a run of spaces, whose pieces tie in a BPE model, is
-merged step by step. Characters without a piece become bytes, if the model has them, else the unknown piece."""
+Words are those of ``tokencount``: no piece crosses their borders. A word of more than ``WINDOW`` characters advances in windows that are
+joined where no merge crosses; of a BPE model a word with a run of spaces, whose pieces tie, and one whose windows don't join are merged
+by a heap, best pair first. So no word's cost grows with the square of its length. Characters without a piece become bytes, if the model has them, else the unknown piece."""
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from array import array
@@ -34,6 +36,8 @@ UNIGRAM, BPE = 1, 2
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Words of one length that advance together, entries of each generation of a worker's cache, and the longest word that it takes.
 WORDS_AT_ONCE, CACHE_WORDS, CACHE_CHARS = 1 << 14, 700_000, 64
+#: Characters of a window of a long word, of what two windows share, and windows that advance together.
+WINDOW, OVERLAP, WINDOWS_AT_ONCE = 256, 96, 1 << 10
 _FILTER_SHIFT = np.uint64(42)
 _RUN = re.compile(f"{SPACE}{SPACE}")
 
@@ -89,6 +93,7 @@ class Pieces:
         self.old: dict[str, bytes] = {}
         if self.kind == BPE:
             self.named = {self.names[i]: int(i) for i in used}
+            self.score_of = {self.names[i]: float(self.scores[i]) for i in used}
             self._undo()
 
     @staticmethod
@@ -110,18 +115,35 @@ class Pieces:
     # BPE
 
     def merge(self, word: str) -> list[tuple[str, tuple | None]]:
-        """The symbols that merging leaves, each with the two that it was merged from: best score first, leftmost of equals."""
-        parts: list[tuple[str, tuple | None]] = [(c, None) for c in word]
-        while len(parts) > 1:
-            best = at = None
-            for i in range(len(parts) - 1):
-                piece = self.named.get(parts[i][0] + parts[i + 1][0])
-                if piece is not None and (best is None or self.scores[piece] > best):
-                    best, at = self.scores[piece], i
-            if at is None:
-                break
-            parts[at : at + 2] = [(parts[at][0] + parts[at + 1][0], (parts[at][0], parts[at + 1][0]))]
-        return parts
+        """The symbols that merging leaves, each with the two that it was merged from: best score first, leftmost of equals. Pairs
+        wait in a heap, so the cost grows with the length times its logarithm."""
+        own: list[tuple[str, tuple | None] | None] = [(c, None) for c in word]
+        after, before = list(range(1, len(own) + 1)), list(range(-1, len(own) - 1))
+        waiting: list[tuple[float, int, str]] = []
+        scores = self.score_of
+
+        def meet(i: int) -> None:
+            if 0 <= i and after[i] < len(own):
+                both = own[i][0] + own[after[i]][0]
+                if both in scores:
+                    heapq.heappush(waiting, (-scores[both], i, both))
+
+        for i in range(len(own) - 1):
+            meet(i)
+        while waiting:
+            _, i, both = heapq.heappop(waiting)
+            if own[i] is None or after[i] >= len(own):
+                continue
+            j = after[i]
+            if len(own[i][0]) + len(own[j][0]) != len(both):  # one of the two has been merged since
+                continue
+            own[i], own[j] = (both, (own[i][0], own[j][0])), None
+            after[i] = after[j]
+            if after[j] < len(own):
+                before[after[j]] = i
+            meet(before[i])
+            meet(i)
+        return [x for x in own if x is not None]
 
     def _undo(self) -> None:
         """For each piece: the rank of its merge (-1: a character), the pieces it was merged from, and whether its characters
@@ -205,6 +227,38 @@ class Pieces:
             at[live] -= back[live, at[live]]
         return [o[::-1] for o in out]
 
+    def _merged(self, word: str) -> list[int]:
+        return [self.named.get(x, -1) for x, _ in self.merge(word)]
+
+    def _windows(self, word: str) -> list[int]:
+        """Pieces of a long word by windows of one length that advance together. Two neighbours are joined at a border that both have in
+        their overlap, if the pieces on its sides stand beside each other: then all neighbouring pieces of the whole do, and only one
+        segmentation is like that. A word with windows that don't join is merged by the heap."""
+        step = WINDOW - OVERLAP
+        begins = [*range(0, len(word) - WINDOW, step), len(word) - WINDOW]
+        found = []
+        for i in range(0, len(begins), WINDOWS_AT_ONCE):
+            found += self._viterbi([word[b : b + WINDOW] for b in begins[i : i + WINDOWS_AT_ONCE]], WINDOW)
+        borders = []
+        for b, own in zip(begins, found):
+            sizes = np.where(np.array(own) >= 0, self.lengths[own], 1)
+            borders.append(b + np.concatenate(([0], np.cumsum(sizes))))
+        out, at = [], 0  # ``at``: where the window's part begins
+        for k, own in enumerate(found[:-1]):
+            shared, left, right = np.intersect1d(borders[k], borders[k + 1], assume_unique=True, return_indices=True)
+            inside = (shared > max(at, begins[k + 1])) & (shared < begins[k] + WINDOW)
+            a, b = np.array(own)[left[inside] - 1], np.array(found[k + 1])[right[inside]]
+            fine = (a < 0) | (b < 0)
+            fine[~fine] = self.beside(a[~fine], b[~fine])
+            if not fine.any():
+                return self._merged(word)
+            middle = np.flatnonzero(fine)[fine.sum() // 2]
+            end = shared[inside][middle]
+            first = int(np.searchsorted(borders[k], at))
+            out += own[first : left[inside][middle]]
+            at = end
+        return out + found[-1][int(np.searchsorted(borders[-1], at)) :]
+
     def _ids(self, word: str, found: list[int]) -> bytes:
         if -1 not in found:
             return array("I", found).tobytes()
@@ -226,7 +280,9 @@ class Pieces:
         out: dict[str, bytes] = {}
         for w in words:
             if self.kind == BPE and _RUN.search(w):
-                out[w] = self._ids(w, [self.named.get(s, -1) for s, _ in self.merge(w)])
+                out[w] = self._ids(w, self._merged(w))
+            elif self.kind == BPE and len(w) > WINDOW:
+                out[w] = self._ids(w, self._windows(w))
             else:
                 by_length.setdefault(len(w), []).append(w)
         for n, own in by_length.items():

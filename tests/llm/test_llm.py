@@ -272,6 +272,25 @@ def test_pieces_are_the_librarys(docs, odd):
     assert back == {(key(i), t.replace("▁", " ")) for i, t in texts_of(odd)} and pieces.round_trip(odd.limit(0), PIECES).count() == 0
 
 
+def test_pieces_of_very_long_words():
+    """Runs of spaces and unbroken words cost about their length, and give the library's ids."""
+    import time
+
+    own, lib = pieces.Pieces(open(PIECES, "rb").read()), library()
+    random.seed(13)
+    syllables = ["on", "the", "er", "ing", "ou", "ß", "ción", "x", "7", "漢", "éa", "st", "ent", "ation", "QZ"]
+    letters = "".join(random.choices(syllables, k=40_000))[:100_000]
+    words = [" " * 100_000, letters, "a" * 100_000, "ab" * 50_000, "x" + " " * 30_000 + "y" * 30_000, "".join(random.choices("eationrsh", k=100_000)), "ha" * 300 + "漢" * 700, "_" * 5000 + "-" * 5000, "=" * 3001]
+    for n in (255, 256, 257, 400, 416, 417, 900, 3000):
+        words += [letters[n : 2 * n], "".join(random.choices("eationrsh .", k=n))]
+    begin = time.monotonic()
+    got = own.encode(words)
+    assert time.monotonic() - begin < 60
+    for word, ids in zip(words, got):
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(word), word[:50]
+        assert own.decode(ids) == word
+
+
 def test_unigram_viterbi_is_the_librarys():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2
