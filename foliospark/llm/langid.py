@@ -2,8 +2,8 @@
 
 Letters are lower-cased and everything else becomes one space, so n-grams are those of words and their borders. N-grams of one
 to three characters are hashed into ``BUCKETS`` buckets. Tasks count buckets by language for themselves and only those sums are
-shuffled; the matrix of log probabilities (languages x buckets, at most ``MAX_LANGUAGES`` rows) is broadcast. Scoring goes over the
-n-grams of many texts at once: rows of the matrix are gathered by bucket and summed by text.
+shuffled; the matrix of log probabilities (languages x buckets) is broadcast. Scoring counts the n-grams of many texts at once as sparse
+triples (text, bucket, number); the matrix's rows are gathered once for each triple and summed by text.
 
 The model is fitted on at most about ``TRAIN_DOCUMENTS`` labelled documents, chosen by a hash of their ids; everything else
 covers all rows and whole texts."""
@@ -19,13 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import slices
-
 UNKNOWN = "und"
-BUCKETS, ORDERS, MAX_LANGUAGES, TRAIN_DOCUMENTS = 1 << 15, (1, 2, 3), 512, 20_000
+BUCKETS, ORDERS, TRAIN_DOCUMENTS = 1 << 15, (1, 2, 3), 20_000
 SMOOTHING = 0.5
-#: N-grams gathered at once.
-GRAMS_AT_ONCE, TEXT_SLICE = 1 << 19, 1 << 19
+#: Characters counted at once, and languages that are scored or counted at once.
+TEXT_SLICE, LANGUAGES_AT_ONCE = 1 << 18, 64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []
 
@@ -36,17 +34,29 @@ def _letter_table() -> np.ndarray:
     return _letters[0]
 
 
-def letters_only(text: str) -> np.ndarray:
-    """Code points of the lower-cased letters, one space for whatever is between them, and at both ends; empty if there is
-    no letter."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le"), "<u4")
-    is_letter = _letter_table()[codes]
-    if not is_letter.any():
-        return np.zeros(0, np.uint32)
-    keep = is_letter.copy()
-    keep[1:] |= is_letter[:-1]  # the first of each run of others stands for the run
-    out = np.where(is_letter, codes, np.uint32(32))[keep]
-    return np.concatenate((out if out[0] == 32 else np.concatenate(([np.uint32(32)], out)), [np.uint32(32)] if out[-1] != 32 else []))
+def letter_windows(text: str, most: int | None = None) -> Iterator[tuple[np.ndarray, int]]:
+    """Code points of the lower-cased letters, one space for whatever is between them, and at both ends; nothing if there is no letter. A
+    text comes in windows of about ``most`` characters, so that memory doesn't follow its length; each begins with the last letters of
+    the one before, and the number says how many."""
+    most = most or TEXT_SLICE
+    before, counted = np.array([32], np.uint32), 0
+    for i in range(0, len(text), most):
+        codes = np.frombuffer(text[i : i + most].lower().encode("utf-32-le"), "<u4")
+        is_letter = _letter_table()[codes]
+        keep = is_letter.copy()
+        keep[1:] |= is_letter[:-1]  # the first of each run of others stands for the run
+        keep[:1] = True
+        out = np.where(is_letter, codes, np.uint32(32))[keep]
+        if before[-1] == 32 and out[0] == 32:
+            out = out[1:]
+        if i + most >= len(text) and (out[-1] if len(out) else before[-1]) != 32:
+            out = np.append(out, np.uint32(32))
+        if not len(out):
+            continue
+        whole = np.concatenate((before, out))
+        yield whole, counted
+        before = whole[1 - max(ORDERS) :]
+        counted = len(before)
 
 
 def grams(codes: np.ndarray, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> list[np.ndarray]:
@@ -63,6 +73,34 @@ def grams(codes: np.ndarray, orders: tuple[int, ...] = ORDERS, buckets: int = BU
     return out
 
 
+def counted_grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sparse counts of the n-grams of many texts, slice by slice: texts (ascending), buckets, numbers. A very long text comes in
+    several slices."""
+
+    def found(held: list[tuple[int, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(c) for _, c, _ in held])
+        row, ends = np.repeat(np.array([i for i, _, _ in held]), sizes), np.repeat(np.cumsum(sizes), sizes)
+        begin = np.repeat(np.cumsum(sizes) - sizes + np.array([n for _, _, n in held]), sizes)
+        keys = []
+        for n, own in zip(ORDERS, grams(np.concatenate([c for _, c, _ in held]))):
+            at = np.arange(len(own))
+            inside = (at + n <= ends[: len(own)]) & (at + n > begin[: len(own)])  # within a text, and not counted before
+            keys.append(row[: len(own)][inside] * BUCKETS + own[inside])
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        return key // BUCKETS, key % BUCKETS, n
+
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        for codes, counted in letter_windows(text):
+            held.append((i, codes, counted))
+            size += len(codes)
+            if size >= TEXT_SLICE:
+                yield found(held)
+                held, size = [], 0
+    if held:
+        yield found(held)
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -76,62 +114,68 @@ class LanguageModel:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not self.languages:
             return names, scores
-        for a, b in slices([t or "" for t in texts], TEXT_SLICE):
-            own = [(i, letters_only(texts[i])) for i in range(a, b) if texts[i]]
-            own = [(i, codes) for i, codes in own if len(codes)]
-            if not own:
-                continue
-            sums, sizes = np.zeros((len(own), len(self.languages))), np.zeros(len(own))
-            for k, (_, codes) in enumerate(own):
-                for found in grams(codes):
-                    sizes[k] += len(found)
-                    for s in range(0, len(found), GRAMS_AT_ONCE):
-                        sums[k] += self.matrix[found[s : s + GRAMS_AT_ONCE]].sum(axis=0, dtype=np.float64)
-            logs = self.prior + sums * np.minimum(1.0, 256 / sizes)[:, None]
-            logs -= logs.max(axis=1, keepdims=True)
-            chance = np.exp(logs)
-            chance /= chance.sum(axis=1, keepdims=True)
-            for (i, _), best, p in zip(own, chance.argmax(axis=1), chance.max(axis=1)):
-                names[i], scores[i] = self.languages[best], float(p)
+        sums, sizes = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        for row, bucket, n in counted_grams([t or "" for t in texts]):
+            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            for a in range(0, len(self.languages), LANGUAGES_AT_ONCE):  # so many columns that the gathered block stays small
+                block = self.matrix[bucket, a : a + LANGUAGES_AT_ONCE] * n[:, None].astype(np.float32)
+                sums[row[first], a : a + LANGUAGES_AT_ONCE] += np.add.reduceat(block, first, axis=0, dtype=np.float64)
+            sizes[row[first]] += np.add.reduceat(n, first)
+        own = np.flatnonzero(sizes)
+        logs = self.prior + sums[own] * np.minimum(1.0, 256 / sizes[own])[:, None]
+        logs -= logs.max(axis=1, keepdims=True)
+        chance = np.exp(logs)
+        chance /= chance.sum(axis=1, keepdims=True)
+        for i, best, p in zip(own, chance.argmax(axis=1), chance.max(axis=1)):
+            names[i], scores[i] = self.languages[best], float(p)
         return names, scores
 
 
 def fit(labelled: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", most: int = TRAIN_DOCUMENTS) -> LanguageModel:
     """A model of the languages of ``labelled``; rows with a null language are left out. ``most`` bounds the rows it is fitted
-    on: of more, each stays with probability most / rows, by a hash of its id (and of its text, where ids are null)."""
+    on: of more, each stays with probability most / rows, by a hash of its id (and of its text, where ids are null). Any number of
+    languages: the driver and the broadcast hold ``BUCKETS`` floats for each."""
     spark = labelled.sparkSession
     rows = labelled.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang")).filter("lang is not null")
-    total = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(total) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(r.lang for r in total)
+    # a row for each language
+    total = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = sorted(total)
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    n_rows = sum(r.n for r in total)
-    at = {x: i for i, x in enumerate(languages)}
     # the rarer a language, the more of it stays: each has an even share of the bound if it has the rows
-    share = {r.lang: min(1.0, most / len(languages) / r.n) for r in total}
-    kept = F.lit(False)
-    for lang in languages:
-        kept = kept | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(1 << 30)) < int(share[lang] * (1 << 30))))
-    sent = spark.sparkContext.broadcast(at)
+    kept = spark.createDataFrame([(x, i, int(min(1.0, most / len(languages) / total[x]) * (1 << 30))) for i, x in enumerate(languages)], "lang string, k int, below int")
+    drawn = F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(1 << 30)) < F.col("below")
+    drawn = rows.join(F.broadcast(kept), "lang").filter(drawn).select("k", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros((len(sent.value), BUCKETS), np.int64)
+        own: dict[int, np.ndarray] = {}
+
+        def rows_of() -> pa.RecordBatch:
+            k = np.repeat(np.array(list(own), np.int32), [np.count_nonzero(x) for x in own.values()])
+            bucket = np.concatenate([np.flatnonzero(x) for x in own.values()]).astype(np.int32)
+            n = np.concatenate([x[x > 0] for x in own.values()])
+            own.clear()
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(bucket), pa.array(n)], names=["k", "bucket", "n"])
+
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for found in grams(letters_only(text or "")):
-                    own[sent.value[lang]] += np.bincount(found, minlength=BUCKETS)
-        k, bucket = np.nonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(own[k, bucket])], names=["k", "bucket", "n"])
+            langs = batch.column(0).to_numpy()
+            for row, bucket, n in counted_grams([t or "" for t in batch.column(1).to_pylist()]):
+                k = langs[row]
+                for x in np.unique(k).tolist():
+                    if x not in own and len(own) >= LANGUAGES_AT_ONCE:
+                        yield rows_of()
+                    own.setdefault(x, np.zeros(BUCKETS, np.int64))
+                    np.add.at(own[x], bucket[k == x], n[k == x])
+        if own:
+            yield rows_of()
 
     # at most languages x buckets rows reach the driver
-    counted = rows.filter(kept).select("text", "lang").mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = drawn.mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((BUCKETS, len(languages)))
-    counts[counted["bucket"], counted["k"]] = counted["n"]
+    counts[counted.column("bucket").to_numpy(), counted.column("k").to_numpy()] = counted.column("n").to_numpy()
     matrix = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=0) + SMOOTHING * BUCKETS)
-    sizes = np.array([next(r.n for r in total if r.lang == x) for x in languages])
-    return LanguageModel(languages, matrix.astype(np.float32), np.log(sizes / n_rows))
+    sizes = np.array([total[x] for x in languages])
+    return LanguageModel(languages, matrix.astype(np.float32), np.log(sizes / sizes.sum()))
 
 
 def is_held_out(id_column: str = "doc_id") -> Column:
@@ -146,7 +190,8 @@ def train(docs: DataFrame, **columns: str) -> LanguageModel:
 
 def identify(docs: DataFrame, model: LanguageModel, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row for each row. Only the text is an input of the prediction; an empty text
-    has no letter. With a model that has seen no language everything is UNKNOWN."""
+    has no letter. Equal rows give equal rows, a null id stays null and isn't held out, an empty table gives no rows; other
+    columns are not read. With a model that has seen no language everything is UNKNOWN."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), is_held_out(id_column).alias("held_out"), F.col(text_column).alias("text"))
 
@@ -159,7 +204,8 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_column: str = "doc_id"
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, *, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language of at least that probability."""
+    """The rows of ``docs``, all columns, whose text has a language of at least that probability. A null text, an empty one and
+    one without a letter go; equal rows stay or go together; an empty table gives an empty one."""
     sent, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
     at = docs.columns.index(text_column)
 

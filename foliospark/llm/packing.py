@@ -49,13 +49,13 @@ class BestFit:
         rest = free - length
         if rest:
             if self.n_open == self.most:
-                self._close_fullest(rest)
+                self._close_fullest()
             self.by_free[rest].append(at)
             self.bits |= 1 << rest
             self.n_open += 1
         return at, self.capacity - free
 
-    def _close_fullest(self, rest: int) -> None:
+    def _close_fullest(self) -> None:
         least = (self.bits & -self.bits).bit_length() - 1
         self.by_free[least].pop(0)
         if not self.by_free[least]:

@@ -242,6 +242,53 @@ def test_fingerprints_of_edits(request, table):
     assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
 
 
+def plain_vector(text):
+    """The vector lane by lane: SHAKE-128 of each paragraph, and a sum of signs over its shingles of three words."""
+    import xxhash
+
+    total = [0] * (fingerprints.IDENTITY + fingerprints.SIGNS)
+    for paragraph in text.split("\n"):
+        digest = hashlib.shake_128(b"\x01" + paragraph.encode()).digest(32)
+        for k in range(16):
+            total[k] = (total[k] + digest[2 * k] + 256 * digest[2 * k + 1]) % 65536
+        words = [w[i : i + 16] for w in paragraph.split() for i in range(0, len(w), 16)]
+        if len(words) >= 3:
+            units = [" ".join(words[i : i + 3]).encode() for i in range(len(words) - 2)]
+        else:
+            units = [" ".join(words).encode() if words else b"\x02" + paragraph.encode()]
+        for unit in units:
+            for m, factor in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)):
+                h = xxhash.xxh3_64_intdigest(unit) * factor % 2**64
+                h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+                h ^= h >> 32
+                for b, byte in enumerate(h.to_bytes(8, "little")):
+                    for place in range(8):
+                        sign = 1 if byte >> 7 - place & 1 else -1
+                        at = 16 + 64 * m + 8 * b + place
+                        total[at] = (total[at] + sign) % 65536
+    return total
+
+
+def test_fingerprints_equal_plain_sums_and_exact_likeness(docs, odd):
+    from collections import Counter
+
+    texts = [r["text"] or "" for r in docs.limit(60).collect()] + [r["text"] for r in odd.collect() if r["text"] and r["text"] != LONG]
+    for text in texts[::4] + texts[-6:]:
+        assert fingerprints.text_vector(text).tolist() == plain_vector(text)
+    same = {}
+    for text in texts:
+        same.setdefault(fingerprints.encode(fingerprints.text_vector(text)), set()).add(tuple(sorted(text.split("\n"))))
+    assert all(len(x) == 1 for x in same.values()) and len(same) == len({tuple(sorted(t.split("\n"))) for t in texts})
+    errors = []
+    for a, b in zip(texts, texts[1:] + texts[:1]):
+        edited = a[: len(a) - len(a) // 4] + b[: len(a) // 4]
+        for other in (edited, b):
+            x, y = (Counter(u for p in t.split("\n") for u in fingerprints._units(p)) for t in (a, other))
+            exact = 1 - sum((x[u] - y[u]) ** 2 for u in x | y) / (sum(n * n for n in x.values()) + sum(n * n for n in y.values()))
+            errors.append(abs(max(0.0, exact) - fingerprints.likeness(fingerprints.text_vector(a), fingerprints.text_vector(other))))
+    assert np.quantile(errors, 0.95) < 0.2 and np.mean(errors) < 0.07  # 256 signs: a standard deviation of at most 1 / 11
+
+
 def test_fingerprints_are_multisets(empty, odd):
     f = lambda t: fingerprints.encode(fingerprints.text_vector(t))
     assert f("a b\nc\nd e f") == f("d e f\na b\nc") != f("d e f\na b")
@@ -562,6 +609,62 @@ def test_language(docs, odd, empty):
     assert kept.columns == odd.columns and kept.filter("text is null or text = '...'").count() == 0
 
 
+def plain_grams(text):
+    """Letters of lower case, one space for what is between them and at the ends; all runs of one to three of these."""
+    own = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    own = " " + " ".join(own.split(" ")).strip() + " " if own.strip() else ""
+    while "  " in own:
+        own = own.replace("  ", " ")
+    return [own[i : i + n] for n in (1, 2, 3) for i in range(len(own) - n + 1)]
+
+
+def test_language_equals_plain_naive_bayes(docs, odd, monkeypatch):
+    model = langid.train(docs)
+    rows = docs.collect()
+    learned = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["lang"]]
+    languages, bucket_of = sorted({r["lang"] for r in learned}), {}
+
+    def bucket(gram):
+        if gram not in bucket_of:
+            value = 0
+            for n, c in enumerate(gram, 1):
+                value = (value * 1_000_003 + ord(c) + n) % 2**64
+            value = value * int(langid._MULTIPLIER) % 2**64
+            bucket_of[gram] = ((value ^ value >> 29) * int(langid._MULTIPLIER) % 2**64) >> 64 - 15
+        return bucket_of[gram]
+
+    counts = np.zeros((langid.BUCKETS, len(languages)))
+    for r in learned:
+        for g in plain_grams(r["text"] or ""):
+            counts[bucket(g), languages.index(r["lang"])] += 1
+    matrix = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * langid.BUCKETS))
+    prior = np.log(np.array([sum(r["lang"] == x for r in learned) for x in languages]) / len(learned))
+    assert model.languages == languages and np.allclose(model.matrix, matrix, atol=1e-5)
+    texts = [r["text"] for r in rows] + [t for t in AWKWARD if t is not LONG] + [LONG[:3000]]
+    for slice_size in (langid.TEXT_SLICE, 50):  # the second cuts texts in many windows
+        monkeypatch.setattr(langid, "TEXT_SLICE", slice_size)
+        some = texts if slice_size > 50 else texts[::9]
+        for text, lang, score in zip(some, *model.score(some)):
+            own = [bucket(g) for g in plain_grams(text or "")]
+            if slice_size == 50 and text and len(text.lower()) != len(text):
+                continue
+            if not own:
+                assert (lang, score) == ("und", 0.0)
+                continue
+            logs = prior + matrix[own].sum(axis=0) * min(1, 256 / len(own))
+            chance = np.exp(logs - logs.max())
+            assert lang == languages[int(chance.argmax())] and abs(score - chance.max() / chance.sum()) < 1e-3
+
+
+def test_language_with_many_languages(spark):
+    rows = [(i, f"w{i % 700} ab{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}xyz{chr(97 + i // 676)}", f"l{i % 700:03d}") for i in range(1400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert len(model.languages) == 700
+    got = langid.identify(df, model).collect()
+    assert len(got) == 1400 and sum(r["lang_pred"] == rows[r["doc_id"]][2] for r in got) > 700
+
+
 # 9
 
 
