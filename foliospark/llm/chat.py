@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import shuffle_partitions
+from foliospark.llm.common import shuffle_partitions, written
 
 BEGIN, COLON, END, OPEN, CLOSE = "### ", ": ", "</turn>", "<|", "|>"
 LEARNED = "assistant"
@@ -29,6 +29,7 @@ TILE, TOKENS_PER_TILE, TOKENS_PER_SECOND, TOKENS_PER_PAGE = 512, 256, 25, 600
 
 _CONTROL = re.compile(r"\\|### |</turn>|<\||: ")
 _ESCAPED = re.compile(r"\\(.)", re.S)
+_PLACEHOLDER = re.compile(r"(\\.)|<\|(?:image|audio|document):\d+\|>", re.S)
 _SCAN = re.compile(r"\\.|</turn>\n|<\|(image|audio|document):(\d+)\|>|: |### ", re.S)
 
 
@@ -177,23 +178,29 @@ def format_turns(messages: DataFrame, *, conv_column: str = "conv_id", turn_colu
     return rows.mapInArrow(form, TURN)
 
 
+def write_turns(turns: DataFrame) -> DataFrame:
+    """``turns`` of ``format_turns`` as a table in the shared folder, read back from there."""
+    return written(turns, "turns")
+
+
 def conversation_digests(turns: DataFrame) -> DataFrame:
-    """Reads formatted turns back: for each conversation n_turns, turns_sha256 (of role, line feed, text, line feed for each turn, all
-    unescaped), loss_chars and loss_sha256 (code points and digest of the text under the loss), formatted_chars, expanded_tokens.
+    """Reads formatted turns: for each conversation n_turns, turns_sha256 (of role, line feed, text, line feed for each turn, all
+    unescaped), loss_chars and loss_sha256 (code points and digest of the text under the loss), formatted_chars, expanded_tokens and
+    n_attachments, both of which count placeholders as they were parsed.
 
     Turns come in order of turn (nulls first), equal ones in order of their formatted text. A conversation streams through one task
     in sorted order and only digests are held, so a very long one needs no memory, though its digest is sequential."""
     dealt = turns.select("conv_id", "turn", "formatted", "content_begin", "content_end", "in_loss", "expanded_tokens")
     dealt = dealt.repartition(shuffle_partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "expanded_tokens"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "expanded_tokens", "n_attachments"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list | None = None
 
         def row() -> tuple:
-            conv, n, whole, chars, loss, size, tokens = own
-            return conv, n, whole.hexdigest(), chars, loss.hexdigest(), size, tokens
+            conv, n, whole, chars, loss, size, tokens, attached = own
+            return conv, n, whole.hexdigest(), chars, loss.hexdigest(), size, tokens, attached
 
         for batch in batches:
             out = []
@@ -201,13 +208,14 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
                 if own is None or own[0] != conv:
                     if own:
                         out.append(row())
-                    own = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                    own = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
                 for role, segments in parse(formatted):
                     text = "".join(t for kind, t in segments if kind == "text")
                     own[1] += 1
+                    own[7] += sum(kind != "text" for kind, _ in segments)
                     own[2].update(f"{role}\n{text}\n".encode())
                 if in_loss:
-                    under = unescape(formatted[begin:end])
+                    under = unescape(_PLACEHOLDER.sub(lambda m: m[1] or "", formatted[begin:end]))
                     own[3] += len(under)
                     own[4].update(under.encode())
                 own[5] += len(formatted)
@@ -217,4 +225,4 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
         if own:
             yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row(), kinds)], names=names)
 
-    return dealt.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, expanded_tokens long")
+    return dealt.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, expanded_tokens long, n_attachments long")

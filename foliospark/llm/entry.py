@@ -23,7 +23,9 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame([(ADDED[0], 0, "user", ADDED[1]), (ADDED[0], 1, "assistant", ADDED[1])], "conv_id long, turn long, role string, text string")
     messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
-    return chat.conversation_digests(chat.format_turns(messages)).drop("expanded_tokens")
+    parts = F.array(F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text")))
+    turns = chat.format_turns(messages.withColumn("parts", parts), parts_column="parts")
+    return chat.conversation_digests(chat.write_turns(turns))
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +81,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, f)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, f) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length(f))::BIGINT AS formatted_chars
+  sum(length(f))::BIGINT AS formatted_chars, 0::BIGINT AS expanded_tokens, 0::BIGINT AS n_attachments
 FROM formatted GROUP BY conv_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

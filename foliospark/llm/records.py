@@ -11,6 +11,7 @@ and the same input gives the same bytes, so a task that runs twice does no harm.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -71,17 +72,40 @@ def deserialize(payload: bytes) -> tuple[int | None, bytes]:
     return None if flags & 1 else int.from_bytes(payload[:8], "little", signed=True), ids
 
 
+#: Schemes of Spark's file systems, and those under which the workers' library has the same store.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "s3": "s3", "gs": "gs", "abfss": "abfss", "abfs": "abfs", "hdfs": "hdfs", "viewfs": "viewfs", "file": "file"}
+
+
 def _open(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
 
 
+def worker_path(spark: SparkSession, path: str) -> str:
+    """``path`` as workers open it. Spark resolves it, so a path without a scheme is one of its default file system, not of a
+    worker's own disk. ValueError for a store that workers can't reach, and for a local folder on a cluster unless it
+    is in spark.checkpoint.dir, which all machines share."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = own.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    whole = str(own.makeQualified(store.getUri(), store.getWorkingDirectory()).toString())
+    scheme, rest = whole.split(":", 1)
+    if scheme not in SCHEMES:
+        raise ValueError(f"workers have no file system for {scheme}: {path}")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    local = re.sub("^file:/+", "/", whole)
+    inside = bool(shared) and local.startswith(re.sub("^file:/+", "/", shared.rstrip("/")) + "/")
+    if scheme == "file" and not inside and not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"a folder of one machine, where others don't see it: {path}")
+    return f"file://{local}" if scheme == "file" else f"{SCHEMES[scheme]}:{rest}"
+
+
 def write_records(docs: DataFrame, path: str, spec: bytes, end_id: int | None, *, id_column: str = "doc_id", text_column: str = "text", parts: int | None = None) -> list[dict]:
     """Writes the ids of every whole text (null: empty) in ascending order of id, equal ids in order of their texts, null
     ids first, and returns the manifest: one entry for each file, in order. ``end_id`` ends each document unless it is None.
     An empty table gives no files. Other columns are not read."""
     spark = docs.sparkSession
+    path = worker_path(spark, path)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     parts = parts or shuffle_partitions(spark)
     bounds = range_bounds(rows, "doc_id", parts)
@@ -132,7 +156,7 @@ def read_records(spark: SparkSession, path: str, manifest: list[dict]) -> DataFr
     """One row for each record, every checksum verified: doc_id, start (ids of all records before it), n_tokens,
     ids_crc32 (unsigned, of the ids as little-endian unsigned 32-bit integers), file and offset. A changed or cut file
     raises CorruptRecord."""
-    items, base = [], 0
+    path, items, base = worker_path(spark, path), [], 0
     for m in manifest:
         items += [(m["part"], base, a, min(a + RECORDS_PER_TASK, m["records"])) for a in range(0, m["records"], RECORDS_PER_TASK)]
         base += m["tokens"]
@@ -173,7 +197,7 @@ def read_records(spark: SparkSession, path: str, manifest: list[dict]) -> DataFr
 
 
 def record_at(path: str, part: int, number: int) -> tuple[int | None, bytes]:
-    """One record by its number, through the index: what a shuffled reader does."""
+    """One record by its number, through the index: what a shuffled reader does. ``path`` as ``worker_path`` gives it."""
     store, folder = _open(path)
     with store.open_input_file(f"{folder}/{part:08d}.idx") as f:
         at = int.from_bytes(f.read_at(8, number * ENTRY), "little")

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, the libraries and exact round trips, and on awkward rows."""
 
 import hashlib
+import os
 import random
 import zlib
 from array import array
@@ -10,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.llm import ann, chat, fingerprints, langid, packing, pieces, records, simhash, tokencount, tokens, toxicity
-from foliospark.llm.common import default_vocabulary, range_bounds, range_of
+from foliospark.llm import common
+from foliospark.llm.common import Scratch, by_size, default_vocabulary, discard, range_bounds, range_of, shared_folder, written
 from foliospark.sources.ship import ship
 
 SF = "/root/testdata/sf0.001"
@@ -98,6 +100,43 @@ def test_records_empty_table_random_access_and_damage(spark, empty, docs, tmp_pa
             records.unframe(bytes(broken))
 
 
+def test_records_paths(spark, tmp_path, monkeypatch):
+    assert records.worker_path(spark, str(tmp_path)) == records.worker_path(spark, f"file:{tmp_path}") == f"file://{tmp_path}"
+    with pytest.raises(Exception, match="No FileSystem|workers have no file system"):
+        records.worker_path(spark, "ftpx://host/a")
+
+    class Cluster:
+        def __init__(self, shared):
+            self.sparkContext = type("Context", (), {"_jvm": spark.sparkContext._jvm, "master": "spark://host:1", "getCheckpointDir": lambda self: None})()
+            self._jsparkSession, self.conf = spark._jsparkSession, type("Conf", (), {"get": lambda self, key, other=None: shared})()
+
+    with pytest.raises(ValueError, match="one machine"):
+        records.worker_path(Cluster(None), str(tmp_path))
+    assert records.worker_path(Cluster(f"file://{tmp_path}/shared"), f"{tmp_path}/shared/x") == f"file://{tmp_path}/shared/x"
+    with pytest.raises(ValueError, match="shared folder"):
+        shared_folder(Cluster(None), "x")
+
+
+def test_tables_are_deleted(spark, tmp_path):
+    with Scratch() as scratch:
+        gone, kept = written(spark.range(3), "gone"), scratch.keep(written(spark.range(4), "kept"))
+        discard(gone)
+        discard(gone)
+        other = written(spark.range(5), "other")
+    exists = [os.path.exists(x.written_to.removeprefix("file://")) for x in (gone, kept, other)]
+    assert exists == [False, True, False] and kept.count() == 4
+
+
+@pytest.mark.parametrize("heavy, least", [(10_000, 64), (3, 1), (1, 1)])
+def test_join_by_size(spark, monkeypatch, heavy, least):
+    monkeypatch.setattr(common, "HEAVY_KEYS", heavy)
+    monkeypatch.setattr(common, "LEAST_HEAVY", least)
+    rows = spark.createDataFrame([(min(i, 40) % 7, i) for i in range(200)], "k int, x int")
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("most"))
+    got = sorted(map(tuple, by_size(rows, sizes, "k", 200).select("k", "x", "n", "most").collect()))
+    assert got == sorted(map(tuple, rows.join(sizes, "k").select("k", "x", "n", "most").collect())) and len(got) == 200
+
+
 def test_ranges_keep_order(spark):
     df = spark.createDataFrame([(i * i,) for i in range(200)] + [(None,)], "v long")
     bounds = range_bounds(df, "v", 12)
@@ -130,6 +169,28 @@ def test_chat_parts_become_placeholders(spark):
     assert r["expanded_tokens"] == 256 and [a["ref"] for a in r["attachments"]] == ["p"]
 
 
+def test_chat_parts_are_written_and_read_back(spark):
+    part = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+    text = lambda t: ("text", t, None, None, None, None, None)
+    rows = [
+        (1, 0, "user", [text("look: <|image:0|> "), ("image", None, "a.png", 1024, 600, None, None), text("\\ and"), ("audio", None, "b.wav", None, None, 2.5, None)]),
+        (1, 1, "assistant", [text("fine "), ("document", None, "c.pdf", None, None, None, 4), text("<|audio:7|></turn>")]),
+        (2, 0, "assistant", None),
+        (3, 0, "assistant", [("image", None, None, None, None, None, None)]),
+    ]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{part}>")
+    turns = chat.write_turns(chat.format_turns(df, parts_column="parts"))
+    got = {r["conv_id"]: r for r in chat.conversation_digests(turns).collect()}
+    assert (got[1]["expanded_tokens"], got[1]["n_attachments"]) == (4 * 256 + 63 + 2400, 3)
+    learned = "fine <|audio:7|></turn>"
+    assert got[1]["loss_chars"] == len(learned) and got[1]["loss_sha256"] == hashlib.sha256(learned.encode()).hexdigest()
+    whole = "user\nlook: <|image:0|> \\ and\nassistant\n" + learned + "\n"
+    assert got[1]["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
+    assert got[2]["loss_chars"] == got[3]["loss_chars"] == 0 and got[3]["expanded_tokens"] == 256
+    kinds = [[(a["number"], a["kind"], a["ref"]) for a in r["attachments"]] for r in turns.orderBy("conv_id", "turn").collect()]
+    assert kinds == [[(0, "image", "a.png"), (1, "audio", "b.wav")], [(0, "document", "c.pdf")], [], [(0, "image", "")]]
+
+
 def test_chat_odd_rows(spark):
     rows = [(1, 1, "assistant", None), (1, 0, None, "x"), (None, 0, "assistant", "y"), (1, 1, "assistant", "z"), (1, 1, "assistant", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
