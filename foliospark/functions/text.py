@@ -64,6 +64,28 @@ def language_of(texts: Column) -> Column:
     )
 
 
+def page_language(texts: Column) -> Column:
+    """An aggregate: the language of a page's blocks as if they were one text without anything between."""
+    text = F.coalesce(texts, F.lit(""))
+    any_of = lambda pattern: F.coalesce(F.bool_or(text.rlike(pattern)), F.lit(False))
+    return (
+        F.when(any_of(HANGUL), "korean").when(any_of(KANA), "japan")
+        .when(any_of(CJK), F.when(any_of(f"[{BLOCK_TRADITIONAL}]"), "ch_tra").otherwise("ch_sim")).otherwise("en")
+    )
+
+
+# Characters that a title, a line and a message keep.
+TITLE_CHARS, LINE_CHARS, MESSAGE_CHARS = 100, 200, 500
+
+
+def shortened(c: Column, most: int) -> Column:
+    return F.substring(c, 1, most)
+
+
+def display_stem(filename: Column) -> Column:
+    return F.regexp_replace(filename, r"(?i)\.pdf\z", "")
+
+
 def is_list_item(c: Column) -> Column:
     return c.rlike(rf"\A[•·▪▸\-*]|\A\p{{Nd}}+[.)、]{WS}")
 
@@ -114,4 +136,4 @@ def email_allowed(given: Column, allowed: Column) -> Column:
 
 
 def output_name(filename: Column, kind: str) -> Column:
-    return F.concat(F.regexp_replace(filename, r"(?i)\.pdf\z", ""), F.lit(f"_{kind}.pdf"))
+    return F.concat(display_stem(filename), F.lit(f"_{kind}.pdf"))

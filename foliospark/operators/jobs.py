@@ -73,6 +73,52 @@ def response_code(exists: Column, accepted: Column) -> Column:
     return F.when(~exists, 404).when(~accepted, 400).otherwise(200)
 
 
+def merged(patches: DataFrame, fields: list[str]) -> DataFrame:
+    """The record of each job after its patches (job_id, seq, fields): of each field the last value that isn't null. An aggregate, so
+    a job's patches are folded where they are read."""
+    return patches.groupBy("job_id").agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("seq"))).alias(f) for f in fields])
+
+
+def lookup(asked: DataFrame, jobs: DataFrame) -> DataFrame:
+    """job_id, status, code: 404 for an id that no job has."""
+    found = asked.join(jobs.select("job_id", "status"), "job_id", "left")
+    return found.withColumn("code", response_code(F.col("status").isNotNull(), F.lit(True)))
+
+
+def history_records(listed: DataFrame, records: DataFrame) -> DataFrame:
+    """position, job_id, status: the history's ids (position, job_id) with their records (job_id, body: JSON text), in its order. Ids
+    without a record, and records that aren't objects, drop out."""
+    body = F.try_parse_json("body")
+    whole = records.filter(F.coalesce(F.schema_of_variant(body).startswith("OBJECT"), F.lit(False)))
+    return listed.join(whole.select("job_id", F.try_variant_get(body, "$.status", "string").alias("status")), "job_id").select("position", "job_id", "status")
+
+
+def deletions(asked: DataFrame, jobs: DataFrame) -> DataFrame:
+    """job_id, code, dequeued: what a request to delete gives; 404 for no job, 400 for one that is processing."""
+    found = asked.join(jobs.select("job_id", "status"), "job_id", "left")
+    code = response_code(F.col("status").isNotNull(), deletable(F.col("status")))
+    return found.select("job_id", code.alias("code"), ((code == 200) & (F.col("status") == "queued")).alias("dequeued"))
+
+
+def cascade(tables: dict[str, DataFrame], deleted: DataFrame) -> dict[str, DataFrame]:
+    """``tables`` (files, cache, records, history, queue: each with job_id) without the rows of jobs whose deletion was accepted."""
+    gone = deleted.filter("code = 200")
+    return {name: without_job(table, gone) for name, table in tables.items()}
+
+
+def logged_out(sessions: DataFrame, logouts: DataFrame) -> DataFrame:
+    """``sessions`` without those whose token was handed back."""
+    return sessions.join(logouts.select("token"), "token", "left_anti")
+
+
+TERMINAL, POLL_S = ("done", "failed", "stopped"), 5
+
+
+def polls(seconds: Column, status: Column) -> Column:
+    """How often a client that asks every five seconds asks until a job has ended after so many; null if it hasn't."""
+    return F.when(status.isin(*TERMINAL), F.greatest(F.lit(1), F.ceil(seconds / POLL_S)).cast("long"))
+
+
 def history(jobs: DataFrame, most: int = HISTORY) -> DataFrame:
     """The newest jobs by order of upload, which is kept in ``seq``: a limit, so tasks send ``most`` rows each."""
     newest = jobs.orderBy(F.desc("seq")).limit(most)

@@ -67,6 +67,14 @@ def block_overlay(rect: Column, text: Column) -> Column:
     return F.struct(size.alias("size"), wrap(text, size, w).alias("lines"))
 
 
+def block_lines(rect: Column, text: Column, page_height) -> Column:
+    """Array of (i, line, x, y) of ``block_overlay``'s lines: one below the other from the box's top; the first that would stand below
+    the page's end, and all after it, are left out."""
+    whole = block_overlay(rect, text)
+    placed = F.transform(whole["lines"], lambda line, i: F.struct(i.alias("i"), line.alias("line"), rect["x0"].alias("x"), (rect["y0"] + whole["size"] * (1.0 + 1.2 * i)).alias("y")))
+    return F.filter(placed, lambda p: p["y"] <= F.lit(float(page_height)))
+
+
 def overlay_rows(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """The lines that have a place, and the blocks none of whose lines has one. ``lines`` has doc_id, page, ord, line, placed;
     ``blocks`` doc_id, page, ord."""

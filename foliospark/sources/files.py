@@ -105,3 +105,26 @@ def clean_pdfs(lines: DataFrame) -> DataFrame:
             yield done()
 
     return dealt.mapInArrow(assemble, "doc_id long, content binary")
+
+
+def searchable_pdfs(lines: DataFrame, sources: DataFrame) -> DataFrame:
+    """doc_id, content, how: for each source (doc_id, content: the original, scans: JPEG of each page) its scans with the placed ``lines`` (doc_id, page,
+    x, y, size, text) over them, invisible; if that fails a copy of the original, else a minimal file."""
+    row = F.struct("page", "y", "x", "size", "text")
+    own = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, content, scans, rows in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    if not scans or any(s is None for s in scans):
+                        raise ValueError("a page without a scan")
+                    pages = [[(r["x"], r["y"], r["size"], r["text"]) for r in rows or [] if r["page"] == p] for p in range(len(scans))]
+                    out.append((doc_id, pdf(pages, scans), "overlay"))
+                except Exception as e:  # a document that can't be assembled still has a file
+                    out.append((doc_id, content, "original") if content else (doc_id, minimal_pdf(str(doc_id), str(e)), "minimal"))
+            columns = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.string()))], names=["doc_id", "content", "how"])
+
+    return sources.join(own, "doc_id", "left").select("doc_id", "content", "scans", "rows").mapInArrow(assemble, "doc_id long, content binary, how string")

@@ -1,21 +1,21 @@
 """Recognition as a source: providers by name, answers cached by page, only missing pages sent.
 
 A provider is built once in each Python worker. It takes image bytes and a prompt and returns the response's text. A page's failure
-is a value (``error``), not a task's failure. Results are written before anything reads them, so no page is paid for twice."""
+is a value (``error``), not a task's failure."""
 
 from __future__ import annotations
 
-import threading
+import random
 import time
-from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.operators.jobs import to_recognize
+from foliospark.operators.pages import cache_hits, newest
 
 
 class Provider(Protocol):
@@ -57,51 +57,63 @@ class Fixture:
 register("fixture", Fixture)
 
 
-class RateLimit:
-    """At most ``most`` successful calls in sixty seconds, in one process; with N tasks each gets its share."""
+class CallWindow:
+    """At most ``most`` successes in any ``seconds``, of one task's calls, which it makes one after the other. The ring holds the times of the last
+    ``most`` successes: its oldest entry says when the next call may begin."""
 
-    def __init__(self, most: int, clock=time.monotonic, sleep=time.sleep):
-        self.most, self.clock, self.sleep = most, clock, sleep
-        self.done: deque[float] = deque()
-        self.lock = threading.Lock()
+    def __init__(self, most: int, seconds: float = 60.0, slack: float = 0.1, clock=time.monotonic, sleep=time.sleep):
+        self.seconds, self.slack, self.clock, self.sleep = seconds, slack, clock, sleep
+        self.ring, self.at = [float("-inf")] * most, 0
 
-    def wait(self) -> None:
-        with self.lock:
-            now = self.clock()
-            while self.done and now - self.done[0] > 60.0:
-                self.done.popleft()
-            pause = 60 - (now - self.done[0]) + 0.1 if len(self.done) >= self.most else 0
-        if pause > 0:
-            self.sleep(pause)
+    def call(self, function: Callable, *args):
+        """``function``'s result, once its turn has come; an error leaves the ring as it is."""
+        while (age := self.clock() - self.ring[self.at]) <= self.seconds:
+            self.sleep(self.seconds - age + self.slack)
+        result = function(*args)
+        self.ring[self.at] = self.clock()
+        self.at = (self.at + 1) % len(self.ring)
+        return result
 
-    def record(self) -> None:
-        with self.lock:
-            self.done.append(self.clock())
 
+def pause(attempt: int, after: float | None, is_api_error: bool, base: float, cap: float, draw=random.uniform) -> float:
+    """Seconds before the next attempt: the server's hint within its bounds, else drawn between base and a ceiling that doubles; for other
+    errors a multiple of base."""
+    if not is_api_error:
+        return min(cap, base * attempt)
+    if after is not None:
+        return min(cap, max(0.5, after))
+    return draw(base, max(base, min(cap, base * 2 ** (attempt - 1))))
 
-def recognize(pages: DataFrame, cache: DataFrame, name: str, config: dict, prompt: str, *, rpm: int = 2000, attempts: int = 8, base: float = 4.0, cap: float = 120.0, tasks: int = 8) -> DataFrame:
-    """job_id, page, result, error: cached pages as they are, the others from the provider. ``pages`` has job_id, page, image."""
+
+def recognize(pages: DataFrame, cache: DataFrame, name: str, config: dict, prompt: str, *, rpm: int = 2000, per_day: int | None = None, attempts: int = 8, base: float = 4.0, cap: float = 120.0, tasks: int = 8) -> DataFrame:
+    """job_id, page, result, error: pages with a usable cache entry as they are, the others from the provider. ``pages`` has job_id, page,
+    image. Of the latter only the first ``per_day``, by job and page, are sent; the rest have an error. Tasks share ``rpm``
+    evenly, so there are as many as it allows at most. The caller writes the rows before using them (see ``recognize_into``)."""
     if name.lower() not in _makers:
         provider(name, config)  # says what there is
     make = _makers[name.lower()]
-    todo = to_recognize(pages, cache).repartition(tasks)
+    tasks = max(1, min(tasks, rpm))
+    whole = cache_hits(cache)
+    todo = to_recognize(pages.withColumn("page", F.col("page").cast("int")), whole.withColumn("page", F.col("page").cast("int"))).select("job_id", "page", "image")
+    rest = None
+    if per_day is not None:
+        sent = todo.select("job_id", "page").orderBy("job_id", "page").limit(per_day)
+        todo, rest = todo.join(sent, ["job_id", "page"], "left_semi"), todo.join(sent, ["job_id", "page"], "left_anti")
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, limit = make(config), RateLimit(max(1, rpm // tasks))
+        own, window = make(config), CallWindow(rpm // tasks)
         for batch in batches:
             results, errors = [], []
             for image in batch.column(2).to_pylist():
                 result = error = None
                 for attempt in range(1, attempts + 1):
-                    limit.wait()
                     try:
-                        result, error = own.analyse(image, prompt), None
-                        limit.record()
+                        result, error = window.call(own.analyse, image, prompt), None
                         break
-                    except Retryable as e:
-                        error = str(e)
+                    except (Retryable, ConnectionError, TimeoutError) as e:
+                        error = f"{type(e).__name__}: {e}"
                         if attempt < attempts:
-                            time.sleep(min(cap, max(0.5, e.after)) if e.after is not None else min(cap, base * 2 ** (attempt - 1)))
+                            time.sleep(pause(attempt, getattr(e, "after", None), isinstance(e, Retryable), base, cap))
                     except Exception as e:  # the page fails, not the job
                         error = f"{type(e).__name__}: {e}"
                         break
@@ -109,6 +121,30 @@ def recognize(pages: DataFrame, cache: DataFrame, name: str, config: dict, promp
                 errors.append(error)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(results, pa.string()), pa.array(errors, pa.string())], names=["job_id", "page", "result", "error"])
 
-    fresh = todo.select("job_id", F.col("page").cast("int").alias("page"), "image").mapInArrow(call, "job_id string, page int, result string, error string")
-    known = pages.select("job_id", F.col("page").cast("int").alias("page")).join(cache.select("job_id", F.col("page").cast("int").alias("page"), "result"), ["job_id", "page"])
-    return fresh.unionByName(known.withColumn("error", F.lit(None).cast("string")))
+    fresh = todo.repartition(tasks).mapInArrow(call, "job_id string, page int, result string, error string")
+    known = pages.select("job_id", F.col("page").cast("int").alias("page")).join(whole.select("job_id", F.col("page").cast("int").alias("page"), "result"), ["job_id", "page"])
+    found = fresh.unionByName(known.withColumn("error", F.lit(None).cast("string")))
+    if rest is not None:
+        found = found.unionByName(rest.select("job_id", "page", F.lit(None).cast("string").alias("result"), F.lit("DailyLimit: no calls are left today").alias("error")))
+    return found
+
+
+CACHE = "job_id string, page int, seq long, result string"
+
+
+def cache_at(spark: SparkSession, path: str) -> DataFrame:
+    """The cache at ``path`` (job_id, page, result), empty if nothing was written yet: the last write of each page."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = own.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(own)
+    return newest(spark.read.schema(CACHE).parquet(path) if there else spark.createDataFrame([], CACHE))
+
+
+def recognize_into(path: str, run: int, pages: DataFrame, name: str, config: dict, prompt: str, **limits) -> DataFrame:
+    """``recognize`` with the cache at ``path``: new results are appended there as writes of ``run`` (runs ascend) before anything reads them, so
+    no page is paid for twice. The answer to each page that has one; a page that failed has no row and is tried by the next run."""
+    spark = pages.sparkSession
+    found = recognize(pages, cache_at(spark, path), name, config, prompt, **limits)
+    known = cache_hits(cache_at(spark, path)).select("job_id", "page")
+    new = found.filter("result is not null").join(known, ["job_id", "page"], "left_anti")
+    new.select("job_id", "page", F.lit(run).cast("long").alias("seq"), "result").write.mode("append").parquet(path)
+    return cache_at(spark, path).join(pages.select("job_id", F.col("page").cast("int").alias("page")), ["job_id", "page"], "left_semi")

@@ -15,6 +15,7 @@ from foliospark.functions import text as T
 from foliospark.operators import jobs as Q
 from foliospark.operators import limits as L
 from foliospark.operators import overlay as O
+from foliospark.operators import pages as P
 from foliospark.operators import structure as S
 from foliospark.operators import tiling as TI
 from foliospark.sources import files, ocr
@@ -167,21 +168,95 @@ def test_recognition_uses_the_cache_and_isolates_pages(spark):
 
     ocr.register("Flaky", Flaky)
     pages = spark.createDataFrame([("j", 0, b"cached"), ("j", 1, b"fresh"), ("j", 2, b"bad")], "job_id string, page int, image binary")
-    cache = spark.createDataFrame([("j", 0, "from cache")], "job_id string, page int, result string")
+    cache = spark.createDataFrame([("j", 0, '{"text": "from cache"}'), ("j", 1, "corrupt")], "job_id string, page int, result string")
     got = {r["page"]: (r["result"], r["error"]) for r in ocr.recognize(pages, cache, "FLAKY", {}, "p", tasks=2).collect()}
-    assert got == {0: ("from cache", None), 1: ("fresh", None), 2: (None, "ValueError: no page")}
+    assert got == {0: ('{"text": "from cache"}', None), 1: ("fresh", None), 2: (None, "ValueError: no page")}
     with pytest.raises(ValueError, match="flaky"):
         ocr.provider("other", {})
 
 
-def test_rate_limit_waits():
+def test_calls_wait_for_their_turn():
     now, slept = [0.0], []
-    limit = ocr.RateLimit(2, clock=lambda: now[0], sleep=slept.append)
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    window = ocr.CallWindow(2, clock=lambda: now[0], sleep=sleep)
     for _ in range(2):
-        limit.wait()
-        limit.record()
-    limit.wait()
+        window.call(lambda: None)
+    with pytest.raises(ValueError):
+        window.call(int, "x")
     assert slept == [pytest.approx(60.1)]
+    now[0] += 1
+    window.call(lambda: None)
+    window.call(lambda: None)
+    window.call(lambda: None)
+    assert len(slept) == 2 and now[0] == pytest.approx(121.2)
+    assert ocr.pause(3, None, True, 4, 120, draw=lambda a, b: b) == 16 and ocr.pause(9, None, True, 4, 120, draw=lambda a, b: b) == 120
+    assert ocr.pause(1, 0.1, True, 4, 120) == 0.5 and ocr.pause(2, None, False, 4, 120) == 8 and ocr.pause(1, 500, True, 4, 120) == 120
+
+
+def test_recognition_into_a_cache(spark, tmp_path):
+    class Counting:
+        def __init__(self, config):
+            self.folder = config["folder"]
+
+        def analyse(self, image, prompt):
+            import uuid
+
+            open(f"{self.folder}/{uuid.uuid4().hex}", "w").close()
+            if image == b"bad":
+                raise ValueError("no page")
+            return '{"blocks": [{"text": "' + image.decode() + '"}]}'
+
+    ocr.register("Counting", Counting)
+    folder = tmp_path / "calls"
+    folder.mkdir()
+    pages = spark.createDataFrame([("j", i, x) for i, x in enumerate((b"a", b"b", b"bad", b"d"))], "job_id string, page int, image binary")
+    path = f"file://{tmp_path}/cache"
+    for run, (most, made, known) in enumerate([(2, 2, [0, 1]), (None, 2, [0, 1, 3]), (None, 1, [0, 1, 3])]):
+        before = len(list(folder.iterdir()))
+        got = ocr.recognize_into(path, run, pages, "counting", {"folder": str(folder)}, "p", per_day=most, tasks=2, attempts=1)
+        assert sorted(r["page"] for r in got.collect()) == known and len(list(folder.iterdir())) - before == made
+    corrupt = spark.createDataFrame([("j", 0, 9, "{broken"), ("j", 1, 9, "[1]"), ("j", 3, 9, None)], ocr.CACHE)
+    assert P.replayed(pages.select("job_id", "page"), corrupt).filter("hit").count() == 0
+
+
+def test_pagination_is_a_plain_fold(spark):
+    rows = [(1, 0, 0, "heading", "A title"), (1, 0, 1, "paragraph", "word " * 1500), (1, 0, 2, "heading", "Another"), (1, 0, 3, "footnote", "x\n\ny"), (1, 1, 0, "paragraph", "  "), (1, 2, 0, "paragraph", "z")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, page int, ord int, element_type string, text string, level int")
+    got = sorted((r["doc_id"], r["page"], r["sheet"], round(r["y"], 6), r["size"], r["line"]) for r in O.paginate(O.styled(df)).collect())
+    sizes, want = {"heading": 16.0, "paragraph": 11.0, "footnote": 9.0}, []
+    for page in (0, 1, 2):
+        sheet, y = 0, 60.0
+        for _, p, _, kind, text in rows:
+            if p != page or not text.strip():
+                continue
+            size = sizes[kind]
+            most = max(n for n in range(1, 200) if n * size * 0.6 <= 495.0)
+            lines = [x for line in text.strip().split("\n") for x in ([line[i : i + most] for i in range(0, len(line), most)] or [""])]
+            for i, line in enumerate(lines):
+                y += 8.0 if i == 0 and kind == "heading" else 0.0
+                if y > 790.0:
+                    sheet, y = sheet + 1, 60.0
+                want.append((1, p, sheet, round(y, 6), size, line))
+                y += size * 1.5 + (4.0 if i == len(lines) - 1 else 0.0)
+    assert got == sorted(want)
+
+
+def test_searchable_files_fall_back(spark):
+    jpeg = b"\xff\xd8\xff\xc0\x00\x11\x08\x00\x10\x00\x20\x03\x01\x11\x00\x02\x11\x01\x03\x11\x01\xff\xd9"
+    sources = spark.createDataFrame([(1, b"%PDF-a", [jpeg, jpeg]), (2, b"%PDF-b", [jpeg, None]), (3, None, None)], "doc_id long, content binary, scans array<binary>")
+    lines = spark.createDataFrame([(1, 0, 10.0, 20.0, 9.0, "one"), (1, 1, 10.0, 20.0, 9.0, "two"), (2, 0, 1.0, 2.0, 3.0, "x")], "doc_id long, page int, x double, y double, size double, text string")
+    got = {r["doc_id"]: (r["how"], bytes(r["content"])) for r in files.searchable_pdfs(lines, sources).collect()}
+    assert got[1][0] == "overlay" and got[1][1].count(b"/Type /Page ") == 2 and got[2] == ("original", b"%PDF-b") and got[3][0] == "minimal"
+
+
+def test_delays_in_details():
+    assert L.delay_of('{"a":[{"x":{"retry_delay":"1.5 s"}}],"retryAfter":9}') == 9 and L.delay_of('[{"Retry-After":"7"},{"retryDelay":1}]') == 7
+    assert [L.delay_of(x) for x in (None, "", "no", "{}", '{"retryDelay":null}', '{"retryDelay":"soon"}', '{"retryDelay":true}')] == [None] * 7
+    assert L.delay_of('{"retryDelay":{"retryDelay":"2s"}}') == 2
 
 
 def test_files(spark, tmp_path):
