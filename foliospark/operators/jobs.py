@@ -207,6 +207,6 @@ def download_code(exists: Column, status: Column, file_exists: Column) -> Column
     return F.when(~exists, 404).when(status != "done", 400).when(~F.coalesce(file_exists, F.lit(False)), 410).otherwise(200)
 
 
-def health(checks: DataFrame) -> DataFrame:
-    """ok if the store and the worker are."""
-    return checks.agg(F.when(F.bool_and("ok"), "ok").otherwise("degraded").alias("status"))
+def health_status(ok: Column) -> Column:
+    """An aggregate: ok if the store and the worker are."""
+    return F.when(F.bool_and(ok), "ok").otherwise("degraded")

@@ -15,10 +15,14 @@ RETRYABLE = (408, 429, 500, 502, 503, 504)
 WINDOW_S, DAY_S = 60, 86_400
 
 
-def sliding_counts(calls: DataFrame, key: str, ts: str, seconds: int = WINDOW_S) -> DataFrame:
-    """``calls`` with ``in_window``: calls of the key in the last ``seconds``, both ends included, its own included."""
+def sliding_counts(calls: DataFrame, key: str, ts: str, seconds: int = WINDOW_S, oldest: bool = False) -> DataFrame:
+    """``calls`` with ``in_window``: calls of the key in the last ``seconds``, both ends included, its own included; with ``oldest`` also
+    the age in seconds of the first of them."""
     w = Window.partitionBy(key).orderBy("_micros").rangeBetween(-seconds * 1_000_000, 0)
-    return calls.withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("in_window", F.count(F.lit(1)).over(w)).drop("_micros")
+    out = calls.withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("in_window", F.count(F.lit(1)).over(w))
+    if oldest:
+        out = out.withColumn("oldest_age", (F.col("_micros") - F.min("_micros").over(w)) / 1e6)
+    return out.drop("_micros")
 
 
 def wait_seconds(oldest_age: Column, in_window: Column, most: int) -> Column:

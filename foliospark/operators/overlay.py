@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ CID_FONTS = {
 STYLES = [("heading", 1, 16, 22, 16), ("heading", 2, 14, 19, 14), ("heading", 3, 12, 17, 12), ("paragraph", 1, 11, 18, 11), ("list-item", 1, 11, 18, 11), ("footnote", 1, 9, 13, 9), ("page-number", 1, 9, 12, 8), ("caption", 1, 10, 14, 10)]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: inside a function over an array it would be computed again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def wrap(text: Column, size: Column, width: Column) -> Column:
     """Lines of at most ``width``, broken between characters; a blank line stays as an empty one; there is one line at least.
     All characters have one width, so a line takes a fixed number of them."""
@@ -30,10 +37,13 @@ def wrap(text: Column, size: Column, width: Column) -> Column:
     estimate = F.greatest(F.lit(1), F.floor(width / (size * CHAR_WIDTH)).cast("int"))
     fits = lambda n: n * size * CHAR_WIDTH <= width
     most = F.when(fits(estimate + 1), estimate + 1).when(fits(estimate), estimate).otherwise(F.greatest(F.lit(1), estimate - 1))
-    cut = lambda line: F.when(T.is_blank(line), F.array(F.lit(""))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.floor((F.length(line) - 1) / most).cast("int")), lambda i: F.substring(line, i * most + 1, most))
-    )
-    return F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), cut))
+
+    def cut(line: Column, most: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(line) - 1) / most).cast("int")), lambda i: F.substring(line, i * most + 1, most))
+        return F.when(T.is_blank(line), F.array(F.lit(""))).otherwise(pieces)
+
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    return bound(most, lambda m: F.flatten(F.transform(lines, lambda line: cut(line, m))))
 
 
 def clamp_size(size: Column) -> Column:
@@ -52,11 +62,15 @@ def horizontal_overlay(rect: Column, text: Column) -> Column:
 
 def vertical_overlay(rect: Column, text: Column, page_height) -> Column:
     """Array of (i, character, x, y, size) down a column; what begins below the page's end is left out."""
-    chars = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: (c != "") & ~c.rlike(T.WS))
-    step = G.height(rect) / F.size(chars)
-    size = F.greatest(F.lit(3.0), F.least(G.width(rect), step, F.lit(48.0)))
-    placed = F.transform(chars, lambda c, i: F.struct(i.alias("i"), c.alias("c"), rect["x0"].alias("x"), (rect["y0"] + size + i * step).alias("y"), size.alias("size")))
-    return F.when(F.size(chars) > 0, F.filter(placed, lambda p: p["y"] <= F.lit(float(page_height))))
+    chars = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), T.WS, ""), ""), lambda c: c != "")
+
+    def placed(own: Column) -> Column:
+        step = G.height(rect) / F.size(own)
+        size = F.greatest(F.lit(3.0), F.least(G.width(rect), step, F.lit(48.0)))
+        of = F.transform(own, lambda c, i: F.struct(i.alias("i"), c.alias("c"), rect["x0"].alias("x"), (rect["y0"] + size + i * step).alias("y"), size.alias("size")))
+        return F.when(F.size(own) > 0, F.filter(of, lambda p: p["y"] <= F.lit(float(page_height))))
+
+    return bound(chars, placed)
 
 
 def block_overlay(rect: Column, text: Column) -> Column:
@@ -64,15 +78,18 @@ def block_overlay(rect: Column, text: Column) -> Column:
     w, h = F.greatest(G.width(rect), F.lit(1.0)), G.height(rect)
     n = F.greatest(F.lit(1), F.size(wrap(text, F.lit(12.0), w)))
     size = clamp_size(F.when(h > 0, h / (n * 1.2)).otherwise(12.0))
-    return F.struct(size.alias("size"), wrap(text, size, w).alias("lines"))
+    return bound(size, lambda fitting: F.struct(fitting.alias("size"), wrap(text, fitting, w).alias("lines")))
 
 
 def block_lines(rect: Column, text: Column, page_height) -> Column:
     """Array of (i, line, x, y) of ``block_overlay``'s lines: one below the other from the box's top; the first that would stand below
     the page's end, and all after it, are left out."""
-    whole = block_overlay(rect, text)
-    placed = F.transform(whole["lines"], lambda line, i: F.struct(i.alias("i"), line.alias("line"), rect["x0"].alias("x"), (rect["y0"] + whole["size"] * (1.0 + 1.2 * i)).alias("y")))
-    return F.filter(placed, lambda p: p["y"] <= F.lit(float(page_height)))
+
+    def placed(whole: Column) -> Column:
+        of = F.transform(whole["lines"], lambda line, i: F.struct(i.alias("i"), line.alias("line"), rect["x0"].alias("x"), (rect["y0"] + whole["size"] * (1.0 + 1.2 * i)).alias("y")))
+        return F.filter(of, lambda p: p["y"] <= F.lit(float(page_height)))
+
+    return bound(block_overlay(rect, text), placed)
 
 
 def overlay_rows(lines: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -222,14 +222,23 @@ def block_language(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.block_language(text).alias("language"))
 
 
-@query(f"""WITH {TEXTS_SQL}, x AS (SELECT source, d.doc_id % 9 AS part, t AS x FROM {_TEXT_AT} WHERE d.doc_id % 18 IN (2, 8, 9, 10, 11, 14, 15, 16))
+@query(f"""WITH {TEXTS_SQL}, x AS (SELECT source, d.doc_id % 9 AS part, coalesce(text, '') || t AS x FROM {_TEXT_AT})
 SELECT source, part, CASE WHEN sum(length(x)) = 0 THEN 'ch_tra' WHEN bool_or(regexp_matches(x, '{_HANGUL}')) THEN 'korean' WHEN bool_or(regexp_matches(x, '{_KANA}')) THEN 'japan'
  WHEN bool_or(regexp_matches(x, '{_HAN}')) THEN CASE WHEN sum(length(regexp_replace(x, '[^{T.SIMPLIFIED}]', '', 'g'))) > 2 * sum(length(regexp_replace(x, '[^{T.TRADITIONAL}]', '', 'g'))) THEN 'ch_sim' ELSE 'ch_tra' END
  ELSE 'en' END AS language FROM x GROUP BY ALL""")
 def doc_language(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").filter(F.col("doc_id") % 18 % 18 == F.col("doc_id") % 18).select("source", (F.col("doc_id") % 9).alias("part"), (F.col("doc_id") % 18).alias("i"))
-    docs = docs.filter(F.col("i").isin(2, 8, 9, 10, 11, 14, 15, 16))
-    return docs.groupBy("source", "part").agg(T.language_of(literal_text(F.col("i"))).alias("language"))
+    text = F.concat(F.coalesce("text", F.lit("")), literal_text(F.col("doc_id") % len(TEXTS)))
+    docs = read(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 9).alias("part"), text.alias("text"))
+    return docs.groupBy("source", "part").agg(T.language_of(F.col("text")).alias("language"))
+
+
+@query(f"""WITH {TEXTS_SQL}, x AS (SELECT source, d.doc_id // 5 AS page, coalesce(text, '') || t AS x FROM {_TEXT_AT}), p AS (SELECT source, page, string_agg(x, '') AS x FROM x GROUP BY ALL)
+SELECT source, page, CASE WHEN regexp_matches(x, '{_HANGUL}') THEN 'korean' WHEN regexp_matches(x, '{_KANA}') THEN 'japan'
+ WHEN regexp_matches(x, '{_HAN}') THEN CASE WHEN regexp_matches(x, '[{T.BLOCK_TRADITIONAL}]') THEN 'ch_tra' ELSE 'ch_sim' END ELSE 'en' END AS language FROM p""")
+def page_language(spark, sf_dir):
+    text = F.concat(F.coalesce("text", F.lit("")), literal_text(F.col("doc_id") % len(TEXTS)))
+    blocks = read(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 5).alias("page"), text.alias("text"))
+    return blocks.groupBy("source", "page").agg(T.page_language(F.col("text")).alias("language"))
 
 
 # Recognition results
@@ -328,10 +337,13 @@ def jobs_by_status(spark, sf_dir):
     return j.select("status", "n", F.col("status").isin("queued", "processing").alias("active"), Q.deletable(F.col("status")).alias("deletable"))
 
 
-@query(f"WITH {JOBS_SQL} SELECT job_id, seq FROM jobs WHERE status = 'queued' AND seq % 3 = 0")
+@query(f"""WITH {JOBS_SQL}, queue AS (SELECT job_id, seq FROM jobs UNION ALL SELECT 'gone-' || job_id, seq FROM jobs)
+SELECT q.job_id, q.seq FROM queue q JOIN jobs j ON q.job_id = j.job_id WHERE j.status = 'queued'""")
 def queue_ready(spark, sf_dir):
+    """The queue holds every job, whatever it has become since, and as many that are gone."""
     j = jobs(read(spark, sf_dir, "events"))
-    return Q.dequeue(j.filter("seq % 3 = 0").select("job_id", "seq"), j)
+    queue = j.select("job_id", "seq")
+    return Q.dequeue(queue.unionByName(queue.withColumn("job_id", F.concat(F.lit("gone-"), "job_id"))), j)
 
 
 @query(f"""WITH {JOBS_SQL}, files AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'upload' WHEN 1 THEN 'output' ELSE 'tmp' END AS kind, o_orderkey::VARCHAR AS stem, o_orderdate AS mtime FROM orders)
@@ -450,15 +462,18 @@ def wrap_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.size(O.wrap(F.col("text"), F.lit(11.0), F.lit(495.0))).alias("n_lines"))
 
 
-@query(f"""WITH {TEXTS_SQL}, r AS (SELECT doc_id, regexp_extract_all(regexp_replace(t, '{WS}', '', 'g'), '(?s).') AS cs FROM {_TEXT_AT}),
-c AS (SELECT doc_id, len(cs) AS n, (unnest(generate_series(1, len(cs))) - 1)::INT AS i, unnest(cs) AS c FROM r WHERE len(cs) > 0),
-p AS (SELECT *, greatest(3.0, least(20.0 + doc_id % 40, (doc_id % 60 + 10.0) / n, 48.0)) AS size FROM c)
-SELECT doc_id, i, c, round(30 + size + i * ((doc_id % 60 + 10.0) / n), 9) AS y, round(size, 9) AS size FROM p WHERE 30 + size + i * ((doc_id % 60 + 10.0) / n) <= 80""")
+@query(f"""WITH {TEXTS_SQL}, r AS (SELECT doc_id, regexp_replace(coalesce(text, '') || t, '{WS}', '', 'g') AS x FROM {_TEXT_AT}), c AS (SELECT doc_id, x, length(x) AS n FROM r WHERE length(x) > 0),
+p AS (SELECT *, (doc_id % 60 + 10.0::DOUBLE) / n AS step, greatest(3.0, least(20.0 + doc_id % 40, (doc_id % 60 + 10.0::DOUBLE) / n, 48.0)) AS size FROM c),
+q AS (SELECT *, list_filter(range(n), lambda i: 30 + size + i * step <= 80) AS ii FROM p WHERE 30 + size <= 80)
+SELECT doc_id, len(ii) AS n_placed, round(size, 9) AS size, round(30 + size + list_max(ii) * step, 9) AS last_y, md5(left(x, len(ii))) AS characters FROM q""")
 def vertical_layout(spark, sf_dir):
+    """Every whole text down a column; one row for each document: what has a place on the page."""
     d = F.col("doc_id")
     rect = G.box(F.lit(5.0), F.lit(30.0), 25.0 + d % 40, 40.0 + d % 60)
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(O.vertical_overlay(rect, literal_text(d % len(TEXTS)), 80.0)).alias("p"))
-    return rows.select("doc_id", "p.i", "p.c", F.round("p.y", 9).alias("y"), F.round("p.size", 9).alias("size"))
+    text = F.concat(F.coalesce("text", F.lit("")), literal_text(d % len(TEXTS)))
+    rows = read(spark, sf_dir, "documents").select("doc_id", O.vertical_overlay(rect, text, 80.0).alias("p")).filter(F.size("p") > 0)
+    last = F.element_at("p", -1)
+    return rows.select("doc_id", F.size("p").cast("long").alias("n_placed"), F.round(last["size"], 9).alias("size"), F.round(last["y"], 9).alias("last_y"), F.md5(F.array_join("p.c", "")).alias("characters"))
 
 
 @query(f"""WITH {BOX_SQL}, t AS (SELECT *, greatest(3.0, least(y1 - y0, 48.0)) AS f, length(text) + 5 AS n FROM b),
