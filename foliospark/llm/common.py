@@ -74,16 +74,26 @@ def discard(*tables: DataFrame) -> None:
         own.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(own, True)
 
 
+def heavy_keys(sizes: DataFrame, total: int) -> DataFrame | None:
+    """The rows of ``sizes`` (a key, and the number ``n`` of rows that have it, of ``total`` or fewer in all) with more than ``total / HEAVY_KEYS``
+    rows, as a local table: there are fewer than HEAVY_KEYS of them. None if there are none."""
+    found = sizes.filter(F.col("n") > most_rows(total)).toArrow()
+    return sizes.sparkSession.createDataFrame(found, sizes.schema) if found.num_rows else None
+
+
+def most_rows(total: int) -> int:
+    """The rows that a key may have without being a heavy one."""
+    return max(LEAST_HEAVY, total // HEAVY_KEYS)
+
+
 def by_size(rows: DataFrame, sizes: DataFrame, key: str, total: int) -> DataFrame:
     """``rows`` joined with ``sizes``, which has a row for each ``key`` with the number ``n`` of rows (of ``total`` or fewer in all) that have
     it. A key with more than ``total / HEAVY_KEYS`` rows isn't shuffled: there are fewer than HEAVY_KEYS of them, which is the bound
     of what the driver gets and broadcasts. No task gets more than that share of the rows by one of the others."""
-    most = max(LEAST_HEAVY, total // HEAVY_KEYS)
-    found = sizes.filter(F.col("n") > most).toArrow()
-    if not found.num_rows:
+    heavy = heavy_keys(sizes, total)
+    if heavy is None:
         return rows.join(sizes, key)
-    heavy = rows.sparkSession.createDataFrame(found, sizes.schema)
-    others = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(sizes.filter(F.col("n") <= most), key)
+    others = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(sizes.filter(F.col("n") <= most_rows(total)), key)
     return rows.join(F.broadcast(heavy), key).unionByName(others)
 
 

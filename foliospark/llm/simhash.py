@@ -25,10 +25,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import Scratch, by_size, discard, shuffle_partitions, written
+from foliospark.llm.common import Scratch, by_size, discard, heavy_keys, shuffle_partitions, written
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: What ``keep_one`` takes for near copies, and the 64-bit words of its fingerprint.
@@ -666,12 +666,31 @@ def keep_one(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")
         same = [F.any_value(c).alias(c) for c in (*words, "keys", "n")]
         least = written(fps.groupBy(F.xxhash64(*words, "keys").alias("node")).agg(first, *same), "fingerprints")
+        repeats = fps.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        repeats, total = scratch.keep(written(repeats.select(F.col("doc_id").alias(f"{own}id"), F.col("hash").alias(f"{own}hash"), "n"), "repeats")), fps.count()
         discard(fps)
         roots = alike_components(least, rows)
         first = least.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-        stays = scratch.keep(written(first.select(F.col("first.doc_id").alias(f"{own}stays_id"), F.col("first.hash").alias(f"{own}stays_hash")), "stays"))
-    names = docs.columns
-    held = docs.select("*", *key)
-    held = held.join(stays, F.col(f"{own}id").eqNullSafe(F.col(f"{own}stays_id")) & (F.col(f"{own}hash") == F.col(f"{own}stays_hash")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(f"{own}id", f"{own}hash").orderBy(f"{own}id"))
-    return held.withColumn(f"{own}nth", nth).filter(F.col(f"{own}nth") == 1).select(*[F.col(f"`{c}`") for c in names])
+        stays = scratch.keep(written(first.select(F.col("first.doc_id").alias(f"{own}id"), F.col("first.hash").alias(f"{own}hash")), "stays"))
+    found = _rows_once(docs.select("*", *key), stays, repeats, total, [f"{own}id", f"{own}hash"])
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _rows_once(rows: DataFrame, stays: DataFrame, repeats: DataFrame, total: int, key: list[str]) -> DataFrame:
+    """One row for each key of ``stays``. Only rows whose key is repeated (``repeats``: key, n) are grouped; those of a key with a large
+    share of the ``total`` rows, of which ``heavy_keys`` bounds the number, are combined before they move."""
+
+    def among(left: DataFrame, right: DataFrame, how: str = "left_semi") -> DataFrame:
+        right = right.select(*[F.col(c).alias(f"{c}_") for c in key])
+        return left.join(right, F.col(key[0]).eqNullSafe(F.col(f"{key[0]}_")) & F.col(key[1]).eqNullSafe(F.col(f"{key[1]}_")), how)
+
+    if repeats.isEmpty():
+        return among(rows, stays)
+    heavy, others = heavy_keys(repeats, total), rows
+    if heavy is not None:
+        others = among(rows, F.broadcast(heavy), "left_anti")
+    others = among(others, stays)
+    found = among(others, repeats, "left_anti").unionByName(among(others, repeats).dropDuplicates(key))
+    if heavy is not None:
+        found = found.unionByName(among(rows, F.broadcast(among(heavy, stays))).dropDuplicates(key))
+    return found

@@ -552,6 +552,19 @@ def test_simhash_keeps_one(spark, odd):
     assert sorted(r["doc_id"] for r in simhash.keep_one(table).collect()) == sorted(set(want))
 
 
+def test_simhash_keeps_one_of_repeated_rows(spark):
+    """Rows that hold a large share of the table, ids that come twice with one text or with two, null ids."""
+    words = lambda i: " ".join(f"w{i * 40 + k}" for k in range(40))
+    rows = [(i, words(i)) for i in range(200)] + [(i, words(i)) for i in range(0, 60, 2)] + [(7, words(7))] * 300
+    rows += [(None, words(900))] * 200 + [(None, None)] * 150 + [(300, words(7))] * 120 + [(5, words(901))] * 2 + [(None, words(902))]
+    df = spark.createDataFrame([(*r, {"a": 1}) for r in rows], "doc_id long, text string, other map<string,int>").repartition(5)
+    got = [(r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()]
+    want = {(i, words(i)) for i in range(200)} | {(None, words(900)), (None, None), (5, words(901)), (None, words(902))}
+    assert len(got) == len(want) and set(got) == want
+    plain = df.filter("doc_id < 4 and doc_id % 2 = 1")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(plain).collect()) == [1, 3]
+
+
 def test_simhash_keeps_one_by_exact_likeness(spark):
     random.seed(8)
     word, rows = lambda: f"w{random.randrange(5000)}", []
