@@ -15,14 +15,26 @@ RETRYABLE = (408, 429, 500, 502, 503, 504)
 WINDOW_S, DAY_S = 60, 86_400
 
 
+#: A key's calls are counted in spans of so many windows, each in a task of its own.
+SPAN_WINDOWS = 64
+
+
 def sliding_counts(calls: DataFrame, key: str, ts: str, seconds: int = WINDOW_S, oldest: bool = False) -> DataFrame:
     """``calls`` with ``in_window``: calls of the key in the last ``seconds``, both ends included, its own included; with ``oldest`` also
-    the age in seconds of the first of them."""
-    w = Window.partitionBy(key).orderBy("_micros").rangeBetween(-seconds * 1_000_000, 0)
-    out = calls.withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("in_window", F.count(F.lit(1)).over(w))
+    the age in seconds of the first of them.
+
+    A key's history is cut into spans of time, so that a hot key is counted by many tasks. What a span's first calls look back to, the last
+    window of the span before, is copied into it: one call of SPAN_WINDOWS on average. Calls without a time are counted together."""
+    window, span = seconds * 1_000_000, seconds * 1_000_000 * SPAN_WINDOWS
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = calls.withColumn("_micros", micros).withColumn("_own", F.floor(F.col("_micros") / F.lit(span)))
+    after = F.floor((F.col("_micros") + window) / F.lit(span))
+    both = F.when(after > F.col("_own"), F.array("_own", after)).otherwise(F.array("_own"))
+    w = Window.partitionBy(key, "_span").orderBy("_micros").rangeBetween(-window, 0)
+    out = rows.withColumn("_span", F.explode(both)).withColumn("in_window", F.count(F.lit(1)).over(w))
     if oldest:
         out = out.withColumn("oldest_age", (F.col("_micros") - F.min("_micros").over(w)) / 1e6)
-    return out.drop("_micros")
+    return out.filter(F.col("_span").eqNullSafe(F.col("_own"))).drop("_micros", "_own", "_span")
 
 
 def wait_seconds(oldest_age: Column, in_window: Column, most: int) -> Column:

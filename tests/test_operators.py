@@ -119,6 +119,14 @@ def test_limits(spark):
     assert [r["used"] for r in sorted(L.daily_quota(calls, 10).collect(), key=lambda r: r["seq"])] == [1, 2, 3, 1, 2, 3, 1]
     stamps = spark.createDataFrame([(1, t) for t in (0.0, 60.0, 120.5)], "k int, s double").withColumn("ts", F.timestamp_seconds("s"))
     assert [r["in_window"] for r in sorted(L.sliding_counts(stamps, "k", "ts").collect(), key=lambda r: r["s"])] == [1, 2, 1]
+    times = [None, None, -0.5, -5000.0] + [x * 3840.0 + d for x in range(-2, 3) for d in (-60.000001, -60.0, -59.5, -1.0, 0.0, 0.0, 1.0, 59.5, 60.0, 61.0)]
+    stamps = spark.createDataFrame([(k, t) for k in (1, 2) for t in times[: len(times) // k]], "k int, s double").withColumn("ts", F.timestamp_micros(F.round(F.col("s") * 1e6).cast("long")))
+    got = sorted(L.sliding_counts(stamps, "k", "ts", oldest=True).collect(), key=lambda r: (r["k"], r["s"] is not None, r["s"]))
+    for k in (1, 2):
+        own = sorted(round(t * 1e6) for t in times[: len(times) // k] if t is not None)
+        seen = [[u for u in own if t - 60_000_000 <= u <= t] for t in own]
+        assert [r["in_window"] for r in got if r["k"] == k] == [2, 2] + [len(x) for x in seen]
+        assert [r["oldest_age"] for r in got if r["k"] == k and r["s"] is not None] == [(t - x[0]) / 1e6 for t, x in zip(own, seen)]
     assert [one(spark, L.backoff_ceiling(F.lit(n))) for n in range(1, 9)] == [4, 8, 16, 32, 64, 120, 120, 120]
     assert one(spark, L.retry_hint(F.lit('{"a":[{"retryDelay":"30s"}]}'), F.lit(""))) == 30 and one(spark, L.retry_hint(F.lit("{}"), F.lit("x"))) is None
 
