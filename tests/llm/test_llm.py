@@ -621,10 +621,10 @@ def test_simhash_likeness_components_equal_brute_force(spark, docs, bucket, bloc
 
 def test_simhash_star_and_bucket_with_a_large_share(spark):
     """No key of a join has more than a bounded share of the rows, whatever its degree."""
-    star = spark.range(1, 20_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
-    chain = spark.range(30_000, 30_040).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    star = spark.range(1, 200_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    chain = spark.range(300_000, 300_040).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = simhash.components(star.unionByName(chain)).groupBy("root").count().collect()
-    assert sorted((r["root"], r["count"]) for r in got) == [(0, 20_001), (30_000, 41)]
+    assert sorted((r["root"], r["count"]) for r in got) == [(0, 200_001), (300_000, 41)]
     rng = np.random.default_rng(3)  # all agree in two blocks of bits, some link
     fps = (rng.integers(0, 1 << 38, 4000).astype(np.uint64) << np.uint64(26)) | np.uint64(5)
     fps = np.unique(np.concatenate((fps, fps[:500] ^ np.uint64(1 << 40 | 1 << 50 | 1 << 3))))
