@@ -39,6 +39,8 @@ WORDS_AT_ONCE, CACHE_WORDS, CACHE_CHARS = 1 << 14, 700_000, 64
 #: Characters of a window of a long word, of what two windows share, and windows that advance together.
 WINDOW, OVERLAP, WINDOWS_AT_ONCE = 256, 96, 1 << 10
 _FILTER_SHIFT = np.uint64(42)
+#: Places of the table of pairs of pieces that were looked at: 2 to this power.
+VERDICT_BITS = 20
 _RUN = re.compile(f"{SPACE}{SPACE}")
 
 
@@ -95,6 +97,7 @@ class Pieces:
             self.named = {self.names[i]: int(i) for i in used}
             self.score_of = {self.names[i]: float(self.scores[i]) for i in used}
             self._undo()
+            self.verdicts = np.full(1 << VERDICT_BITS, -1, np.int64)
 
     @staticmethod
     def _codes(words: list[str], n: int) -> np.ndarray:
@@ -184,6 +187,18 @@ class Pieces:
             a, b = np.where(of_a, self.right[a], a), np.where(of_a, b, self.left[b])
         return out
 
+    def known_beside(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``beside``, by a table of verdicts: a pair's place is a hash of it, and a pair takes the place of an earlier one."""
+        key = a.astype(np.int64) << 32 | b
+        place = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - VERDICT_BITS)
+        held = self.verdicts[place]
+        out, new = (held & 1).astype(bool), np.flatnonzero(held >> 1 != key)
+        if len(new):
+            distinct, at = np.unique(key[new], return_inverse=True)
+            out[new] = self.beside((distinct >> 32).astype(np.int32), (distinct & 0xFFFFFFFF).astype(np.int32))[at]
+            self.verdicts[place[new]] = key[new] << 1 | out[new]
+        return out
+
     # Viterbi
 
     def _viterbi(self, words: list[str], n: int) -> list[list[int]]:
@@ -212,9 +227,7 @@ class Pieces:
                 pairs = (before >= 0) if j > length else np.zeros(len(own), bool)
                 fine = np.ones(len(own), bool)
                 if pairs.any():
-                    key = before[pairs].astype(np.int64) << 32 | found[own[pairs], c]
-                    distinct, at = np.unique(key, return_inverse=True)
-                    fine[pairs] = self.beside((distinct >> 32).astype(np.int32), (distinct & 0xFFFFFFFF).astype(np.int32))[at]
+                    fine[pairs] = self.known_beside(before[pairs], found[own[pairs], c])
                 own = own[fine]
                 back[own, j], piece[own, j] = length, found[own, c]
                 open_rows[own] = False
