@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import ann, chat, fingerprints, langid, packing, pieces, records, simhash, tokencount, toxicity
+from foliospark.llm import ann, chat, filter_audit, fingerprints, langid, packing, pieces, records, simhash, tokencount, toxicity
 from foliospark.llm.common import default_vocabulary, table
 
 WORD_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -62,6 +62,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), default_vocabulary(PIECE_MODEL), LIMIT)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,6 +88,40 @@ SELECT conv_id, count(*) AS n_turns,
   sum(length(f))::BIGINT AS formatted_chars, 0::BIGINT AS expanded_tokens, 0::BIGINT AS n_attachments
 FROM formatted GROUP BY conv_id"""
 
+OP13_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS smallest
+  FROM documents
+), marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), failing AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(words) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN texts.doc_id > smallest THEN 'E' ELSE '' END AS fails
+  FROM texts LEFT JOIN marks USING (doc_id)
+), counts AS (
+  SELECT part, fails, good, toxic, count(*) AS n FROM failing GROUP BY ALL
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), steps AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, unnest([1, 2, 3, 4, 5]) AS step
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), taken AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS f, fails, good, toxic, n,
+    contains(fails, substr(filter_order, step, 1)) AS hit, translate(fails, left(filter_order, step - 1), '') <> fails AS gone
+  FROM counts, steps
+), summed AS (
+  SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails = f), 0)::BIGINT AS unique_fails, coalesce(sum(n) FILTER (hit AND NOT gone AND good), 0)::BIGINT AS good_lost,
+    coalesce(sum(n) FILTER (hit AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost
+  FROM taken GROUP BY part, filter_order, step, f
+)
+SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM summed"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_chat_format": op2_chat_format,
@@ -95,7 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op13_filter_audit": OP13_SQL}
