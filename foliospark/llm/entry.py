@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import ann, chat, filter_audit, fingerprints, langid, packing, pieces, records, simhash, tokencount, toxicity
+from foliospark.llm import ann, chat, filter_audit, fingerprints, langid, licenses, packing, pieces, records, simhash, tokencount, toxicity
 from foliospark.llm.common import default_vocabulary, table
 
 WORD_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -62,6 +62,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), default_vocabulary(PIECE_MODEL), LIMIT)
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -133,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op12_license_scan": op12_license_scan,
     "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
