@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import ann, chat, filter_audit, fingerprints, langid, licenses, packing, pieces, records, simhash, tokencount, toxicity
+from foliospark.llm import ann, chat, filter_audit, fingerprints, langid, licenses, packing, pieces, records, repair, simhash, tokencount, toxicity
 from foliospark.llm.common import default_vocabulary, table
 
 WORD_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -62,6 +62,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), default_vocabulary(PIECE_MODEL), LIMIT)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair_digest(rows, repair.damaged(rows))
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
@@ -92,6 +97,59 @@ SELECT conv_id, count(*) AS n_turns,
   sum(length(f))::BIGINT AS formatted_chars, 0::BIGINT AS expanded_tokens, 0::BIGINT AS n_attachments
 FROM formatted GROUP BY conv_id"""
 
+OP11_SQL = r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT)),
+      lambda crc, c: list_reduce(list_concat([xor(crc, c)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS fault
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE fault WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM given WHERE fault <> 0
+), placed AS (
+  SELECT *, left(role, 1) AS ini, row_number() OVER own AS i, lag(left(role, 1)) OVER own AS before, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last_char,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth
+  FROM damaged WINDOW own AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), faults AS (
+  SELECT *, last_char = '' AS blank, last_char <> '' AND nth > 1 AS duplicate, last_char <> '' AND nth = 1 AND NOT contains('.!?', last_char) AS truncated FROM placed
+), sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+    count(*) FILTER (truncated) AS truncated, count(*) FILTER (before || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM faults GROUP BY conv_id
+), turns AS (
+  SELECT conv_id, i, ini, CASE WHEN blank OR duplicate THEN NULL WHEN truncated THEN 5 ELSE 0 END AS stays FROM faults
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 'a': ''} AS s0, NULL::STRUCT(c BIGINT, a VARCHAR) AS s1, {'c': 5::BIGINT, 'a': 'I'} AS s2, {'c': 10::BIGINT, 'a': 'II'} AS s3 FROM sums
+  UNION ALL
+  SELECT conv_id, i, t0, t1,
+    list_min([t2, {'c': t0.c + 5, 'a': t0.a || 'I'}, CASE WHEN t1 IS NOT NULL THEN {'c': t1.c + 5, 'a': t1.a || 'I'} END, {'c': t3.c + 5, 'a': t3.a || 'I'}]),
+    list_min([t3, {'c': t2.c + 5, 'a': t2.a || 'I'}, {'c': t0.c + 10, 'a': t0.a || 'II'}, CASE WHEN t1 IS NOT NULL THEN {'c': t1.c + 10, 'a': t1.a || 'II'} END])
+  FROM (
+    SELECT w.conv_id, t.i, {'c': s0.c + 2, 'a': s0.a || 'D'} AS t0,
+      list_min([CASE WHEN s1 IS NOT NULL THEN {'c': s1.c + 2, 'a': s1.a || 'D'} END, CASE WHEN ini = 's' AND stays IS NOT NULL THEN {'c': s0.c + stays, 'a': s0.a || 'K'} END]) AS t1,
+      list_min([{'c': s2.c + 2, 'a': s2.a || 'D'}, CASE WHEN stays IS NOT NULL THEN list_transform([list_min([s0, s1, s3])], lambda b: {'c': b.c + stays + (ini <> 'u')::BIGINT, 'a': b.a || CASE ini WHEN 'u' THEN 'K' ELSE 'R' END})[1] END]) AS t2,
+      list_min([{'c': s3.c + 2, 'a': s3.a || 'D'}, CASE WHEN stays IS NOT NULL THEN {'c': s2.c + stays + (ini <> 'a')::BIGINT, 'a': s2.a || CASE ini WHEN 'a' THEN 'K' ELSE 'R' END} END]) AS t3
+    FROM walk w JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1
+  )
+), chosen AS (
+  SELECT w.conv_id, list_min([s0, s3]) AS best FROM walk w JOIN sums s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n = w.i
+), edits AS (
+  SELECT conv_id, unnest(string_split(best.a, '')) AS e, generate_subscripts(string_split(best.a, ''), 1) AS p FROM chosen WHERE best.a <> ''
+), numbered AS (
+  SELECT *, count(*) FILTER (e <> 'I') OVER own AS i, count(*) FILTER (e <> 'D') OVER own AS k FROM edits WINDOW own AS (PARTITION BY conv_id ORDER BY p)
+), kept AS (
+  SELECT n.conv_id, p, e, k, f.role, f.text, coalesce(max(CASE WHEN k = 1 AND e = 'K' AND ini = 's' THEN 1 END) OVER (PARTITION BY n.conv_id), 0) AS shifted
+  FROM numbered n LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM n.conv_id AND f.i = n.i AND e <> 'I' WHERE e <> 'D'
+), repaired AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (k - shifted) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE e WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS sha
+  FROM kept GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN chosen c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
 OP13_SQL = r"""
 WITH texts AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
@@ -137,9 +195,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_license_scan": op12_license_scan,
     "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op13_filter_audit": OP13_SQL}
+ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op11_conversation_repair": OP11_SQL, "op13_filter_audit": OP13_SQL}
