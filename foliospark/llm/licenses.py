@@ -169,7 +169,7 @@ class Scanner:
         ends = np.flatnonzero(is_word & ~np.concatenate((is_word[1:], [False])))[last] + 1
         # Code points before a byte: the bytes before it that don't continue one.
         every = np.unique(np.concatenate((begins, ends)))
-        points = np.cumsum(np.add.reduceat((raw & 0xC0) != 0x80, np.concatenate(([0], every[:-1])), dtype=np.int64) * (np.diff(every, prepend=0) > 0))
+        points = np.cumsum(np.add.reduceat((raw[: every[-1]] & 0xC0) != 0x80, np.concatenate(([0], every[:-1])), dtype=np.int64) * (np.diff(every, prepend=0) > 0))
         b, e = points[np.searchsorted(every, begins)], points[np.searchsorted(every, ends)]
         return [(self.notices[n][2], self.notices[n][1], first[i], last[i], int(b[i]), int(e[i]), edits) for i, (_, _, _, n, edits) in enumerate(chosen)]
 
