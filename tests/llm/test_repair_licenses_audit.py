@@ -213,7 +213,7 @@ def test_a_repeated_notice_takes_linear_time():
 
 def plain_audit(docs, labels):
     texts = [t or "" for _, t, _ in docs]
-    good, toxic = {i for i, q, _ in labels if q == 1}, {i for i, _, t in labels if t == 1}
+    good, toxic = {i for i, q, _ in labels if q == 1} - {None}, {i for i, _, t in labels if t == 1} - {None}
     fails = []
     for i, (doc, _, _) in enumerate(docs):
         t, words = texts[i], re.findall(r"[^\x20\x09-\x0D]+", texts[i])
