@@ -5,8 +5,9 @@ to three characters are hashed into ``BUCKETS`` buckets. Tasks count buckets by
 shuffled; the matrix of log probabilities (languages x buckets) is broadcast. Scoring counts the n-grams of many texts at once as sparse
 triples (text, bucket, number); the matrix's rows are gathered once for each triple and summed by text.
 
-The model is fitted on at most about ``TRAIN_DOCUMENTS`` labelled documents, chosen by a hash of their ids; everything else
-covers all rows and whole texts."""
+The model is fitted on at most about ``TRAIN_DOCUMENTS`` labelled documents, chosen by a hash of id and text, repeated rows counting once;
+everything else covers all rows and whole texts. With more languages than a whole matrix has room for (``MATRIX_BYTES``), only what the
+sample has seen is held: a bucket's entries are the languages that have it, and all others share their language's value for unseen ones."""
 
 from __future__ import annotations
 
@@ -24,6 +25,8 @@ BUCKETS, ORDERS, TRAIN_DOCUMENTS = 1 << 15, (1, 2, 3), 20_000
 SMOOTHING = 0.5
 #: Characters counted at once, and languages that are scored or counted at once.
 TEXT_SLICE, LANGUAGES_AT_ONCE = 1 << 18, 64
+#: The bytes that a whole matrix may have, counted at eight each; entries that are held beyond that; languages that there may be.
+MATRIX_BYTES, MOST_ENTRIES, MOST_LANGUAGES = 64 << 20, 1 << 25, 1 << 16
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []
 
@@ -103,24 +106,56 @@ def counted_grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np
 
 @dataclass
 class LanguageModel:
+    """Log probabilities of buckets by language: ``matrix`` (buckets x languages) whole, or, if it is None, for each language its value
+    for a ``unseen`` bucket and the entries that differ from it (``more``) in order of bucket, ``begins`` giving each bucket's first."""
+
     languages: list[str]
-    matrix: np.ndarray  # buckets x languages, log probabilities
+    matrix: np.ndarray | None
     prior: np.ndarray
+    unseen: np.ndarray | None = None
+    begins: np.ndarray | None = None
+    language: np.ndarray | None = None
+    more: np.ndarray | None = None
+
+    def sums(self, row: np.ndarray, bucket: np.ndarray, n: np.ndarray, texts: int) -> np.ndarray:
+        """texts x languages: the log probability of each text's n-grams."""
+        size = len(self.languages)
+        out = np.zeros((texts, size))
+        if self.matrix is not None:
+            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            for a in range(0, size, LANGUAGES_AT_ONCE):  # so many columns that the gathered block stays small
+                block = self.matrix[bucket, a : a + LANGUAGES_AT_ONCE] * n[:, None].astype(np.float32)
+                out[row[first], a : a + LANGUAGES_AT_ONCE] += np.add.reduceat(block, first, axis=0, dtype=np.float64)
+            return out
+        out += np.bincount(row, n, texts)[:, None] * self.unseen
+        held = self.begins[bucket + 1] - self.begins[bucket]
+        ends = np.cumsum(held)
+        at = 0
+        while at < len(row):  # as many triples as have a few million entries between them, one at least
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 21))))
+            some = slice(at, to)
+            total = int(held[some].sum())
+            place = np.repeat(self.begins[bucket[some]] - np.concatenate(([0], np.cumsum(held[some])[:-1])), held[some]) + np.arange(total)
+            np.add.at(out, (np.repeat(row[some], held[some]), self.language[place]), np.repeat(n[some], held[some]) * self.more[place])
+            at = to
+        return out
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The likeliest language (the first in the alphabet among equals) and its probability; UNKNOWN and 0 for a text that
         is null or has no letter. Probability is that of naive Bayes on the mean n-gram of texts longer than 256 n-grams
         times 256, so that length alone doesn't make it 1."""
+        at_once = max(1, (1 << 22) // max(1, len(self.languages)))
+        if len(texts) > at_once:
+            parts = [self.score(texts[i : i + at_once]) for i in range(0, len(texts), at_once)]
+            return [x for names, _ in parts for x in names], [x for _, scores in parts for x in scores]
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not self.languages:
             return names, scores
         sums, sizes = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         for row, bucket, n in counted_grams([t or "" for t in texts]):
-            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-            for a in range(0, len(self.languages), LANGUAGES_AT_ONCE):  # so many columns that the gathered block stays small
-                block = self.matrix[bucket, a : a + LANGUAGES_AT_ONCE] * n[:, None].astype(np.float32)
-                sums[row[first], a : a + LANGUAGES_AT_ONCE] += np.add.reduceat(block, first, axis=0, dtype=np.float64)
-            sizes[row[first]] += np.add.reduceat(n, first)
+            low, high = row[0], row[-1] + 1
+            sums[low:high] += self.sums(row - low, bucket, n, high - low)
+            sizes[low:high] += np.bincount(row - low, n, high - low)
         own = np.flatnonzero(sizes)
         logs = self.prior + sums[own] * np.minimum(1.0, 256 / sizes[own])[:, None]
         logs -= logs.max(axis=1, keepdims=True)
@@ -133,19 +168,22 @@ class LanguageModel:
 
 def fit(labelled: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", most: int = TRAIN_DOCUMENTS) -> LanguageModel:
     """A model of the languages of ``labelled``; rows with a null language are left out. ``most`` bounds the rows it is fitted
-    on: of more, each stays with probability most / rows, by a hash of its id (and of its text, where ids are null). Any number of
-    languages: the driver and the broadcast hold ``BUCKETS`` floats for each."""
+    on: of more, each stays with a probability that gives every language an even share of it, by a hash of id and text; of repeated rows
+    one counts, so that an id or a text that very many rows have doesn't fill the sample. What the driver and the broadcast hold is bounded by
+    ``MATRIX_BYTES``, or by ``MOST_ENTRIES`` entries; more languages than ``MOST_LANGUAGES``, or a sample with more entries, is an error that says so."""
     spark = labelled.sparkSession
     rows = labelled.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang")).filter("lang is not null")
     # a row for each language
-    total = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(total) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_column} has more than {MOST_LANGUAGES} values")
     languages = sorted(total)
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     # the rarer a language, the more of it stays: each has an even share of the bound if it has the rows
     kept = spark.createDataFrame([(x, i, int(min(1.0, most / len(languages) / total[x]) * (1 << 30))) for i, x in enumerate(languages)], "lang string, k int, below int")
-    drawn = F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(1 << 30)) < F.col("below")
-    drawn = rows.join(F.broadcast(kept), "lang").filter(drawn).select("k", "text")
+    own = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.col("below")
+    drawn = rows.join(F.broadcast(kept), "lang").filter(own).groupBy("k", "id", F.xxhash64("text").alias("same")).agg(F.min("text").alias("text")).select("k", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
@@ -169,13 +207,24 @@ def fit(labelled: DataFrame, *, id_column: str = "doc_id", text_column: str = "t
         if own:
             yield rows_of()
 
-    # at most languages x buckets rows reach the driver
-    counted = drawn.mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((BUCKETS, len(languages)))
-    counts[counted.column("bucket").to_numpy(), counted.column("k").to_numpy()] = counted.column("n").to_numpy()
-    matrix = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=0) + SMOOTHING * BUCKETS)
+    # at most languages x buckets rows, and MOST_ENTRIES, reach the driver
+    whole = len(languages) * BUCKETS * 8 <= MATRIX_BYTES
+    counted = drawn.mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n"))
+    counted = (counted if whole else counted.limit(MOST_ENTRIES + 1)).toArrow()
+    if not whole and counted.num_rows > MOST_ENTRIES:
+        raise ValueError(f"{most} documents have more than {MOST_ENTRIES} entries: fit on fewer")
+    bucket, k, n = (counted.column(c).to_numpy() for c in ("bucket", "k", "n"))
     sizes = np.array([total[x] for x in languages])
-    return LanguageModel(languages, matrix.astype(np.float32), np.log(sizes / sizes.sum()))
+    prior = np.log(sizes / sizes.sum())
+    below = np.log(np.bincount(k, n, len(languages)) + SMOOTHING * BUCKETS)
+    if whole:
+        counts = np.zeros((BUCKETS, len(languages)))
+        counts[bucket, k] = n
+        return LanguageModel(languages, (np.log(counts + SMOOTHING) - below).astype(np.float32), prior)
+    order = np.lexsort((k, bucket))
+    begins = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=BUCKETS))))
+    more = (np.log(n[order] + SMOOTHING) - np.log(SMOOTHING)).astype(np.float32)
+    return LanguageModel(languages, None, prior, np.log(SMOOTHING) - below, begins, k[order].astype(np.int32), more)
 
 
 def is_held_out(id_column: str = "doc_id") -> Column:

@@ -262,3 +262,40 @@ def test_sql_at_sf001(spark, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
     df, want = entry.QUERIES[name](ship(spark), "/root/testdata/sf0.01"), con.sql(entry.ORACLES[name])
     assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+# --- the language model's bounds
+
+
+def test_language_sample_is_bounded_under_a_hot_id(spark, monkeypatch):
+    from foliospark.llm import langid
+
+    seen = spark.sparkContext.accumulator(0)
+    plain = langid.counted_grams
+
+    def counting(texts):
+        seen.add(len(texts))
+        return plain(texts)
+
+    monkeypatch.setattr(langid, "counted_grams", counting)
+    df = ship(spark).range(20_000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 5000).cast("string")).alias("text"), F.lit("en").alias("lang"))
+    for id_column in ("doc_id", "n"):
+        langid.fit(df.withColumn("n", F.lit(None).cast("long")), id_column=id_column, most=100)
+        assert 0 < seen.value <= 200, id_column
+        seen.value = 0
+
+
+def test_many_languages_take_the_split_way(spark, monkeypatch):
+    from foliospark.llm import langid
+
+    docs = ship(spark).read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("lang", F.concat("lang", (F.col("doc_id") % 12).cast("string")))
+    dense = langid.train(docs)
+    monkeypatch.setattr(langid, "MATRIX_BYTES", 1 << 20)
+    split = langid.train(docs)
+    assert dense.matrix is not None and split.matrix is None and split.languages == dense.languages
+    texts = [r.text for r in docs.limit(300).collect()] + ["", None, "日本", "1"]
+    (a, x), (b, y) = dense.score(texts), split.score(texts)
+    assert all(abs(p - q) < 1e-3 for p, q in zip(x, y)) and sum(m != n for m, n in zip(a, b)) <= 2
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 10)
+    with pytest.raises(ValueError, match="more than 10 values"):
+        langid.train(docs)
