@@ -49,6 +49,25 @@ def contains(a: Column, b: Column, least: float = 0.5) -> Column:
     return (intersection(a, b) > 0) & (area(b) > 0) & F.coalesce(F.try_divide(intersection(a, b), area(b)) >= least, F.lit(False))
 
 
+#: The grid of ``cells``: so many cells a side, each of so many units; the cells at its edges reach on without end.
+GRID, CELL = 16, 256.0
+
+
+def cell_of(x: Column, y: Column) -> Column:
+    """The number of the grid's cell that a point lies in."""
+    at = lambda v: F.floor(F.coalesce(F.greatest(F.least(v / CELL, F.lit(GRID - 1.0)), F.lit(0.0)), F.lit(0.0))).cast("int")
+    return at(y) * GRID + at(x)
+
+
+def cells(b: Column) -> Column:
+    """The cells that a box touches, that of its first corner first; at most GRID squared. Two boxes whose interiors meet share the
+    cell of the point (greater x0, greater y0), so a pair can be counted there alone."""
+    first, last = cell_of(b["x0"], b["y0"]), cell_of(b["x1"], b["y1"])
+    rows = F.sequence(F.floor(first / GRID).cast("int"), F.floor(last / GRID).cast("int"))
+    columns = F.sequence(first % GRID, last % GRID)
+    return F.flatten(F.transform(rows, lambda y: F.transform(columns, lambda x: y * GRID + x)))
+
+
 def clamped_iou(a: Column, b: Column) -> Column:
     """Intersection over union with sides clamped at zero; 0 without an intersection."""
     inter = intersection(a, b)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -11,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from foliospark.functions.names import free
+
 RETRYABLE = (408, 429, 500, 502, 503, 504)
 WINDOW_S, DAY_S = 60, 86_400
 
@@ -27,14 +31,15 @@ def sliding_counts(calls: DataFrame, key: str, ts: str, seconds: int = WINDOW_S,
     window of the span before, is copied into it: one call of SPAN_WINDOWS on average. Calls without a time are counted together."""
     window, span = seconds * 1_000_000, seconds * 1_000_000 * SPAN_WINDOWS
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = calls.withColumn("_micros", micros).withColumn("_own", F.floor(F.col("_micros") / F.lit(span)))
-    after = F.floor((F.col("_micros") + window) / F.lit(span))
-    both = F.when(after > F.col("_own"), F.array("_own", after)).otherwise(F.array("_own"))
-    w = Window.partitionBy(key, "_span").orderBy("_micros").rangeBetween(-window, 0)
-    out = rows.withColumn("_span", F.explode(both)).withColumn("in_window", F.count(F.lit(1)).over(w))
+    at, own, cut = free(calls, "micros", "own", "cut")
+    rows = calls.withColumn(at, micros).withColumn(own, F.floor(F.col(at) / F.lit(span)))
+    after = F.floor((F.col(at) + window) / F.lit(span))
+    both = F.when(after > F.col(own), F.array(own, after)).otherwise(F.array(own))
+    w = Window.partitionBy(key, cut).orderBy(at).rangeBetween(-window, 0)
+    out = rows.withColumn(cut, F.explode(both)).withColumn("in_window", F.count(F.lit(1)).over(w))
     if oldest:
-        out = out.withColumn("oldest_age", (F.col("_micros") - F.min("_micros").over(w)) / 1e6)
-    return out.filter(F.col("_span").eqNullSafe(F.col("_own"))).drop("_micros", "_own", "_span")
+        out = out.withColumn("oldest_age", (F.col(at) - F.min(at).over(w)) / 1e6)
+    return out.filter(F.col(cut).eqNullSafe(F.col(own))).drop(at, own, cut)
 
 
 def wait_seconds(oldest_age: Column, in_window: Column, most: int) -> Column:
@@ -79,44 +84,72 @@ def is_retryable(code: Column) -> Column:
     return code.isin(*RETRYABLE)
 
 
-# The keys that name a delay, and how a message says one.
+# The keys that name a delay.
 HINT_KEYS = ("retryDelay", "retry_delay", "Retry-After", "retryAfter")
-HINT_IN_MESSAGE = r"(?i)retry[_ ]?delay['\"]?\s*[:=]\s*['\"]?([0-9]+(?:\.[0-9]+)?)\s*s"
+_PLAIN = re.compile(r"[0-9]+(\.[0-9]+)?")
+
+
+def _seconds(given: object) -> float | None:
+    """A number, or a text with a plain decimal and perhaps an s behind it."""
+    if isinstance(given, (int, float)):
+        return float(given)
+    if isinstance(given, str):
+        number = given.strip().removesuffix("s").strip()
+        return float(number) if _PLAIN.fullmatch(number) else None
+    return None
 
 
 def delay_of(details: str | None) -> float | None:
-    """The first delay in a JSON text, depth first in the order of the text: a number, or text like "30s". None if there is none or
-    the text isn't JSON."""
+    """The first delay in a JSON text: its objects' items in their order, depth first. What a hint's key holds is taken or passed over, not
+    searched. An array's entries count at the top only if they are objects. None if there is none or the text isn't JSON."""
     try:
-        waiting = [json.loads(details or "")]
+        given = json.loads(details or "")
     except ValueError:
         return None
+    waiting = [given] if isinstance(given, dict) else [x for x in reversed(given) if isinstance(x, dict)] if isinstance(given, list) else []
     while waiting:
         x = waiting.pop()
-        if isinstance(x, dict):
-            for key in HINT_KEYS:
-                given = x.get(key)
-                if isinstance(given, str):
-                    given = given.strip().removesuffix("s").strip()
-                if given is None or isinstance(given, (bool, dict, list)):
-                    continue
-                try:
-                    return float(given)
-                except ValueError:
-                    pass
-            x = list(x.values())
-        if isinstance(x, list):
+        if isinstance(x, _Hint):
+            if (seconds := _seconds(x.value)) is not None:
+                return seconds
+        elif isinstance(x, dict):
+            waiting += [_Hint(v) if k in HINT_KEYS else v for k, v in reversed(x.items())]
+        elif isinstance(x, list):
             waiting += reversed(x)
     return None
 
 
+@dataclass
+class _Hint:
+    value: object
+
+
+def delay_said(message: str | None) -> float | None:
+    """The first delay that a message states: the words retry and delay, together or with a space or an underscore between them, a
+    colon or an equals sign, a plain decimal and a unit that begins with s; quotes may close the words and open the number."""
+    low = (message or "").lower()
+    at = low.find("delay")
+    while at >= 0:
+        before, rest = low[:at], low[at + 5 :]
+        if before.removesuffix("_" if before.endswith("_") else " ").endswith("retry"):
+            rest = rest[rest[:1] in ("'", '"') :].lstrip()
+            if rest[:1] in (":", "="):
+                rest = rest[1:].lstrip()
+                rest = rest[rest[:1] in ("'", '"') :].lstrip() if rest[:1] in ("'", '"') else rest
+                number = _PLAIN.match(rest)
+                if number and rest[number.end() :].lstrip().startswith("s"):
+                    return float(number[0])
+        at = low.find("delay", at + 1)
+    return None
+
+
 @F.pandas_udf(DoubleType())
-def _delays(details: pd.Series) -> pd.Series:
-    return details.map(delay_of).astype("float64")
+def _delays(details: pd.Series, message: pd.Series) -> pd.Series:
+    found = [delay_of(d) if d else None for d in details]
+    return pd.Series([delay_said(m) if f is None else f for f, m in zip(found, message)], dtype="float64")
 
 
 def retry_hint(details: Column, message: Column) -> Column:
-    """Seconds from an error's JSON, at any depth, else from its message. Errors are few: their JSON is walked in Python."""
-    found = _delays(F.coalesce(details, F.lit("")))
-    said = F.nullif(F.regexp_extract(F.coalesce(message, F.lit("")), HINT_IN_MESSAGE, 1), F.lit("")).cast("double")
-    return F.coalesce(F.when(~F.isnan(found), found), said)
+    """Seconds from an error's JSON, at any depth, else from its message; null without either. Errors are few: they are read in Python."""
+    found = _delays(F.coalesce(details, F.lit("")), F.coalesce(message, F.lit("")))
+    return F.when(~F.isnan(found), found)

@@ -82,12 +82,12 @@ def block_overlay(rect: Column, text: Column) -> Column:
 
 
 def block_lines(rect: Column, text: Column, page_height) -> Column:
-    """Array of (i, line, x, y) of ``block_overlay``'s lines: one below the other from the box's top; the first that would stand below
-    the page's end, and all after it, are left out."""
+    """Array of (i, line, x, y) of ``block_overlay``'s lines: one below the other from the box's top. A blank line takes its place
+    but isn't there; the first that would stand below the page's end, and all after it, are left out."""
 
     def placed(whole: Column) -> Column:
         of = F.transform(whole["lines"], lambda line, i: F.struct(i.alias("i"), line.alias("line"), rect["x0"].alias("x"), (rect["y0"] + whole["size"] * (1.0 + 1.2 * i)).alias("y")))
-        return F.filter(of, lambda p: p["y"] <= F.lit(float(page_height)))
+        return F.filter(of, lambda p: (p["line"] != "") & (p["y"] <= F.lit(float(page_height))))
 
     return bound(block_overlay(rect, text), placed)
 

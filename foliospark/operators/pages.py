@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
 from foliospark.functions import text as T
-from foliospark.functions.ocr_json import kind, normalize, payload
+from foliospark.functions.names import free
+from foliospark.functions.ocr_json import export, kind, payload
 
 PAGE_KEY = ["job_id", "page"]
 
@@ -58,15 +59,15 @@ def cache_hits(cache: DataFrame) -> DataFrame:
 
 
 def replayed(pages: DataFrame, cache: DataFrame) -> DataFrame:
-    """``pages`` with ``result`` and ``hit``; without a usable entry the page has to be recognized."""
+    """``pages`` with ``result`` and ``hit`` (columns of these names that ``pages`` has are replaced); without a usable entry the page has to
+    be recognized."""
     found = cache_hits(cache).select(*PAGE_KEY, "result", F.lit(True).alias("hit"))
-    return pages.join(found, PAGE_KEY, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return pages.drop("result", "hit").join(found, PAGE_KEY, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def exported(cache: DataFrame) -> DataFrame:
     """job_id, page, json: each entry read tolerantly and written as one JSON object."""
-    page = cache.withColumn("v", payload(F.col("result"))).withColumn("page_result", normalize(F.col("v")))
-    return page.select(*PAGE_KEY, F.to_json("page_result").alias("json"))
+    return cache.select(*PAGE_KEY, export(payload(F.col("result"))).alias("json"))
 
 
 def to_clear(cache: DataFrame, finished: DataFrame) -> DataFrame:

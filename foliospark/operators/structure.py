@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
 from foliospark.functions import text as T
+from foliospark.functions.names import free
 
 PAGE = ["doc_id", "page"]
 DEFAULT_SIZE = 12.0
@@ -25,21 +28,43 @@ def font_size(bbox: Column, direction: Column, lines: Column, text: Column) -> C
     return F.when(direction == "vertical", G.width(bbox)).otherwise(G.height(bbox)) / n
 
 
-def last_match(blocks: DataFrame, others: DataFrame, value: str, meets, name: str) -> DataFrame:
-    """``blocks`` with ``name``: the value of the last (by ord) of the page's ``others`` that meets the block, or null. Both
-    have doc_id, page, ord, bbox; the join is by page, the boxes' sides are compared before any ratio."""
-    right = others.select(*[F.col(c).alias(f"o_{c}") for c in (*PAGE, "ord", "bbox", value)])
-    on = (F.col("doc_id") == F.col("o_doc_id")) & (F.col("page") == F.col("o_page")) & G.touches(F.col("bbox"), F.col("o_bbox")) & meets(F.col("bbox"), F.col("o_bbox"))
-    found = blocks.select(*PAGE, "ord", "bbox").join(right, on).groupBy(*PAGE, "ord").agg(F.max_by(f"o_{value}", "o_ord").alias(name))
-    return blocks.join(found, [*PAGE, "ord"], "left")
+def last_matches(blocks: DataFrame, wanted: list[tuple[DataFrame, str, Callable[[Column, Column], Column], str]]) -> DataFrame:
+    """``blocks`` with a column for each of ``wanted`` (others, value, meets, name): the value of the last (by ord) of the page's others that
+    meets the block, or null. All have doc_id, page, ord, bbox.
+
+    One join for all of ``wanted``, by page and cell of a grid: boxes are copied to the cells they touch, and a pair counts in the one cell
+    that holds its reference corner, so that a page of very many boxes is many tasks' work. A block's other columns go with
+    its first copy alone. Rows that are equal in all columns are one block."""
+    home, cell, rest, same = free(blocks, "home", "cell", "rest", "same")
+    names, key = [n for _, _, _, n in wanted], [*PAGE, "ord", "bbox"]
+    others = None
+    for i, (other, value, _, _) in enumerate(wanted):
+        values = [F.col(value).alias(f"o_value{k}") if k == i else F.lit(None).cast(w[0].schema[w[1]].dataType).alias(f"o_value{k}") for k, w in enumerate(wanted)]
+        own = other.select(*[F.col(c).alias(f"o_{c}") for c in (*PAGE, "ord", "bbox")], F.lit(i).alias("o_which"), *values)
+        others = own if others is None else others.unionByName(own)
+    others = others.withColumn("o_cell", F.explode(G.cells(F.col("o_bbox"))))
+    payload = [c for c in blocks.columns if c not in key]
+    hashed = F.xxhash64(*[F.col(c) for c in payload]) if payload else F.lit(0).cast("long")
+    at = F.coalesce(G.cells(F.col("bbox")), F.array(F.lit(0)))
+    placed = blocks.select(*key, hashed.alias(same), F.struct(*payload, F.lit(1).alias(home)).alias(rest), F.posexplode(at).alias(home, cell))
+    placed = placed.withColumn(rest, F.when(F.col(home) == 0, F.col(rest)))
+    a, b = F.col("bbox"), F.col("o_bbox")
+    corner = G.cell_of(F.greatest(a["x0"], b["x0"]), F.greatest(a["y0"], b["y0"])) == F.col(cell)
+    meets = F.lit(False)
+    for i, (_, _, test, _) in enumerate(wanted):
+        meets = meets | ((F.col("o_which") == i) & test(a, b))
+    on = (F.col("doc_id") == F.col("o_doc_id")) & (F.col("page") == F.col("o_page")) & (F.col(cell) == F.col("o_cell")) & G.touches(a, b) & corner & meets
+    found = [F.max_by(f"o_value{i}", F.when(F.col("o_which") == i, F.col("o_ord"))).alias(n) for i, n in enumerate(names)]
+    per_block = placed.join(others, on, "left").groupBy(*key, same).agg(F.first(rest, ignorenulls=True).alias(rest), *found)
+    return per_block.select(*[F.col(c) if c in key else F.col(f"{rest}.{c}").alias(c) for c in blocks.columns], *names)
 
 
 def layout_types(blocks: DataFrame, layout: DataFrame, least: float = 0.3) -> DataFrame:
-    return last_match(blocks, layout, "block_type", lambda a, b: G.overlaps(a, b, least), "matched_type")
+    return last_matches(blocks, [(layout, "block_type", lambda a, b: G.overlaps(a, b, least), "matched_type")])
 
 
 def link_targets(blocks: DataFrame, links: DataFrame, least: float = 0.5) -> DataFrame:
-    return last_match(blocks, links, "url", lambda a, b: G.contains(a, b, least), "href")
+    return last_matches(blocks, [(links, "url", lambda a, b: G.contains(a, b, least), "href")])
 
 
 def infer_type(text: Column, size: Column, bbox: Column, median: Column, page_height: Column) -> Column:
@@ -59,7 +84,9 @@ def elements(blocks: DataFrame, layout: DataFrame, links: DataFrame, page_height
     """doc_id, page, ord, element_type, text, level, href: the blocks with a text, typed by the last layout block they overlap,
     else by inference. ``blocks`` has doc_id, page, ord, text, bbox and size. A type that was matched stays, ``unknown`` too."""
     medians = blocks.groupBy(*PAGE).agg(upper_median(F.col("size")).alias("median"))
-    typed = link_targets(layout_types(blocks.filter(~T.is_blank(F.col("text"))), layout), links).join(medians, PAGE)
+    wanted = [(layout, "block_type", lambda a, b: G.overlaps(a, b, 0.3), "matched_type"), (links, "url", lambda a, b: G.contains(a, b, 0.5), "href")]
+    own = blocks.filter(~T.is_blank(F.col("text"))).select(*PAGE, "ord", "bbox", "text", "size")
+    typed = last_matches(own, wanted).join(medians, PAGE)
     kind = F.coalesce("matched_type", infer_type(F.col("text"), F.col("size"), F.col("bbox"), F.col("median"), page_height))
     typed = typed.withColumn("element_type", kind)
     level = F.when(F.col("element_type") == "heading", heading_level(F.col("size"), F.col("median"))).otherwise(1)

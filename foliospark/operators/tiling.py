@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
+from foliospark.functions import text as T
+from foliospark.functions.names import free
 
 TILE_FROM = 1500
 
@@ -18,14 +24,83 @@ def on_page(bbox: Column, inverse_scale: Column, origin_x: Column, origin_y: Col
     return G.scaled(bbox, inverse_scale, origin_x, origin_y)
 
 
+class AcceptedBoxes:
+    """Boxes by level and cell: a box is on the level of the power of two that its longer side doesn't exceed, in the cell of its middle. Two
+    boxes that share ``least`` of their union have sides that differ by that factor at most, so few levels, and few cells of each, can hold
+    a box that overlaps another one by so much."""
+
+    def __init__(self, least: float):
+        self.least, self.far = least, math.ceil(math.log2(1 / least)) + 1 if 0 < least <= 1 else 0
+        self.levels: dict[int, dict[tuple[int, int], list[tuple]]] = {}
+        self.n = 0
+
+    def overlapped(self, box: tuple[float, float, float, float]) -> bool:
+        if self.least <= 0 or not self.n:
+            return self.n > 0
+        level = _level(box)
+        if level is None:
+            return False
+        x0, y0, x1, y1 = box
+        for other in range(level - self.far, level + self.far + 1):
+            found = self.levels.get(other)
+            if not found:
+                continue
+            side = 2.0**other
+            near = ((x, y) for x in range(math.floor((x0 - side) / side), math.floor((x1 + side) / side) + 1) for y in range(math.floor((y0 - side) / side), math.floor((y1 + side) / side) + 1))
+            if any(_shared(a, box) >= self.least for cell in near for a in found.get(cell, ())):
+                return True
+        return False
+
+    def add(self, box: tuple[float, float, float, float]) -> None:
+        self.n += 1
+        level = _level(box)
+        if level is not None:
+            side = 2.0**level
+            self.levels.setdefault(level, {}).setdefault((math.floor((box[0] + box[2]) / 2 / side), math.floor((box[1] + box[3]) / 2 / side)), []).append(box)
+
+
+def _level(box: tuple[float, float, float, float]) -> int | None:
+    """None for a box without an area, which overlaps nothing."""
+    w, h = box[2] - box[0], box[3] - box[1]
+    return math.frexp(max(w, h))[1] if w > 0 and h > 0 and math.isfinite(w) and math.isfinite(h) else None
+
+
+def _shared(a: tuple, b: tuple) -> float:
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    if w <= 0 or h <= 0:
+        return 0.0
+    both = w * h
+    return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both)
+
+
 def merge_tiles(blocks: DataFrame, least: float = 0.3) -> DataFrame:
-    """Greedy, in order of tile and place: a block goes if an accepted one of its page with its stripped text overlaps it by
-    ``least``. Columns doc_id, page, text, tile, ord, bbox. The fold runs over one text's blocks in a page, in the JVM."""
-    own = F.array_sort(F.collect_list(F.struct("tile", "ord", "bbox")))
-    none = F.filter(own, lambda x: F.lit(False))
-    kept = F.aggregate(own, none, lambda acc, x: F.when(F.exists(acc, lambda a: G.clamped_iou(a["bbox"], x["bbox"]) >= least), acc).otherwise(F.concat(acc, F.array(x))))
-    grouped = blocks.groupBy("doc_id", "page", "text").agg(kept.alias("kept"))
-    return grouped.select("doc_id", "page", "text", F.explode("kept").alias("b")).select("doc_id", "page", "text", "b.tile", "b.ord", "b.bbox")
+    """The rows of ``blocks`` that stay, all columns. Greedy, in order of tile and ord: a block goes if an accepted one of its page
+    with its stripped text overlaps it by ``least`` (intersection over union; a null box is one of zeros, a null text an empty one). Needs
+    doc_id, page, text, tile, ord, bbox.
+
+    Only blocks with one text meet, so they are dealt out by page and stripped text and stream through a task in order; it holds the boxes
+    that it has accepted of one text, in a hash of cells."""
+    key, begin = free(blocks, "key", "begin")
+    names, columns = blocks.columns, ["doc_id", "page", key]
+    stripped = T.strip(F.coalesce(F.col("text"), F.lit("")))
+    corners = F.array(*[F.coalesce(F.col(f"bbox.{c}"), F.lit(0.0)) for c in ("x0", "y0", "x1", "y1")])
+    rows = blocks.select("*", stripped.alias(key), corners.alias(begin)).repartition(*columns).sortWithinPartitions(*columns, "tile", "ord")
+    own = [len(names), names.index("doc_id"), names.index("page"), len(names) + 1]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, accepted = None, AcceptedBoxes(least)
+        for batch in batches:
+            stays = []
+            for text, doc_id, page, box in zip(*(batch.column(i).to_pylist() for i in own)):
+                if at != (doc_id, page, text):
+                    at, accepted = (doc_id, page, text), AcceptedBoxes(least)
+                fine = not accepted.overlapped(box)
+                if fine:
+                    accepted.add(box)
+                stays.append(fine)
+            yield batch.select(range(len(names))).filter(pa.array(stays, pa.bool_()))
+
+    return rows.mapInArrow(fold, blocks.schema)
 
 
 def tiled_direction(whole: Column, tiles: Column) -> Column:

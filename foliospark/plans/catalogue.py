@@ -182,12 +182,20 @@ def tile_translate(spark, sf_dir):
 _FOLD_IOU = "(greatest(0.0, least(a.x1, e.x1) - greatest(a.x0, e.x0)) * greatest(0.0, least(a.y1, e.y1) - greatest(a.y0, e.y0)))"
 
 
-@query(f"""WITH {BOX_SQL}, g AS (SELECT doc_id, page, text, list({{'tile': line % 4, 'ord': ord, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY line % 4, ord) AS l FROM b GROUP BY ALL),
-kept AS (SELECT doc_id, page, text, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda a:
+_PADS = (("", ""), (" ", ""), ("", "　"), ("\t", " "))
+_PADDED = "CASE part % 4 " + " ".join(f"WHEN {i} THEN '{a}' || text || '{b}'" for i, (a, b) in enumerate(_PADS)) + " END"
+
+
+@query(f"""WITH {BOX_SQL}, c AS (SELECT *, {_PADDED} AS padded FROM b),
+g AS (SELECT doc_id, page, {_strip('padded')} AS stripped, list({{'text': padded, 'tile': line % 4, 'ord': ord, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY line % 4, ord) AS l FROM c GROUP BY ALL),
+kept AS (SELECT doc_id, page, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda a:
   len(list_filter(y, lambda e: {_FOLD_IOU} > 0 AND {_FOLD_IOU} / ((a.x1 - a.x0) * (a.y1 - a.y0) + (e.x1 - e.x0) * (e.y1 - e.y0) - {_FOLD_IOU}) >= 0.3)) > 0)) > 0 THEN acc ELSE list_concat(acc, y) END)) AS k FROM g)
-SELECT doc_id, page, text, k.tile AS tile, k.ord AS ord, k.x0 AS x0, k.y0 AS y0, k.x1 AS x1, k.y1 AS y1 FROM kept""")
+SELECT doc_id, page, k.text AS text, k.tile AS tile, k.ord AS ord, k.x0 AS x0, k.y0 AS y0, k.x1 AS x1, k.y1 AS y1 FROM kept""")
 def tile_dedup(spark, sf_dir):
-    b = boxes(spark, sf_dir).withColumn("tile", (F.col("line") % 4).cast("int"))
+    """Texts differ by blanks around them, which the merge looks through and keeps."""
+    pads = [F.concat(F.lit(a), "text", F.lit(b)) for a, b in _PADS]
+    padded = F.get(F.array(*pads), (F.col("part") % 4).cast("int"))
+    b = boxes(spark, sf_dir).select("doc_id", "page", padded.alias("text"), (F.col("line") % 4).cast("int").alias("tile"), "ord", "bbox")
     return _flat(TI.merge_tiles(b), "doc_id", "page", "text", "tile", "ord")
 
 
@@ -249,15 +257,15 @@ _K = "json_extract_string(props, '$.k')"
 def _payload() -> F.col:
     k = F.get_json_object("props", "$.k")
     fenced = F.concat(F.lit('```json\n{"direction":"Vertical","blocks":[{"text":'), k, F.lit(',"type":" Heading ","bbox":["1",'), k, F.lit(',3,4.5,9]}, 7, {"text":"x","bbox":["1","x",3,4],"lines":[{"text":"l","bbox":[1,2,3]},{"text":""},5]}]}\n```'))
-    noted = F.concat(F.lit('note {"blocks":[{"text":["a","b"],"bbox":{"x0":'), k, F.lit(',"y1":2}},{"text":null}]} end'))
+    noted = F.concat(F.lit('note {"blocks":[{"text":["a","b"],"bbox":{"x0":'), k, F.lit(',"y1":2}},{"text":null,"type":'), F.when(F.col("event_id") % 3 == 0, '["Paragraph ",1]').when(F.col("event_id") % 3 == 1, "null").otherwise('"sidebar"'), F.lit("}]} end"))
     return F.when(F.col("event_id") % 4 == 0, fenced).when(F.col("event_id") % 4 == 1, noted).when(F.col("event_id") % 4 == 2, "no json").otherwise("")
 
 
 @query(f"""WITH e AS (SELECT event_id, ({_K})::DOUBLE AS k, {_K} AS t FROM events)
 SELECT event_id, 0 AS ord, 'vertical' AS direction, t AS text, 'heading' AS type, 1::DOUBLE AS x0, k AS y0, 3::DOUBLE AS x1, 4.5::DOUBLE AS y1, 0 AS n_lines FROM e WHERE event_id % 4 = 0
-UNION ALL SELECT event_id, 1, 'vertical', 'x', 'paragraph', 0, 0, 0, 0, 1 FROM e WHERE event_id % 4 = 0
-UNION ALL SELECT event_id, 0, 'horizontal', 'a', 'paragraph', k, 0, 0, 2, 0 FROM e WHERE event_id % 4 = 1
-UNION ALL SELECT event_id, 1, 'horizontal', '', 'paragraph', 0, 0, 0, 0, 0 FROM e WHERE event_id % 4 = 1""")
+UNION ALL SELECT event_id, 1, 'vertical', 'x', 'unknown', 0, 0, 0, 0, 1 FROM e WHERE event_id % 4 = 0
+UNION ALL SELECT event_id, 0, 'horizontal', 'a', 'unknown', k, 0, 0, 2, 0 FROM e WHERE event_id % 4 = 1
+UNION ALL SELECT event_id, 1, 'horizontal', '', CASE WHEN event_id % 3 = 0 THEN 'paragraph' ELSE 'unknown' END, 0, 0, 0, 0, 0 FROM e WHERE event_id % 4 = 1""")
 def parse_ocr_json(spark, sf_dir):
     raw = read(spark, sf_dir, "events").select("event_id", _payload().alias("payload"))
     page = J.parse_pages(raw)
@@ -265,12 +273,13 @@ def parse_ocr_json(spark, sf_dir):
     return b.select("event_id", "ord", "direction", F.col("b.text").alias("text"), T.layout_type(F.col("b.type")).alias("type"), "b.bbox.*", F.size("b.lines").alias("n_lines"))
 
 
-@query(f"""SELECT event_id, (CASE event_id % 5 WHEN 0 THEN 1.0 WHEN 3 THEN ({_K})::DOUBLE ELSE 0 END)::DOUBLE AS x0, CASE event_id % 5 WHEN 0 THEN ({_K})::DOUBLE ELSE 0 END AS y0,
- (CASE event_id % 5 WHEN 0 THEN 3.0 ELSE 0 END)::DOUBLE AS x1, (CASE event_id % 5 WHEN 0 THEN 4.0 ELSE 0 END)::DOUBLE AS y1 FROM events""")
+@query(f"""SELECT event_id, (CASE event_id % 8 WHEN 0 THEN 1.0 WHEN 3 THEN ({_K})::DOUBLE ELSE 0 END)::DOUBLE AS x0, CASE event_id % 8 WHEN 0 THEN ({_K})::DOUBLE ELSE 0 END AS y0,
+ (CASE event_id % 8 WHEN 0 THEN 3.0 ELSE 0 END)::DOUBLE AS x1, (CASE event_id % 8 WHEN 0 THEN 4.0 ELSE 0 END)::DOUBLE AS y1 FROM events""")
 def coerce_bbox(spark, sf_dir):
+    """An array, an array with a text, a short one, an object with a missing member, a text; objects with a null, a text, an array as member."""
     k = F.get_json_object("props", "$.k")
-    given = F.array(F.concat(F.lit('["1",'), k, F.lit(",3,4]")), F.concat(F.lit('["1x",'), k, F.lit(",3,4]")), F.lit("[1,2,3]"), F.concat(F.lit('{"x0":"'), k, F.lit('"}')), F.lit('"text"'))
-    text = F.get(given, (F.col("event_id") % 5).cast("int"))
+    given = F.array(F.concat(F.lit('["1",'), k, F.lit(",3,4]")), F.concat(F.lit('["1x",'), k, F.lit(",3,4]")), F.lit("[1,2,3]"), F.concat(F.lit('{"x0":"'), k, F.lit('"}')), F.lit('"text"'), F.concat(F.lit('{"x0":null,"y0":'), k, F.lit("}")), F.concat(F.lit('{"x0":'), k, F.lit(',"y1":"far"}')), F.concat(F.lit('{"x1":[1],"y0":'), k, F.lit("}")))
+    text = F.get(given, (F.col("event_id") % 8).cast("int"))
     return read(spark, sf_dir, "events").select("event_id", J.coerce_box(F.try_parse_json(text)).alias("b")).select("event_id", "b.*")
 
 
@@ -434,13 +443,22 @@ def daily_quota(spark, sf_dir):
     return L.daily_quota(e, 2)
 
 
-@query("""SELECT event_id, greatest(4.0, least(120.0, 4.0 * pow(2.0, event_id % 9))) AS ceiling, [408, 429, 500, 502, 503, 504, 400, 404][event_id % 8 + 1] NOT IN (400, 404) AS retryable,
- (CASE event_id % 4 WHEN 0 THEN 30.0 WHEN 1 THEN 2.5 WHEN 2 THEN 7.0 ELSE NULL END)::DOUBLE AS hint FROM events""")
+# Details, messages and the delay they give: the first hint in the order of the text counts, a hint's own value isn't searched, and only
+# plain decimals are delays.
+_HINTS = (
+    ('{"error":{"details":[{"x":1},{"retryDelay":"30s"}]}}', "no", 30.0), ('[{"a":{"retryAfter":2.5}}]', "no", 2.5), ("{}", "wait: retry_delay: 7 s", 7.0), ('{"retryDelay":"soon"}', "no", None),
+    ('{"a":[{"x":{"retry_delay":"1.5 s"}}],"retryAfter":9}', "no", 1.5), ('{"retryDelay":{"retryDelay":"2s"}}', "retry delay=\'3.25s", 3.25), ('{"Retry-After":"1e3","b":{"retryAfter":"4"}}', "no", 4.0),
+    ('[[{"retryDelay":1}],7]', 'RetryDelay":"12 sec', 12.0), ('{"retryAfter":"-5"}', "retry-delay: 6s", None), ('{"retryAfter":"inf"}', "retry_delay: 6 min", None), ("broken", "retry  delay: 6s", None), ('"retryDelay"', "delay: 6s", None),
+)
+_HINT_SQL = f"(CASE event_id % {len(_HINTS)} " + " ".join(f"WHEN {i} THEN {h}" for i, (_, _, h) in enumerate(_HINTS) if h is not None) + " END)::DOUBLE"
+
+
+@query(f"""SELECT event_id, greatest(4.0, least(120.0, 4.0 * pow(2.0, event_id % 9))) AS ceiling, [408, 429, 500, 502, 503, 504, 400, 404][event_id % 8 + 1] NOT IN (400, 404) AS retryable,
+ {_HINT_SQL} AS hint FROM events""")
 def backoff_bounds(spark, sf_dir):
     n = F.col("event_id")
     code = F.get(F.array(*map(F.lit, (408, 429, 500, 502, 503, 504, 400, 404))), (n % 8).cast("int"))
-    details = F.get(F.array(F.lit('{"error":{"details":[{"x":1},{"retryDelay":"30s"}]}}'), F.lit('[{"a":{"retryAfter":2.5}}]'), F.lit("{}"), F.lit('{"retryDelay":"soon"}')), (n % 4).cast("int"))
-    message = F.when(n % 4 == 2, "wait: retry_delay: 7 s").otherwise("no")
+    details, message = (F.get(F.array(*[F.lit(h[i]) for h in _HINTS]), (n % len(_HINTS)).cast("int")) for i in (0, 1))
     return read(spark, sf_dir, "events").select("event_id", L.backoff_ceiling(n % 9 + 1).alias("ceiling"), L.is_retryable(code).alias("retryable"), L.retry_hint(details, message).alias("hint"))
 
 

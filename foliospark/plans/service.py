@@ -80,7 +80,7 @@ def cache_replay(spark, sf_dir):
     return P.replayed(docs, _cache(spark, sf_dir)).groupBy("job_id").agg(F.count(F.lit(1)).alias("pages"), F.count_if("hit").alias("hits"))
 
 
-@query(f"""WITH {_CACHE_SQL} SELECT job_id, page, CASE WHEN result LIKE '%Vertical%' THEN '{{"direction":"vertical","blocks":[{{"text":"t' || page || '","type":"paragraph","bbox":{{"x0":1.0,"y0":2.0,"x1":3.0,"y1":4.0}},"lines":[]}}]}}'
+@query(f"""WITH {_CACHE_SQL} SELECT job_id, page, CASE WHEN result LIKE '%Vertical%' THEN '{{"direction":"Vertical","blocks":[{{"text":"t' || page || '","type":"","bbox":[1.0,2.0,3.0,4.0],"lines":[]}}]}}'
  ELSE '{{"direction":"horizontal","blocks":[]}}' END AS json FROM cache""")
 def cache_export(spark, sf_dir):
     return P.exported(_cache(spark, sf_dir))
@@ -248,11 +248,13 @@ def _most(size: str, width: str) -> str:
     return f"(CASE WHEN {fits(estimate + ' + 1')} THEN {estimate} + 1 WHEN {fits(estimate)} THEN {estimate} ELSE greatest(1, {estimate} - 1) END)::INT"
 
 
-@query(f"""WITH {BOX_SQL}, t AS (SELECT doc_id, ord, repeat(text, (5 + line * 3)::INT) AS x, x0, y0, greatest(x1 - x0, 1.0)::DOUBLE AS w, y1 - y0 AS h FROM b),
-n AS (SELECT *, greatest(3.0, least(h / (greatest(1, ceil(length(x) / {_most('12.0::DOUBLE', 'w')})) * 1.2::DOUBLE), 48.0))::DOUBLE AS size FROM t),
-c AS (SELECT *, {_most('size', 'w')} AS most FROM n), l AS (SELECT doc_id, ord, x, x0, y0, size, most, unnest(range(ceil(length(x) / most)::INT))::INT AS i FROM c)
-SELECT doc_id, ord, i, x[i * most + 1 : (i + 1) * most] AS line, x0 AS x, round(y0 + size * (1.0 + 1.2::DOUBLE * i), 6) AS y FROM l WHERE y0 + size * (1.0 + 1.2::DOUBLE * i) <= 120""")
+@query(f"""WITH {BOX_SQL}, t AS (SELECT doc_id, ord, repeat(text, (5 + line * 3)::INT) AS x, CASE part % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS gap, x0, y0, greatest(x1 - x0, 1.0)::DOUBLE AS w, y1 - y0 AS h FROM b),
+n AS (SELECT *, greatest(3.0, least(h / ((ceil(length(x) / {_most('12.0::DOUBLE', 'w')}) + gap + CASE WHEN gap > 0 THEN 1 ELSE 0 END) * 1.2::DOUBLE), 48.0))::DOUBLE AS size FROM t),
+c AS (SELECT *, {_most('size', 'w')} AS most FROM n), l AS (SELECT doc_id, ord, x, gap, x0, y0, size, most, ceil(length(x) / most)::INT AS k, unnest(range(ceil(length(x) / most)::INT + CASE WHEN gap > 0 THEN gap + 1 ELSE 0 END))::INT AS i FROM c),
+p AS (SELECT doc_id, ord, i, CASE WHEN i < k THEN x[i * most + 1 : (i + 1) * most] WHEN i = k + gap THEN 'e' ELSE '' END AS line, x0 AS x, y0 + size * (1.0 + 1.2::DOUBLE * i) AS y FROM l)
+SELECT doc_id, ord, i, line, x, round(y, 6) AS y FROM p WHERE y <= 120 AND line <> ''""")
 def block_overlay_lines(spark, sf_dir):
-    """Where each line of a block's overlay stands on a page of 120 points."""
-    placed = O.block_lines(F.col("bbox"), F.repeat("text", (5 + F.col("line") * 3).cast("int")), 120.0)
+    """Where each line of a block's overlay stands on a page of 120 points; texts of one line, and such with one or two blank lines before a last one."""
+    gap = F.when(F.col("part") % 3 == 1, "\n \ne").when(F.col("part") % 3 == 2, "\n\n\t\ne").otherwise("")
+    placed = O.block_lines(F.col("bbox"), F.concat(F.repeat("text", (5 + F.col("line") * 3).cast("int")), gap), 120.0)
     return boxes(spark, sf_dir).select("doc_id", "ord", F.explode(placed).alias("p")).select("doc_id", "ord", "p.i", "p.line", "p.x", F.round("p.y", 6).alias("y"))
