@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
+from foliospark.functions import metrics as M
 from foliospark.functions import text as T
 
-#: Width of a character as a share of the font size, where no font is at hand.
+#: Width of a character as a share of the font size, where all have one.
 CHAR_WIDTH = 0.6
 
 # Fonts by language, in order of preference.
@@ -32,7 +33,7 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def wrap(text: Column, size: Column, width: Column) -> Column:
     """Lines of at most ``width``, broken between characters; a blank line stays as an empty one; there is one line at least.
-    All characters have one width, so a line takes a fixed number of them."""
+    All characters have one width, so a line takes a fixed number of them (``metrics.wrap`` goes by their own widths)."""
     # as the running width is compared after each character, the count is found by that comparison, not by a division
     estimate = F.greatest(F.lit(1), F.floor(width / (size * CHAR_WIDTH)).cast("int"))
     fits = lambda n: n * size * CHAR_WIDTH <= width
@@ -50,11 +51,12 @@ def clamp_size(size: Column) -> Column:
     return F.greatest(F.lit(3.0), F.least(size, F.lit(48.0)))
 
 
-def horizontal_overlay(rect: Column, text: Column) -> Column:
-    """size, x and baseline of one line; null for a blank text or no box."""
+def horizontal_overlay(rect: Column, text: Column, uniform: bool = False) -> Column:
+    """size, x and baseline of one line; null for a blank text or no box. Widths are those of ``metrics``, or with
+    ``uniform`` one for all characters."""
     t, h, w = T.strip(text), G.height(rect), G.width(rect)
     first = clamp_size(h)
-    own = F.length(t) * first * CHAR_WIDTH
+    own = F.length(t) * first * CHAR_WIDTH if uniform else M.text_width(t) * first / 1000
     size = F.when((own > w) & (own > 0), F.greatest(F.lit(3.0), first * (w / own))).otherwise(first)
     placed = F.struct(size.alias("size"), rect["x0"].alias("x"), (rect["y1"] - h * 0.18).alias("y"))
     return F.when(~T.is_blank(text) & rect.isNotNull(), placed)
@@ -73,15 +75,18 @@ def vertical_overlay(rect: Column, text: Column, page_height) -> Column:
     return bound(chars, placed)
 
 
-def block_overlay(rect: Column, text: Column) -> Column:
-    """Font size and lines of a whole block: wrapped at 12 points for the number of lines, sized to the box, wrapped again."""
+def block_overlay(rect: Column, text: Column, uniform: bool = False) -> Column:
+    """Font size and lines of a whole block: wrapped at 12 points for the number of lines, sized to the box, wrapped again. Widths are those
+    of ``metrics``, or with ``uniform`` one for all characters, which stays in the JVM."""
+    if not uniform:
+        return M.fitted(text, G.width(rect), G.height(rect))
     w, h = F.greatest(G.width(rect), F.lit(1.0)), G.height(rect)
     n = F.greatest(F.lit(1), F.size(wrap(text, F.lit(12.0), w)))
     size = clamp_size(F.when(h > 0, h / (n * 1.2)).otherwise(12.0))
     return bound(size, lambda fitting: F.struct(fitting.alias("size"), wrap(text, fitting, w).alias("lines")))
 
 
-def block_lines(rect: Column, text: Column, page_height) -> Column:
+def block_lines(rect: Column, text: Column, page_height, uniform: bool = False) -> Column:
     """Array of (i, line, x, y) of ``block_overlay``'s lines: one below the other from the box's top. A blank line takes its place
     but isn't there; the first that would stand below the page's end, and all after it, are left out."""
 
@@ -89,7 +94,7 @@ def block_lines(rect: Column, text: Column, page_height) -> Column:
         of = F.transform(whole["lines"], lambda line, i: F.struct(i.alias("i"), line.alias("line"), rect["x0"].alias("x"), (rect["y0"] + whole["size"] * (1.0 + 1.2 * i)).alias("y")))
         return F.filter(of, lambda p: (p["line"] != "") & (p["y"] <= F.lit(float(page_height))))
 
-    return bound(block_overlay(rect, text), placed)
+    return bound(block_overlay(rect, text, uniform), placed)
 
 
 def overlay_rows(lines: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -134,10 +139,14 @@ def body_markup(element_type: Column, text: Column, href: Column) -> Column:
 PAGE_TOP, PAGE_BOTTOM, LINE, GAP, HEADING_GAP, BODY_WIDTH = 60.0, 790.0, 1.5, 4.0, 8.0, 495.0
 
 
-def paginate(elements: DataFrame) -> DataFrame:
+def paginate(elements: DataFrame, uniform: bool = False) -> DataFrame:
     """doc_id, page, sheet (from 0), y, size, line: where each wrapped line of a page's elements stands. A fold over the elements of one
-    page, in the JVM: a line that would begin below the bottom begins a new sheet. Needs ord, element_type, level, text, fallback_size."""
-    items = F.array_sort(F.collect_list(F.struct("ord", F.col("fallback_size").cast("double").alias("size"), (F.col("element_type") == "heading").alias("heading"), wrap(T.strip(F.col("text")), F.col("fallback_size").cast("double"), F.lit(BODY_WIDTH)).alias("lines"))))
+    page, in the JVM: a line that would begin below the bottom begins a new sheet. Needs ord, element_type, level, text, fallback_size. Lines
+    are broken by the widths of ``metrics``, or with ``uniform`` by one for all characters."""
+    size = F.col("fallback_size").cast("double")
+    own = (wrap if uniform else M.wrap)(T.strip(F.col("text")), size, F.lit(BODY_WIDTH))
+    rows = elements.filter(~T.is_blank(F.col("text"))).select("doc_id", "page", "ord", size.alias("size"), (F.col("element_type") == "heading").alias("heading"), own.alias("lines"))
+    items = F.array_sort(F.collect_list(F.struct("ord", "size", "heading", "lines")))
     flat = F.flatten(F.transform(items, lambda e: F.transform(e["lines"], lambda line, i: F.struct(e["size"].alias("size"), line.alias("line"), F.when((i == 0) & e["heading"], HEADING_GAP).otherwise(0.0).alias("before"), F.when(i == F.size(e["lines"]) - 1, GAP).otherwise(0.0).alias("after")))))
     start = F.struct(F.lit(0).alias("sheet"), F.lit(PAGE_TOP).alias("y"), F.expr("cast(array() as array<struct<sheet:int,y:double,size:double,line:string>>)").alias("out"))
 
@@ -148,5 +157,5 @@ def paginate(elements: DataFrame) -> DataFrame:
         row = F.struct(sheet.alias("sheet"), y.alias("y"), x["size"].alias("size"), x["line"].alias("line"))
         return F.struct(sheet.alias("sheet"), (y + x["size"] * LINE + x["after"]).alias("y"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    placed = elements.filter(~T.is_blank(F.col("text"))).groupBy("doc_id", "page").agg(F.aggregate(flat, start, step)["out"].alias("out"))
+    placed = rows.groupBy("doc_id", "page").agg(F.aggregate(flat, start, step)["out"].alias("out"))
     return placed.select("doc_id", "page", F.explode("out").alias("o")).select("doc_id", "page", "o.sheet", "o.y", "o.size", "o.line")

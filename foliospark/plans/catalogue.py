@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
 from foliospark.functions import images as I
+from foliospark.functions import metrics as M
 from foliospark.functions import ocr_json as J
 from foliospark.functions import text as T
 from foliospark.operators import jobs as Q
@@ -498,7 +499,7 @@ def vertical_layout(spark, sf_dir):
 s AS (SELECT *, CASE WHEN n * f * 0.6 > x1 - x0 THEN greatest(3.0, f * ((x1 - x0) / (n * f * 0.6))) ELSE f END AS size FROM t)
 SELECT doc_id, ord, round(size, 9) AS size, x0 AS x, round(y1 - (y1 - y0) * 0.18, 9) AS y FROM s""")
 def horizontal_overlay(spark, sf_dir):
-    placed = O.horizontal_overlay(F.col("bbox"), F.concat(F.lit(" "), F.col("text"), F.lit("-line ")))
+    placed = O.horizontal_overlay(F.col("bbox"), F.concat(F.lit(" "), F.col("text"), F.lit("-line ")), uniform=True)
     return boxes(spark, sf_dir).select("doc_id", "ord", placed.alias("p")).select("doc_id", "ord", F.round("p.size", 9).alias("size"), "p.x", F.round("p.y", 9).alias("y"))
 
 
@@ -509,6 +510,38 @@ def searchable_overlay(spark, sf_dir):
     return O.overlay_rows(lines, lines.select("doc_id", "page", "ord").distinct()).withColumn("line", F.coalesce("line", F.lit(-1)))
 
 
+def _width_sql(c: str) -> str:
+    within = lambda ranges: " OR ".join(f"ord({c}) BETWEEN {a} AND {b}" for a, b in ranges)
+    return f"(CASE WHEN ord({c}) BETWEEN 32 AND 126 THEN {list(M.LATIN)}[ord({c}) - 31] WHEN {within(M.FULL)} THEN 1000 WHEN {within(M.HALF)} THEN 500 WHEN {within(M.NONE)} THEN 0 ELSE {M.OTHER} END)::BIGINT"
+
+
+_MIXED = f"(SELECT doc_id, coalesce(text, '') || chr(10) || repeat(t, 40) AS x FROM {_TEXT_AT})"
+
+
+def _mixed(spark, sf_dir):
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.repeat(literal_text(F.col("doc_id") % len(TEXTS)), 40))
+    return read(spark, sf_dir, "documents").select("doc_id", text.alias("x"))
+
+
+@query(f"""WITH {TEXTS_SQL}, c AS (SELECT doc_id, unnest(string_split(x, '')) AS c FROM {_MIXED})
+SELECT doc_id, sum({_width_sql('c')})::BIGINT AS width FROM c GROUP BY doc_id""")
+def text_widths(spark, sf_dir):
+    """The width of every whole text, with characters of several scripts, in thousandths of a font size."""
+    return _mixed(spark, sf_dir).select("doc_id", M.text_width(F.col("x")).alias("width"))
+
+
+@query(f"""WITH {TEXTS_SQL}, l AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line FROM {_MIXED}),
+w AS (SELECT doc_id, {_strip('line')} = '' AS blank, list_transform(string_split(line, ''), lambda c: {{'n': 1::BIGINT, 'k': 1::BIGINT, 'q': 0::BIGINT, 'w': {_width_sql('c')}}}) AS cs FROM l),
+f AS (SELECT doc_id, CASE WHEN blank THEN {{'n': 1::BIGINT, 'k': 0::BIGINT, 'q': 0::BIGINT, 'w': 0::BIGINT}} ELSE list_reduce(cs, lambda a, x:
+ CASE WHEN (a.w + x.w) * 11.0::DOUBLE / 1000 > 495.0::DOUBLE THEN {{'n': a.n + 1, 'k': 1::BIGINT, 'q': a.q + a.k * a.k, 'w': x.w}} ELSE {{'n': a.n, 'k': a.k + 1, 'q': a.q, 'w': a.w + x.w}} END) END AS r FROM w)
+SELECT doc_id, sum(r.n)::BIGINT AS n_lines, sum(r.q + r.k * r.k)::BIGINT AS squares FROM f GROUP BY doc_id""")
+def wrap_widths(spark, sf_dir):
+    """Lines of every whole text by its characters' widths: their number, and the squares of their lengths added up."""
+    lines = _mixed(spark, sf_dir).select("doc_id", M.wrap(F.col("x"), F.lit(11.0), F.lit(495.0)).alias("lines"))
+    squares = F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + F.length(x).cast("long") * F.length(x))
+    return lines.select("doc_id", F.size("lines").cast("long").alias("n_lines"), squares.alias("squares"))
+
+
 _LANG = "CASE lang WHEN 'fr' THEN 'ch_sim' WHEN 'de' THEN 'japan' WHEN 'es' THEN 'korean' ELSE 'other' END"
 
 
@@ -617,7 +650,7 @@ def tile_direction(spark, sf_dir):
 n AS (SELECT *, greatest(3.0, least(h / (greatest(1, ceil(length(x) / greatest(1, floor(w / 7.2 + 1e-9)))) * 1.2), 48.0)) AS size FROM t)
 SELECT doc_id, ord, round(size, 6) AS size FROM n""")
 def block_overlay(spark, sf_dir):
-    placed = O.block_overlay(F.col("bbox"), F.repeat("text", (5 + F.col("line") * 3).cast("int")))
+    placed = O.block_overlay(F.col("bbox"), F.repeat("text", (5 + F.col("line") * 3).cast("int")), uniform=True)
     return boxes(spark, sf_dir).select("doc_id", "ord", F.round(placed["size"], 6).alias("size"))
 
 

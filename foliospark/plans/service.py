@@ -256,5 +256,5 @@ SELECT doc_id, ord, i, line, x, round(y, 6) AS y FROM p WHERE y <= 120 AND line
 def block_overlay_lines(spark, sf_dir):
     """Where each line of a block's overlay stands on a page of 120 points; texts of one line, and such with one or two blank lines before a last one."""
     gap = F.when(F.col("part") % 3 == 1, "\n \ne").when(F.col("part") % 3 == 2, "\n\n\t\ne").otherwise("")
-    placed = O.block_lines(F.col("bbox"), F.concat(F.repeat("text", (5 + F.col("line") * 3).cast("int")), gap), 120.0)
+    placed = O.block_lines(F.col("bbox"), F.concat(F.repeat("text", (5 + F.col("line") * 3).cast("int")), gap), 120.0, uniform=True)
     return boxes(spark, sf_dir).select("doc_id", "ord", F.explode(placed).alias("p")).select("doc_id", "ord", "p.i", "p.line", "p.x", F.round("p.y", 6).alias("y"))

@@ -18,7 +18,7 @@ from foliospark.operators import overlay as O
 from foliospark.operators import pages as P
 from foliospark.operators import structure as S
 from foliospark.operators import tiling as TI
-from foliospark.sources import files, ocr
+from foliospark.sources import files, ocr, pdf
 from foliospark.sources.settings import client_settings
 from foliospark.sources.settings import settings as read_settings
 from foliospark.streaming import control
@@ -131,7 +131,8 @@ def test_limits(spark):
     assert one(spark, L.retry_hint(F.lit('{"a":[{"retryDelay":"30s"}]}'), F.lit(""))) == 30 and one(spark, L.retry_hint(F.lit("{}"), F.lit("x"))) is None
 
 
-def wrapped(text, size, width):
+def wrapped(text, size, width, widths=None):
+    widths = widths or (lambda t: len(t) * 600)
     out = []
     for line in text.split("\n"):
         if not line.strip():
@@ -139,7 +140,7 @@ def wrapped(text, size, width):
             continue
         now = ""
         for c in line:
-            if len(now + c) * size * 0.6 > width and now:
+            if widths(now + c) * size / 1000 > width and now:
                 out.append(now)
                 now = c
             else:
@@ -161,7 +162,7 @@ def test_overlay_and_markup(spark):
     assert [(p["c"], p["y"]) for p in v] == [("a", 10.0), ("b", 25.0)]
     assert one(spark, O.horizontal_overlay(box(0, 0, 1, 10), F.lit("　"))) is None
     assert one(spark, O.body_markup(F.lit("list-item"), F.lit(" a<b "), F.lit("u"))) == '<a href="u" color="blue">• a&lt;b</a>'
-    assert one(spark, O.block_overlay(box(0, 0, 100, 50), F.lit("abc")))["lines"] == ["abc"]
+    assert one(spark, O.block_overlay(box(0, 0, 100, 50), F.lit("abc"), uniform=True))["lines"] == one(spark, O.block_overlay(box(0, 0, 100, 50), F.lit("abc")))["lines"] == ["abc"]
 
 
 def test_recognition_uses_the_cache_and_isolates_pages(spark):
@@ -234,7 +235,7 @@ def test_recognition_into_a_cache(spark, tmp_path):
 def test_pagination_is_a_plain_fold(spark):
     rows = [(1, 0, 0, "heading", "A title"), (1, 0, 1, "paragraph", "word " * 1500), (1, 0, 2, "heading", "Another"), (1, 0, 3, "footnote", "x\n\ny"), (1, 1, 0, "paragraph", "  "), (1, 2, 0, "paragraph", "z")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, page int, ord int, element_type string, text string, level int")
-    got = sorted((r["doc_id"], r["page"], r["sheet"], round(r["y"], 6), r["size"], r["line"]) for r in O.paginate(O.styled(df)).collect())
+    got = sorted((r["doc_id"], r["page"], r["sheet"], round(r["y"], 6), r["size"], r["line"]) for r in O.paginate(O.styled(df), uniform=True).collect())
     sizes, want = {"heading": 16.0, "paragraph": 11.0, "footnote": 9.0}, []
     for page in (0, 1, 2):
         sheet, y = 0, 60.0
@@ -262,13 +263,14 @@ def test_searchable_files_fall_back(spark):
 
 
 def test_delays_in_details():
-    assert L.delay_of('{"a":[{"x":{"retry_delay":"1.5 s"}}],"retryAfter":9}') == 9 and L.delay_of('[{"Retry-After":"7"},{"retryDelay":1}]') == 7
-    assert [L.delay_of(x) for x in (None, "", "no", "{}", '{"retryDelay":null}', '{"retryDelay":"soon"}', '{"retryDelay":true}')] == [None] * 7
-    assert L.delay_of('{"retryDelay":{"retryDelay":"2s"}}') == 2
+    assert L.delay_of('{"a":[{"x":{"retry_delay":"1.5 s"}}],"retryAfter":9}') == 1.5 and L.delay_of('[{"Retry-After":"7"},{"retryDelay":1}]') == 7
+    assert [L.delay_of(x) for x in (None, "", "no", "{}", '{"retryDelay":null}', '{"retryDelay":"soon"}', '{"retryDelay":"1e3"}', '{"retryDelay":"-5s"}', '{"retryDelay":"inf"}', '[[{"retryDelay":1}]]', "7")] == [None] * 11
+    assert L.delay_of('{"retryDelay":{"retryDelay":"2s"}}') is None and L.delay_of('{"retryDelay":"soon","a":{"retryAfter":3}}') == 3
+    assert [L.delay_said(x) for x in ("Retry-Delay: 7s", "retry delay = '7.5 s'", 'x "retryDelay": "12s"', "retry_delay:3 m, retry_delay:4s", "delay: 5s", None, "retry_delay: s")] == [None, 7.5, 12, 4, None, None, None]
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "a.pdf").write_bytes(files.pdf([[(72, 200, 16, "one (1)")], [(72, 200, 16, "two")]]))
+    (tmp_path / "a.pdf").write_bytes(pdf.pdf([pdf.Page([(72, 200, 16, "one (1)")]), pdf.Page([(72, 200, 16, "two")])]))
     (tmp_path / "b.JPG").write_bytes(b"x")
     (tmp_path / "c.pdf").write_bytes(b"damaged")
     got = {r["stem"]: (r["kind"], r["page_count"]) for r in files.uploads(spark, str(tmp_path)).collect()}
