@@ -17,10 +17,15 @@ from pyspark.sql.types import BinaryType, StringType, StructType
 
 
 def opened(path: str):
-    """Arrow's file system for ``path``, and the path there."""
+    """Arrow's file system for ``path``, and the path there, as it stands: nothing in it is decoded."""
     from pyarrow.fs import FileSystem, LocalFileSystem
 
-    return FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path)
+    scheme, colon, rest = path.partition("://")
+    if colon and scheme != "file":
+        host, _, own = rest.partition("/")
+        fs, base = FileSystem.from_uri(f"{scheme}://{host}/")
+        return fs, f"{base.rstrip('/')}/{own}"
+    return LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
 
 @dataclass

@@ -184,24 +184,30 @@ def test_recognition_uses_the_cache_and_isolates_pages(spark):
         ocr.provider("other", {})
 
 
-def test_calls_wait_for_their_turn():
-    now, slept = [0.0], []
-
-    def sleep(seconds):
-        slept.append(seconds)
-        now[0] += seconds
-
-    window = ocr.CallWindow(2, clock=lambda: now[0], sleep=sleep)
-    for _ in range(2):
-        window.call(lambda: None)
-    with pytest.raises(ValueError):
-        window.call(int, "x")
-    assert slept == [pytest.approx(60.1)]
-    now[0] += 1
-    window.call(lambda: None)
-    window.call(lambda: None)
-    window.call(lambda: None)
-    assert len(slept) == 2 and now[0] == pytest.approx(121.2)
+def test_all_calls_a_minute_are_used():
+    now, made = [0.0], []
+    paces = [ocr.Pace(15, 8, t, 0.0, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s)) for t in range(8)]
+    for _ in range(6):
+        for pace in paces:
+            pace.wait()
+            made.append(now[0])
+    for i, t in enumerate(made):
+        inside = [x for x in made if t - 60 <= x <= t]
+        assert len(inside) <= 15 and (i < 20 or len(inside) >= 14)
+    assert sum(x < 60 for x in made) == 15
+    again = ocr.Pace(15, 8, 0, 0.0, again=True, clock=lambda: 500.0, sleep=made.append)
+    again.wait()
+    assert made[-1] == pytest.approx(8 * 60.1 / 15)
+
+
+def test_calls_that_take_too_long():
+    timed = ocr.Timed(0.2)
+    with pytest.raises(TimeoutError):
+        timed.call(time.sleep, 1.0)
+    assert timed.call(int, "3") == 3 and ocr.Timed(None).call(int, "4") == 4
+
+
+def test_pauses_between_attempts():
     assert ocr.pause(3, None, True, 4, 120, draw=lambda a, b: b) == 16 and ocr.pause(9, None, True, 4, 120, draw=lambda a, b: b) == 120
     assert ocr.pause(1, 0.1, True, 4, 120) == 0.5 and ocr.pause(2, None, False, 4, 120) == 8 and ocr.pause(1, 500, True, 4, 120) == 120
 
@@ -228,7 +234,7 @@ def test_recognition_into_a_cache(spark, tmp_path):
         before = len(list(folder.iterdir()))
         got = ocr.recognize_into(path, run, pages, "counting", {"folder": str(folder)}, "p", per_day=most, tasks=2, attempts=1)
         assert sorted(r["page"] for r in got.collect()) == known and len(list(folder.iterdir())) - before == made
-    corrupt = spark.createDataFrame([("j", 0, 9, "{broken"), ("j", 1, 9, "[1]"), ("j", 3, 9, None)], ocr.CACHE)
+    corrupt = spark.createDataFrame([("j", 0, 9, "{broken"), ("j", 1, 9, "[1]"), ("j", 3, 9, None)], "job_id string, page int, seq long, result string")
     assert P.replayed(pages.select("job_id", "page"), corrupt).filter("hit").count() == 0
 
 
