@@ -86,6 +86,22 @@ def display_stem(filename: Column) -> Column:
     return F.regexp_replace(filename, r"(?i)\.pdf\z", "")
 
 
+# What a job's status is shown as.
+STATUS_LABELS = {"pending": "⏳ Pending", "queued": "⏳ Queued", "processing": "⚙ Processing", "paused": "⏸ Paused", "stopped": "⏹ Stopped", "failed": "✗ Failed", "done": "✓ Done"}
+PARTIAL_LABEL, NO_DATE = "⚠ Partial", "—"
+
+
+def status_label(status: Column, partial: Column) -> Column:
+    """What a job's status is shown as; a done job whose output is partial has a label of its own, an unknown status is shown as it is."""
+    known = F.create_map(*[x for k, v in STATUS_LABELS.items() for x in (F.lit(k), F.lit(v))])
+    return F.when((status == "done") & F.coalesce(partial, F.lit(False)), PARTIAL_LABEL).otherwise(F.coalesce(F.element_at(known, status), status))
+
+
+def display_date(seconds: Column, pattern: str = "yyyy-MM-dd HH:mm") -> Column:
+    """Day, hour and minute of a time in seconds, in the session's zone; a dash for none and for zero."""
+    return F.when(F.coalesce(seconds, F.lit(0)) == 0, NO_DATE).otherwise(F.date_format(F.timestamp_seconds(seconds), pattern))
+
+
 def is_list_item(c: Column) -> Column:
     return c.rlike(rf"\A[•·▪▸\-*]|\A\p{{Nd}}+[.)、]{WS}")
 

@@ -73,6 +73,15 @@ def response_code(exists: Column, accepted: Column) -> Column:
     return F.when(~exists, 404).when(~accepted, 400).otherwise(200)
 
 
+STARTABLE = ("pending", "stopped", "failed", "paused")
+
+
+def start_code(status: Column, source_exists: Column) -> Column:
+    """What a request to start a job gives: 404 without a job (null status), 400 from a status that can't be started, 410 if its
+    source is gone, else 200."""
+    return F.when(status.isNull(), 404).when(~status.isin(*STARTABLE), 400).when(~F.coalesce(source_exists, F.lit(False)), 410).otherwise(200)
+
+
 def merged(patches: DataFrame, fields: list[str]) -> DataFrame:
     """The record of each job after its patches (job_id, seq, fields): of each field the last value that isn't null. An aggregate, so
     a job's patches are folded where they are read."""

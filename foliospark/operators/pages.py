@@ -77,17 +77,22 @@ def to_clear(cache: DataFrame, finished: DataFrame) -> DataFrame:
 
 # Loop
 
+#: Parts of a job's pages that meet its flags apart.
+SALTS = 16
+
 
 def run_pages(pages: DataFrame, flags: DataFrame) -> DataFrame:
     """What the loop over each job's pages (job_id, page from 0, ok) comes to. ``flags`` (job_id, flag, at_page) are requests to stop or
     pause, seen before the page of that number: the first one seen ends the loop, and stop beats pause where both are seen.
 
-    job_id, tried, ok_pages, pages_total, status, keep_cache. Both sides are summed by job before they meet, so a job's
-    pages need no order; the cache stays unless every page succeeded."""
+    job_id, tried, ok_pages, pages_total, status, keep_cache. Flags are summed by job before they meet the pages, which need no order and
+    aren't held; a job with very many pages is dealt out by the pages' numbers. The cache stays unless every page succeeded."""
     at = lambda flag: F.min(F.when(F.col("flag") == flag, F.greatest("at_page", F.lit(0))))
     ends = flags.groupBy("job_id").agg(at("stop").alias("stop_at"), at("pause").alias("pause_at"))
     end = F.least("stop_at", "pause_at")
-    seen = pages.join(ends, "job_id", "left").withColumn("inside", F.coalesce(F.col("page") < end, F.lit(True)))
+    (salt,) = free(pages, "salt")
+    salted = ends.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    seen = pages.withColumn(salt, F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int")).join(salted, ["job_id", salt], "left").withColumn("inside", F.coalesce(F.col("page") < end, F.lit(True)))
     summed = seen.groupBy("job_id").agg(F.count_if("inside").alias("tried"), F.count_if(F.col("inside") & F.col("ok")).alias("ok_pages"), F.count(F.lit(1)).alias("pages_total"), F.max("stop_at").alias("stop_at"), F.max("pause_at").alias("pause_at"))
     cut = F.col("tried") < F.col("pages_total")
     status = F.when(cut & (F.col("stop_at") <= F.coalesce("pause_at", "stop_at")), "stopped").when(cut, "paused").when(F.col("ok_pages") == 0, "failed").otherwise("done")

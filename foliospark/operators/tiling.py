@@ -20,6 +20,13 @@ def needs_tiles(n_blocks: Column, width_px: Column, height_px: Column) -> Column
     return (n_blocks == 0) & (F.greatest(width_px, height_px) >= TILE_FROM)
 
 
+def upscaled(blocks: Column, by: Column) -> Column:
+    """Blocks (array of structs with bbox and lines, these with a bbox too) with all their boxes multiplied; other fields stay. Null lines
+    and boxes stay null."""
+    larger = lambda b: F.when(b.isNotNull(), G.scaled(b, by))
+    return F.transform(blocks, lambda b: b.withField("bbox", larger(b["bbox"])).withField("lines", F.transform(b["lines"], lambda x: x.withField("bbox", larger(x["bbox"])))))
+
+
 def on_page(bbox: Column, inverse_scale: Column, origin_x: Column, origin_y: Column) -> Column:
     return G.scaled(bbox, inverse_scale, origin_x, origin_y)
 

@@ -200,6 +200,19 @@ def tile_dedup(spark, sf_dir):
     return _flat(TI.merge_tiles(b), "doc_id", "page", "text", "tile", "ord")
 
 
+@query(f"""WITH {BOX_SQL}, l AS (SELECT doc_id, ord, CASE WHEN part % 5 > 0 THEN [part % 7, 0, part % 11, supp % 13] END AS first, part % 4 AS n, x0, y0, x1, y1, 1.0::DOUBLE / (1 + line % 3 * 0.5::DOUBLE) AS f FROM b)
+SELECT doc_id, ord, round(x0 * f, 9) AS x0, round(y1 * f, 9) AS y1, n::INT AS n_lines, CASE WHEN n > 0 THEN round(first[1] * f, 9) END AS line_x0, CASE WHEN n > 0 THEN round(first[4] * f, 9) END AS line_y1 FROM l""")
+def upscaled_blocks(spark, sf_dir):
+    """Blocks of a page that was scaled down, and their lines, of which some have no box."""
+    part, by = F.col("part"), 1.0 / (1 + F.col("line") % 3 * 0.5)
+    own = F.when(part % 5 > 0, G.box(part % 7, F.lit(0), part % 11, F.col("supp") % 13))
+    line = F.struct(F.lit("l").alias("text"), own.alias("bbox"))
+    block = F.array(F.struct("text", "bbox", F.array_repeat(line, (part % 4).cast("int")).alias("lines")))
+    rows = boxes(spark, sf_dir).select("doc_id", "ord", F.get(TI.upscaled(block, by), F.lit(0)).alias("b"))
+    first = F.get("b.lines", F.lit(0))["bbox"]
+    return rows.select("doc_id", "ord", F.round("b.bbox.x0", 9).alias("x0"), F.round("b.bbox.y1", 9).alias("y1"), F.size("b.lines").alias("n_lines"), F.round(first["x0"], 9).alias("line_x0"), F.round(first["y1"], 9).alias("line_y1"))
+
+
 @query(f"""WITH {BOX_SQL}, p AS (SELECT doc_id, ord, greatest(least(x0 * 8 * 0.24, x1 * 8 * 0.24), 0.0) AS x0, greatest(least(y0 * 8 * 0.24, y1 * 8 * 0.24), 0.0) AS y0,
  least(greatest(x0 * 8 * 0.24, x1 * 8 * 0.24), 200.0) AS x1, least(greatest(y0 * 8 * 0.24, y1 * 8 * 0.24), 150.0) AS y1 FROM (SELECT doc_id, ord, x0::DOUBLE x0, y0::DOUBLE y0, x1::DOUBLE x1, y1::DOUBLE y1 FROM b))
 SELECT doc_id, ord, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM p WHERE x1 - x0 > 1 AND y1 - y0 > 1""")
@@ -405,11 +418,40 @@ def upload_validation(spark, sf_dir):
     return p.select("page_id", Q.upload_code(name, declared, size, F.col("page_id") % 5 != 0, 3000).alias("code"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 404 WHEN doc_id % 3 = 0 THEN 400 WHEN doc_id % 4 = 0 THEN 410 ELSE 200 END AS code, source || '_clean.pdf' AS filename FROM documents")
+@query(f"""WITH {JOBS_SQL}, asked AS (SELECT o_orderkey::VARCHAR AS job_id, o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN '.PDF' ELSE '' END AS name FROM orders)
+SELECT a.job_id, CASE WHEN status IS NULL THEN 404 WHEN status <> 'done' THEN 400 WHEN NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id::VARCHAR = a.job_id) THEN 410 ELSE 200 END AS code,
+ regexp_replace(name, '(?i)\\.pdf$', '') || '_clean.pdf' AS filename FROM asked a LEFT JOIN jobs j ON a.job_id = j.job_id""")
 def download_status(spark, sf_dir):
-    d = F.col("doc_id")
-    code = Q.download_code(d % 11 != 0, F.when(d % 3 == 0, "queued").otherwise("done"), F.when(d % 4 == 0, F.lit(None)).otherwise(True))
-    return read(spark, sf_dir, "documents").select("doc_id", code.alias("code"), T.output_name(F.concat("source", F.lit(".PDF")), "clean").alias("filename"))
+    """Downloads asked for by the numbers of orders, of which some are jobs; a job whose number is a document's has a file."""
+    asked = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("job_id"), F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, ".PDF").otherwise("")).alias("name"))
+    files_ = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("job_id"), F.lit(True).alias("there")).distinct()
+    found = asked.join(jobs(read(spark, sf_dir, "events")).select("job_id", "status"), "job_id", "left").join(files_, "job_id", "left")
+    code = Q.download_code(F.col("status").isNotNull(), F.col("status"), F.col("there"))
+    return found.select("job_id", code.alias("code"), T.output_name(F.col("name"), "clean").alias("filename"))
+
+
+@query(f"""WITH {JOBS_SQL}, asked AS (SELECT o_orderkey::VARCHAR AS job_id FROM orders)
+SELECT a.job_id, CASE WHEN status IS NULL THEN 404 WHEN status IN ('queued', 'processing', 'done') THEN 400 WHEN NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id::VARCHAR = a.job_id) THEN 410 ELSE 200 END AS code
+ FROM asked a LEFT JOIN jobs j ON a.job_id = j.job_id""")
+def start_status(spark, sf_dir):
+    """Requests to start: some name no job, some a job that can't be started, some one whose source is gone."""
+    asked = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("job_id"))
+    sources = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("job_id"), F.lit(True).alias("there")).distinct()
+    found = asked.join(jobs(read(spark, sf_dir, "events")).select("job_id", "status"), "job_id", "left").join(sources, "job_id", "left")
+    return found.select("job_id", Q.start_code(F.col("status"), F.col("there")).alias("code"))
+
+
+_LABELS_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.STATUS_LABELS.items())
+
+
+@query(f"""WITH {JOBS_SQL} SELECT seq, CASE WHEN status = 'done' AND value > 50 THEN '{T.PARTIAL_LABEL}' ELSE CASE status {_LABELS_SQL} END END AS label,
+ CASE WHEN user_id % 5 = 0 THEN '{T.NO_DATE}' ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS shown FROM jobs JOIN events ON event_id = seq""")
+def history_labels(spark, sf_dir):
+    """What the history shows of each job: its status and when it came; some have no time, some done ones are partial."""
+    e = read(spark, sf_dir, "events")
+    rows = jobs(e).join(e.select(F.col("event_id").alias("seq"), "value", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("seconds")), "seq")
+    seconds = F.when(F.col("user_id") % 10 == 0, 0).when(F.col("user_id") % 10 != 5, F.col("seconds"))
+    return rows.select("seq", T.status_label(F.col("status"), F.col("value") > 50).alias("label"), T.display_date(seconds).alias("shown"))
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'signup' AND epoch(TIMESTAMP '2024-02-01') - epoch(ts) < 2592000")
@@ -613,15 +655,18 @@ def clean_markup(spark, sf_dir):
     return p.select("page_id", kind.alias("element_type"), F.md5(O.body_markup(kind, F.col("html"), F.when(k % 3 > 0, F.col("url")))).alias("markup_md5"))
 
 
-@query("""WITH s(t, l, font_size, "leading", fallback_size) AS (VALUES ('heading', 1, 16, 22, 16), ('heading', 2, 14, 19, 14), ('heading', 3, 12, 17, 12), ('paragraph', 1, 11, 18, 11),
+@query(f"""WITH {_HTML}, s(t, l, font_size, "leading", fallback_size) AS (VALUES ('heading', 1, 16, 22, 16), ('heading', 2, 14, 19, 14), ('heading', 3, 12, 17, 12), ('paragraph', 1, 11, 18, 11),
  ('list-item', 1, 11, 18, 11), ('footnote', 1, 9, 13, 9), ('page-number', 1, 9, 12, 8), ('caption', 1, 10, 14, 10)),
-e AS (SELECT doc_id, ['heading', 'list-item', 'unknown', 'footnote', 'page-number', 'caption', 'paragraph'][doc_id % 7 + 1] AS element_type, (doc_id % 5)::INT AS level FROM documents)
-SELECT doc_id, element_type, level, font_size, "leading", fallback_size FROM e JOIN s
+e AS (SELECT doc_id, ord, CASE WHEN regexp_matches(text, '\\A\\p{{Nd}}{{1,4}}\\z') THEN 'page-number' ELSE element_type END AS element_type, CASE WHEN element_type = 'heading' THEN substr(tag, 2)::INT + length(text) % 3 - 1 ELSE length(text) % 4 END::INT AS level FROM typed)
+SELECT doc_id, ord, element_type, level, font_size, "leading", fallback_size FROM e JOIN s
  ON t = (CASE WHEN element_type = 'unknown' THEN 'paragraph' ELSE element_type END) AND l = (CASE WHEN element_type = 'heading' THEN least(greatest(level, 1), 3) ELSE 1 END)""")
 def element_styles(spark, sf_dir):
-    k = F.col("doc_id")
-    kind = F.get(F.array(*map(F.lit, ("heading", "list-item", "unknown", "footnote", "page-number", "caption", "paragraph"))), (k % 7).cast("int"))
-    return O.styled(read(spark, sf_dir, "documents").select("doc_id", kind.alias("element_type"), (k % 5).cast("int").alias("level")))
+    """The styles of the elements of web pages, with levels from their tags and lengths, some out of range."""
+    n = F.length("text")
+    b = _html_blocks(spark, sf_dir)
+    kind = F.when(T.is_page_number(F.col("text")), "page-number").otherwise(F.col("element_type"))
+    level = F.when(F.col("element_type") == "heading", F.substring("tag", 2, 1).cast("int") + n % 3 - 1).otherwise(n % 4).cast("int")
+    return O.styled(b.select("doc_id", "ord", kind.alias("element_type"), level.alias("level")))
 
 
 _HINT = {"en": ("zh_tra_h", "x"), "fr": ("ja_v", "zh_sim_h"), "de": ("ko_h",)}

@@ -190,12 +190,14 @@ def status_polls(spark, sf_dir):
     return j.select("job_id", Q.polls(F.col("value"), F.col("status")).alias("polls"))
 
 
-@query("SELECT doc_id, doc_id % 4 IN (0, 1) AS allowed, CASE WHEN doc_id % 4 IN (0, 1) THEN 200 ELSE 403 END AS code FROM documents")
+@query(f"""WITH g AS (SELECT c_custkey, c_name, CASE c_custkey % 4 WHEN 0 THEN ' ' || upper(c_name) || chr(9) WHEN 1 THEN lower(c_name) WHEN 2 THEN c_name || '0' ELSE NULL END AS given FROM customer)
+SELECT c_custkey, coalesce(lower({_strip('given')}) = lower({_strip('c_name')}), false) AS allowed, CASE WHEN lower({_strip('given')}) = lower({_strip('c_name')}) THEN 200 ELSE 403 END AS code FROM g""")
 def email_allowlist(spark, sf_dir):
-    k = F.col("doc_id") % 4
-    given = F.when(k == 0, " Owner@Example.ORG ").when(k == 1, "owner@example.org").when(k == 2, "other@example.org")
-    ok = F.coalesce(T.email_allowed(given, F.lit("owner@example.org ")), F.lit(False))
-    return read(spark, sf_dir, "documents").select("doc_id", ok.alias("allowed"), F.when(ok, 200).otherwise(403).alias("code"))
+    """Each customer's name is allowed; given are such names in other cases and with blanks around them, others, and none."""
+    k = F.col("c_custkey") % 4
+    given = F.when(k == 0, F.concat(F.lit(" "), F.upper("c_name"), F.lit("\t"))).when(k == 1, F.lower("c_name")).when(k == 2, F.concat("c_name", F.lit("0")))
+    ok = F.coalesce(T.email_allowed(given, F.col("c_name")), F.lit(False))
+    return read(spark, sf_dir, "customer").select("c_custkey", ok.alias("allowed"), F.when(ok, 200).otherwise(403).alias("code"))
 
 
 @query("""SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS html_md5, 'f' || page_id AS stem, md5(left(html, 100)) AS title_md5, md5(left(html, 200)) AS line_md5, md5(left(html, 500)) AS message_md5 FROM pages""")
@@ -216,16 +218,20 @@ def rate_limit_waits(spark, sf_dir):
     return e.select("event_id", F.round(L.wait_seconds(F.col("oldest_age"), F.col("in_window"), 1), 6).alias("wait"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN least(120.0, 4.0 * (event_id % 40 + 1)) WHEN 1 THEN 0.5 WHEN 2 THEN 120.0 ELSE 4.0 END::DOUBLE AS at_least,
- CASE event_id % 4 WHEN 0 THEN least(120.0, 4.0 * (event_id % 40 + 1)) WHEN 1 THEN 0.5 WHEN 2 THEN 120.0 ELSE greatest(4.0, least(120.0, 4.0 * pow(2.0, event_id % 40))) END::DOUBLE AS at_most, true AS inside FROM events""")
+_HINTED = "CASE WHEN event_type = 'error' THEN value WHEN event_type = 'signup' THEN value / 1000 END"
+
+
+@query(f"""WITH e AS (SELECT event_id, event_type <> 'view' AS api, event_id % 40 + 1 AS n, {_HINTED} AS hint FROM events)
+SELECT event_id, round(CASE WHEN NOT api THEN least(120.0, 4.0 * n) WHEN hint IS NOT NULL THEN least(120.0, greatest(0.5, hint)) END, 6)::DOUBLE AS fixed,
+ CASE WHEN api AND hint IS NULL THEN greatest(4.0, least(120.0, 4.0 * pow(2.0, n - 1))) END::DOUBLE AS at_most, CASE WHEN api AND hint IS NULL THEN 4.0::DOUBLE END AS at_least FROM e""")
 def backoff_waits(spark, sf_dir):
-    """Drawn waits lie between their bounds; hints and other errors' waits are fixed."""
-    k, n = F.col("event_id") % 4, F.col("event_id") % 40 + 1
-    hint = F.when(k == 1, 0.01).when(k == 2, 500.0)
-    wait = L.backoff(n, hint, k != 0)
-    fixed = F.when(k == 0, F.least(F.lit(120.0), 4.0 * n)).when(k == 1, 0.5).when(k == 2, 120.0)
-    least, most = F.coalesce(fixed, F.lit(4.0)), F.coalesce(fixed, L.backoff_ceiling(n))
-    return read(spark, sf_dir, "events").select("event_id", least.alias("at_least"), most.alias("at_most"), wait.between(least, most).alias("inside"))
+    """What each call waits after a failure: a multiple of the base for errors that aren't the service's, the service's hint within its bounds,
+    or a number that is drawn, of which the bounds are given (what was drawn outside them would change them)."""
+    api, n = F.col("event_type") != "view", F.col("event_id") % 40 + 1
+    hint = F.when(F.col("event_type") == "error", F.col("value")).when(F.col("event_type") == "signup", F.col("value") / 1000)
+    rows = read(spark, sf_dir, "events").select("event_id", (api & hint.isNull()).alias("drawn"), L.backoff(n, hint, api).alias("wait"), L.backoff_ceiling(n).alias("ceiling"))
+    most, least = F.greatest("wait", "ceiling"), F.least("wait", F.lit(4.0))
+    return rows.select("event_id", F.when(~F.col("drawn"), F.round("wait", 6)).alias("fixed"), F.when(F.col("drawn"), most).alias("at_most"), F.when(F.col("drawn"), least).alias("at_least"))
 
 
 # Sinks
