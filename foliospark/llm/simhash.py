@@ -39,7 +39,9 @@ BANDS, BAND_ROWS = 20, 5
 #: of all four and five shingles: 3 of 16 bits differ; ``SHORT`` shingles or fewer are compared by a radius that allows for that.
 DEVIATIONS, SHORT, SHORT_SHARE = 5, 20, 3 / 16
 #: Bits of the filter for the texts of candidates.
-FILTER_BITS = 1 << 26
+FILTER_BITS, MOST_FILTER_BITS = 1 << 26, 1 << 28
+#: Counters of shingles, by which prefixes are ordered: more would order them better, fewer are as exact.
+COUNTERS = 1 << 20
 #: Bits of the five blocks, low ones first.
 BLOCKS = (13, 13, 13, 13, 12)
 #: Fingerprints of a bucket that are compared in one piece; a chunk has half of it. Rows of a bucket in which ``candidate_links``
@@ -540,9 +542,12 @@ def with_sets(needed: DataFrame, rows: DataFrame) -> DataFrame:
     """``needed`` (text_key and others, one row for each key) with the shingle sets of their texts, from ``rows`` (doc_id, hash, text), as a
     written table. A bit filter lets just these and a few others through, so that no other text's set is shuffled, and a task
     gives each set once, however often its row is repeated."""
-    spark, place = needed.sparkSession, F.pmod("text_key", F.lit(FILTER_BITS))
+    spark = needed.sparkSession
+    # eight bits a key at least, so that few others come through; the bound is that of the broadcast, and of what the driver gets
+    size = max(FILTER_BITS, 1 << min(MOST_FILTER_BITS, 8 * needed.count()).bit_length())
+    place = F.pmod("text_key", F.lit(size))
     words = needed.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(text_key, 64) as int))")).alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits = np.zeros(size // 64, np.int64)
     bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
     sent = spark.sparkContext.broadcast(bits.view(np.uint64))
 
@@ -550,7 +555,7 @@ def with_sets(needed: DataFrame, rows: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            at = keys % FILTER_BITS
+            at = keys % size
             own = np.flatnonzero(sent.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
             own = [r for r, k in zip(own.tolist(), keys[own].tolist()) if not (k in seen or seen.add(k))]
             batch = batch.take(pa.array(own, pa.int64()))
@@ -569,8 +574,9 @@ def alike_components(least: DataFrame, rows: DataFrame, bucket: int = LIKE_BUCKE
     """(node, root) for the nodes of ``least`` that links by ``SIMILARITY`` or more connect with others.
 
     Candidates' components are blocks in which all pairs are compared and decided by their sets; each set goes to its block once. A
-    component of more than ``block`` rows is cut into chunks, each with the same ``HUBS`` rows besides, about, and what that doesn't connect
-    with the component's largest part is compared with all of it once more, in pairs of chunks. No pair is left out."""
+    component of more than ``block`` rows is cut into chunks, each with the same ``HUBS`` rows besides, about. If that doesn't connect all of it,
+    its sets meet once more by the shingles of their prefixes (see ``prefixes``), in buckets of which one with more than ``block`` rows is compared
+    in pairs of chunks. No pair is left out, and rows that are alike by less meet hardly any other."""
     words, parts = [f"w{k}" for k in range(LIKE_WORDS)], shuffle_partitions(least.sparkSession)
     candidates = components(candidate_links(least, bucket))
     members = written(least.join(candidates, "node").select("node", "root", F.xxhash64("first.doc_id", "first.hash").alias("text_key"), F.col("n").alias("shingles_n"), *words), "members")
@@ -593,14 +599,48 @@ def alike_components(least: DataFrame, rows: DataFrame, bucket: int = LIKE_BUCKE
     if large.isEmpty():
         return roots
     large = large.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labels = large.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n"))
-    labels = labels.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("settled"), F.max("n").alias("most"), F.sum("n").alias("n"))
-    labels = labels.filter("n > most").withColumn("rest", F.ceil((F.col("n") - F.col("most")) / block).cast("int"))
-    large = by_size(large.drop("n"), labels, "root", total).withColumn("mine", mine).withColumn("other", F.pmod(F.xxhash64("node", F.lit(8)), F.col("rest")).cast("int"))
-    settled = F.expr("transform(sequence(0, rest - 1), u -> struct(u as i, mine as j))")
-    loose = F.expr("concat(transform(sequence(0, chunks - 1), c -> struct(other as i, c as j)), transform(sequence(0, rest - 1), u -> struct(-1 - least(u, other) as i, greatest(u, other) as j)))")
-    more = confirmed(large.withColumn("place", F.explode(F.when(F.col("label") == F.col("settled"), settled).otherwise(loose))))
-    return components(links.unionByName(more))
+    labels = large.groupBy("root").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).filter("least <> most")
+    open_sets = written(by_size(large.drop("n"), labels.select("root", "n"), "root", total).select("root", "node", "label", *words, "shingles"), "open")
+    keyed = written(prefixes(open_sets), "prefixes")
+    sums = [F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), F.count_if("indexed").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    met = keyed.groupBy("key").agg(*sums).filter("n > 1 and m > 0 and least <> most").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    met = by_size(keyed.select("key", "node"), written(met.select("key", "n"), "buckets"), "key", keyed.count()).withColumn("chunks", F.ceil(F.col("n") / block).cast("int"))
+    mine = F.pmod(F.xxhash64("node", F.lit(8)), F.col("chunks")).cast("int")
+    pairs = F.transform(F.expr("sequence(0, chunks - 1)"), lambda c: F.struct(F.least(c, mine).alias("i"), F.greatest(c, mine).alias("j")))
+    met = met.withColumn("place", F.explode(pairs)).select(F.col("key").alias("root"), "place", "node")
+    return components(links.unionByName(confirmed(met.join(open_sets.drop("root"), "node"))))
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """Rows (key, node, label, indexed) for sets (root, node, label, shingles): a key for each shingle of a set's prefix, in which two sets of one
+    root that are alike by ``SIMILARITY`` or more share one, an indexed one of the smaller (or either, if they are equally large).
+
+    Shingles are taken in one order, rare ones first, counted by ``COUNTERS`` buckets. If sets share o shingles, they share one of the first
+    |x| - o + 1 and |y| - o + 1; o is at least t |x| for the larger, and 2 t / (1 + t) |y| for the smaller one. So a fifth of a set looks for a ninth
+    of others, and sets that differ in more than a ninth by shingles of their own meet nothing."""
+    buckets = sets.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(COUNTERS)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[buckets.column("b").to_numpy()] = buckets.column("n").to_numpy()
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def first_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 64):
+                part, keys, at, indexed = batch.slice(a, 64), [], [], []
+                roots = part.column(0).to_numpy().view(np.uint64)
+                for r, own in enumerate(part.column(3)):
+                    own = own.values.to_numpy()
+                    n = len(own)
+                    order = own[np.lexsort((own, sent.value[own % COUNTERS]))]
+                    looks = n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1
+                    kept = n - int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * n - 1e-9)) + 1
+                    keys.append(mixed(order[:looks].view(np.uint64) ^ mixed(roots[r : r + 1])).view(np.int64))
+                    at.append(np.full(len(keys[-1]), r))
+                    indexed.append(np.arange(len(keys[-1])) < kept)
+                take = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column(1).take(take), part.column(2).take(take), pa.array(np.concatenate(indexed))], names=["key", "node", "label", "indexed"])
+
+    return sets.select("root", "node", "label", "shingles").mapInArrow(first_ones, "key long, node long, label long, indexed boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
