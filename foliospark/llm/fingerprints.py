@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import range_bounds, range_of, shuffle_partitions
 
-IDENTITY, SIGNS, SHINGLE = 16, 256, 3
+IDENTITY, SIGNS, SHINGLE = 64, 256, 3
 LANES = IDENTITY + SIGNS
 #: A run without white space counts as words of this length.
 WORD_CHARS = 16

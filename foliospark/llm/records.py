@@ -3,7 +3,7 @@
 A record file holds frames: length of the payload (8 bytes), masked CRC-32 of those 8 bytes (4), payload, masked CRC-32 of
 the payload (4); integers are little-endian and a checksum is masked by a rotation of 15 bits and a constant, as record
 files of this kind do. A payload is the document's id (8 bytes), a flag byte (bit 0: the id is null; bit 1: ids have four
-bytes, not two), and the ids. The index file has one entry of 24 bytes for each record: offset of its frame, number of ids,
+bytes, not two), and the ids. The index file has one entry of 24 bytes for each record: offset of its frame, number of ids before it in the file,
 document id; a reader takes any record, in any order, with one seek.
 
 Files are ranges of ``doc_id``, and their numbers ascend with it. A task writes beside its target and renames at the end,
@@ -142,7 +142,7 @@ def write_records(docs: DataFrame, path: str, spec: bytes, end_id: int | None, *
                 found += end
                 data = frame(serialize(doc_id, found, wide))
                 out.write(data)
-                index.append(at.to_bytes(8, "little") + (len(found) // 4).to_bytes(8, "little") + (doc_id or 0).to_bytes(8, "little", signed=True))
+                index.append(at.to_bytes(8, "little") + tokens.to_bytes(8, "little") + (doc_id or 0).to_bytes(8, "little", signed=True))
                 at, tokens = at + len(data), tokens + len(found) // 4
         if out:
             close()
@@ -158,37 +158,35 @@ def read_records(spark: SparkSession, path: str, manifest: list[dict]) -> DataFr
     raises CorruptRecord."""
     path, items, base = worker_path(spark, path), [], 0
     for m in manifest:
-        items += [(m["part"], base, a, min(a + RECORDS_PER_TASK, m["records"])) for a in range(0, m["records"], RECORDS_PER_TASK)]
+        items += [(m["part"], base, a, min(a + RECORDS_PER_TASK, m["records"]), m["records"], m["tokens"]) for a in range(0, m["records"], RECORDS_PER_TASK)]
         base += m["tokens"]
-    work = spark.createDataFrame(items, "part long, base long, begin long, end long")
+    work = spark.createDataFrame(items, "part long, base long, begin long, end long, records long, tokens long")
     if items:
         work = work.repartition(len(items))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _open(path)
         for batch in batches:
-            for part, base, begin, end in zip(*(c.to_pylist() for c in batch.columns)):
-                name = f"{folder}/{part:08d}"
-                with store.open_input_file(f"{name}.idx") as f:
-                    entries = np.frombuffer(f.read_at(end * ENTRY, 0), "<i8").reshape(-1, 3)
-                    size = f.size()
-                starts = base + np.concatenate(([0], np.cumsum(entries[:, 1])))
+            for part, base, begin, end, records, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                name, last = f"{folder}/{part:08d}", end == records
+                with store.open_input_file(f"{name}.idx") as f:  # the slice's own entries, and the one after it
+                    entries = np.frombuffer(f.read_at((end - begin + (not last)) * ENTRY, begin * ENTRY), "<i8").reshape(-1, 3)
+                    if f.size() != records * ENTRY:
+                        raise CorruptRecord(f"{name}: the index has another number of records")
                 with store.open_input_file(f"{name}.rec") as f:
-                    after = f.size() if end * ENTRY == size else None
-                    if after is None:
-                        with store.open_input_file(f"{name}.idx") as g:
-                            after = int.from_bytes(g.read_at(8, end * ENTRY), "little")
-                    offsets = np.append(entries[:, 0], after)
-                    at = begin
-                    while at < end:
-                        upto = max(at + 1, int(np.searchsorted(offsets[: end + 1], offsets[at] + READ_BYTES, "right")) - 1)
+                    offsets = np.append(entries[:, 0], f.size()) if last else entries[:, 0]
+                    starts = base + (np.append(entries[:, 1], tokens) if last else entries[:, 1])
+                    sizes = np.diff(starts)
+                    at, n = 0, end - begin
+                    while at < n:
+                        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + READ_BYTES, "right")) - 1)
                         data = memoryview(f.read_at(int(offsets[upto] - offsets[at]), int(offsets[at])))
                         rows = []
                         for i in range(at, upto):
                             payload, after_it = unframe(data, int(offsets[i] - offsets[at]))
                             doc_id, ids = deserialize(payload)
-                            if after_it != offsets[i + 1] - offsets[at] or len(ids) // 4 != entries[i, 1]:
-                                raise CorruptRecord(f"{name}: record {i} differs from its index entry")
+                            if after_it != offsets[i + 1] - offsets[at] or len(ids) // 4 != sizes[i]:
+                                raise CorruptRecord(f"{name}: record {begin + i} differs from its index entry")
                             rows.append((doc_id, int(starts[i]), len(ids) // 4, zlib.crc32(ids), part, int(offsets[i])))
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32", "file", "file_offset"])
                         at = upto

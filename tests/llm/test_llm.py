@@ -309,8 +309,8 @@ def plain_vector(text):
 
     total = [0] * (fingerprints.IDENTITY + fingerprints.SIGNS)
     for paragraph in text.split("\n"):
-        digest = hashlib.shake_128(b"\x01" + paragraph.encode()).digest(32)
-        for k in range(16):
+        digest = hashlib.shake_128(b"\x01" + paragraph.encode()).digest(2 * fingerprints.IDENTITY)
+        for k in range(fingerprints.IDENTITY):
             total[k] = (total[k] + digest[2 * k] + 256 * digest[2 * k + 1]) % 65536
         words = [w[i : i + 16] for w in paragraph.split() for i in range(0, len(w), 16)]
         if len(words) >= 3:
