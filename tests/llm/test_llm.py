@@ -325,7 +325,7 @@ def plain_vector(text):
                 for b, byte in enumerate(h.to_bytes(8, "little")):
                     for place in range(8):
                         sign = 1 if byte >> 7 - place & 1 else -1
-                        at = 16 + 64 * m + 8 * b + place
+                        at = fingerprints.IDENTITY + 64 * m + 8 * b + place
                         total[at] = (total[at] + sign) % 65536
     return total
 
