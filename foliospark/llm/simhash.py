@@ -49,6 +49,8 @@ BLOCKS = (13, 13, 13, 13, 12)
 BUCKET, LIKE_BUCKET = 8192, 512
 #: Rows and shingles of a block in which sets are compared, and the rows that all chunks of a larger component share.
 BLOCK, BLOCK_SHINGLES, HUBS = 512, 1 << 22, 16
+#: Chunks up to which a large component is compared in pairs of them: a row is copied for each. The prefixes of usual texts copy it about as often.
+FEW_CHUNKS = 32
 #: Rows that a task compares at once, and words of a text that are hashed at once.
 ROWS_AT_ONCE, LIKE_ROWS_AT_ONCE, WORDS_AT_ONCE = 1 << 19, 1 << 16, 1 << 16
 
@@ -570,13 +572,14 @@ def with_sets(needed: DataFrame, rows: DataFrame) -> DataFrame:
     return written(made.join(needed, "text_key"), "sets")
 
 
-def alike_components(least: DataFrame, rows: DataFrame, bucket: int = LIKE_BUCKET, block: int = BLOCK) -> DataFrame:
+def alike_components(least: DataFrame, rows: DataFrame, bucket: int = LIKE_BUCKET, block: int = BLOCK, few: int = FEW_CHUNKS) -> DataFrame:
     """(node, root) for the nodes of ``least`` that links by ``SIMILARITY`` or more connect with others.
 
     Candidates' components are blocks in which all pairs are compared and decided by their sets; each set goes to its block once. A
-    component of more than ``block`` rows is cut into chunks, each with the same ``HUBS`` rows besides, about. If that doesn't connect all of it,
-    its sets meet once more by the shingles of their prefixes (see ``prefixes``), in buckets of which one with more than ``block`` rows is compared
-    in pairs of chunks. No pair is left out, and rows that are alike by less meet hardly any other."""
+    component of more than ``block`` rows is cut into chunks, each with the same ``HUBS`` rows besides, about. If that doesn't connect all of
+    it, what isn't connected with its largest part is compared with all of it in pairs of chunks, where there are ``few``; where there are more, a
+    row would be copied too often, and sets meet by the shingles of their prefixes instead (see ``prefixes``), in buckets of which one with more
+    than ``block`` rows is compared in pairs of chunks. Neither way leaves out a pair."""
     words, parts = [f"w{k}" for k in range(LIKE_WORDS)], shuffle_partitions(least.sparkSession)
     candidates = components(candidate_links(least, bucket))
     members = written(least.join(candidates, "node").select("node", "root", F.xxhash64("first.doc_id", "first.hash").alias("text_key"), F.col("n").alias("shingles_n"), *words), "members")
@@ -599,16 +602,25 @@ def alike_components(least: DataFrame, rows: DataFrame, bucket: int = LIKE_BUCKE
     if large.isEmpty():
         return roots
     large = large.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labels = large.groupBy("root").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).filter("least <> most")
-    open_sets = written(by_size(large.drop("n"), labels.select("root", "n"), "root", total).select("root", "node", "label", *words, "shingles"), "open")
-    keyed = written(prefixes(open_sets), "prefixes")
+    labels = large.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n"))
+    labels = labels.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("settled"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    labels = labels.filter("n > most").withColumn("rest", F.ceil((F.col("n") - F.col("most")) / block).cast("int"))
+    still = written(by_size(large.drop("n"), labels, "root", total), "open")
+    pairs = still.filter(F.col("chunks") <= few).withColumn("mine", mine).withColumn("other", F.pmod(F.xxhash64("node", F.lit(8)), F.col("rest")).cast("int"))
+    settled = F.expr("transform(sequence(0, rest - 1), u -> struct(u as i, mine as j))")
+    loose = F.expr("concat(transform(sequence(0, chunks - 1), c -> struct(other as i, c as j)), transform(sequence(0, rest - 1), u -> struct(-1 - least(u, other) as i, greatest(u, other) as j)))")
+    more = links.unionByName(confirmed(pairs.withColumn("place", F.explode(F.when(F.col("label") == F.col("settled"), settled).otherwise(loose)))))
+    many = still.filter(F.col("chunks") > few).select("root", "node", "label", *words, "shingles")
+    if many.isEmpty():
+        return components(more)
+    keyed = written(prefixes(many), "prefixes")
     sums = [F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), F.count_if("indexed").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
     met = keyed.groupBy("key").agg(*sums).filter("n > 1 and m > 0 and least <> most").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
     met = by_size(keyed.select("key", "node"), written(met.select("key", "n"), "buckets"), "key", keyed.count()).withColumn("chunks", F.ceil(F.col("n") / block).cast("int"))
-    mine = F.pmod(F.xxhash64("node", F.lit(8)), F.col("chunks")).cast("int")
-    pairs = F.transform(F.expr("sequence(0, chunks - 1)"), lambda c: F.struct(F.least(c, mine).alias("i"), F.greatest(c, mine).alias("j")))
-    met = met.withColumn("place", F.explode(pairs)).select(F.col("key").alias("root"), "place", "node")
-    return components(links.unionByName(confirmed(met.join(open_sets.drop("root"), "node"))))
+    own = F.pmod(F.xxhash64("node", F.lit(8)), F.col("chunks")).cast("int")
+    places = F.transform(F.expr("sequence(0, chunks - 1)"), lambda c: F.struct(F.least(c, own).alias("i"), F.greatest(c, own).alias("j")))
+    met = met.withColumn("place", F.explode(places)).select(F.col("key").alias("root"), "place", "node")
+    return components(more.unionByName(confirmed(met.join(many.drop("root"), "node"))))
 
 
 def prefixes(sets: DataFrame) -> DataFrame:

@@ -590,8 +590,8 @@ def test_simhash_keeps_one_by_exact_likeness(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(table).collect()) == sorted({find(i) for i in range(len(rows))})
 
 
-@pytest.mark.parametrize("bucket, block", [(2048, 1024), (2048, 16), (16, 8)])
-def test_simhash_likeness_components_equal_brute_force(spark, docs, bucket, block):
+@pytest.mark.parametrize("bucket, block, few", [(2048, 16, 0), (2048, 1024, 32), (2048, 16, 32), (16, 8, 2)])
+def test_simhash_likeness_components_equal_brute_force(spark, docs, bucket, block, few):
     """Small buckets and blocks take the ways of large groups: whole buckets as candidates, chunks with hubs, pairs of chunks."""
     rng = random.Random(6)
     texts = [r["text"] for r in docs.collect()] + ["a b", "a b", "", None]
@@ -614,7 +614,7 @@ def test_simhash_likeness_components_equal_brute_force(spark, docs, bucket, bloc
         for j, b in enumerate(sets[:i]):
             if jaccard(a, b) >= 0.8:
                 root[max(find(i), find(j))] = min(find(i), find(j))
-    got = {r["node"] - 1000: r["root"] - 1000 for r in simhash.alike_components(least, rows, bucket, block).collect()}
+    got = {r["node"] - 1000: r["root"] - 1000 for r in simhash.alike_components(least, rows, bucket, block, few).collect()}
     assert [got.get(i, i) for i in range(len(texts))] == [find(i) for i in range(len(texts))]
     assert len({find(i) for i in range(len(texts) - 120, len(texts))}) > 1
 
