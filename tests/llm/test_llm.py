@@ -845,6 +845,37 @@ def test_token_counts(docs, odd, empty, path):
     assert tokencount.count_tokens(empty, path).count() == 0
 
 
+def test_length_table_finds_its_keys_alone():
+    rng = np.random.default_rng(5)
+    keys = {bytes(rng.integers(0, 4, int(n), "u1")): i % 30 for i, n in enumerate(rng.integers(1, 33, 5_000))}
+    table, others = tokencount.LengthTable(keys), [k + b"\0" for k in keys if len(k) < 32 and k + b"\0" not in keys]
+    asked = [*keys, *others]
+    raw = np.frombuffer(b"".join(asked) + bytes(48 - sum(map(len, asked)) % 8), "<u8")
+    sizes = np.array([len(k) for k in asked])
+    found = table.find(tokencount._leading_words(raw, np.cumsum(sizes) - sizes, sizes), sizes)
+    assert found.tolist() == [*keys.values(), *[-1] * len(others)]
+    assert tokencount.LengthTable({}).find(np.zeros((2, 4), "u8"), np.array([1, 2])).tolist() == [-1, -1]
+
+
+@pytest.mark.parametrize("block", [3, 1 << 20])
+def test_spans_are_the_patterns(monkeypatch, block):
+    monkeypatch.setattr(tokencount, "BLOCK_BYTES", block)
+    texts = ["", " ", "a", "  b c\n\n d▁ é \n", "", "\n", "x" * 40 + "  ", "\tk\r\n", ""]
+    for path in (PIECES, WORDS):
+        with open(path, "rb") as f:
+            own = tokencount.counting(f.read())
+        got = [[] for _ in texts]
+        for raw, starts, ends, of in own.spans([own.plain(t) for t in texts]):
+            for a, b, i in zip(starts, ends, of):
+                got[i].append(raw[a:b])
+        if own.pieces:
+            want = [[w.replace("▁", " ").encode() for w in tokencount._PRE_TOKEN.findall("▁" + t.replace(" ", "▁"))] if t else [] for t in texts]
+        else:
+            want = [tokens.words_of(t) for t in texts]
+        assert got == want
+        assert own.count(texts, tokencount.LengthTable({})) == own.count(texts, tokencount.LengthTable({w: own.length(w) for ws in want for w in ws if len(w) <= 32}))
+
+
 def test_word_cache_of_two_generations():
     own = tokens.WordCache(str.upper, 3)
     assert [own[w] for w in "abcabcdea"] == list("ABCABCDEA") and len(own) <= 3
