@@ -113,3 +113,33 @@ def merge_tiles(blocks: DataFrame, least: float = 0.3) -> DataFrame:
 def tiled_direction(whole: Column, tiles: Column) -> Column:
     """An aggregate: vertical if the whole page or any tile is."""
     return F.when(F.bool_or((whole == "vertical") | (tiles == "vertical")), "vertical").otherwise("horizontal")
+
+
+def tiles_of(pages: DataFrame) -> DataFrame:
+    """``pages`` (width_px, height_px and others) once for each of its four tiles that has an area, with tile, its sides x0, y0, x1, y1, and
+    the scale and sides (to_width, to_height) at which it is sent. A page without sides has no tiles."""
+    cells = F.filter(G.tile_grid(F.col("width_px"), F.col("height_px")), lambda t: (t["x1"] > t["x0"]) & (t["y1"] > t["y0"]))
+    cut = pages.withColumn("t", F.explode(cells)).select(*pages.columns, "t.*")
+    sent = G.downscale(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    return cut.withColumn("sent", sent).select(*cut.columns, F.col("sent.scale").alias("scale"), F.col("sent.width").alias("to_width"), F.col("sent.height").alias("to_height"))
+
+
+def tiled_pages(whole: DataFrame, tiles: DataFrame) -> DataFrame:
+    """doc_id, page, tiled, direction, blocks: ``whole`` (one row a page: doc_id, page, direction, blocks), where the tiles of a page found
+    something with their merged blocks instead of its own. ``tiles`` (doc_id, page, tile, scale, x0, y0, direction, blocks) has the answers
+    there are, at most one for each tile, of the pages that were cut; a tile that failed has no row. Blocks are on the page's
+    pixels afterwards, in order of tile and place, without blank ones; a page is vertical if it or any of its tiles is. A page whose tiles
+    found nothing stays as it is."""
+    by = F.when(F.col("scale") < 1, 1 / F.col("scale")).otherwise(F.lit(1.0))
+    rows = tiles.select("doc_id", "page", "tile", by.alias("by"), F.col("x0").cast("double").alias("dx"), F.col("y0").cast("double").alias("dy"), F.posexplode("blocks").alias("ord", "b"))
+    rows = rows.select("doc_id", "page", "tile", "ord", "by", "dx", "dy", T.strip(F.coalesce("b.text", F.lit(""))).alias("text"), "b.type", "b.bbox", "b.lines").filter("text <> ''")
+    placed = lambda b: on_page(b, F.col("by"), F.col("dx"), F.col("dy"))
+    lines = F.transform("lines", lambda x: x.withField("bbox", placed(x["bbox"])))
+    merged = merge_tiles(rows.withColumn("bbox", placed(F.col("bbox"))).withColumn("lines", lines).drop("by", "dx", "dy"))
+    found = merged.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("tile", "ord", "text", "type", "bbox", "lines"))).alias("found"))
+    found = found.withColumn("found", F.transform("found", lambda b: F.struct(b["text"], b["type"], b["bbox"], b["lines"])))
+    upright = tiles.groupBy("doc_id", "page").agg(F.bool_or(F.col("direction") == "vertical").alias("upright"))
+    own = whole.select("doc_id", "page", "direction", "blocks").join(found, ["doc_id", "page"], "left").join(upright, ["doc_id", "page"], "left")
+    tiled = F.col("found").isNotNull()
+    direction = F.when(tiled & F.coalesce("upright", F.lit(False)), "vertical").otherwise(F.col("direction"))
+    return own.select("doc_id", "page", tiled.alias("tiled"), direction.alias("direction"), F.coalesce(F.col("found").cast(whole.schema["blocks"].dataType), "blocks").alias("blocks"))

@@ -200,6 +200,47 @@ def tile_dedup(spark, sf_dir):
     return _flat(TI.merge_tiles(b), "doc_id", "page", "text", "tile", "ord")
 
 
+@query(f"""WITH {BOX_SQL}, c AS (SELECT *, CASE WHEN part % 7 = 0 THEN ' ' ELSE {_PADDED} END AS padded FROM b),
+p AS (SELECT doc_id, page, max(qty)::INT * 100 AS w, 1000 AS h, count(*) FILTER (part % 2 = 0 AND part % 7 > 0) AS n, bool_or(part % 11 = 0) AS vertical FROM c GROUP BY ALL),
+t AS (SELECT doc_id, page, tile, (CASE WHEN qx = 0 THEN 0 ELSE w // 2 - trunc(w * 0.1::DOUBLE) END)::INT AS ox, (CASE WHEN qy = 0 THEN 0 ELSE h // 2 - trunc(h * 0.1::DOUBLE) END)::INT AS oy,
+  w, qx FROM p, {_QUADRANTS} WHERE n = 0 AND greatest(w, h) >= 1500),
+u AS (SELECT doc_id, page, tile, ox, oy, greatest(CASE WHEN qx = 0 THEN w // 2 + trunc(w * 0.1::DOUBLE) ELSE w - ox END, 600)::INT AS longest FROM t),
+v AS (SELECT *, CASE WHEN longest > 2048 THEN 2048::DOUBLE / longest ELSE 1::DOUBLE END AS scale FROM u),
+m AS (SELECT v.*, c.ord, c.supp, {_strip('padded')} AS stripped, (c.x0 * 5 - ox) * scale AS x0, (c.y0 * 5 - oy) * scale AS y0, (c.x1 * 5 - ox) * scale AS x1, (c.y1 * 5 - oy) * scale AS y1
+  FROM v JOIN c ON c.doc_id = v.doc_id AND c.page = v.page AND v.tile IN (c.line % 4, (c.line + 1) % 4)),
+g AS (SELECT doc_id, page, stripped, list({{'text': stripped, 'tile': tile, 'ord': ord, 'x0': x0 * (1 / scale) + ox, 'y0': y0 * (1 / scale) + oy, 'x1': x1 * (1 / scale) + ox, 'y1': y1 * (1 / scale) + oy}} ORDER BY tile, ord) AS l
+  FROM m WHERE stripped <> '' GROUP BY ALL),
+kept AS (SELECT doc_id, page, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda a:
+  len(list_filter(y, lambda e: {_FOLD_IOU} > 0 AND {_FOLD_IOU} / ((a.x1 - a.x0) * (a.y1 - a.y0) + (e.x1 - e.x0) * (e.y1 - e.y0) - {_FOLD_IOU}) >= 0.3)) > 0)) > 0 THEN acc ELSE list_concat(acc, y) END)) AS k FROM g),
+found AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY k.tile, k.ord) - 1 AS ord, k.text AS text, k.x0 AS x0, k.y0 AS y0, k.x1 AS x1, k.y1 AS y1 FROM kept),
+upright AS (SELECT doc_id, page, bool_or(supp % 13 = 0) AS vertical FROM m GROUP BY ALL),
+own AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) - 1 AS ord, padded AS text, x0, y0, x1, y1 FROM c WHERE part % 2 = 0)
+SELECT p.doc_id, p.page, f.doc_id IS NOT NULL AS tiled, CASE WHEN p.vertical OR (f.doc_id IS NOT NULL AND a.vertical) THEN 'vertical' ELSE 'horizontal' END AS direction,
+ coalesce(f.ord, o.ord)::INT AS ord, CASE WHEN f.doc_id IS NULL THEN o.text ELSE f.text END AS text, coalesce(f.x0, o.x0) AS x0, coalesce(f.y0, o.y0) AS y0, coalesce(f.x1, o.x1) AS x1, coalesce(f.y1, o.y1) AS y1
+FROM p LEFT JOIN found f ON f.doc_id = p.doc_id AND f.page = p.page LEFT JOIN upright a ON a.doc_id = p.doc_id AND a.page = p.page LEFT JOIN own o ON f.doc_id IS NULL AND o.doc_id = p.doc_id AND o.page = p.page""")
+def tiled_pages(spark, sf_dir):
+    """Pages on which whole recognition found even parts alone; where it found none, two tiles see each box, and some see only blanks."""
+    pads = [F.concat(F.lit(a), "text", F.lit(b)) for a, b in _PADS]
+    padded = F.when(F.col("part") % 7 == 0, " ").otherwise(F.get(F.array(*pads), (F.col("part") % 4).cast("int")))
+    b = boxes(spark, sf_dir).withColumn("text", padded)
+    of = lambda c: F.when(c, "vertical").otherwise("horizontal")
+    lines = F.array().cast("array<struct<text:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>").alias("lines")
+    block = lambda bbox: F.struct("ord", "text", F.lit("").alias("type"), bbox.alias("bbox"), lines)
+    in_order = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: F.struct(x["text"], x["type"], x["bbox"], x["lines"]))
+    even = F.col("part") % 2 == 0
+    pages = b.groupBy("doc_id", "page").agg(
+        (F.max("qty").cast("int") * 100).alias("width_px"), F.lit(1000).alias("height_px"), F.count_if(even & ~T.is_blank(F.col("text"))).alias("n"),
+        of(F.bool_or(F.col("part") % 11 == 0)).alias("direction"), in_order(F.when(even, block(F.col("bbox")))).alias("blocks"),
+    )
+    large = pages.filter(TI.needs_tiles(F.col("n"), F.col("width_px"), F.col("height_px"))).select("doc_id", "page", "width_px", "height_px")
+    cut = TI.tiles_of(large).select("doc_id", "page", "tile", "scale", "x0", "y0")
+    seen = b.withColumn("tile", F.explode(F.array((F.col("line") % 4).cast("int"), ((F.col("line") + 1) % 4).cast("int")))).join(cut, ["doc_id", "page", "tile"])
+    corners = [(F.col(f"bbox.{c}") * 5 - F.col(c[0] + "0")) * F.col("scale") for c in ("x0", "y0", "x1", "y1")]
+    answers = seen.groupBy("doc_id", "page", "tile", "scale", "x0", "y0").agg(of(F.bool_or(F.col("supp") % 13 == 0)).alias("direction"), in_order(block(G.box(*corners))).alias("blocks"))
+    found = TI.tiled_pages(pages, answers).select("doc_id", "page", "tiled", "direction", F.posexplode_outer("blocks").alias("ord", "b"))
+    return found.select("doc_id", "page", "tiled", "direction", "ord", "b.text", "b.bbox.*")
+
+
 @query(f"""WITH {BOX_SQL}, l AS (SELECT doc_id, ord, CASE WHEN part % 5 > 0 THEN [part % 7, 0, part % 11, supp % 13] END AS first, part % 4 AS n, x0, y0, x1, y1, 1.0::DOUBLE / (1 + line % 3 * 0.5::DOUBLE) AS f FROM b)
 SELECT doc_id, ord, round(x0 * f, 9) AS x0, round(y1 * f, 9) AS y1, n::INT AS n_lines, CASE WHEN n > 0 THEN round(first[1] * f, 9) END AS line_x0, CASE WHEN n > 0 THEN round(first[4] * f, 9) END AS line_y1 FROM l""")
 def upscaled_blocks(spark, sf_dir):
