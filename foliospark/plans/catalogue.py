@@ -216,10 +216,11 @@ found AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDE
 upright AS (SELECT doc_id, page, bool_or(supp % 13 = 0) AS vertical FROM m GROUP BY ALL),
 own AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) - 1 AS ord, padded AS text, x0, y0, x1, y1 FROM c WHERE part % 2 = 0)
 SELECT p.doc_id, p.page, f.doc_id IS NOT NULL AS tiled, CASE WHEN p.vertical OR (f.doc_id IS NOT NULL AND a.vertical) THEN 'vertical' ELSE 'horizontal' END AS direction,
- coalesce(f.ord, o.ord)::INT AS ord, CASE WHEN f.doc_id IS NULL THEN o.text ELSE f.text END AS text, coalesce(f.x0, o.x0) AS x0, coalesce(f.y0, o.y0) AS y0, coalesce(f.x1, o.x1) AS x1, coalesce(f.y1, o.y1) AS y1
+ coalesce(f.ord, o.ord, -1)::INT AS ord, CASE WHEN f.doc_id IS NULL THEN o.text ELSE f.text END AS text, coalesce(f.x0, o.x0) AS x0, coalesce(f.y0, o.y0) AS y0, coalesce(f.x1, o.x1) AS x1, coalesce(f.y1, o.y1) AS y1
 FROM p LEFT JOIN found f ON f.doc_id = p.doc_id AND f.page = p.page LEFT JOIN upright a ON a.doc_id = p.doc_id AND a.page = p.page LEFT JOIN own o ON f.doc_id IS NULL AND o.doc_id = p.doc_id AND o.page = p.page""")
 def tiled_pages(spark, sf_dir):
-    """Pages on which whole recognition found even parts alone; where it found none, two tiles see each box, and some see only blanks."""
+    """Pages on which whole recognition found even parts alone; where it found none, two tiles see each box, and some see only blanks. A page
+    without a block has one row, of place -1."""
     pads = [F.concat(F.lit(a), "text", F.lit(b)) for a, b in _PADS]
     padded = F.when(F.col("part") % 7 == 0, " ").otherwise(F.get(F.array(*pads), (F.col("part") % 4).cast("int")))
     b = boxes(spark, sf_dir).withColumn("text", padded)
@@ -238,7 +239,7 @@ def tiled_pages(spark, sf_dir):
     corners = [(F.col(f"bbox.{c}") * 5 - F.col(c[0] + "0")) * F.col("scale") for c in ("x0", "y0", "x1", "y1")]
     answers = seen.groupBy("doc_id", "page", "tile", "scale", "x0", "y0").agg(of(F.bool_or(F.col("supp") % 13 == 0)).alias("direction"), in_order(block(G.box(*corners))).alias("blocks"))
     found = TI.tiled_pages(pages, answers).select("doc_id", "page", "tiled", "direction", F.posexplode_outer("blocks").alias("ord", "b"))
-    return found.select("doc_id", "page", "tiled", "direction", "ord", "b.text", "b.bbox.*")
+    return found.select("doc_id", "page", "tiled", "direction", F.coalesce("ord", F.lit(-1)).alias("ord"), "b.text", "b.bbox.*")
 
 
 @query(f"""WITH {BOX_SQL}, l AS (SELECT doc_id, ord, CASE WHEN part % 5 > 0 THEN [part % 7, 0, part % 11, supp % 13] END AS first, part % 4 AS n, x0, y0, x1, y1, 1.0::DOUBLE / (1 + line % 3 * 0.5::DOUBLE) AS f FROM b)
