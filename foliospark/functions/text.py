@@ -39,10 +39,16 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
 
+def of_scripts(c: Column) -> Column:
+    """``c`` without the characters below U+3000, of which HANGUL, KANA and CJK have none; the empty text for null. Runs go at once, so
+    that what looks for a script has little left to read."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x{0000}-\x{2FFF}]+", "")
+
+
 def block_language(c: Column) -> Column:
     """Of one block: a single hangul, kana or CJK character decides, in this order; CJK is simplified unless a traditional
     character shows. Null and empty texts are ``en``."""
-    text = F.coalesce(c, F.lit(""))
+    text = of_scripts(c)
     return (
         F.when(text.rlike(HANGUL), "korean").when(text.rlike(KANA), "japan")
         .when(text.rlike(CJK), F.when(text.rlike(f"[{BLOCK_TRADITIONAL}]"), "ch_tra").otherwise("ch_sim")).otherwise("en")
@@ -50,14 +56,15 @@ def block_language(c: Column) -> Column:
 
 
 def count_of(c: Column, characters: str) -> Column:
-    return F.length(F.regexp_replace(c, f"[^{characters}]", ""))
+    """How many of a text's characters are among ``characters``, by a table of them: a pattern would compare each with all of them."""
+    return F.length(c) - F.length(F.translate(c, characters, ""))
 
 
 def language_of(texts: Column) -> Column:
     """An aggregate: the language of all texts of a group, from flags and counts; no text is collected."""
-    text = F.coalesce(texts, F.lit(""))
+    text = of_scripts(texts)
     any_of = lambda pattern: F.coalesce(F.bool_or(text.rlike(pattern)), F.lit(False))
-    size, simp, trad = F.sum(F.length(text)), F.sum(count_of(text, SIMPLIFIED)), F.sum(count_of(text, TRADITIONAL))
+    size, simp, trad = F.sum(F.length(F.coalesce(texts, F.lit("")))), F.sum(count_of(text, SIMPLIFIED)), F.sum(count_of(text, TRADITIONAL))
     return (
         F.when(F.coalesce(size, F.lit(0)) == 0, "ch_tra").when(any_of(HANGUL), "korean").when(any_of(KANA), "japan")
         .when(any_of(CJK), F.when(simp > 2 * trad, "ch_sim").otherwise("ch_tra")).otherwise("en")
@@ -66,7 +73,7 @@ def language_of(texts: Column) -> Column:
 
 def page_language(texts: Column) -> Column:
     """An aggregate: the language of a page's blocks as if they were one text without anything between."""
-    text = F.coalesce(texts, F.lit(""))
+    text = of_scripts(texts)
     any_of = lambda pattern: F.coalesce(F.bool_or(text.rlike(pattern)), F.lit(False))
     return (
         F.when(any_of(HANGUL), "korean").when(any_of(KANA), "japan")

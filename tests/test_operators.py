@@ -73,6 +73,21 @@ def test_document_language(spark, texts, lang):
     assert spark.createDataFrame([(t,) for t in texts], "t string").agg(T.language_of(F.col("t"))).first()[0] == lang
 
 
+def test_document_language_of_long_texts(spark):
+    """Flags and counts against plain Python, and 20 MB in a few seconds: each character isn't compared with all of a list."""
+    texts = [None, "", "a\x00é书", "书学们臺 x" * 3, "𠀀", "\u2fff\u3000", "\u30ff", "\ud7af", "臺灣 a", "豈"]
+    within = lambda t, *ranges: any(a <= ord(c) <= b for c in t or "" for a, b in ranges)
+    for t in texts:
+        trad, simp = (sum(c in cs for c in t or "") for cs in (T.TRADITIONAL, T.SIMPLIFIED))
+        cjk = within(t, (0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x3000, 0x303F))
+        want = "ch_tra" if not t else "korean" if within(t, (0xAC00, 0xD7AF)) else "japan" if within(t, (0x3040, 0x30FF)) else "en" if not cjk else "ch_sim" if simp > 2 * trad else "ch_tra"
+        assert spark.createDataFrame([(t,)], "t string").agg(T.language_of(F.col("t"))).first()[0] == want, t
+    long = spark.range(0, 200, 1, 4).select(F.repeat(F.concat(F.lit("plain words é "), F.col("id").cast("string")), 6000).alias("t"))
+    began = time.perf_counter()
+    assert long.agg(T.language_of(F.col("t"))).first()[0] == "en"
+    assert time.perf_counter() - began < 8
+
+
 @settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.text(alphabet="a \t\x1c\x85　\n​", max_size=6))
 def test_strip_is_pythons(spark, text):
