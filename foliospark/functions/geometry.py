@@ -53,10 +53,16 @@ def contains(a: Column, b: Column, least: float = 0.5) -> Column:
 GRID, CELL = 16, 256.0
 
 
+def cell_at(x: Column, y: Column) -> tuple[Column, Column]:
+    """Column and row of the grid's cell that a point lies in."""
+    at = lambda v: F.floor(F.coalesce(F.greatest(F.least(v / CELL, F.lit(GRID - 1.0)), F.lit(0.0)), F.lit(0.0))).cast("int")
+    return at(x), at(y)
+
+
 def cell_of(x: Column, y: Column) -> Column:
     """The number of the grid's cell that a point lies in."""
-    at = lambda v: F.floor(F.coalesce(F.greatest(F.least(v / CELL, F.lit(GRID - 1.0)), F.lit(0.0)), F.lit(0.0))).cast("int")
-    return at(y) * GRID + at(x)
+    column, row = cell_at(x, y)
+    return row * GRID + column
 
 
 def cells(b: Column) -> Column:
@@ -65,7 +71,7 @@ def cells(b: Column) -> Column:
     first, last = cell_of(b["x0"], b["y0"]), cell_of(b["x1"], b["y1"])
     rows = F.sequence(F.floor(first / GRID).cast("int"), F.floor(last / GRID).cast("int"))
     columns = F.sequence(first % GRID, last % GRID)
-    return F.flatten(F.transform(rows, lambda y: F.transform(columns, lambda x: y * GRID + x)))
+    return F.when(first == last, F.array(first)).otherwise(F.flatten(F.transform(rows, lambda y: F.transform(columns, lambda x: y * GRID + x))))
 
 
 def clamped_iou(a: Column, b: Column) -> Column:

@@ -36,7 +36,7 @@ def strip(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | (strip(c) == "")
+    return c.isNull() | ~c.rlike(f"[^{WS[1:]}")
 
 
 def of_scripts(c: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,12 +14,13 @@ from foliospark.functions import text as T
 from foliospark.functions.names import free
 
 PAGE = ["doc_id", "page"]
+CORNERS = ("x0", "y0", "x1", "y1")
 DEFAULT_SIZE = 12.0
 
 
 def upper_median(size: Column) -> Column:
     """An aggregate: the upper median of the positive sizes of a page, 12 without any."""
-    kept = F.array_sort(F.collect_list(F.when(size > 0, size)))
+    kept = F.sort_array(F.collect_list(F.when(size > 0, size)))
     return F.coalesce(F.get(kept, F.floor(F.size(kept) / 2).cast("int")), F.lit(DEFAULT_SIZE))
 
 
@@ -42,14 +45,20 @@ def last_matches(blocks: DataFrame, wanted: list[tuple[DataFrame, str, Callable[
         values = [F.col(value).alias(f"o_value{k}") if k == i else F.lit(None).cast(w[0].schema[w[1]].dataType).alias(f"o_value{k}") for k, w in enumerate(wanted)]
         own = other.select(*[F.col(c).alias(f"o_{c}") for c in (*PAGE, "ord", "bbox")], F.lit(i).alias("o_which"), *values)
         others = own if others is None else others.unionByName(own)
-    others = others.withColumn("o_cell", F.explode(G.cells(F.col("o_bbox"))))
+    # the join's condition has plain numbers that are never null, so that its generated code stays small enough to be compiled
+    whole = lambda b: reduce(and_, [b[c].isNotNull() for c in CORNERS])
+    corners = lambda b, side: [F.coalesce(b[c], F.lit(0.0)).alias(f"{side}_{c}") for c in CORNERS]
+    first = lambda b, side: [at.alias(f"{side}_first_{c}") for c, at in zip("xy", G.cell_at(b["x0"], b["y0"]))]
+    box, o_box = F.col("bbox"), F.col("o_bbox")
+    others = others.filter(whole(o_box)).select(*[c for c in others.columns if c != "o_bbox"], *corners(o_box, "o"), *first(o_box, "o"), F.explode(G.cells(o_box)).alias("o_cell"))
     payload = [c for c in blocks.columns if c not in key]
     hashed = F.xxhash64(*[F.col(c) for c in payload]) if payload else F.lit(0).cast("long")
-    at = F.coalesce(G.cells(F.col("bbox")), F.array(F.lit(0)))
-    placed = blocks.select(*key, hashed.alias(same), F.struct(*payload, F.lit(1).alias(home)).alias(rest), F.posexplode(at).alias(home, cell))
-    placed = placed.withColumn(rest, F.when(F.col(home) == 0, F.col(rest)))
-    a, b = F.col("bbox"), F.col("o_bbox")
-    corner = G.cell_of(F.greatest(a["x0"], b["x0"]), F.greatest(a["y0"], b["y0"])) == F.col(cell)
+    at = F.when(whole(box), G.cells(box)).otherwise(F.array(F.lit(-1)))
+    placed = blocks.select(*key, hashed.alias(same), F.struct(*payload, F.lit(1).alias(home)).alias(rest), *corners(box, "a"), *first(box, "a"), F.posexplode(at).alias(home, cell))
+    placed = placed.withColumn(rest, F.when(F.col(home) == 0, F.col(rest))).withColumn("a_cell_x", F.col(cell) % G.GRID).withColumn("a_cell_y", F.floor(F.col(cell) / G.GRID).cast("int"))
+    a, b = (F.struct(*[F.col(f"{side}_{c}").alias(c) for c in CORNERS]) for side in "ao")
+    # the cell of the point (greater x0, greater y0)
+    corner = reduce(and_, [F.greatest(f"a_first_{c}", f"o_first_{c}") == F.col(f"a_cell_{c}") for c in "xy"])
     meets = F.lit(False)
     for i, (_, _, test, _) in enumerate(wanted):
         meets = meets | ((F.col("o_which") == i) & test(a, b))

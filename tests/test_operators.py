@@ -49,6 +49,25 @@ def test_last_match_wins_and_greedy_merge(spark):
     assert sorted(r["ord"] for r in TI.merge_tiles(tiles).collect()) == [0, 2]
 
 
+def largest_method(spark, df):
+    """Bytes of the largest method that Spark generates for a plan; the JVM compiles none of more than 8,000."""
+    seq = df._jdf.queryExecution().debug().codegenToSeq()
+    return max(seq.apply(i)._3().maxMethodCodeSize() for i in range(seq.length()))
+
+
+def test_matching_boxes_is_compiled(spark):
+    rows = "doc_id long, page int, ord int, text string, size double, v string, a double, b double, c double, d double"
+    blocks = spark.createDataFrame([(1, 0, 0, "t", 1.0, "k", 0.0, 0.0, 10.0, None)], rows).withColumn("bbox", G.box(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).select("doc_id", "page", "ord", "text", "size", "v", "bbox")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = S.last_matches(blocks, [(blocks, "v", lambda a, b: G.overlaps(a, b, 0.3), "kind"), (blocks, "v", lambda a, b: G.contains(a, b, 0.5), "href")])
+        assert largest_method(spark, found) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # a box without a corner stays, and meets nothing
+    assert [(r["v"], r["kind"], r["href"]) for r in found.collect()] == [("k", None, None)]
+
+
 @pytest.mark.parametrize("sizes, median", [([1, 2, 3, 4], 3), ([0, -1], 12), ([5], 5)])
 def test_upper_median(spark, sizes, median):
     assert spark.createDataFrame([(float(s),) for s in sizes], "s double").agg(S.upper_median(F.col("s"))).first()[0] == median
