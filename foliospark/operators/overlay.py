@@ -64,13 +64,17 @@ def horizontal_overlay(rect: Column, text: Column, uniform: bool = False) -> Col
 
 def vertical_overlay(rect: Column, text: Column, page_height) -> Column:
     """Array of (i, character, x, y, size) down a column; what begins below the page's end is left out."""
-    chars = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), T.WS, ""), ""), lambda c: c != "")
+    chars = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), f"{T.WS}+", ""), "")  # of an empty text an empty one
 
     def placed(own: Column) -> Column:
         step = G.height(rect) / F.size(own)
         size = F.greatest(F.lit(3.0), F.least(G.width(rect), step, F.lit(48.0)))
-        of = F.transform(own, lambda c, i: F.struct(i.alias("i"), c.alias("c"), rect["x0"].alias("x"), (rect["y0"] + size + i * step).alias("y"), size.alias("size")))
-        return F.when(F.size(own) > 0, F.filter(of, lambda p: p["y"] <= F.lit(float(page_height))))
+        column = F.struct(step.alias("step"), size.alias("size"), rect["x0"].alias("x"), (rect["y0"] + size).alias("y"))
+        return F.when(F.get(own, F.lit(0)) != "", bound(column, lambda m: down(own, m)))
+
+    def down(own: Column, m: Column) -> Column:
+        of = F.transform(own, lambda c, i: F.struct(i.alias("i"), c.alias("c"), m["x"].alias("x"), (m["y"] + i * m["step"]).alias("y"), m["size"].alias("size")))
+        return F.filter(of, lambda p: p["y"] <= F.lit(float(page_height)))
 
     return bound(chars, placed)
 

@@ -68,6 +68,20 @@ def test_matching_boxes_is_compiled(spark):
     assert [(r["v"], r["kind"], r["href"]) for r in found.collect()] == [("k", None, None)]
 
 
+def test_vertical_layout_places_once(spark):
+    from foliospark.plans.catalogue import QUERIES
+
+    plan = QUERIES["vertical_layout"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(regexp_replace(") == 1
+    rect, size = (5.0, 30.0, 25.0, 70.0), 3.0
+    for text in (None, "", " \u3000\n", "a b", "𠀀 é\u0301x", "abc " * 50):
+        chars = "".join((text or "").split())
+        step = 40.0 / len(chars) if chars else 0.0
+        size = max(3.0, min(20.0, step, 48.0))
+        want = [(i, c, 5.0, 30.0 + size + i * step, size) for i, c in enumerate(chars) if 30.0 + size + i * step <= 60.0]
+        assert [tuple(r) for r in one(spark, O.vertical_overlay(box(*rect), F.lit(text).cast("string"), 60.0)) or []] == want
+
+
 @pytest.mark.parametrize("sizes, median", [([1, 2, 3, 4], 3), ([0, -1], 12), ([5], 5)])
 def test_upper_median(spark, sizes, median):
     assert spark.createDataFrame([(float(s),) for s in sizes], "s double").agg(S.upper_median(F.col("s"))).first()[0] == median
