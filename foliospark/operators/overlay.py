@@ -34,17 +34,28 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 def wrap(text: Column, size: Column, width: Column) -> Column:
     """Lines of at most ``width``, broken between characters; a blank line stays as an empty one; there is one line at least.
     All characters have one width, so a line takes a fixed number of them (``metrics.wrap`` goes by their own widths)."""
-    # as the running width is compared after each character, the count is found by that comparison, not by a division
-    estimate = F.greatest(F.lit(1), F.floor(width / (size * CHAR_WIDTH)).cast("int"))
-    fits = lambda n: n * size * CHAR_WIDTH <= width
-    most = F.when(fits(estimate + 1), estimate + 1).when(fits(estimate), estimate).otherwise(F.greatest(F.lit(1), estimate - 1))
 
     def cut(line: Column, most: Column) -> Column:
         pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(line) - 1) / most).cast("int")), lambda i: F.substring(line, i * most + 1, most))
         return F.when(T.is_blank(line), F.array(F.lit(""))).otherwise(pieces)
 
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    return bound(most, lambda m: F.flatten(F.transform(lines, lambda line: cut(line, m))))
+    return bound(characters_of(size, width), lambda m: F.flatten(F.transform(lines, lambda line: cut(line, m))))
+
+
+def characters_of(size: Column, width: Column) -> Column:
+    """How many characters of one width a line takes, one at least."""
+    # as the running width is compared after each character, the count is found by that comparison, not by a division
+    fits = lambda n: n * size * CHAR_WIDTH <= width
+    most = lambda n: F.when(fits(n + 1), n + 1).when(fits(n), n).otherwise(F.greatest(F.lit(1), n - 1))
+    return bound(F.greatest(F.lit(1), F.floor(width / (size * CHAR_WIDTH)).cast("int")), most)
+
+
+def wrapped(text: Column, size: Column, width: Column) -> Column:
+    """The number of ``wrap``'s lines."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    of = lambda line, most: F.when(T.is_blank(line), 1).otherwise(F.floor((F.length(line) - 1) / most).cast("int") + 1)
+    return bound(characters_of(size, width), lambda m: F.aggregate(lines, F.lit(0), lambda n, line: n + of(line, m)))
 
 
 def clamp_size(size: Column) -> Column:
@@ -84,10 +95,13 @@ def block_overlay(rect: Column, text: Column, uniform: bool = False) -> Column:
     of ``metrics``, or with ``uniform`` one for all characters, which stays in the JVM."""
     if not uniform:
         return M.fitted(text, G.width(rect), G.height(rect))
-    w, h = F.greatest(G.width(rect), F.lit(1.0)), G.height(rect)
-    n = F.greatest(F.lit(1), F.size(wrap(text, F.lit(12.0), w)))
-    size = clamp_size(F.when(h > 0, h / (n * 1.2)).otherwise(12.0))
-    return bound(size, lambda fitting: F.struct(fitting.alias("size"), wrap(text, fitting, w).alias("lines")))
+    given = F.struct(text.alias("text"), F.greatest(G.width(rect), F.lit(1.0)).alias("w"), G.height(rect).alias("h"))
+
+    def fitting(b: Column) -> Column:
+        size = clamp_size(F.when(b["h"] > 0, b["h"] / (wrapped(b["text"], F.lit(12.0), b["w"]) * 1.2)).otherwise(12.0))
+        return bound(size, lambda own: F.struct(own.alias("size"), wrap(b["text"], own, b["w"]).alias("lines")))
+
+    return bound(given, fitting)
 
 
 def block_lines(rect: Column, text: Column, page_height, uniform: bool = False) -> Column:
@@ -95,10 +109,11 @@ def block_lines(rect: Column, text: Column, page_height, uniform: bool = False)
     but isn't there; the first that would stand below the page's end, and all after it, are left out."""
 
     def placed(whole: Column) -> Column:
-        of = F.transform(whole["lines"], lambda line, i: F.struct(i.alias("i"), line.alias("line"), rect["x0"].alias("x"), (rect["y0"] + whole["size"] * (1.0 + 1.2 * i)).alias("y")))
+        y = lambda i: whole["y"] + whole["of"]["size"] * (1.0 + 1.2 * i)
+        of = F.transform(whole["of"]["lines"], lambda line, i: F.struct(i.alias("i"), line.alias("line"), whole["x"].alias("x"), y(i).alias("y")))
         return F.filter(of, lambda p: (p["line"] != "") & (p["y"] <= F.lit(float(page_height))))
 
-    return bound(block_overlay(rect, text, uniform), placed)
+    return bound(F.struct(block_overlay(rect, text, uniform).alias("of"), rect["x0"].alias("x"), rect["y0"].alias("y")), placed)
 
 
 def overlay_rows(lines: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -82,6 +82,13 @@ def test_vertical_layout_places_once(spark):
         assert [tuple(r) for r in one(spark, O.vertical_overlay(box(*rect), F.lit(text).cast("string"), 60.0)) or []] == want
 
 
+@pytest.mark.parametrize("text", [None, "", "a", "\n", "ab\n \ncd", "abcdefghij" * 7, "x\n\n" * 9])
+def test_counted_lines_are_wraps(spark, text):
+    for size, width in ((12.0, 30.0), (3.0, 1.0), (11.0, 495.0)):
+        given = F.lit(text).cast("string"), F.lit(size), F.lit(width)
+        assert one(spark, O.wrapped(*given)) == len(one(spark, O.wrap(*given)))
+
+
 @pytest.mark.parametrize("sizes, median", [([1, 2, 3, 4], 3), ([0, -1], 12), ([5], 5)])
 def test_upper_median(spark, sizes, median):
     assert spark.createDataFrame([(float(s),) for s in sizes], "s double").agg(S.upper_median(F.col("s"))).first()[0] == median
