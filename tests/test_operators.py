@@ -89,6 +89,13 @@ def test_counted_lines_are_wraps(spark, text):
         assert one(spark, O.wrapped(*given)) == len(one(spark, O.wrap(*given)))
 
 
+def test_blanks_are_looked_for_not_cut(spark):
+    texts = [None, "", " ", "\u3000\n\x1c\x85", " a ", "\u200b", "a" * 99]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.is_blank(F.col("t")).alias("b"))
+    assert "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["b"] for r in df.orderBy("i").collect()] == [not (t or "").strip() for t in texts]
+
+
 @pytest.mark.parametrize("sizes, median", [([1, 2, 3, 4], 3), ([0, -1], 12), ([5], 5)])
 def test_upper_median(spark, sizes, median):
     assert spark.createDataFrame([(float(s),) for s in sizes], "s double").agg(S.upper_median(F.col("s"))).first()[0] == median
