@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from foliospark.functions import geometry as G
 from foliospark.functions import text as T
 from foliospark.functions.names import free
 
 TILE_FROM = 1500
+#: So many accepted boxes are looked through one by one, before a hash of their cells is worth its while.
+FEW = 8
 
 
 def needs_tiles(n_blocks: Column, width_px: Column, height_px: Column) -> Column:
@@ -34,16 +38,19 @@ def on_page(bbox: Column, inverse_scale: Column, origin_x: Column, origin_y: Col
 class AcceptedBoxes:
     """Boxes by level and cell: a box is on the level of the power of two that its longer side doesn't exceed, in the cell of its middle. Two
     boxes that share ``least`` of their union have sides that differ by that factor at most, so few levels, and few cells of each, can hold
-    a box that overlaps another one by so much."""
+    a box that overlaps another one by so much. The first ``FEW`` boxes are a list."""
 
     def __init__(self, least: float):
         self.least, self.far = least, math.ceil(math.log2(1 / least)) + 1 if 0 < least <= 1 else 0
         self.levels: dict[int, dict[tuple[int, int], list[tuple]]] = {}
+        self.few: list[tuple] = []
         self.n = 0
 
     def overlapped(self, box: tuple[float, float, float, float]) -> bool:
         if self.least <= 0 or not self.n:
             return self.n > 0
+        if self.n <= FEW:
+            return any(_shared(a, box) >= self.least for a in self.few)
         level = _level(box)
         if level is None:
             return False
@@ -60,6 +67,14 @@ class AcceptedBoxes:
 
     def add(self, box: tuple[float, float, float, float]) -> None:
         self.n += 1
+        if self.n <= FEW:
+            self.few.append(box)
+            return
+        for one in (*self.few, box):
+            self._place(one)
+        self.few = []
+
+    def _place(self, box: tuple[float, float, float, float]) -> None:
         level = _level(box)
         if level is not None:
             side = 2.0**level
@@ -115,31 +130,76 @@ def tiled_direction(whole: Column, tiles: Column) -> Column:
     return F.when(F.bool_or((whole == "vertical") | (tiles == "vertical")), "vertical").otherwise("horizontal")
 
 
+def sent_tiles(width_px: Column, height_px: Column) -> Column:
+    """The four tiles of a page that have an area, in order: array of structs with tile, its sides x0, y0, x1, y1, and the scale and sides
+    (to_width, to_height) at which it is sent. A page without sides has none."""
+
+    def sent(t: Column) -> Column:
+        to = G.downscale(t["x1"] - t["x0"], t["y1"] - t["y0"])
+        return F.struct(*[t[c].alias(c) for c in ("tile", "x0", "y0", "x1", "y1")], to["scale"].alias("scale"), to["width"].alias("to_width"), to["height"].alias("to_height"))
+
+    return F.transform(F.filter(G.tile_grid(width_px, height_px), lambda t: (t["x1"] > t["x0"]) & (t["y1"] > t["y0"])), sent)
+
+
 def tiles_of(pages: DataFrame) -> DataFrame:
-    """``pages`` (width_px, height_px and others) once for each of its four tiles that has an area, with tile, its sides x0, y0, x1, y1, and
-    the scale and sides (to_width, to_height) at which it is sent. A page without sides has no tiles."""
-    cells = F.filter(G.tile_grid(F.col("width_px"), F.col("height_px")), lambda t: (t["x1"] > t["x0"]) & (t["y1"] > t["y0"]))
-    cut = pages.withColumn("t", F.explode(cells)).select(*pages.columns, "t.*")
-    sent = G.downscale(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    return cut.withColumn("sent", sent).select(*cut.columns, F.col("sent.scale").alias("scale"), F.col("sent.width").alias("to_width"), F.col("sent.height").alias("to_height"))
+    """``pages`` (width_px, height_px and others) once for each of its tiles, with the fields of ``sent_tiles``."""
+    return pages.withColumn("t", F.explode(sent_tiles(F.col("width_px"), F.col("height_px")))).select(*pages.columns, "t.*")
+
+
+def stays(least: float = 0.3):
+    """A function of an array (text, x0, y0, x1, y1) in order: for each block of one page, whether the greedy merge of ``merge_tiles`` keeps
+    it. Texts are stripped and not null, nor are corners."""
+
+    @F.arrow_udf(ArrayType(BooleanType()))
+    def work(pages: pa.Array) -> pa.Array:
+        texts, *corners = pages.flatten().flatten()
+        blocks, kept, ends = zip(texts.to_pylist(), zip(*(c.to_numpy().tolist() for c in corners))), [], [0]
+        for n in pages.value_lengths().fill_null(0).to_numpy().tolist():
+            accepted: dict[str, AcceptedBoxes] = {}
+            for text, box in islice(blocks, n):
+                own = accepted.get(text)
+                if own is None:
+                    own = accepted[text] = AcceptedBoxes(least)
+                fine = not own.overlapped(box)
+                if fine:
+                    own.add(box)
+                kept.append(fine)
+            ends.append(len(kept))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(kept, pa.bool_()))
+
+    return work
 
 
 def tiled_pages(whole: DataFrame, tiles: DataFrame) -> DataFrame:
     """doc_id, page, tiled, direction, blocks: ``whole`` (one row a page: doc_id, page, direction, blocks), where the tiles of a page found
     something with their merged blocks instead of its own. ``tiles`` (doc_id, page, tile, scale, x0, y0, direction, blocks) has the answers
-    there are, at most one for each tile, of the pages that were cut; a tile that failed has no row. Blocks are on the page's
+    there are, at most one for each tile, of the pages that were cut; a tile that failed has no row. See ``merged_pages``."""
+    block = lambda b: F.struct(*[b[c].alias(c) for c in ("text", "type", "bbox", "lines")])
+    answer = F.struct("tile", "scale", "x0", "y0", "direction", F.transform("blocks", block).alias("blocks"))
+    answers = tiles.groupBy("doc_id", "page").agg(F.collect_list(answer).alias("tiles"))
+    return merged_pages(whole.select("doc_id", "page", "direction", "blocks").join(answers, ["doc_id", "page"], "left"))
+
+
+def merged_pages(pages: DataFrame) -> DataFrame:
+    """doc_id, page, tiled, direction, blocks of ``pages`` (one row a page: doc_id, page, direction, blocks, and tiles, the answers for its
+    tiles: null or an array of structs with tile, scale, x0, y0, direction, blocks). Blocks of tiles are on the page's
     pixels afterwards, in order of tile and place, without blank ones; a page is vertical if it or any of its tiles is. A page whose tiles
-    found nothing stays as it is."""
-    by = F.when(F.col("scale") < 1, 1 / F.col("scale")).otherwise(F.lit(1.0))
-    rows = tiles.select("doc_id", "page", "tile", by.alias("by"), F.col("x0").cast("double").alias("dx"), F.col("y0").cast("double").alias("dy"), F.posexplode("blocks").alias("ord", "b"))
-    rows = rows.select("doc_id", "page", "tile", "ord", "by", "dx", "dy", T.strip(F.coalesce("b.text", F.lit(""))).alias("text"), "b.type", "b.bbox", "b.lines").filter("text <> ''")
-    placed = lambda b: on_page(b, F.col("by"), F.col("dx"), F.col("dy"))
-    lines = F.transform("lines", lambda x: x.withField("bbox", placed(x["bbox"])))
-    merged = merge_tiles(rows.withColumn("bbox", placed(F.col("bbox"))).withColumn("lines", lines).drop("by", "dx", "dy"))
-    found = merged.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("tile", "ord", "text", "type", "bbox", "lines"))).alias("found"))
-    found = found.withColumn("found", F.transform("found", lambda b: F.struct(b["text"], b["type"], b["bbox"], b["lines"])))
-    upright = tiles.groupBy("doc_id", "page").agg(F.bool_or(F.col("direction") == "vertical").alias("upright"))
-    own = whole.select("doc_id", "page", "direction", "blocks").join(found, ["doc_id", "page"], "left").join(upright, ["doc_id", "page"], "left")
-    tiled = F.col("found").isNotNull()
-    direction = F.when(tiled & F.coalesce("upright", F.lit(False)), "vertical").otherwise(F.col("direction"))
-    return own.select("doc_id", "page", tiled.alias("tiled"), direction.alias("direction"), F.coalesce(F.col("found").cast(whole.schema["blocks"].dataType), "blocks").alias("blocks"))
+    found nothing stays as it is. A page and its at most four answers are one row, so nothing is dealt out: only texts and corners of the
+    tiles' blocks go to the merge."""
+
+    def placed(t: Column) -> Column:
+        at = lambda b: on_page(b, t["by"], t["dx"], t["dy"])
+        lines = lambda b: F.transform(b["lines"], lambda x: x.withField("bbox", at(x["bbox"])))
+        return F.transform(t["blocks"], lambda b: F.struct(T.strip(F.coalesce(b["text"], F.lit(""))).alias("text"), b["type"].alias("type"), at(b["bbox"]).alias("bbox"), lines(b).alias("lines")))
+
+    by = lambda t: F.when(t["scale"] < 1, 1 / t["scale"]).otherwise(F.lit(1.0))
+    answers = F.transform(F.sort_array(F.filter("tiles", lambda t: t["blocks"].isNotNull())), lambda t: F.struct(by(t).alias("by"), t["x0"].cast("double").alias("dx"), t["y0"].cast("double").alias("dy"), t["blocks"].alias("blocks")))
+    found = F.filter(F.flatten(F.transform(answers, placed)), lambda b: b["text"] != "")
+    upright = F.coalesce(F.exists("tiles", lambda t: t["direction"] == "vertical"), F.lit(False))
+    own = pages.select("doc_id", "page", "direction", "blocks", upright.alias("upright"), found.alias("found"))
+    corners = lambda b: [F.coalesce(b["bbox"][c], F.lit(0.0)).alias(c) for c in ("x0", "y0", "x1", "y1")]
+    own = own.withColumn("stays", stays()(F.transform("found", lambda b: F.struct(b["text"].alias("text"), *corners(b)))))
+    merged = F.transform(F.filter(F.arrays_zip("found", "stays"), lambda z: z["stays"]), lambda z: z["found"])
+    tiled = F.coalesce(F.size("found") > 0, F.lit(False))
+    direction = F.when(tiled & F.col("upright"), "vertical").otherwise(F.col("direction"))
+    return own.select("doc_id", "page", tiled.alias("tiled"), direction.alias("direction"), F.when(tiled, merged.cast(pages.schema["blocks"].dataType.simpleString())).otherwise(F.col("blocks")).alias("blocks"))

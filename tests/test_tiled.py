@@ -2,7 +2,10 @@
 
 import json
 import os
+import random
 
+import __spark_entry__ as entry
+from foliospark.operators import tiling
 from foliospark.sources import ocr, tiled
 
 PAGES = "job_id string, page int, image binary, width_px int, height_px int"
@@ -98,3 +101,50 @@ def test_daily_limit_holds_for_pages_and_tiles(spark, tmp_path):
 def test_no_pages(spark, tmp_path):
     ocr.register("seer", provider())
     assert tiled.recognize_pages(str(tmp_path / "cache"), 1, spark.createDataFrame([], PAGES), "seer", {"folder": str(tmp_path)}, "whole", "tile", cutter(), tasks=2).count() == 0
+
+
+def test_pages_are_read_and_dealt_out_once(spark):
+    plan = entry.queries()["tiled_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+
+
+def merged(tiles, least=0.3):
+    """Blocks of the tiles of one page (tile, scale, x0, y0, direction, blocks), in plain Python."""
+    kept, corners = [], lambda b: [v or 0.0 for v in b]
+    for _, scale, x0, y0, _, blocks in sorted(tiles, key=lambda t: t[0]):
+        by = 1 / scale if scale < 1 else 1.0
+        for b in blocks or []:
+            text = (b[0] or "").strip() if b else ""
+            if text:
+                box = [None if v is None else v * by + d for v, d in zip(b[2], (x0, y0, x0, y0))] if b[2] else [None] * 4
+                if not any(text == k[0] and tiling._shared(corners(k[2]), corners(box)) >= least for k in kept):
+                    kept.append((text, b[1], box))
+    return kept
+
+
+def test_merge_within_a_page_equals_a_plain_fold(spark):
+    rng = random.Random(3)
+    texts, bbox = ["a", " a", "b　", "c", " ", "", None], "struct<x0:double,y0:double,x1:double,y1:double>"
+    kind = f"array<struct<text:string,type:string,bbox:{bbox},lines:array<struct<text:string,bbox:{bbox}>>>>"
+
+    def block():
+        x, y = rng.randrange(60) * 1.0, rng.randrange(60) * 1.0
+        box = rng.choice([(x, y, x + rng.randrange(40), y + rng.randrange(20)), (x, y, x + 25, y + 12), (x, y, x + 24, y + 13)]) if rng.random() < 0.95 else rng.choice([None, (x, None, x + 5, y)])
+        return (rng.choice(texts), rng.choice(["x", None]), box, [("l", box)]) if rng.random() < 0.98 else None
+
+    tiles, whole = {}, []
+    for page in range(60):
+        own = [(tile, rng.choice([1.0, 0.5]), rng.randrange(9), rng.randrange(9), rng.choice(["vertical", "horizontal", "horizontal", None]), [block() for _ in range(rng.choice([0, 3, 80]))] if rng.random() < 0.9 else None) for tile in range(4) if rng.random() < 0.8]
+        rng.shuffle(own)
+        tiles[page] = own if page % 5 else [(t[0], t[1], t[2], t[3], "vertical", [(" ", None, (0.0, 0.0, 1.0, 1.0), None)]) for t in own]  # blanks alone
+        whole.append((7, page, "horizontal", [("own", "x", (0.0, 0.0, 1.0, 1.0), [])]))
+    rows = [(7, page, *t) for page, own in tiles.items() for t in own]
+    answers = spark.createDataFrame(rows, f"doc_id long, page int, tile int, scale double, x0 int, y0 int, direction string, blocks {kind}")
+    got = tiling.tiled_pages(spark.createDataFrame(whole, f"doc_id long, page int, direction string, blocks {kind}"), answers).collect()
+    assert len(got) == len(whole) and sum(r["tiled"] for r in got) > 40
+    for r in got:
+        want = merged(tiles[r["page"]])
+        assert r["tiled"] == bool(want)
+        assert r["direction"] == ("vertical" if want and any(t[4] == "vertical" for t in tiles[r["page"]]) else "horizontal")
+        assert [(b["text"], b["type"], list(b["bbox"])) for b in r["blocks"]] == (want or [("own", "x", [0.0, 0.0, 1.0, 1.0])])
+    assert max(len(r["blocks"]) for r in got) > 3 * tiling.FEW
